@@ -44,8 +44,15 @@ panel_query("spread", lambda w: {"real": F.col("disc") - F.col("tax"), "brent":
 panel_query("linear_combo", lambda w: {"crack": (2.0 * F.col("px") * 42.0 + F.col("px2") * 42.0) / 3.0 - F.col("qty")}, {"crack": "(2e0*px*42e0+px2*42e0)/3e0-qty"}, digits=4)
 panel_query("basket_mean", lambda w: {"x": C.row_mean(C.pct_change("px", 3, w), C.pct_change("px2", 3, w), F.when(F.col("ret") > 0.3, C.pct_change("qty", 3, w)))},
     {"x": "list_avg(list_filter([px/lag(px,3) OVER w-1e0, px2/lag(px2,3) OVER w-1e0, CASE WHEN ret>0.3e0 THEN qty/lag(qty,3) OVER w-1e0 END], lambda v: v IS NOT NULL))"})
-panel_query("net_liquidity", lambda w: {"nl": F.col("px2") / 1000.0 - F.col("disc") - F.coalesce(F.when(F.col("tax") > 0.04, F.col("tax")), F.lit(0.0))},
-    {"nl": "px2/1000e0-disc-coalesce(CASE WHEN tax>0.04e0 THEN tax END,0e0)"}, digits=9)
+
+
+def _net_liquidity():
+    third = F.when(F.col("tax") > 0.04, F.col("tax"))
+    return F.col("px2") / 1000.0 - F.col("disc") - F.coalesce(third, F.lit(0.0))
+
+
+_NL = "(px2/1000e0-disc-coalesce(CASE WHEN tax>0.04e0 THEN tax END,0e0))"
+panel_query("net_liquidity", lambda w: {"yoy": C.pct_change(_net_liquidity(), 12, w)}, {"yoy": f"{_NL}/lag{_NL[:-1]},12) OVER w-1e0"})
 panel_query("seasonal_dev_m", lambda w: {"x": FE.seasonal_deviation("qty", (12, 24, 36, 48, 60), w, "fraction")},
     {"x": "qty/(CASE WHEN len(list_filter([lag(qty,12) OVER w,lag(qty,24) OVER w,lag(qty,36) OVER w,lag(qty,48) OVER w,lag(qty,60) OVER w], lambda v: v IS NOT NULL))>=3 THEN list_avg(list_filter([lag(qty,12) OVER w,lag(qty,24) OVER w,lag(qty,36) OVER w,lag(qty,48) OVER w,lag(qty,60) OVER w], lambda v: v IS NOT NULL)) END)-1e0"})
 panel_query("curve_slope", lambda w: {"s2": FE.curve_slope("px", "qty", 15.0), "chg": -FE.curve_slope("px", "px2", 3000.0)},
