@@ -223,3 +223,61 @@ def outcome_summary(groups: DataFrame, keys, group: str, y: str, dd: str | None
         .withColumn(group, F.when(F.col("_all") == 1, "All months").otherwise(F.col(group)))
         .drop("_all")
     )
+
+
+def auc_ci(df: DataFrame, keys, p: str, label: str, index: str, block: int, reps: int, seed: int = 0) -> DataFrame:
+    """95% interval of the AUC by moving-block resampling of (probability, label) pairs.
+
+    A replicate is a weight per original row (how often a block covers it). With
+    rows sorted by probability once, the weighted AUC of a replicate is a single
+    fold over the array, so no resampled copy is sorted or shuffled.
+    """
+    row = F.struct(F.col(p).alias("p"), F.col(index).cast("int").alias("i"), F.col(label).alias("l"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r")).withColumn("_n", F.size("_r"))
+    n = F.col("_n")
+    b, nb = block_lengths(n, block)
+
+    def one(rep: Column) -> Column:
+        starts = F.transform(
+            F.sequence(F.lit(0), nb - 1),
+            lambda k: F.struct(A.uniform_int(n - b + 1, rep, k, seed).cast("int").alias("s"), F.least(b, n - k * b).alias("m")),
+        )
+        return F.struct(rep.alias("rep"), starts.alias("starts"))
+
+    g = g.withColumn("_s", F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), one))
+
+    def weight(s: Column, r: Column) -> Column:
+        inside = F.filter(s["starts"], lambda q: (r["i"] >= q["s"]) & (r["i"] < q["s"] + q["m"]))
+        return F.size(inside).cast("double")
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("pos", "neg", "win", "tp", "tn", "last")])
+
+    def auc(s: Column) -> Column:
+        # runs of equal p: pending positives and negatives of the run count half against each other
+        def close(a: Column) -> Column:
+            return a["win"] + a["tp"] * a["neg"] + 0.5 * a["tp"] * a["tn"]
+
+        def step(a: Column, r: Column) -> Column:
+            wt, same = weight(s, r), r["p"] == a["last"]
+            wp, wn = wt * r["l"], wt * (1.0 - r["l"])
+            return F.struct(
+                F.when(same, a["pos"]).otherwise(a["pos"] + a["tp"]).alias("pos"),
+                F.when(same, a["neg"]).otherwise(a["neg"] + a["tn"]).alias("neg"),
+                F.when(same, a["win"]).otherwise(close(a)).alias("win"),
+                F.when(same, a["tp"] + wp).otherwise(wp).alias("tp"),
+                F.when(same, a["tn"] + wn).otherwise(wn).alias("tn"),
+                r["p"].alias("last"),
+            )
+
+        return F.aggregate(
+            "_r", zero, step, lambda a: F.try_divide(close(a), (a["pos"] + a["tp"]) * (a["neg"] + a["tn"]))
+        )
+
+    g = g.withColumn("_a", F.array_sort(F.array_compact(F.transform("_s", auc))))
+    ok = (n >= 20) & (F.size("_a") > 20)
+    return g.select(
+        *keys,
+        F.size("_a").cast("bigint").alias("reps"),
+        F.when(ok, A.quantile_sorted(F.col("_a"), 0.025)).alias("lo"),
+        F.when(ok, A.quantile_sorted(F.col("_a"), 0.975)).alias("hi"),
+    )

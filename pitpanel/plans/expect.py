@@ -1 +1,111 @@
-"""To be filled."""
+"""Expectation queries (group E)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import expect as X
+from ..operators import solve as SV
+from ..sources import views as V
+from . import common as P
+from .rank import SIGN
+from .registry import R, cte, erfc_sql, query, sql
+from .rules import latest, percentiles
+
+cte("rates", "SELECT entity, month, pos, disc*100e0 AS y1, tax*100e0 AS y2, ret*10e0 AS y10, nopen*10e0 AS y3m, coalesce(CASE WHEN tax>0.04e0 THEN qty/100e0 END, nopen*10e0) AS ff, disc*40e0 AS infl, px FROM panel", "panel")
+cte("ex", """SELECT *, ex_ff12-ff AS ex_ff_chg, ex_ff12-infl AS ex_real FROM (SELECT *, CASE WHEN ff+(1.25e0*y2-0.25e0*y1-y3m) IS NOT NULL THEN greatest(ff+(1.25e0*y2-0.25e0*y1-y3m),0e0) END AS ex_ff12,
+ y10+(y10-y1)/10e0 AS ex_y10 FROM rates)""", "rates")
+
+
+def expectations(spark, sf):
+    """Curve-implied expectations from panel columns standing in for yields."""
+    p = V.monthly_panel(spark, sf)
+    p = p.select(
+        "entity",
+        "month",
+        "pos",
+        "px",
+        (F.col("disc") * 100.0).alias("y1"),
+        (F.col("tax") * 100.0).alias("y2"),
+        (F.col("ret") * 10.0).alias("y10"),
+        (F.col("nopen") * 10.0).alias("y3m"),
+        F.coalesce(F.when(F.col("tax") > 0.04, F.col("qty") / 100.0), F.col("nopen") * 10.0).alias("ff"),
+        (F.col("disc") * 40.0).alias("infl"),
+    )
+    y1, y2, y10, y3m, ff = (F.col(c) for c in ("y1", "y2", "y10", "y3m", "ff"))
+    p = p.withColumn("ex_ff12", X.expected_policy_rate(ff, y1, y2, y3m)).withColumn("ex_y10", X.forward_ten_year(y10, y1))
+    return p.withColumn("ex_ff_chg", F.col("ex_ff12") - ff).withColumn("ex_real", F.col("ex_ff12") - F.col("infl"))
+
+
+EX = ("ex_ff12", "ex_ff_chg", "infl", "ex_real", "ex_y10")
+
+
+@query("forward_rates", sql("SELECT entity, month, " + R(*EX) + " FROM ex", "ex"))
+def forward_rates(spark, sf):
+    return C.rounded(expectations(spark, sf).select("entity", "month", *EX))
+
+
+Z = "(-0.5333e0-0.6330e0*(y10-y3m))"
+
+
+@query("probit_prob", sql(f"SELECT entity, month, round(100e0*CASE WHEN {Z}>=0 THEN 1e0-0.5e0*{erfc_sql(f'abs({Z})/sqrt(2e0)')} ELSE 0.5e0*{erfc_sql(f'abs({Z})/sqrt(2e0)')} END,6)+0e0 AS recess FROM rates", "rates"))
+def probit_prob(spark, sf):
+    e = expectations(spark, sf)
+    return C.rounded(e.select("entity", "month", X.recession_probability(F.col("y10"), F.col("y3m")).alias("recess")))
+
+
+@query("threshold_labels", sql("""SELECT entity, CASE WHEN ex_ff_chg<=-0.25 THEN 'cuts' WHEN ex_ff_chg>=0.25 THEN 'hikes' ELSE 'roughly no change' END AS policy,
+ CASE WHEN y10<2.0 THEN 'low' WHEN y10<4.0 THEN 'moderate' ELSE 'elevated' END AS risk, CASE WHEN usd>=0.01 THEN 'stronger' WHEN usd<=-0.01 THEN 'weaker' ELSE 'about flat' END AS dollar
+ FROM (SELECT *, px/lag(px,3) OVER (PARTITION BY entity ORDER BY pos)-1e0 AS usd FROM ex) QUALIFY pos=max(pos) OVER (PARTITION BY entity)""", "ex"))
+def threshold_labels(spark, sf):
+    e = expectations(spark, sf).withColumn("usd", C.pct_change("px", 3, C.by_entity("entity")))
+    now = latest(e, ["entity"], ["ex_ff_chg", "y10", "usd"])
+    c, r, u = F.col("ex_ff_chg"), F.col("y10"), F.col("usd")
+    return now.select(
+        "entity",
+        F.when(c <= -0.25, "cuts").when(c >= 0.25, "hikes").otherwise("roughly no change").alias("policy"),
+        F.when(r < 2.0, "low").when(r < 4.0, "moderate").otherwise("elevated").alias("risk"),
+        F.when(u >= 0.01, "stronger").when(u <= -0.01, "weaker").otherwise("about flat").alias("dollar"),
+    )
+
+
+cte("gf", " UNION ALL ".join(f"SELECT entity, month, '{k}' AS k, {f} AS forecast, {a} AS anchor, lead({r},6) OVER (PARTITION BY entity ORDER BY pos) AS realised FROM ex"
+    for k, f, a, r in (("ff", "ex_ff12", "ff", "ff"), ("y10", "ex_y10", "y10", "y10"), ("real", "ex_real", "ff-infl", "ff-infl"))), "ex")
+cte("gfr", """SELECT *, rank() OVER (PARTITION BY entity, k ORDER BY round(df,9)) + (count(*) OVER (PARTITION BY entity, k, round(df,9))-1)/2e0 AS rx,
+ rank() OVER (PARTITION BY entity, k ORDER BY round(dr,9)) + (count(*) OVER (PARTITION BY entity, k, round(dr,9))-1)/2e0 AS ry
+ FROM (SELECT *, forecast-anchor AS df, realised-anchor AS dr FROM gf WHERE forecast IS NOT NULL AND anchor IS NOT NULL AND realised IS NOT NULL)""", "gf")
+
+
+@query("grade_forecasts", sql("""SELECT entity, k, n, """ + R("mae_m", "mae_n", "1e0-mae_m/mae_n AS skill", "ic") + """ FROM (SELECT entity, k, count(*) AS n, avg(abs(forecast-realised)) AS mae_m, avg(abs(anchor-realised)) AS mae_n,
+ (count(*)*sum(rx*ry)-sum(rx)*sum(ry))/nullif(sqrt((count(*)*sum(rx*rx)-sum(rx)*sum(rx))*(count(*)*sum(ry*ry)-sum(ry)*sum(ry))),0) AS ic FROM gfr GROUP BY 1,2 HAVING count(*)>=24)""", "gfr"))
+def grade_forecasts(spark, sf, h: int = 6):
+    e = expectations(spark, sf)
+    w = C.by_entity("entity")
+    real = F.col("ff") - F.col("infl")
+    spec = (("ff", F.col("ex_ff12"), F.col("ff")), ("y10", F.col("ex_y10"), F.col("y10")), ("real", F.col("ex_real"), real))
+    items = [F.struct(F.lit(k).alias("k"), f.alias("forecast"), a.alias("anchor"), F.lead(a, h).over(w).alias("realised")) for k, f, a in spec]
+    long = e.withColumn("o", F.array(*items)).select("entity", "month", F.explode("o").alias("o")).select("entity", "month", "o.*")
+    return C.rounded(X.grade_forecasts(long, ["entity", "k"]))
+
+
+cte("tally", """SELECT entity, CASE WHEN sgn=0 THEN 'mixed' WHEN pit IS NULL THEN NULL WHEN (pit>=CAST(2 AS DOUBLE)/3 AND sgn>0) OR (pit<=CAST(1 AS DOUBLE)/3 AND sgn<0) THEN 'supportive'
+ WHEN (pit>=CAST(2 AS DOUBLE)/3 AND sgn<0) OR (pit<=CAST(1 AS DOUBLE)/3 AND sgn>0) THEN 'against' ELSE 'middle' END AS c
+ FROM (SELECT entity, feature, arg_max(pit,pos) AS pit FROM pctl WHERE pit IS NOT NULL GROUP BY 1,2) JOIN meta USING (feature)""", "pctl", "meta")
+
+
+@query("textbook_tally", sql("SELECT entity, " + ", ".join(f"count(*) FILTER (c='{c}') AS {c}" for c in ("supportive", "against", "middle", "mixed")) + " FROM tally GROUP BY 1", "tally"))
+def textbook_tally(spark, sf):
+    p = percentiles(spark, sf).filter(F.col("pit").isNotNull())
+    now = p.groupBy("entity", "feature").agg(F.max_by("pit", "pos").alias("pit"))
+    sign = F.create_map(*[F.lit(x) for kv in SIGN.items() for x in kv])[F.col("feature")]
+    c = now.withColumn("c", X.tally_class(sign, F.col("pit"))).groupBy("entity")
+    return c.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(k) for k in ("supportive", "against", "middle", "mixed")])
+
+
+@query("wf_ridge")
+def wf_ridge(spark, sf):
+    """Expanding-window ridge forecast of the h-month outcome, refit every three rows."""
+    fw = P.feature_frame(spark, sf)
+    out = SV.walk_forward_ridge(fw, V.FEATURES, "y", V.H, 3, 36 + V.H, 36, 50.0)
+    return C.rounded(out.filter(F.col("pred").isNotNull()).select("entity", "month", "n_train", "pred", "y"))

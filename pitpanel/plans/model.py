@@ -1 +1,164 @@
-"""To be filled."""
+"""Classifier queries (group J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import model as M
+from ..operators import rank as K
+from ..operators import solve as SV
+from ..operators import states as S
+from ..operators import stats as ST
+from ..operators import targets as T
+from ..sources import views as V
+from . import common as P
+from .registry import R, cte, query, sql
+from .stats import CORR, ranks_sql, start_sql
+
+cte("prob", "SELECT entity, pos, month, part, y, 1e0/(1e0+exp(-(0.3e0*score))) AS p, avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) FILTER (learn) OVER (PARTITION BY entity) AS base FROM a_vd", "a_vd")
+
+
+def probabilities(spark, sf):
+    """Probability of a positive outcome read off the rule score; ties are frequent by construction."""
+    sc = P.learned(spark, sf)[3]
+    p = 1.0 / (1.0 + F.exp(-(0.3 * F.col("score"))))
+    hit = F.when(F.col("learn"), (F.col("y") > 0).cast("double"))
+    return sc.withColumn("p", F.round(p, 9)).withColumn("base", F.avg(hit).over(Window.partitionBy("entity")))
+
+
+cte("prob9", "SELECT * REPLACE (round(p,9) AS p) FROM prob", "prob")
+cte("pm_r", ranks_sql("prob9", "entity, part", "p", "y", "part IN ('learn','val','test')"), "prob9")
+cte("pm", f"""SELECT entity, part, count(*) AS n, (sum(rx) FILTER (l=1)-sum(l)*(sum(l)+1)/2)/nullif(sum(l)*(count(*)-sum(l)),0) AS auc, avg((pc-l)*(pc-l)) AS brier, avg((bc-l)*(bc-l)) AS bb,
+ avg(-(l*ln(pc)+(1-l)*ln(1-pc))) AS log_loss, avg(CASE WHEN (p>0.5)=(l=1) THEN 1e0 ELSE 0e0 END) AS accuracy, greatest(avg(l),1-avg(l)) AS naive, CASE WHEN count(*)>=8 THEN {CORR} END AS ic
+ FROM (SELECT *, CASE WHEN y>0 THEN 1e0 ELSE 0e0 END AS l, least(greatest(p,0.01e0),0.99e0) AS pc, least(greatest(base,0.01e0),0.99e0) AS bc FROM pm_r) GROUP BY 1,2""", "pm_r")
+
+
+@query("prob_metrics", sql("SELECT entity, part, n, " + R("auc", "brier", "1e0-brier/bb AS skill", "log_loss", "accuracy", "naive", "ic") + " FROM pm", "pm"))
+def prob_metrics(spark, sf):
+    d = probabilities(spark, sf).filter(F.col("part").isin("learn", "val", "test"))
+    return C.rounded(M.prob_metrics(d, ["entity", "part"]))
+
+
+@query("ml_verdict", sql("""SELECT entity, month, CASE WHEN p-base<=-0.05e0 THEN 'Unfavorable' WHEN p-base>=0.05e0 THEN 'Favorable' ELSE 'Neutral' END AS verdict FROM prob9""", "prob9"))
+def ml_verdict(spark, sf):
+    d = probabilities(spark, sf)
+    return d.select("entity", "month", M.ml_verdict(F.col("p"), F.col("base"), 0.05).alias("verdict"))
+
+
+cte("cal_e", "SELECT entity, list_sort(list_distinct(quantile_cont(p,[0,0.2,0.4,0.6,0.8,1.0]))) AS e FROM prob9 WHERE y IS NOT NULL GROUP BY 1", "prob9")
+
+
+@query("calibration", sql("""SELECT entity, CAST(bin AS INTEGER) AS bin, count(*) AS n, """ + R("avg(p) AS p_mean", "avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) AS share") + """ FROM (
+ SELECT *, greatest(len(list_filter(e, lambda v: v<p)),1) AS bin FROM prob9 JOIN cal_e USING (entity) WHERE y IS NOT NULL) GROUP BY 1,2""", "prob9", "cal_e"))
+def calibration(spark, sf):
+    return C.rounded(M.calibration(probabilities(spark, sf), ["entity"]))
+
+
+# bootstrap interval of the AUC: pairs resampled in blocks, ranks per replicate
+cte("aucx", "SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY pos)-1 AS i, p, CASE WHEN y>0 THEN 1e0 ELSE 0e0 END AS l FROM prob9 WHERE part IN ('val','test')", "prob9")
+cte("aucn", "SELECT entity, CAST(count(*) AS BIGINT) AS n FROM aucx GROUP BY 1", "aucx")
+cte("aucd", f"""SELECT entity, rep, {start_sql('n-3+1', 'rep', 'k')}+o AS i FROM (SELECT entity, n, CAST(rep AS BIGINT) AS rep, CAST(k AS BIGINT) AS k, o FROM aucn, range(300) r(rep), range(60) q(k), range(3) z(o)
+ WHERE k<ceil(n/3e0) AND k*3+o<n)""", "aucn")
+cte("aucr", "SELECT entity, rep, l, rank() OVER (PARTITION BY entity, rep ORDER BY p)+(count(*) OVER (PARTITION BY entity, rep, p)-1)/2e0 AS r FROM aucd JOIN aucx USING (entity, i)", "aucd", "aucx")
+cte("aucv", "SELECT entity, rep, (sum(r) FILTER (l=1)-sum(l)*(sum(l)+1)/2)/nullif(sum(l)*(count(*)-sum(l)),0) AS auc FROM aucr GROUP BY 1,2", "aucr")
+
+
+@query("auc_ci", sql("""SELECT entity, count(auc) AS reps, CASE WHEN any_value(n)>=20 AND count(auc)>20 THEN round(quantile_cont(auc,0.025),6)+0e0 END AS lo,
+ CASE WHEN any_value(n)>=20 AND count(auc)>20 THEN round(quantile_cont(auc,0.975),6)+0e0 END AS hi FROM aucv JOIN aucn USING (entity) GROUP BY 1""", "aucv", "aucn"))
+def auc_ci(spark, sf, reps: int = 300, block: int = 3):
+    """Replicates are weights on the original rows, so each needs one aggregate and no re-sorting of copies."""
+    d = probabilities(spark, sf).filter(F.col("part").isin("val", "test"))
+    w = Window.partitionBy("entity").orderBy("pos")
+    d = d.select("entity", "p", (F.col("y") > 0).cast("double").alias("l"), (F.row_number().over(w) - 1).alias("i"))
+    return C.rounded(ST.auc_ci(d, ["entity"], "p", "l", "i", block, reps))
+
+
+@query("wf_logit")
+def wf_logit(spark, sf):
+    fw = P.feature_frame(spark, sf)
+    return C.rounded(SV.walk_forward_logit(fw, V.FEATURES, V.H, P.STEP))
+
+
+@query("fit_latest")
+def fit_latest(spark, sf):
+    return C.rounded(SV.latest_logit(P.feature_frame(spark, sf), V.FEATURES))
+
+
+@query("ablation")
+def ablation(spark, sf):
+    """AUC and rank correlation lost when one indicator is dropped; the dropped name is a key."""
+    fw = P.feature_frame(spark, sf)
+    variants = ["none", *V.FEATURES]
+    one = fw.withColumn("dropped", F.explode(F.array(*[F.lit(v) for v in variants])))
+    masked = [F.when(F.col("dropped") == f, 0.0).otherwise(F.col(f)).alias(f) for f in V.FEATURES]  # a constant input has no effect
+    one = one.select("entity", "dropped", "pos", "y", "c1", *masked)
+    wf = SV.walk_forward_logit(one, V.FEATURES, V.H, P.STEP, keys=("entity", "dropped"))
+    graded = wf.join(fw.filter(F.col("part").isin("val", "test")).select("entity", "pos", "y"), ["entity", "pos"])
+    m = M.prob_metrics(graded, ["entity", "dropped"])
+    full = lambda c: F.max(F.when(F.col("dropped") == "none", F.col(c))).over(Window.partitionBy("entity"))
+    m = m.withColumns({"d_auc": full("auc") - F.col("auc"), "d_ic": full("ic") - F.col("ic")})
+    return C.rounded(m.filter(F.col("dropped") != "none").select("entity", "dropped", "d_auc", "d_ic"))
+
+
+def pooled(kind: str):
+    def run(spark, sf):
+        """One classifier over all entities: fitted on learn rows, scored on the unseen ones."""
+        fw = P.feature_frame(spark, sf)
+        model = M.fit_pooled(fw.filter(F.col("part") == "learn"), V.FEATURES, kind)
+        d = M.predict_pooled(model, fw.filter(F.col("part").isin("val", "test")))
+        base = fw.filter(F.col("part") == "learn").groupBy("entity").agg(F.avg((F.col("y") > 0).cast("double")).alias("base"))
+        return C.rounded(M.prob_metrics(d.join(base, "entity"), ["entity", "part"]))
+
+    return run
+
+
+for _kind in ("logistic", "forest", "boosting"):
+    query(f"pooled_{_kind}")(pooled(_kind))
+
+
+SCAN = (1, 3, 6)
+
+
+@query("horizon_scan")
+def horizon_scan(spark, sf):
+    """Rule and classifier rank correlation per look-ahead inside the learn period, and the stable choice."""
+    w = C.by_entity("entity")
+    fw = P.feature_frame(spark, sf)
+    each = [F.struct(F.lit(h).alias("horizon"), C.forward_return("px", h, w).alias("yh")) for h in SCAN]
+    fw = fw.withColumn("_o", F.array(*each)).withColumn("o", F.explode("_o"))
+    fw = fw.select("entity", "pos", *V.FEATURES, "o.horizon", F.col("o.yh").alias("y"))
+    h = F.col("horizon")
+    n = F.count("y").over(Window.partitionBy("entity", "horizon"))
+    size = F.greatest(F.floor(F.col("_n") * F.lit(0.85)) - h, F.lit(0))
+    fw = fw.withColumn("_n", n).withColumn("_k", F.floor(size * F.lit(0.7)))
+    fw = fw.filter(F.col("y").isNotNull() & (F.col("pos") < size)).withColumn("learn", F.col("pos") < F.col("_k") - h)
+    fw = fw.withColumn("valid", F.col("pos") >= F.col("_k"))
+    keys = ["entity", "horizon"]
+    fl = T.long_form(fw, V.FEATURES, ("entity", "horizon", "pos", "y", "learn", "valid"))
+    scores = []
+    for hz in SCAN:  # the HAC lag count is a literal per horizon, the rest is one plan each
+        part = fl.filter(h == hz)
+        scores.append(S.run_rules(part, keys, hz, P.CFG, ("y", "learn", "valid"))[3])
+    rules = scores[0]
+    for s in scores[1:]:
+        rules = rules.unionByName(s)
+    v = rules.filter("valid")
+    half = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) > F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2)
+    v = v.withColumn("half", half.cast("int"))
+    full = ST.rank_ic(v, keys, "score", "y", "rules_ic").withColumnRenamed("n", "n_val")
+    by_half = ST.rank_ic(v, [*keys, "half"], "score", "y", "hic").groupBy(*keys).agg(
+        F.when(F.count("hic") == 2, F.min("hic")).alias("rules_stab")
+    )
+    fitted = SV.walk_forward_logit(fw.withColumn("c1", F.col("_k").cast("int")).withColumn("y", F.when(F.col("learn") | F.col("valid"), F.col("y"))),
+                                   V.FEATURES, 0, 10_000, keys=keys, min_rows=20)
+    ml = ST.rank_ic(fitted.join(v.select(*keys, "pos", "y"), [*keys, "pos"]), keys, "p", "y", "ml_ic").drop("n")
+    out = full.join(by_half, keys, "left").join(ml, keys, "left")
+    out = out.withColumns({"combined": C.row_mean("rules_ic", "ml_ic"), "stable": F.col("rules_stab")})
+    pick = F.coalesce(
+        F.max_by("horizon", "stable").over(Window.partitionBy("entity")),
+        F.max_by("horizon", "combined").over(Window.partitionBy("entity")),
+        F.lit(6),
+    )
+    return C.rounded(out.withColumn("chosen", pick))
