@@ -1 +1,185 @@
-"""To be filled."""
+"""Quantile projection queries (group N)."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import columns as C
+from ..operators import quantile as Q
+from ..operators import solve as SV
+from ..operators import targets as T
+from ..sources import views as V
+from . import common as P
+from .registry import R, cte, query, sql
+from .stats import CORR
+
+PF = ("px_mom1", "px_mom3", "px_mom6", "px_mom12", "px_vol12", "px_trend", "px_dd12")
+cte("pfx", "SELECT entity, month, " + ", ".join(f"px/lag(px,{k}) OVER w-1e0 AS px_mom{k}" for k in (1, 3, 6, 12)) + """, vol AS px_vol12,
+ CASE WHEN count(px) OVER w10>=10 THEN px/avg(px) OVER w10-1e0 END AS px_trend, CASE WHEN count(px) OVER w12>=12 THEN px/max(px) OVER w12-1e0 END AS px_dd12 FROM r2
+ WINDOW w AS (PARTITION BY entity ORDER BY pos), w10 AS (PARTITION BY entity ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), w12 AS (PARTITION BY entity ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""", "r2")
+
+
+def with_price_features(df):
+    w = C.by_entity("entity")
+    d = df.withColumn("px_r1", C.pct_change("px", 1, w))
+    return d.withColumns(Q.price_features("px", w))
+
+
+@query("price_features", sql("SELECT entity, month, " + R(*PF) + " FROM pfx", "pfx"))
+def price_features(spark, sf):
+    return C.rounded(with_price_features(V.monthly_panel(spark, sf)).select("entity", "month", *PF))
+
+
+@query("log_fwd", sql("SELECT entity, month, " + R(*[f"ln(lead(px,{k}) OVER w/px) AS y{k}" for k in (1, 3, 6, 12)]) + " FROM fw WINDOW w AS (PARTITION BY entity ORDER BY pos)", "fw"))
+def log_fwd(spark, sf):
+    w = C.by_entity("entity")
+    return C.rounded(P.feature_frame(spark, sf).select("entity", "month", *[Q.log_forward("px", k, w).alias(f"y{k}") for k in (1, 3, 6, 12)]))
+
+
+cte("hqy", " UNION ALL ".join(f"SELECT *, {k} AS horizon, ln(lead(px,{k}) OVER (PARTITION BY entity ORDER BY pos)/px) AS yk FROM fw" for k in Q.GRID), "fw")
+cte("hqf", "SELECT DISTINCT entity, horizon, s0 FROM (SELECT entity, horizon, unnest(generate_series(c1,n_all-1,12)) AS s0 FROM hqy)", "hqy")
+cte("hqq", "SELECT f.entity, f.horizon, f.s0, count(*) AS n, " + ", ".join(f"quantile_cont(yk,{q}) AS b{i}" for i, q in enumerate(Q.LEVELS))
+    + " FROM hqf f JOIN hqy y ON y.entity=f.entity AND y.horizon=f.horizon AND y.pos<=f.s0-f.horizon AND yk IS NOT NULL GROUP BY 1,2,3 HAVING count(*)>=30", "hqf", "hqy")
+cte("hq", "SELECT y.entity, y.month, y.pos, y.part, y.horizon, y.yk, y.px_t10, y.px, q.* EXCLUDE (entity, horizon, s0, n) FROM hqy y JOIN hqq q ON q.entity=y.entity AND q.horizon=y.horizon AND q.s0=y.c1+12*((y.pos-y.c1)//12) WHERE y.pos>=y.c1", "hqy", "hqq")
+
+
+@query("history_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R("yk", "b0", "b1", "b2", "b3", "b4") + " FROM hq", "hq"))
+def history_quantiles(spark, sf):
+    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
+    return C.rounded(h.select("entity", "month", "horizon", "yk", *[F.get("qb", F.lit(i)).alias(f"b{i}") for i in range(5)]))
+
+
+LAMS = (0.0, 0.25, 0.5, 0.75, 1.0)
+# a momentum model in closed form: history quantiles shifted against the trend
+cte("hl5", "SELECT h.*, lam, list_sort([" + ",".join(f"b{i}+lam*((b{i}-0.1e0*px_t10)-b{i})" for i in range(5)) + "]) AS q FROM hq h CROSS JOIN (VALUES (0e0),(0.25e0),(0.5e0),(0.75e0),(1e0)) v(lam)", "hq")
+
+
+def shrunk(spark, sf, lams=LAMS):
+    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
+    qm = F.transform("qb", lambda b: b - 0.1 * F.col("px_t10"))
+    h = h.withColumn("qm", qm).withColumn("lam", F.explode(F.array(*[F.lit(x) for x in lams])))
+    return h.withColumn("q", Q.shrink(F.col("qb"), F.col("qm"), F.col("lam")))
+
+
+@query("shrink_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, lam, " + R(*[f"q[{i + 1}] AS q{i}" for i in range(5)]) + " FROM hl5", "hl5"))
+def shrink_quantiles(spark, sf):
+    s = shrunk(spark, sf)
+    return C.rounded(s.select("entity", "month", "horizon", "lam", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
+
+
+PB = "(" + "+".join(f"greatest({t}e0*(yk-{{0}}[{i + 1}]),({t}e0-1e0)*(yk-{{0}}[{i + 1}]))" for i, t in enumerate(Q.LEVELS)) + ")/5e0"
+
+
+@query("pinball", sql("SELECT entity, CAST(horizon AS INTEGER) AS horizon, lam, count(*) AS n, " + R(f"avg({PB.format('q')}) AS loss", digits=8) + " FROM hl5 WHERE yk IS NOT NULL GROUP BY 1,2,3", "hl5"))
+def pinball(spark, sf):
+    s = shrunk(spark, sf).filter(F.col("yk").isNotNull())
+    g = s.groupBy("entity", "horizon", "lam").agg(F.count(F.lit(1)).alias("n"), F.avg(Q.pinball(F.col("yk"), F.col("q"))).alias("loss"))
+    return C.rounded(g, 8)
+
+
+cte("qs_r", """SELECT *, rank() OVER (PARTITION BY entity,horizon,lam ORDER BY mid)+(count(*) OVER (PARTITION BY entity,horizon,lam,mid)-1)/2e0 AS rx,
+ rank() OVER (PARTITION BY entity,horizon,lam ORDER BY yk)+(count(*) OVER (PARTITION BY entity,horizon,lam,yk)-1)/2e0 AS ry, sign(round(q[3]-b2,12)) AS call, sign(yk-b2) AS real, [b0,b1,b2,b3,b4] AS qb
+ FROM (SELECT *, round(q[3],12) AS mid FROM hl5 WHERE yk IS NOT NULL AND part IN ('val','test'))""", "hl5")
+
+
+@query("quantile_score", sql("SELECT entity, CAST(horizon AS INTEGER) AS horizon, lam, n, " + R("ic", "hit", "1e0-pm/pb AS skill", "c80", "c50") + f""" FROM (SELECT entity, horizon, lam, count(*) AS n, CASE WHEN count(*)>=8 THEN {CORR} END AS ic,
+ avg(CASE WHEN call<>0 THEN CASE WHEN call=real THEN 1e0 ELSE 0e0 END END) AS hit, avg({PB.format('q')}) AS pm, avg({PB.format('qb')}) AS pb,
+ avg(CASE WHEN yk BETWEEN q[1] AND q[5] THEN 1e0 ELSE 0e0 END) AS c80, avg(CASE WHEN yk BETWEEN q[2] AND q[4] THEN 1e0 ELSE 0e0 END) AS c50 FROM qs_r GROUP BY 1,2,3 HAVING count(*)>=8)""", "qs_r"))
+def quantile_score(spark, sf):
+    s = shrunk(spark, sf).filter(F.col("part").isin("val", "test"))
+    return C.rounded(Q.score(s, ["entity", "horizon", "lam"]))
+
+
+cte("lastq", "SELECT * FROM hl5 WHERE lam=0.5 QUALIFY pos=max(pos) OVER (PARTITION BY entity)", "hl5")
+_KN = "list_concat([0],hs)"
+cte("knots", "SELECT entity, list(horizon ORDER BY horizon) AS hs, " + ", ".join(f"list(q[{i + 1}] ORDER BY horizon) AS v{i}" for i in range(5)) + " FROM lastq GROUP BY 1", "lastq")
+cte("curve", "SELECT entity, m, " + ", ".join(
+    f"(SELECT coalesce(max(CASE WHEN lo.h=m THEN lo.v END), any_value(lo.v+(hi.v-lo.v)*(m-lo.h)/(hi.h-lo.h))) FROM (SELECT unnest([0,1,3,6]) AS h, unnest(list_concat([0e0],v{i})) AS v) lo, (SELECT unnest([0,1,3,6]) AS h, unnest(list_concat([0e0],v{i})) AS v) hi WHERE lo.h<=m AND hi.h>m AND hi.h=(SELECT min(z) FROM unnest([0,1,3,6,7]) t(z) WHERE z>m) AND lo.h=(SELECT max(z) FROM unnest([0,1,3,6]) t(z) WHERE z<=m)) AS c{i}" for i in range(5)) + " FROM knots, range(6) r(m)", "knots")
+CURVE = "SELECT entity, CAST(m AS INTEGER) AS month_ahead, " + R(*[f"c{i}" for i in range(5)]) + " FROM curve UNION ALL SELECT entity, 6, " + R(*[f"v{i}[3] AS c{i}" for i in range(5)]) + " FROM knots"
+
+
+def latest_quantiles(spark, sf):
+    s = shrunk(spark, sf, (0.5,))
+    top = F.max("pos").over(Window.partitionBy("entity"))
+    return s.withColumn("_t", top).filter(F.col("pos") == F.col("_t")).drop("_t")
+
+
+@query("quantile_curve", sql(CURVE, "curve", "knots"))
+def quantile_curve(spark, sf):
+    c = Q.curve(latest_quantiles(spark, sf), ["entity"], 6)
+    return C.rounded(c.select("entity", "month_ahead", *[F.get("q", F.lit(i)).alias(f"c{i}") for i in range(5)]))
+
+
+_T = ("0.1e0", "0.25e0", "0.5e0", "0.75e0", "0.9e0")
+CHANCE = "1e0-CASE WHEN q[1]>0 THEN 0.1e0 " + " ".join(f"WHEN q[{i + 2}]>0 THEN {_T[i]}+(0e0-q[{i + 1}])/(q[{i + 2}]-q[{i + 1}])*({_T[i + 1]}-{_T[i]})" for i in range(4)) + " ELSE 0.9e0 END"
+
+
+@query("projection_table", sql("SELECT entity, CAST(horizon AS INTEGER) AS horizon, " + R("q[3] AS median", "q[1] AS lo80", "q[5] AS hi80", "q[2] AS lo50", "q[4] AS hi50", "px*exp(q[3]) AS level", f"{CHANCE} AS chance_up") + " FROM lastq", "lastq"))
+def projection_table(spark, sf):
+    s = latest_quantiles(spark, sf)
+    at = lambda i: F.get("q", F.lit(i))
+    return C.rounded(
+        s.select(
+            "entity", "horizon", at(2).alias("median"), at(0).alias("lo80"), at(4).alias("hi80"), at(1).alias("lo50"), at(3).alias("hi50"),
+            (F.col("px") * F.exp(at(2))).alias("level"), Q.chance_positive(F.col("q")).alias("chance_up"),
+        )
+    )
+
+
+def ridge_fan(spark, sf, features, k: int, frame=None):
+    """Walk-forward ridge with residual and history quantiles of the k-row log return."""
+    fw = frame if frame is not None else P.feature_frame(spark, sf)
+    w = C.by_entity("entity")
+    fw = fw.withColumn("yk", Q.log_forward("px", k, w))
+    out = SV.walk_forward_ridge(fw, features, "yk", k, 12, F.col("c1"), 30, 150.0, quantiles=Q.LEVELS)
+    return out.filter(F.col("qm").isNotNull() & (F.col("pos") >= F.col("c1"))).withColumn("horizon", F.lit(k))
+
+
+@query("ridge_quantiles")
+def ridge_quantiles(spark, sf):
+    r = ridge_fan(spark, sf, V.FEATURES, 3)
+    cols = [F.get(c, F.lit(i)).alias(f"{a}{i}") for c, a in (("qm", "m"), ("qb", "b")) for i in range(5)]
+    return C.rounded(r.select("entity", "month", "horizon", "yk", *cols))
+
+
+@query("leaf_quantiles")
+def leaf_quantiles(spark, sf, k: int = 3):
+    """Quantile regression by leaves: one tree over all entities, then exact quantiles of the training outcomes per (entity, leaf)."""
+    w = C.by_entity("entity")
+    fw = P.feature_frame(spark, sf).withColumn("yk", Q.log_forward("px", k, w))
+    x = VectorAssembler(inputCols=list(V.FEATURES), outputCol="v").transform(fw)
+    train = x.filter((F.col("part") == "learn") & F.col("yk").isNotNull())
+    tree = DecisionTreeRegressor(featuresCol="v", labelCol="yk", maxDepth=2, minInstancesPerNode=10, leafCol="leaf", seed=0).fit(train)
+    leaves = tree.transform(train).groupBy("entity", "leaf").agg(F.percentile("yk", list(Q.LEVELS)).alias("q"), F.count(F.lit(1)).alias("n"))
+    now = tree.transform(x.filter(F.col("part") == "test")).select("entity", "month", "leaf", "yk")
+    j = now.join(leaves, ["entity", "leaf"])
+    return C.rounded(j.select("entity", "month", "leaf", "n", "yk", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
+
+
+@query("arm_compare")
+def arm_compare(spark, sf):
+    """Pinball skill with and without the price features, on the same months."""
+    f = T.complete_case(with_price_features(P.features_all(spark, sf)), (*V.FEATURES, *PF))
+    fw = T.split3(f, "y", V.H, V.TRAIN, V.VAL)
+    arms = {"indicators": V.FEATURES, "indicators + price": (*V.FEATURES, "px_mom1", "px_mom12", "px_vol12", "px_dd12")}
+    rows = None
+    for name, cols in arms.items():
+        r = ridge_fan(spark, sf, cols, 3, fw).filter(F.col("part").isin("val", "test"))
+        r = r.select("entity", "pos", "yk", "qb", F.col("qm").alias("q"), F.lit(name).alias("arm"))
+        rows = r if rows is None else rows.unionByName(r)
+    both = F.count(F.lit(1)).over(Window.partitionBy("entity", "pos"))
+    rows = rows.withColumn("_k", both).filter(F.col("_k") == len(arms)).drop("_k")
+    return C.rounded(Q.score(rows, ["entity", "arm"]))
+
+
+@query("ridge_drivers")
+def ridge_drivers(spark, sf):
+    """Contribution of every indicator to the latest six-month prediction, largest first."""
+    fw = P.feature_frame(spark, sf).withColumn("yk", Q.log_forward("px", 6, C.by_entity("entity")))
+    d = SV.latest_ridge(fw, V.FEATURES, "yk", 150.0, 30)
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc(F.abs("contribution")), "feature"))
+    return C.rounded(d.withColumn("place", place).filter(F.col("place") <= 12))

@@ -1 +1,142 @@
-"""To be filled."""
+"""Decision-table queries (group O)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import align as AL
+from ..operators import analogue as N
+from ..operators import model as M
+from ..operators import report as RP
+from ..operators import states as S
+from ..operators import stats as ST
+from ..sources import views as V
+from . import common as P
+from .backtest import _E
+from .model import probabilities
+from .registry import R, cte, query, sql
+from .rules import latest
+from .stats import ci_ctes
+
+LABEL = "CASE WHEN e>=0.99 THEN 'Favorable' WHEN e>=0.7 THEN 'Leaning favorable' WHEN e>0.3 THEN 'Neutral' WHEN e>0.01 THEN 'Leaning unfavorable' ELSE 'Unfavorable' END"
+cte("two_v", """SELECT a.entity, a.month, a.pos, a.verdict, CASE WHEN p-base<=-0.05e0 THEN 'Unfavorable' WHEN p-base>=0.05e0 THEN 'Favorable' ELSE 'Neutral' END AS mlv FROM a_vd a JOIN prob9 USING (entity, pos)""", "a_vd", "prob9")
+cte("expo", f"SELECT *, ({_E.format('verdict')}+{_E.format('mlv')})/2e0 AS e FROM two_v", "two_v")
+
+
+def two_verdicts(spark, sf):
+    d = probabilities(spark, sf)
+    return d.withColumn("ml", M.ml_verdict(F.col("p"), F.col("base"), 0.05))
+
+
+@query("exposure_label", sql(f"SELECT entity, month, round(e,6)+0e0 AS e, {LABEL} AS label FROM expo", "expo"))
+def exposure_label(spark, sf):
+    d = two_verdicts(spark, sf)
+    e = (RP.exposure(F.col("verdict")) + RP.exposure(F.col("ml"))) / 2.0
+    return C.rounded(d.select("entity", "month", e.alias("e"), RP.exposure_label(e).alias("label")))
+
+
+cte("un", "SELECT entity, verdict, pos, y FROM a_vd WHERE part IN ('val','test')", "a_vd")
+ci_ctes("unc", "un", "entity, verdict", 3, 200)
+cte("evid", """SELECT n.entity, coalesce(nr,0) AS n_rules, n_fav, n_unf, spread, f.lo AS lo_fav, u.hi AS hi_unf FROM (SELECT entity, count(*) FILTER (verdict='Favorable') AS n_fav, count(*) FILTER (verdict='Unfavorable') AS n_unf,
+ (avg(y) FILTER (verdict='Favorable')-avg(y) FILTER (verdict='Unfavorable'))*100 AS spread FROM un GROUP BY 1) n LEFT JOIN (SELECT entity, count(*) AS nr FROM a_rl GROUP BY 1) r ON r.entity=n.entity
+ LEFT JOIN unc_ci f ON f.entity=n.entity AND f.verdict='Favorable' LEFT JOIN unc_ci u ON u.entity=n.entity AND u.verdict='Unfavorable'""", "un", "a_rl", "unc_ci")
+cte("evl", "SELECT *, CASE WHEN n_rules=0 THEN 'None' WHEN n_fav<3 OR n_unf<3 THEN 'Unknown' WHEN spread>2 AND coalesce(lo_fav>hi_unf,false) THEN 'Strong' WHEN spread>0 THEN 'Weak' ELSE 'None' END AS level FROM evid", "evid")
+
+
+def evidence(rules, scored):
+    """Evidence level per entity on the unseen rows."""
+    unseen = scored.filter(F.col("part").isin("val", "test"))
+    sp = S.favorable_spread(unseen, ["entity"])
+    ci = ST.block_ci(unseen, ["entity", "verdict"], "y", V.H, 200)
+    edge = ci.groupBy("entity").agg(
+        F.max(F.when(F.col("verdict") == S.FAV, F.col("lo"))).alias("lo_fav"), F.max(F.when(F.col("verdict") == S.UNF, F.col("hi"))).alias("hi_unf")
+    )
+    n = rules.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rules"))
+    d = sp.join(edge, "entity", "left").join(n, "entity", "left").fillna(0, ["n_rules"])
+    return d.withColumn("level", RP.evidence_level(*[F.col(c) for c in ("n_rules", "n_fav", "n_unf", "spread", "lo_fav", "hi_unf")]))
+
+
+@query("evidence_level", sql("SELECT entity, n_rules, n_fav, n_unf, CASE WHEN n_fav>=3 AND n_unf>=3 THEN round(spread,6)+0e0 END AS spread, " + R("lo_fav", "hi_unf") + ", level FROM evl", "evl"))
+def evidence_level(spark, sf):
+    _, _, rules, sc = P.learned(spark, sf)
+    return C.rounded(evidence(rules, sc))
+
+
+cte("anas", "SELECT entity, median(after) AS med, avg(CASE WHEN after>0 THEN 1e0 ELSE 0e0 END) AS share FROM ana GROUP BY 1", "ana")
+_VT = "CASE {} WHEN 'Favorable' THEN 1 WHEN 'Unfavorable' THEN -1 ELSE 0 END"
+cte("read0", f"""SELECT e.entity, e.verdict, e.mlv, e.e, med, share, {_VT.format('e.verdict')}+{_VT.format('e.mlv')}+CASE WHEN med>0 AND share>=0.55 THEN 1 WHEN med<0 AND share<=0.45 THEN -1 ELSE 0 END AS tot,
+ CASE WHEN px_t10>0 THEN 1 ELSE -1 END AS trend, level FROM (SELECT * FROM expo QUALIFY pos=max(pos) OVER (PARTITION BY entity)) e JOIN anas USING (entity) JOIN evl USING (entity) JOIN fw ON fw.entity=e.entity AND fw.pos=e.pos""", "expo", "anas", "evl", "fw")
+cte("read1", "SELECT *, CASE WHEN tot>=2 THEN 1 WHEN tot<=-2 THEN -1 ELSE 0 END AS macro FROM read0", "read0")
+CONF = "CASE WHEN macro=0 OR macro<>trend THEN 'Low' WHEN level='Strong' THEN 'High' WHEN level='Weak' THEN 'Medium' ELSE 'Low' END"
+
+
+def current(spark, sf):
+    """All channels of the latest row per entity."""
+    st, _, rules, sc = P.learned(spark, sf)
+    now = latest(two_verdicts(spark, sf), ["entity"], ["month", "verdict", "ml", "score"])
+    fw = P.feature_frame(spark, sf)
+    ana = N.analogues(fw, V.FEATURES, V.H).groupBy("entity").agg(
+        F.percentile("after", 0.5).alias("med"), F.avg((F.col("after") > 0).cast("double")).alias("share")
+    )
+    trend = fw.groupBy("entity").agg(F.max_by(F.when(F.col("px_t10") > 0, 1).otherwise(-1), "pos").alias("trend"))
+    d = now.join(ana, "entity").join(trend, "entity").join(evidence(rules, sc).select("entity", "level"), "entity")
+    total = RP.vote(F.col("verdict")) + RP.vote(F.col("ml")) + RP.analogue_vote(F.col("med"), F.col("share"))
+    d = d.withColumn("macro", RP.macro_vote(total))
+    return d.withColumn("confidence", RP.confidence(F.col("macro"), F.col("trend"), F.col("level"))), st, rules
+
+
+@query("confidence", sql(f"SELECT entity, verdict, mlv AS ml, CAST(macro AS INTEGER) AS macro, CAST(trend AS INTEGER) AS trend, level, {CONF} AS confidence FROM read1", "read1"))
+def confidence(spark, sf):
+    d, _, _ = current(spark, sf)
+    return d.select("entity", "verdict", "ml", "macro", "trend", "level", "confidence")
+
+
+cte("why", """SELECT entity, list(feature||':'||state ORDER BY feature) FILTER (weight>0) AS good, list(feature||':'||state ORDER BY feature) FILTER (weight<0) AS bad
+ FROM last_state JOIN (SELECT entity, feature, state, weight FROM a_rl) USING (entity, feature, state) GROUP BY 1""", "last_state", "a_rl")
+
+
+@query("current_read", sql(f"""SELECT r.entity, verdict, mlv AS ml, {LABEL} AS label, level, {CONF} AS confidence, coalesce(array_to_string(good,','),'') AS helping, coalesce(array_to_string(bad,','),'') AS hurting, """
+    + R("e", "med", "share") + " FROM read1 r LEFT JOIN why USING (entity)", "read1", "why"))
+def current_read(spark, sf):
+    d, st, rules = current(spark, sf)
+    on = ["entity", "feature", "state"]
+    active = latest(st, ["entity", "feature"], ["state"]).join(rules.select(*on, "weight"), on)
+    tag = F.concat_ws(":", "feature", "state")
+    names = lambda sign: F.array_join(F.array_sort(F.collect_list(F.when(F.col("weight") * sign > 0, tag))), ",")
+    why = active.groupBy("entity").agg(names(1).alias("helping"), names(-1).alias("hurting"))
+    e = (RP.exposure(F.col("verdict")) + RP.exposure(F.col("ml"))) / 2.0
+    d = d.join(why, "entity", "left").fillna("", ["helping", "hurting"]).withColumn("e", e).withColumn("label", RP.exposure_label(e))
+    return C.rounded(d.select("entity", "verdict", "ml", "label", "level", "confidence", "helping", "hurting", "e", "med", "share"))
+
+
+cte("stand", "SELECT *, lag(x,3) OVER (PARTITION BY entity, feature ORDER BY pos) AS x3 FROM a_st", "a_st")
+
+
+@query("standings", sql("SELECT entity, feature, state, " + R("x", "x-x3 AS change", digits=8) + ", pit IS NOT NULL AND pit>=CAST(2 AS DOUBLE)/3 AS high FROM stand JOIN (SELECT entity, feature, pos, pit FROM pctl) USING (entity, feature, pos) QUALIFY pos=max(pos) OVER (PARTITION BY entity, feature)", "stand", "pctl"))
+def standings(spark, sf):
+    """Latest value, three-row change, state and whether it is in the top third of its history."""
+    w = C.by_entity("entity", "feature")
+    fl = P.feature_long(spark, sf).withColumns({"pit": S.expanding_pctl("x", w), "change": F.col("x") - F.lag("x", 3).over(w)})
+    st = S.tercile_states(fl, ["entity", "feature"], F.col("part") == "learn")
+    now = latest(st, ["entity", "feature"], ["state", "x", "change", "pit"])
+    return C.rounded(now.withColumn("high", F.coalesce(F.col("pit") >= 2 / 3, F.lit(False))).drop("pit"), 8)
+
+
+cte("osym", "SELECT symbol, round(avg(strike),2) AS spot, coalesce(min(dte) FILTER (dte BETWEEN 14 AND 60), min(dte)) AS near_dte, min(dte) FILTER (dte BETWEEN 75 AND 200) AS far_dte FROM chain GROUP BY 1", "chain")
+
+
+def _iv(kind, d, mult):
+    return f"(SELECT iv*100e0 FROM chain c WHERE c.symbol=s.symbol AND c.type='{kind}' AND c.dte=s.{d} AND iv>0.01 AND oi+vol>0 ORDER BY round(abs(strike-spot*{mult}e0),9), strike, row_id LIMIT 1)"
+
+
+cte("osum", "SELECT s.*, " + ", ".join(f"{_iv(k, d, m)} AS {n}" for n, k, d, m in (("cn", "call", "near_dte", 1.0), ("pn", "put", "near_dte", 1.0), ("pw", "put", "near_dte", 0.9), ("cw", "call", "near_dte", 1.1), ("cf", "call", "far_dte", 1.0), ("pf", "put", "far_dte", 1.0)))
+    + ", " + ", ".join(f"(SELECT coalesce(sum({c}) FILTER (type='put'),0)/greatest(coalesce(sum({c}) FILTER (type='call'),0),1) FROM chain c WHERE c.symbol=s.symbol AND c.dte=s.near_dte) AS pc_{c}" for c in ("vol", "oi")) + " FROM osym s", "osym", "chain")
+cte("osum2", "SELECT *, CASE WHEN cn IS NULL OR pn IS NULL THEN coalesce(cn,pn) ELSE (cn+pn)/2 END AS atm_near, CASE WHEN cf IS NULL OR pf IS NULL THEN coalesce(cf,pf) ELSE (cf+pf)/2 END AS atm_far, pw-cw AS skew FROM osum", "osum")
+
+
+@query("option_summary", sql("""SELECT symbol, near_dte, far_dte, """ + R("spot", "pc_vol", "pc_oi", "atm_near", "atm_far", "skew", "atm_far-atm_near AS term") + """,
+ CASE WHEN atm_far-atm_near < -1 THEN 'inverted' WHEN atm_far-atm_near>1 THEN 'normal' WHEN atm_far-atm_near IS NOT NULL THEN 'flat' END AS shape,
+ CASE WHEN skew < -1 THEN 'calls richer' WHEN skew>1 THEN 'puts richer' WHEN skew IS NOT NULL THEN 'balanced' END AS wings FROM osum2""", "osum2"))
+def option_summary(spark, sf):
+    return C.rounded(RP.option_summary(V.option_chain(spark, sf)))
