@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import states as S
 from ..operators import targets as T
 from ..sources import views as V
+from ..sources.store import materialise
 
 CFG = S.RuleConfig(by="t", threshold=1.0)
 STEP = 6
@@ -28,9 +29,13 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-case rows with the purged three-way split."""
-    full = T.complete_case(features_all(spark, sf_dir), V.FEATURES)
-    return T.split3(full, "y", V.H, V.TRAIN, V.VAL)
+    """Complete-case rows with the purged three-way split, computed once per session and input version."""
+
+    def build() -> DataFrame:
+        full = T.complete_case(features_all(spark, sf_dir), V.FEATURES)
+        return T.split3(full, "y", V.H, V.TRAIN, V.VAL)
+
+    return materialise(spark, sf_dir, "features", V.PANEL_TABLES, build)
 
 
 def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,16 +43,27 @@ def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.long_form(fw, V.FEATURES, ("entity", "month", "pos", "y", "part", "c1", "n_all"))
 
 
+CARRY = ("month", "y", "learn", "part")
+
+
+def _fitted(spark: SparkSession, sf_dir: str, name: str, long: DataFrame, keys):
+    """(states, statistics, rules, scored rows); the statistics table is small, read by several steps and kept."""
+    st = S.tercile_states(long, [*keys, "feature"], F.col("learn"))
+    bs = materialise(spark, sf_dir, name, V.PANEL_TABLES, lambda: S.bucket_stats(st.filter("learn"), keys, V.H))
+    rules = S.select_rules(bs, CFG)
+    return st, bs, rules, S.verdicts(S.rule_scores(st, rules, keys, CARRY), keys, F.col("learn"))
+
+
 def learned(spark: SparkSession, sf_dir: str):
-    """Single fit: (states, statistics, rules, scored rows)."""
+    """Single fit on the learn rows."""
     fl = feature_long(spark, sf_dir).withColumn("learn", F.col("part") == "learn")
-    return S.run_rules(fl, ["entity"], V.H, CFG, ("month", "y", "learn", "part"))
+    return _fitted(spark, sf_dir, "stats", fl, ["entity"])
 
 
 def refit(spark: SparkSession, sf_dir: str):
     """Walk-forward: every refit of every entity in one job."""
     fl = T.fold_rows(feature_long(spark, sf_dir), V.H, STEP)
-    return S.run_rules(fl, ["entity", "fold"], V.H, CFG, ("month", "y", "learn", "part"))
+    return _fitted(spark, sf_dir, "fold_stats", fl, ["entity", "fold"])
 
 
 def enough(df: DataFrame, keys, need: int = 36) -> DataFrame:

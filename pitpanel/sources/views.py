@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,8 +79,13 @@ def dense_months(sparse: DataFrame, entity: str = "entity", month: str = "month"
     )
 
 
+PANEL_TABLES = ("lineitem", "part")
+
+
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_months(monthly_sums(spark, sf_dir))
+    """Dense monthly panel, computed once per session and input version."""
+    build = lambda: dense_months(monthly_sums(spark, sf_dir))
+    return materialise(spark, sf_dir, "panel", PANEL_TABLES, build)
 
 
 def daily_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
