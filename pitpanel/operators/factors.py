@@ -34,10 +34,11 @@ def merge_groups(corr: np.ndarray, thr: float) -> list[list[int]]:
     return sorted((sorted(m) for m in members.values()), key=lambda m: m[0])
 
 
-def factor_table(pairs: DataFrame, features, thr: float, keys=("entity",)) -> DataFrame:
+def factor_table(pairs: DataFrame, features, thr: float | str, keys=("entity",)) -> DataFrame:
     """One p x p solve per key on the aggregated correlation matrix -> (keys, feature, factor, sign, lead).
 
-    The matrix is the size of the catalogue, not of the data.
+    The matrix is the size of the catalogue, not of the data. `thr` is a number
+    or the name of a key column holding it.
     """
     names = list(features)
     order = {f: i for i, f in enumerate(names)}
@@ -50,7 +51,8 @@ def factor_table(pairs: DataFrame, features, thr: float, keys=("entity",)) -> Da
         for a, b, r in zip(pdf["feature_a"], pdf["feature_b"], pdf["rho"]):
             rho[order[a], order[b]] = rho[order[b], order[a]] = 0.0 if pd.isna(r) else r
         rows = []
-        for g in merge_groups(np.abs(rho), thr):
+        level = float(pdf[thr].iloc[0]) if isinstance(thr, str) else thr
+        for g in merge_groups(np.abs(rho), level):
             lead = g[int(np.argmax(np.abs(rho)[np.ix_(g, g)].sum(axis=1)))]
             name = names[g[0]] if len(g) == 1 else "fac_" + "+".join(names[i] for i in g)
             rows += [(names[i], name, -1.0 if i != lead and rho[i, lead] < 0 else 1.0, names[lead]) for i in g]
@@ -62,8 +64,11 @@ def factor_table(pairs: DataFrame, features, thr: float, keys=("entity",)) -> Da
     return pairs.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def factor_scores(long: DataFrame, table: DataFrame, learn: Column) -> DataFrame:
-    """Mean of sign-aligned z-scores (learn mean and deviation, clipped at +-4); single members keep their values."""
+def factor_scores(long: DataFrame, table: DataFrame, learn: Column, keys=("entity",), carry=("month",)) -> DataFrame:
+    """Mean of sign-aligned z-scores (learn mean and deviation, clipped at +-4); single members keep their values.
+
+    `table` may hold several structures side by side, told apart by the extra `keys`.
+    """
     w = Window.partitionBy("entity", "feature")
     xl = F.when(learn, F.col("x"))
     sd = F.stddev_samp(xl).over(w)
@@ -71,7 +76,7 @@ def factor_scores(long: DataFrame, table: DataFrame, learn: Column) -> DataFrame
     z = C.clip((F.col("x") - F.avg(xl).over(w)) / sd, -4.0, 4.0)
     j = long.withColumn("z", z).join(table, ["entity", "feature"])
     v = F.when(F.col("factor") == F.col("feature"), F.col("x")).otherwise(F.col("sign") * F.col("z"))
-    return j.groupBy("entity", "month", "pos", "factor").agg(F.avg(v).alias("x"))
+    return j.groupBy(*keys, "pos", *carry, "factor").agg(F.avg(v).alias("x"))
 
 
 def merged_pair_overlap(table: DataFrame, key: str = "entity", half: str = "half") -> DataFrame:

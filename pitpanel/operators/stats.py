@@ -96,15 +96,24 @@ def spearman_pairs(df: DataFrame, features, keys=("entity",)) -> DataFrame:
     """Rank correlation of every feature pair on complete rows.
 
     Ranks become columns and the pairs are sums of products in one aggregate (a
-    Gram matrix), so rows are read once and never joined with one another.
+    Gram matrix with shared marginal sums), so rows are read once and never
+    joined with one another.
     """
-    ranked = df.select(*keys, *[C.avg_rank(f, *keys).alias(f) for f in features])
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    wide = ranked.groupBy(*keys).agg(*[C.pearson(a, b, 2).alias(f"{a}|{b}") for a, b in pairs])
-    items = F.array(
-        *[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs]
-    )
-    return wide.select(*keys, F.explode(items).alias("p")).select(*keys, "p.*")
+    features = list(features)
+    ranked = df.dropna(subset=features).select(*keys, *[C.avg_rank(f, *keys).alias(f) for f in features])
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)]
+    squares = [F.sum(F.col(f) * F.col(f)).alias(f"q{i}") for i, f in enumerate(features)]
+    products = [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    g = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *squares, *products)
+    n = F.col("n")
+    spread = [n * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") for i in range(len(features))]
+
+    def rho(i: int, j: int) -> Column:
+        return F.try_divide(n * F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}"), F.sqrt(spread[i] * spread[j]))
+
+    items = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"), rho(i, j).alias("rho")) for i, j in pairs]
+    return g.select(*keys, F.explode(F.array(*items)).alias("p")).select(*keys, "p.*")
 
 
 # --------------------------------------------------------------------------- moving-block bootstrap

@@ -58,7 +58,7 @@ cte("ffilled", "SELECT d, " + ", ".join(f"last_value({n} IGNORE NULLS) OVER (ORD
 
 
 def wide_daily(spark, sf):
-    """Availability-dated series on one axis. The axis key `block` is constant: one market, one calendar."""
+    """Availability-dated series on one axis. The key is constant: one market, so at most one row per calendar day after the pivot."""
     one = AL.available(V.daily_obs(spark, sf), ["series_id"], "obs_date", rule_date(), "value")
     one = one.withColumn("market", F.lit("all"))
     out = AL.outer_ffill(one.withColumnRenamed("avail_date", "d"), SERIES, keys=("market",))
@@ -82,8 +82,8 @@ def truncate_after(spark, sf):
     """Availability dates after the last price are not known yet."""
     obs = V.daily_obs(spark, sf)
     one = AL.available(obs, ["series_id"], "obs_date", rule_date(), "value")
-    last = obs.filter(F.col("series_id") == "1-URGENT").agg(F.max("obs_date").alias("last"))
-    return C.rounded(one.join(F.broadcast(last), F.col("avail_date") <= F.col("last")).select("series_id", F.col("avail_date").alias("d"), "value"))
+    last = obs.filter(F.col("series_id") == "1-URGENT").agg(F.max("obs_date")).scalar()
+    return C.rounded(one.filter(F.col("avail_date") <= last).select("series_id", F.col("avail_date").alias("d"), "value"))
 
 
 cte("two", """SELECT CAST(o_custkey%5 AS INTEGER) AS entity, CAST(o_orderdate AS DATE) AS d,

@@ -61,9 +61,9 @@ def greedy_gap_topk(spark, sf, k: int = 10, gap: int = 5):
     e = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("pos"), (F.col("label") - 4.5).cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("v")
     )
-    now = e.agg(F.max_by(F.struct("pos", "v"), "pos").alias("q"))  # one row
+    now = e.agg(F.max_by(F.struct("pos", "v"), "pos")).scalar()  # one row, as a scalar subquery
     ones = F.transform("v", lambda _: F.lit(1.0))
-    d = e.join(F.broadcast(now), F.col("pos") != F.col("q.pos"))
+    d = e.withColumn("q", now).filter(F.col("pos") != F.col("q.pos"))
     d = d.select(F.round(N.distance(F.col("v"), F.col("q.v"), ones), 9).alias("d"), "pos", "y")
     near = d.orderBy("d", "pos").limit(k * (2 * gap - 1))
     picked = near.agg(F.array_sort(F.collect_list(F.struct("d", "pos", "y"))).alias("c"))

@@ -304,16 +304,15 @@ def variant_ablation(spark, sf):
     """Favorable minus Unfavorable on the test rows with plain indicators and with merged factors (thresholds x aligned or not)."""
     fw = P.feature_frame(spark, sf)
     learn = F.col("part") == "learn"
-    base = T.long_form(fw, V.FEATURES, ("entity", "month", "pos", "y", "part")).withColumn("variant", F.lit("indicators"))
-    pairs = ST.spearman_pairs(fw.filter(learn), V.FEATURES)
-    rows = base
-    for thr in (0.15, 0.3):
-        table = FA.factor_table(pairs, V.FEATURES, thr)
-        for aligned in (True, False):
-            t = table if aligned else table.withColumn("sign", F.lit(1.0))
-            fac = FA.factor_scores(base, t, learn).select("entity", "month", "pos", F.col("factor").alias("feature"), "x")
-            fac = fac.join(fw.select("entity", "pos", "y", "part"), ["entity", "pos"])
-            rows = rows.unionByName(fac.withColumn("variant", F.lit(f"factors {thr} {'aligned' if aligned else 'raw'}")))
-    keys = ["entity", "variant"]
-    sc = S.run_rules(rows.withColumn("learn", learn), keys, V.H, P.CFG, ("y", "learn", "part"))[3]
+    base = T.long_form(fw, V.FEATURES, ("entity", "month", "pos", "y", "part"))
+    pairs = ST.spearman_pairs(fw.filter(learn), V.FEATURES).withColumn("thr", F.explode(F.array(F.lit(0.15), F.lit(0.3))))
+    table = FA.factor_table(pairs, V.FEATURES, "thr", keys=("entity", "thr"))
+    table = table.withColumn("aligned", F.explode(F.array(F.lit(True), F.lit(False))))
+    name = F.concat_ws(" ", F.lit("factors"), F.col("thr").cast("string"), F.when(F.col("aligned"), "aligned").otherwise("raw"))
+    table = table.select("entity", "feature", "factor", F.when(F.col("aligned"), F.col("sign")).otherwise(1.0).alias("sign"), name.alias("variant"))
+    keys, carry = ["entity", "variant"], ("y", "part")
+    merged = FA.factor_scores(base, table, learn, keys, carry).withColumnRenamed("factor", "feature")
+    plain = base.withColumn("variant", F.lit("indicators")).select(merged.columns)
+    rows = plain.unionByName(merged).withColumn("learn", learn)
+    sc = S.run_rules(rows, keys, V.H, P.CFG, ("y", "learn", "part"))[3]
     return C.rounded(S.favorable_spread(sc.filter(F.col("part") == "test"), keys))
