@@ -40,6 +40,16 @@ def clip(c: str | Column, lo: float | None = None, hi: float | None = None) -> C
     return F.when(c.isNotNull(), out)
 
 
+def stable(c: str | Column, digits: int = 12) -> Column:
+    """Values equal in exact arithmetic become equal doubles, so ties and cut points do not depend on rounding noise."""
+    return F.round(col(c), digits)
+
+
+def whole(*keys: str, order: str = "pos") -> WindowSpec:
+    """All rows of the key, with an order: shares one sort with the ordered windows of the same key."""
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def by_entity(*keys: str, order: str = "pos") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 

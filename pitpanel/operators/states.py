@@ -28,9 +28,10 @@ def three_way(x: Column, lo: Column, hi: Column) -> Column:
 
 def tercile_states(df: DataFrame, keys, learn: Column, x: str = "x", state: str = "state") -> DataFrame:
     """Low / Mid / High by the exact 1/3 and 2/3 quantiles of the learn rows of each key."""
-    cuts = F.percentile(F.when(learn, F.col(x)), [1 / 3, 2 / 3]).over(Window.partitionBy(*keys))
+    cuts = F.percentile(F.when(learn, F.col(x)), [1 / 3, 2 / 3]).over(C.whole(*keys))
     out = df.withColumn("_cuts", cuts).withColumn("lo", F.get("_cuts", F.lit(0))).withColumn("hi", F.get("_cuts", F.lit(1)))
-    return out.withColumn(state, three_way(F.col(x), F.col("lo"), F.col("hi"))).drop("_cuts")
+    # a cut interpolated between two equal values may be off by one bit, hence `stable` on both sides
+    return out.withColumn(state, three_way(*[C.stable(c) for c in (x, "lo", "hi")])).drop("_cuts")
 
 
 def expanding_pctl(x: str, w: WindowSpec, minp: int = 36) -> Column:
@@ -50,10 +51,8 @@ def bucket_stats(learn: DataFrame, keys, h: int, min_n: int = 8) -> DataFrame:
     `learn` holds one row per (keys, feature, pos) with its state and outcome y.
     """
     g = [*keys, "feature"]
-    w = Window.partitionBy(*g)
-    half = F.row_number().over(w.orderBy("pos")) > F.floor(F.count(F.lit(1)).over(w) / 2)
-    rows = learn.withColumn("second", half)
-    rows = rows.withColumn("own", F.col("state")).drop("state")
+    half = F.row_number().over(Window.partitionBy(*g).orderBy("pos")) > F.floor(F.count(F.lit(1)).over(C.whole(*g)) / 2)
+    rows = learn.select(*g, "pos", "y", F.col("state").alias("own"), half.alias("second"))
     rows = rows.withColumn("state", F.explode(F.array(*[F.lit(s) for s in STATES])))
     rows = rows.withColumn("d", F.coalesce((F.col("own") == F.col("state")).cast("double"), F.lit(0.0)))
     hit, y = F.col("d") == 1, F.col("y")
@@ -108,7 +107,7 @@ def verdict_of(score: Column, lo: Column, hi: Column) -> Column:
 
 def verdicts(scores: DataFrame, keys, learn: Column) -> DataFrame:
     """Favorable / Neutral / Unfavorable by the quartiles of the learn scores."""
-    q = F.percentile(F.when(learn, F.col("score")), [0.25, 0.75]).over(Window.partitionBy(*keys))
+    q = F.percentile(F.when(learn, F.col("score")), [0.25, 0.75]).over(C.whole(*keys))
     out = scores.withColumn("_q", q)
     return out.withColumn("verdict", verdict_of(F.col("score"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_q")
 

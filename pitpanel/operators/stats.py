@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +21,15 @@ def hac_t(df: DataFrame, keys, y: str, d: str, lags: int, order: str = "pos", ex
     of u. A constant regressor (D = 0) follows the minimum-norm solution.
     `extra` are further aggregates computed in the same pass.
     """
-    w = Window.partitionBy(*keys)
-    wo = w.orderBy(order)
-    m = (
-        df.withColumn("_n", F.count(F.lit(1)).over(w).cast("double"))
-        .withColumn("_sy", F.sum(y).over(w))
-        .withColumn("_sd", F.sum(d).over(w))
-        .withColumn("_sdd", F.sum(F.col(d) * F.col(d)).over(w))
-        .withColumn("_sdy", F.sum(F.col(d) * F.col(y)).over(w))
+    w, wo = C.whole(*keys, order=order), Window.partitionBy(*keys).orderBy(order)
+    m = df.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(w).cast("double"),
+            "_sy": F.sum(y).over(w),
+            "_sd": F.sum(d).over(w),
+            "_sdd": F.sum(F.col(d) * F.col(d)).over(w),
+            "_sdy": F.sum(F.col(d) * F.col(y)).over(w),
+        }
     )
     n, sy, sd, sdd, sdy = (F.col(c) for c in ("_n", "_sy", "_sd", "_sdd", "_sdy"))
     m = m.withColumn("_D", n * sdd - sd * sd)
@@ -33,8 +38,7 @@ def hac_t(df: DataFrame, keys, y: str, d: str, lags: int, order: str = "pos", ex
     b = F.col("_b")
     e = F.col(y) - (sy - b * sd) / n - b * F.col(d)
     m = m.withColumn("_u", e * F.when(big > 0, (n * F.col(d) - sd) / F.nullif(big, F.lit(0.0))).otherwise(c / (n * (1 + c * c))))
-    for k in range(1, lags + 1):
-        m = m.withColumn(f"_u{k}", F.col("_u") * F.lag("_u", k).over(wo))
+    m = m.withColumns({f"_u{k}": F.col("_u") * F.lag("_u", k).over(wo) for k in range(1, lags + 1)})
     var = F.sum(F.col("_u") * F.col("_u"))
     for k in range(1, lags + 1):
         var = var + 2.0 * (1.0 - k / (lags + 1.0)) * F.coalesce(F.sum(f"_u{k}"), F.lit(0.0))
@@ -62,34 +66,48 @@ def rank_ic(df: DataFrame, keys, x: str, y: str, out: str = "ic", min_n: int = 8
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), C.pearson("_rx", "_ry", min_n).alias(out))
 
 
+def row_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks inside each row of a matrix."""
+    less = (x[:, None, :] < x[:, :, None]).sum(2)
+    same = (x[:, None, :] == x[:, :, None]).sum(2)
+    return less + (same + 1) / 2.0
+
+
+def row_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = a.shape[1]
+    sa, sb = a.sum(1), b.sum(1)
+    den = np.sqrt((n * (a * a).sum(1) - sa * sa) * (n * (b * b).sum(1) - sb * sb))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den > 0, (n * (a * b).sum(1) - sa * sb) / den, np.nan)
+
+
+@lru_cache(maxsize=None)
+def _rank_corr_udf(win: int):
+    @F.pandas_udf("double")
+    def rank_corr(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        live = np.array([v is not None and len(v) == win for v in xs])
+        out = np.full(len(xs), np.nan)
+        if live.any():
+            a, b = np.stack(list(xs[live])), np.stack(list(ys[live]))
+            for lo in range(0, len(a), 2000):  # bounds the win x win comparison block
+                part = slice(lo, lo + 2000)
+                a_r, b_r = row_ranks(a[part]), row_ranks(b[part])
+                out[np.flatnonzero(live)[part]] = row_correlation(a_r, b_r)
+        return pd.Series(out)
+
+    return rank_corr
+
+
 def rolling_rank_ic(df: DataFrame, keys, x: str, y: str, win: int, order: str = "pos") -> DataFrame:
     """Spearman correlation inside each trailing window, re-ranked per window.
 
-    The frame is a fixed `win` pairs, carried as an array by the window itself;
-    rows are never multiplied.
+    The frame is a fixed `win` pairs, carried as arrays by the window itself and
+    ranked in Arrow batches; rows are never multiplied.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    pair = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    frame = F.collect_list(pair).over(w.rowsBetween(-(win - 1), 0))
-
-    def ranks(arr: Column, f: str) -> Column:
-        return F.transform(
-            arr,
-            lambda v: F.aggregate(
-                arr, F.lit(0.5), lambda a, o: a + F.when(o[f] < v[f], 1.0).when(o[f] == v[f], 0.5).otherwise(0.0)
-            ),
-        )
-
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_f", frame)
-    pairs = pairs.withColumn(
-        "_p",
-        F.when(F.size("_f") == win, F.arrays_zip(ranks(F.col("_f"), "x").alias("rx"), ranks(F.col("_f"), "y").alias("ry"))),
-    )
-    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, v: a + f(v))
-    sx, sy = total(lambda v: v["rx"]), total(lambda v: v["ry"])
-    sxx, syy, sxy = total(lambda v: v["rx"] * v["rx"]), total(lambda v: v["ry"] * v["ry"]), total(lambda v: v["rx"] * v["ry"])
-    den = F.sqrt((win * sxx - sx * sx) * (win * syy - sy * sy))
-    return pairs.withColumn("ic", F.try_divide(win * sxy - sx * sy, den)).drop("_f", "_p")
+    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(win - 1), 0)
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = pairs.withColumns({"_x": F.collect_list(x).over(frame), "_y": F.collect_list(y).over(frame)})
+    return pairs.withColumn("ic", C.finite(_rank_corr_udf(win)("_x", "_y"))).drop("_x", "_y")
 
 
 def spearman_pairs(df: DataFrame, features, keys=("entity",)) -> DataFrame:
@@ -122,54 +140,52 @@ def series_array(value: str, order: str = "pos") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
 
 
-def prefix_sums(arr: Column) -> Column:
-    """[0, x0, x0+x1, ...]."""
-    return F.aggregate(arr, F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-
-
 def block_lengths(n: Column, block: int) -> tuple[Column, Column]:
     b = F.greatest(F.lit(1), F.least(F.lit(block), n))
     return b, F.ceil(n / b).cast("int")
 
 
-def bootstrap_means(prefix: Column, n: Column, block: int, reps: int, seed: int = 0) -> Column:
-    """Means of `reps` moving-block resamples.
+def block_starts(n: int, block: int, reps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (reps x blocks) and lengths of the moving blocks of a series of n values; same hash as `uniform_int`."""
+    b = max(1, min(block, n))
+    i = np.arange(-(-n // b), dtype=np.int64)
+    r = np.arange(reps, dtype=np.int64)[:, None]
+    z = (r * 1000003 + i * 7919 + (seed * 104729 + 12345)) % A.LCG_M
+    z = (z * z + r * 31 + i) % A.LCG_M
+    z = (z * z + 48271 * i + 7) % A.LCG_M
+    return z % (n - b + 1), np.minimum(b, n - i * b)
 
-    A block's sum is a difference of two prefix sums, so a replicate costs one
-    lookup per block and the resampled rows are never materialised.
-    """
-    b, nb = block_lengths(n, block)
 
-    def one(r: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            s = A.uniform_int(n - b + 1, r, i, seed).cast("int")
-            length = F.least(b, n - i * b)
-            return acc + F.get(prefix, s + length) - F.get(prefix, s)
+@lru_cache(maxsize=None)
+def _block_ci_udf(block: int, reps: int, seed: int):
+    @F.pandas_udf("array<double>")
+    def interval(series: pd.Series) -> pd.Series:
+        out = []
+        for v in series:
+            if len(v) < 5:
+                out.append(None)
+                continue
+            s, length = block_starts(len(v), block, reps, seed)
+            p = np.r_[0.0, np.cumsum(v)]  # a block's sum is a difference of two prefix sums
+            out.append(np.percentile((p[s + length] - p[s]).sum(1) / len(v), [2.5, 97.5]).tolist())
+        return pd.Series(out, dtype=object)
 
-        return F.aggregate(F.sequence(F.lit(0), nb - 1), F.lit(0.0), add) / n
-
-    return F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), one)
+    return interval
 
 
 def block_ci(df: DataFrame, keys, value: str, block: int, reps: int = 1000, order: str = "pos", seed: int = 0) -> DataFrame:
     """Approximate 95% interval of the mean per key; NULL below five values.
 
-    One aggregate collects each key's series (bounded by its calendar), then the
-    whole bootstrap happens inside the row.
+    One aggregate collects each key's series (bounded by its calendar). A
+    replicate costs one lookup per block; resampled rows never exist.
     """
-    g = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(series_array(value, order).alias("_v"))
-        .withColumn("_n", F.size("_v"))
-        .withColumn("_p", prefix_sums(F.col("_v")))
-    )
-    g = g.withColumn("_m", F.when(F.col("_n") >= 5, F.array_sort(bootstrap_means(F.col("_p"), F.col("_n"), block, reps, seed))))
+    g = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(series_array(value, order).alias("_v"))
+    g = g.withColumn("_ci", _block_ci_udf(block, reps, seed)("_v"))
     return g.select(
         *keys,
-        F.col("_n").cast("bigint").alias("n"),
-        A.quantile_sorted(F.col("_m"), 0.025).alias("lo"),
-        A.quantile_sorted(F.col("_m"), 0.975).alias("hi"),
+        F.size("_v").cast("bigint").alias("n"),
+        F.get("_ci", F.lit(0)).alias("lo"),
+        F.get("_ci", F.lit(1)).alias("hi"),
     )
 
 
@@ -234,59 +250,40 @@ def outcome_summary(groups: DataFrame, keys, group: str, y: str, dd: str | None
     )
 
 
+@lru_cache(maxsize=None)
+def _auc_ci_udf(block: int, reps: int, seed: int):
+    @F.pandas_udf("struct<reps:bigint,lo:double,hi:double>")
+    def interval(probs: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, lab in zip(probs, labels):
+            n = len(p)
+            s, length = block_starts(n, block, reps, seed)
+            weight = np.zeros((reps, n + 1))  # how often each original row is drawn, by difference arrays
+            rep = np.repeat(np.arange(reps), s.shape[1])
+            np.add.at(weight, (rep, s.ravel()), 1.0)
+            np.add.at(weight, (rep, (s + length).ravel()), -1.0)
+            weight = weight.cumsum(1)[:, :n]
+            # group rows by distinct probability, then count wins and half ties group by group
+            _, group = np.unique(p, return_inverse=True)
+            onehot = np.eye(group.max() + 1)[group]
+            up, down = (weight * lab) @ onehot, (weight * (1 - lab)) @ onehot
+            below = down.cumsum(1) - down
+            total = up.sum(1) * down.sum(1)
+            auc = ((up * (below + 0.5 * down)).sum(1)[total > 0]) / total[total > 0]
+            ok = n >= 20 and len(auc) > 20
+            lo, hi = np.percentile(auc, [2.5, 97.5]) if ok else (None, None)
+            rows.append((len(auc), lo, hi))
+        return pd.DataFrame(rows, columns=["reps", "lo", "hi"]).astype({"lo": float, "hi": float})
+
+    return interval
+
+
 def auc_ci(df: DataFrame, keys, p: str, label: str, index: str, block: int, reps: int, seed: int = 0) -> DataFrame:
     """95% interval of the AUC by moving-block resampling of (probability, label) pairs.
 
-    A replicate is a weight per original row (how often a block covers it). With
-    rows sorted by probability once, the weighted AUC of a replicate is a single
-    fold over the array, so no resampled copy is sorted or shuffled.
+    A replicate is a weight per original row, so no resampled copy is sorted or
+    shuffled; one-class replicates are skipped.
     """
-    row = F.struct(F.col(p).alias("p"), F.col(index).cast("int").alias("i"), F.col(label).alias("l"))
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r")).withColumn("_n", F.size("_r"))
-    n = F.col("_n")
-    b, nb = block_lengths(n, block)
-
-    def one(rep: Column) -> Column:
-        starts = F.transform(
-            F.sequence(F.lit(0), nb - 1),
-            lambda k: F.struct(A.uniform_int(n - b + 1, rep, k, seed).cast("int").alias("s"), F.least(b, n - k * b).alias("m")),
-        )
-        return F.struct(rep.alias("rep"), starts.alias("starts"))
-
-    g = g.withColumn("_s", F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), one))
-
-    def weight(s: Column, r: Column) -> Column:
-        inside = F.filter(s["starts"], lambda q: (r["i"] >= q["s"]) & (r["i"] < q["s"] + q["m"]))
-        return F.size(inside).cast("double")
-
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("pos", "neg", "win", "tp", "tn", "last")])
-
-    def auc(s: Column) -> Column:
-        # runs of equal p: pending positives and negatives of the run count half against each other
-        def close(a: Column) -> Column:
-            return a["win"] + a["tp"] * a["neg"] + 0.5 * a["tp"] * a["tn"]
-
-        def step(a: Column, r: Column) -> Column:
-            wt, same = weight(s, r), r["p"] == a["last"]
-            wp, wn = wt * r["l"], wt * (1.0 - r["l"])
-            return F.struct(
-                F.when(same, a["pos"]).otherwise(a["pos"] + a["tp"]).alias("pos"),
-                F.when(same, a["neg"]).otherwise(a["neg"] + a["tn"]).alias("neg"),
-                F.when(same, a["win"]).otherwise(close(a)).alias("win"),
-                F.when(same, a["tp"] + wp).otherwise(wp).alias("tp"),
-                F.when(same, a["tn"] + wn).otherwise(wn).alias("tn"),
-                r["p"].alias("last"),
-            )
-
-        return F.aggregate(
-            "_r", zero, step, lambda a: F.try_divide(close(a), (a["pos"] + a["tp"]) * (a["neg"] + a["tn"]))
-        )
-
-    g = g.withColumn("_a", F.array_sort(F.array_compact(F.transform("_s", auc))))
-    ok = (n >= 20) & (F.size("_a") > 20)
-    return g.select(
-        *keys,
-        F.size("_a").cast("bigint").alias("reps"),
-        F.when(ok, A.quantile_sorted(F.col("_a"), 0.025)).alias("lo"),
-        F.when(ok, A.quantile_sorted(F.col("_a"), 0.975)).alias("hi"),
-    )
+    g = df.groupBy(*keys).agg(series_array(p, index).alias("_p"), series_array(label, index).alias("_l"))
+    g = g.select(*keys, _auc_ci_udf(block, reps, seed)("_p", "_l").alias("_c"))
+    return g.select(*keys, "_c.reps", C.finite("_c.lo").alias("lo"), C.finite("_c.hi").alias("hi"))

@@ -16,7 +16,7 @@ def cash_rate(irx: str | Column, months: float = 1.0) -> Column:
 
 def trailing_vol(px: str, w: WindowSpec, n: int = 12) -> Column:
     """Annualised deviation of the last n one-row returns; needs `<px>_r1` = one-row change."""
-    return C.rolling(F.stddev_samp, F.col(f"{px}_r1"), n, n, w) * F.sqrt(F.lit(12.0))
+    return C.stable(C.rolling(F.stddev_samp, F.col(f"{px}_r1"), n, n, w) * F.sqrt(F.lit(12.0)))
 
 
 def vol_scaled(ret: Column, vol: Column, target: float) -> Column:
@@ -42,14 +42,19 @@ def split3(df: DataFrame, y: str, h: int, train: float, val: float, keys=("entit
     Rows whose outcome window would reach into the next block are purged. `k`
     ranks rows with a known outcome; c1 and c2 are the block starts on that rank.
     """
-    w = Window.partitionBy(*keys)
+    w, upto = C.whole(*keys), Window.partitionBy(*keys).orderBy("pos")
     known = F.col(y).isNotNull()
-    out = (
-        df.withColumn("n_ev", F.count(y).over(w))
-        .withColumn("n_all", F.count(F.lit(1)).over(w).cast("int"))
-        .withColumn("k", F.when(known, F.count(y).over(w.orderBy("pos")) - 1))
-        .withColumn("c1", F.floor(F.col("n_ev") * F.lit(train)).cast("int"))
-        .withColumn("c2", F.floor(F.col("n_ev") * F.lit(train + val)).cast("int"))
+    out = df.withColumns(
+        {
+            "n_ev": F.count(y).over(w),
+            "n_all": F.count(F.lit(1)).over(w).cast("int"),
+            "k": F.when(known, F.count(y).over(upto) - 1),
+        }
+    ).withColumns(
+        {
+            "c1": F.floor(F.col("n_ev") * F.lit(train)).cast("int"),
+            "c2": F.floor(F.col("n_ev") * F.lit(train + val)).cast("int"),
+        }
     )
     k, c1, c2 = F.col("k"), F.col("c1"), F.col("c2")
     part = (

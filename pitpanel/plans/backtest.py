@@ -80,15 +80,11 @@ def market_frame(spark, sf):
 def signal_rows(spark, sf, signals=("A", "B", "C")):
     """Market rows from the validation start on, one copy per signal."""
     m = market_frame(spark, sf)
-    w = Window.partitionBy("entity")
-
-    def call(x: str):
-        cuts = F.percentile(F.when(F.col("part") == "learn", F.col(x)), [1 / 3, 2 / 3]).over(w)
-        return cuts
-
-    m = m.withColumns({"_ca": call("disc"), "_cb": call("ret_d3")})
-    verdict = lambda x, c: F.when(F.col(x) <= F.get(c, F.lit(0)), S.FAV).when(F.col(x) <= F.get(c, F.lit(1)), S.NEU).otherwise(S.UNF)
-    m = m.withColumns({"va": verdict("disc", "_ca"), "vb": verdict("ret_d3", "_cb")})
+    learn = F.col("part") == "learn"
+    for x, out in (("disc", "va"), ("ret_d3", "vb")):
+        m = S.tercile_states(m, ["entity"], learn, x)
+        low_is_good = F.when(F.col("state") == "Low", S.FAV).when(F.col("state") == "Mid", S.NEU).otherwise(S.UNF)
+        m = m.withColumn(out, low_is_good).drop("state", "lo", "hi")
     m = m.withColumn("vc", combined("va", "vb"))
     items = {"A": "va", "B": "vb", "C": "vc"}
     m = m.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(items[s]).alias("verdict")) for s in signals])))

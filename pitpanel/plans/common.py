@@ -20,11 +20,15 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = C.by_entity("entity")
     return (
         V.monthly_panel(spark, sf_dir)
-        .withColumn("ret_d3", C.diff("ret", 3, w))
-        .withColumn("qty_c3", C.pct_change("qty", 3, w))
-        .withColumn("px_m6", C.pct_change("px", 6, w))
-        .withColumn("px_t10", C.ratio("px", C.rolling(F.avg, "px", 10, 10, w)) - 1.0)
-        .withColumn("y", C.forward_return("px", V.H, w))
+        .withColumns(
+            {
+                "ret_d3": C.stable(C.diff("ret", 3, w)),
+                "qty_c3": C.stable(C.pct_change("qty", 3, w)),
+                "px_m6": C.stable(C.pct_change("px", 6, w)),
+                "px_t10": C.stable(C.ratio("px", C.rolling(F.avg, "px", 10, 10, w)) - 1.0),
+                "y": C.forward_return("px", V.H, w),
+            }
+        )
     )
 
 

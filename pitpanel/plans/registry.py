@@ -92,8 +92,8 @@ cte("panel", """
  WINDOW w AS (PARTITION BY s.entity ORDER BY s.month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "panel_spine", "panel_sparse")
 cte("feat_all", """
- SELECT *, ret - lag(ret,3) OVER w AS ret_d3, qty/lag(qty,3) OVER w - 1e0 AS qty_c3, px/lag(px,6) OVER w - 1e0 AS px_m6,
-   CASE WHEN count(px) OVER w10 >= 10 THEN px/avg(px) OVER w10 - 1e0 END AS px_t10, lead(px,3) OVER w/px - 1e0 AS y
+ SELECT *, round(ret - lag(ret,3) OVER w,12) AS ret_d3, round(qty/lag(qty,3) OVER w - 1e0,12) AS qty_c3, round(px/lag(px,6) OVER w - 1e0,12) AS px_m6,
+   CASE WHEN count(px) OVER w10 >= 10 THEN round(px/avg(px) OVER w10 - 1e0,12) END AS px_t10, lead(px,3) OVER w/px - 1e0 AS y
  FROM panel WINDOW w AS (PARTITION BY entity ORDER BY pos),
    w10 AS (PARTITION BY entity ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""", "panel")
 cte("fw0", """

@@ -21,7 +21,7 @@ def state_ctes(p: str, src: str, keys: str) -> str:
  SELECT {keys}, feature, quantile_cont(x, CAST(1 AS DOUBLE)/3) FILTER (learn) AS lo, quantile_cont(x, CAST(2 AS DOUBLE)/3) FILTER (learn) AS hi
  FROM {src} GROUP BY {keys}, feature""", src)
     cte(f"{p}_st", f"""
- SELECT s.*, lo, hi, CASE WHEN x IS NULL OR lo IS NULL THEN NULL WHEN x<=lo THEN 'Low' WHEN x<=hi THEN 'Mid' ELSE 'High' END AS state
+ SELECT s.*, lo, hi, CASE WHEN x IS NULL OR lo IS NULL THEN NULL WHEN round(x,12)<=round(lo,12) THEN 'Low' WHEN round(x,12)<=round(hi,12) THEN 'Mid' ELSE 'High' END AS state
  FROM {src} s JOIN {p}_cut c USING ({keys}, feature)""", src, f"{p}_cut")
     return f"{p}_st"
 
@@ -122,7 +122,7 @@ def fwd_return(spark, sf):
 
 cte("r1", """SELECT *, px/lag(px,1) OVER w - 1e0 AS px_r1, lead(px,3) OVER w/px-1e0 AS y, lead(px2,3) OVER w/px2-1e0 AS y2, disc*100e0 AS irx
  FROM panel WINDOW w AS (PARTITION BY entity ORDER BY pos)""", "panel")
-cte("r2", """SELECT *, CASE WHEN count(px_r1) OVER w >= 12 THEN stddev_samp(px_r1) OVER w END*sqrt(12e0) AS vol FROM r1
+cte("r2", """SELECT *, CASE WHEN count(px_r1) OVER w >= 12 THEN round(stddev_samp(px_r1) OVER w*sqrt(12e0),12) END AS vol FROM r1
  WINDOW w AS (PARTITION BY entity ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""", "r1")
 
 

@@ -191,7 +191,7 @@ def price_backfill(spark, sf):
     return C.rounded(a.join(b, "obs_date", "full").select(F.col("obs_date").alias("d"), F.coalesce("a", "b").alias("price")))
 
 
-@query("standin_switch", sql("""SELECT entity, CASE WHEN n>=80 THEN 'macro' ELSE 'standin' END AS source, month, round(CASE WHEN n>=80 THEN disc ELSE px2/100000e0 END,8)+0e0 AS x
+@query("standin_switch", sql("""SELECT entity, CASE WHEN n>=80 THEN 'macro' ELSE 'standin' END AS source, month, round(CASE WHEN n>=80 THEN disc ELSE ln(px2) END,8)+0e0 AS x
  FROM (SELECT *, CAST(count(*) FILTER (ret>0.3e0) OVER (PARTITION BY entity) AS BIGINT)*2 AS n FROM panel)""", "panel"))
 def standin_switch(spark, sf):
     """When the anchor series has too little coverage the whole entity falls back to its stand-in."""
@@ -200,7 +200,7 @@ def standin_switch(spark, sf):
     p = V.monthly_panel(spark, sf)
     n = F.count(F.when(F.col("ret") > 0.3, 1)).over(Window.partitionBy("entity")) * 2
     p = p.withColumn("source", F.when(n >= 80, "macro").otherwise("standin"))
-    x = F.when(F.col("source") == "macro", F.col("disc")).otherwise(F.col("px2") / 100000.0)
+    x = F.when(F.col("source") == "macro", F.col("disc")).otherwise(F.ln("px2"))
     return C.rounded(p.select("entity", "source", "month", x.alias("x")), 8)
 
 
