@@ -29,6 +29,17 @@ def recession_probability(y10: Column, y3m: Column) -> Column:
     return 100.0 * C.normal_cdf(PROBIT_A + PROBIT_B * (y10 - y3m))
 
 
+def targets(w, h: int, level: str, rate: str, price: str, flow: str) -> dict[str, tuple[Column, Column]]:
+    """(own value, outcome h rows ahead) per expectation target: level, change, percent change and clipped flow."""
+    flow_chg = C.clip(C.pct_change(flow, 1, w), -0.4, 0.4)
+    return {
+        "level": (F.col(level), F.lead(level, h).over(w)),
+        "change": (F.col(rate), F.lead(rate, h).over(w) - F.col(rate)),
+        "percent": (C.pct_change(price, h, w), C.forward_return(price, h, w)),
+        "flow": (flow_chg, F.lead(flow_chg, h).over(w)),
+    }
+
+
 def grade_forecasts(long: DataFrame, keys, forecast="forecast", realised="realised", anchor="anchor", min_n: int = 24) -> DataFrame:
     """MAE of the forecast and of the no-change anchor, skill, and rank correlation of the two changes."""
     f, r, a = F.col(forecast), F.col(realised), F.col(anchor)

@@ -40,6 +40,11 @@ def predict_pooled(model, df: DataFrame) -> DataFrame:
     return out.withColumn("p", F.get(vector_to_array("probability"), F.lit(1))).drop("v", "z", "rawPrediction", "probability", "prediction")
 
 
+def known(rows: DataFrame, outcomes: DataFrame, keys=("entity", "pos"), y: str = "y") -> DataFrame:
+    """Rows whose outcome is known (a semi-join, so rows never multiply)."""
+    return rows.join(outcomes.filter(F.col(y).isNotNull()).select(*keys), list(keys), "left_semi")
+
+
 def ml_verdict(p: Column, base: Column, margin: float) -> Column:
     d = p - base
     return F.when(d <= -margin, "Unfavorable").when(d >= margin, "Favorable").otherwise("Neutral")

@@ -98,7 +98,8 @@ def rule_scores(states: DataFrame, rules: DataFrame, keys, carry) -> DataFrame:
     """Sum of signed weights of the states that hold, per row (0 when none does)."""
     on = [*keys, "feature", "state"]
     joined = states.join(rules.select(*on, "weight"), on, "left")
-    return joined.groupBy(*keys, "pos", *carry).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"))
+    same = [F.first(c).alias(c) for c in carry]  # equal on every feature row of the same pos
+    return joined.groupBy(*keys, "pos").agg(*same, F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"))
 
 
 def verdict_of(score: Column, lo: Column, hi: Column) -> Column:

@@ -103,9 +103,28 @@ def textbook_tally(spark, sf):
     return c.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(k) for k in ("supportive", "against", "middle", "mixed")])
 
 
+cte("xt0", "SELECT entity, month, pos, ret, tax, px, least(greatest(qty/lag(qty,1) OVER (PARTITION BY entity ORDER BY pos)-1e0,-0.4e0),0.4e0) AS fl, lag(qty,1) OVER (PARTITION BY entity ORDER BY pos) AS q1 FROM panel", "panel")
+cte("xt1", "SELECT * REPLACE (CASE WHEN q1 IS NOT NULL THEN fl END AS fl) FROM xt0", "xt0")
+_XT = {"level": ("ret", "lead(ret,6) OVER w"), "change": ("tax", "lead(tax,6) OVER w-tax"), "percent": ("px/lag(px,6) OVER w-1e0", "lead(px,6) OVER w/px-1e0"), "flow": ("fl", "lead(fl,6) OVER w")}
+cte("xt", " UNION ALL ".join(f"SELECT entity, month, '{k}' AS target, {o} AS own, {y} AS y FROM xt1 WINDOW w AS (PARTITION BY entity ORDER BY pos)" for k, (o, y) in _XT.items()), "xt1")
+
+
+def target_rows(df, h: int):
+    """One row per (row, target); the target is a key, not a loop."""
+    t = X.targets(C.by_entity("entity"), h, "ret", "tax", "px", "qty")
+    items = [F.struct(F.lit(k).alias("target"), own.alias("own"), y.alias("ty")) for k, (own, y) in t.items()]
+    return df.withColumn("_i", F.array(*items)).withColumn("_t", F.explode("_i")).select("*", "_t.*").drop("_i", "_t")
+
+
+@query("expectation_targets", sql("SELECT entity, month, target, " + R("own", "y", digits=8) + " FROM xt", "xt"))
+def expectation_targets(spark, sf):
+    t = target_rows(V.monthly_panel(spark, sf), 6)
+    return C.rounded(t.select("entity", "month", "target", "own", F.col("ty").alias("y")), 8)
+
+
 @query("wf_ridge")
 def wf_ridge(spark, sf):
-    """Expanding-window ridge forecast of the h-month outcome, refit every three rows."""
-    fw = P.feature_frame(spark, sf)
-    out = SV.walk_forward_ridge(fw, V.FEATURES, "y", V.H, 3, 36 + V.H, 36, 50.0)
-    return C.rounded(out.filter(F.col("pred").isNotNull()).select("entity", "month", "n_train", "pred", "y"))
+    """Expanding-window ridge forecast of every target h months ahead, refit every three rows."""
+    t = target_rows(P.feature_frame(spark, sf), V.H)
+    out = SV.walk_forward_ridge(t, (*V.FEATURES, "own"), "ty", V.H, 3, 36 + V.H, 30, 50.0, keys=("entity", "target"))
+    return C.rounded(out.filter(F.col("pred").isNotNull()).select("entity", "target", "month", "n_train", "pred", F.col("ty").alias("y")))

@@ -47,6 +47,13 @@ def ml_verdict(spark, sf):
     return d.select("entity", "month", M.ml_verdict(F.col("p"), F.col("base"), 0.05).alias("verdict"))
 
 
+@query("known_rows", sql("SELECT entity, month, round(p,6)+0e0 AS p FROM prob9 WHERE y IS NOT NULL AND part='val'", "prob9"))
+def known_rows(spark, sf):
+    """Scored rows restricted to the validation rows whose outcome is known."""
+    outcomes = P.feature_frame(spark, sf).filter(F.col("part") == "val")
+    return C.rounded(M.known(probabilities(spark, sf), outcomes).select("entity", "month", "p"))
+
+
 cte("cal_e", "SELECT entity, list_sort(list_distinct(quantile_cont(p,[0,0.2,0.4,0.6,0.8,1.0]))) AS e FROM prob9 WHERE y IS NOT NULL GROUP BY 1", "prob9")
 
 

@@ -71,6 +71,15 @@ def shrink_quantiles(spark, sf):
     return C.rounded(s.select("entity", "month", "horizon", "lam", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
 
 
+@query("average_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R(*[f"((b{i}-0.1e0*px_t10)+(b{i}+0.04e0*px_t10))/2e0 AS q{i}" for i in range(5)]) + " FROM hq", "hq"))
+def average_quantiles(spark, sf):
+    """Mean of two member models: history shifted against and along the trend."""
+    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
+    shifted = lambda k: F.transform("qb", lambda b: b + k * F.col("px_t10"))
+    h = h.withColumn("q", Q.average_members(shifted(-0.1), shifted(0.04)))
+    return C.rounded(h.select("entity", "month", "horizon", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
+
+
 PB = "(" + "+".join(f"greatest({t}e0*(yk-{{0}}[{i + 1}]),({t}e0-1e0)*(yk-{{0}}[{i + 1}]))" for i, t in enumerate(Q.LEVELS)) + ")/5e0"
 
 

@@ -242,6 +242,17 @@ def expanding_pctl(spark, sf):
     return C.rounded(percentiles(spark, sf).select("entity", "month", "feature", "pit"))
 
 
+cte("rpx", "SELECT entity, month, pos, px/px2 AS x FROM panel", "panel")
+
+
+@query("real_price_pctl", sql("""SELECT a.entity, a.month, CASE WHEN count(b.x)>=35 THEN round(CAST(count(*) FILTER (b.x<a.x) AS DOUBLE)/count(b.x),6)+0e0 END AS pit
+ FROM rpx a LEFT JOIN rpx b ON a.entity=b.entity AND b.pos<a.pos GROUP BY a.entity, a.month, a.x""", "rpx"))
+def real_price_pctl(spark, sf):
+    """Expanding percentile of a price deflated by an index."""
+    p = V.monthly_panel(spark, sf).withColumn("x", C.ratio("px", "px2"))
+    return C.rounded(p.select("entity", "month", S.expanding_pctl("x", C.by_entity("entity")).alias("pit")))
+
+
 @query("pit_state", sql("""SELECT entity, feature, CASE WHEN pit IS NULL THEN NULL WHEN pit<=CAST(1 AS DOUBLE)/3 THEN 'Low' WHEN pit<=CAST(2 AS DOUBLE)/3 THEN 'Mid' ELSE 'High' END AS state,
  count(*) AS n FROM pctl GROUP BY ALL""", "pctl"))
 def pit_state(spark, sf):
