@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+def _picked(df: DataFrame, pick, keys, order, cols) -> DataFrame:
+    if len(order) == 1:  # fixed-width buffers: stays a hash aggregate
+        return df.groupBy(*keys).agg(*[pick(F.col(c), C.col(order[0])).alias(f"_{c}") for c in cols]).select(
+            *keys, *[F.col(f"_{c}").alias(c) for c in cols]
+        )
+    by = F.struct(*[C.col(o) for o in order])
+    whole = pick(F.struct(*[F.col(c) for c in cols]), by)
+    return df.groupBy(*keys).agg(whole.alias("_z")).select(*keys, "_z.*")
+
+
 def keep_last(df: DataFrame, keys, order, cols) -> DataFrame:
-    """One row per key, the one with the greatest `order`; an aggregate, so hot keys combine map-side."""
-    by = F.struct(*[C.col(o) for o in order]) if len(order) > 1 else C.col(order[0])
-    picked = F.max_by(F.struct(*[F.col(c) for c in cols]), by)
-    return df.groupBy(*keys).agg(picked.alias("_z")).select(*keys, "_z.*")
+    """One row per key, the one with the greatest `order`; an aggregate, so hot keys combine map-side.
+
+    `order` must be unique inside a key, otherwise which row wins is undefined.
+    """
+    return _picked(df, F.max_by, keys, order, cols)
 
 
 def keep_first(df: DataFrame, keys, order, cols) -> DataFrame:
-    by = F.struct(*[C.col(o) for o in order]) if len(order) > 1 else C.col(order[0])
-    picked = F.min_by(F.struct(*[F.col(c) for c in cols]), by)
-    return df.groupBy(*keys).agg(picked.alias("_z")).select(*keys, "_z.*")
+    """As `keep_last`, for the smallest `order`."""
+    return _picked(df, F.min_by, keys, order, cols)
 
 
 def lagged(obs: Column, months: Column | int, days: Column | int) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import columns as C
 
 CAND = "struct<d:double,pos:int,y:double>"
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import stats as ST
 
 # yield-curve recession probit: intercept and slope, fixed values
 PROBIT_A, PROBIT_B = -0.5333, -0.6330

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 # (growth up, inflation up) -> regime name, fixed values
-REGIMES = ("Expansion (growth up, inflation down)", "Reflation (growth up, inflation up)",
-           "Stagflation (growth down, inflation up)", "Slowdown (growth down, inflation down)")
+REGIMES = ("Goldilocks (growth↑ inflation↓)", "Reflation (growth↑ inflation↑)",
+           "Stagflation (growth↓ inflation↑)", "Slowdown / deflation (growth↓ inflation↓)")
 
 
 def signed_z(spec, learn: Column, keys=("entity",), need: int = 20) -> Column:
@@ -33,11 +33,11 @@ def short_name(regime: str) -> Column:
 
 
 def transitions(df: DataFrame, regime: str, w: WindowSpec, lookback: int = 3) -> DataFrame:
-    """`transition` = 'regime then -> regime now' where they differ, NULL otherwise."""
+    """`transition` = 'regime then → regime now' where they differ, NULL otherwise."""
     d = df.withColumn("_now", short_name(regime))
     d = d.withColumn("_then", F.lag("_now", lookback).over(w))
     changed = F.col("_then").isNotNull() & F.col("_now").isNotNull() & (F.col("_then") != F.col("_now"))
-    return d.withColumn("transition", F.when(changed, F.concat_ws(" -> ", "_then", "_now"))).drop("_now", "_then")
+    return d.withColumn("transition", F.when(changed, F.concat_ws(" → ", "_then", "_now"))).drop("_now", "_then")
 
 
 def runs(df: DataFrame, value: str, keys=("entity",)) -> DataFrame:

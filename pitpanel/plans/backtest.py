@@ -15,7 +15,7 @@ from ..operators import targets as T
 from ..sources import views as V
 from . import common as P
 from .registry import R, cte, query, sql
-from .stats import LCG, start_sql
+from .stats import start_sql
 
 BPS = 10
 

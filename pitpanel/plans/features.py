@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align as AL
 from ..operators import features as FE
 from ..sources import views as V
 from .registry import R, cte, query, sql

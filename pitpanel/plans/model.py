@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import model as M
-from ..operators import rank as K
 from ..operators import solve as SV
 from ..operators import states as S
 from ..operators import stats as ST

@@ -7,7 +7,6 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
 from ..functions import columns as C
 from ..operators import quantile as Q
 from ..operators import solve as SV

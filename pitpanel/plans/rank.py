@@ -14,7 +14,7 @@ from ..sources import views as V
 from . import common as P
 from .registry import R, cte, erfc_sql, query, sql
 from .rules import HORIZONS
-from .stats import CORR, hac_ctes, ic_cte, ranks_sql
+from .stats import ic_cte
 
 PILLAR = {"disc": "price", "tax": "price", "ret_d3": "flow", "qty_c3": "flow", "px_m6": "trend", "px_t10": "trend"}
 SIGN = {"disc": -1, "tax": -1, "ret_d3": -1, "qty_c3": 1, "px_m6": 1, "px_t10": 0}

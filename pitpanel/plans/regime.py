@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import regime as G
-from ..operators import states as S
-from ..sources import views as V
 from . import common as P
 from .rank import PILLAR
 from .registry import R, cte, query, sql
@@ -47,7 +45,7 @@ def regime_outcomes(spark, sf):
     )
 
 
-cte("trn", "SELECT *, CASE WHEN b<>a THEN b||' -> '||a END AS tr FROM (SELECT *, split_part(regime,' (',1) AS a, lag(split_part(regime,' (',1),3) OVER (PARTITION BY entity ORDER BY pos) AS b FROM reg)", "reg")
+cte("trn", "SELECT *, CASE WHEN b<>a THEN b||' → '||a END AS tr FROM (SELECT *, split_part(regime,' (',1) AS a, lag(split_part(regime,' (',1),3) OVER (PARTITION BY entity ORDER BY pos) AS b FROM reg)", "reg")
 
 
 @query("regime_transitions", sql("SELECT entity, tr AS transition, count(y) AS months, " + R("avg(y) AS avg", "quantile_cont(y,0.5) AS median", "avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) AS win")

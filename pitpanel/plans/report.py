@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align as AL
 from ..operators import analogue as N
 from ..operators import model as M
 from ..operators import report as RP

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
 from ..functions import columns as C
 from ..operators import states as S
-from ..operators import stats as ST
 from ..operators import targets as T
 from ..sources import views as V
 from . import common as P
