@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import portions, record, shared_dir
-from .token_counts import Memo, PreTokens
+from .token_counts import Table
+from .words import bytes_of
 
 SEQUENCE = 2048
 #: Parameters: sequences of a window; the end token's id; queues at most (sources beyond share queues by hash).
@@ -112,13 +113,11 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Token ids of every document (little-endian, 32 bits), with the offset in its task's part of its queue."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, at = PreTokens(path), {}
-        memo = Memo(lambda words: [np.array(x, "<u4").tobytes() for x in cutter.encode(words)], 250_000)
+        table, at = Table(path, ids=True), {}
         last = np.array([end_id], "<u4").tobytes()
         for batch in portions(batches):
-            words = [cutter.cut(t) for t in batch.column("text").to_pylist()]
-            known = memo.need(words)
-            ids = [b"".join(map(known.__getitem__, w)) + last for w in words]
+            flat, marks = table.ids_of(*bytes_of(batch.column("text")))
+            ids = [flat[a:b].tobytes() + last for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             local = []
             for q, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
                 local.append(at.get(q, 0))

@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import plain, portions, record
-from .token_counts import Memo
 
 #: Parameters: threads of the tokenizers library in one Python worker, and pre-tokens a worker remembers.
 THREADS = 2
@@ -128,6 +127,32 @@ ENCODED = "doc_id long, ids binary, n_tokens long, n_differ long"
 DECODED = "doc_id long, text string"
 
 
+class Memo:
+    """Bounded map from pre-token to a value; a batch's misses are made together."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def need(self, texts: list[list[str]]) -> dict:
+        """A dictionary that holds all pre-tokens of the batch."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, {}
+        for words in texts:
+            for w in [w for w in words if w not in new]:
+                v = old.get(w)
+                if v is None:
+                    missing[w] = None
+                else:
+                    new[w] = v
+        words = list(missing)
+        for i in range(0, len(words), 4096):
+            new.update(zip(words[i : i + 4096], self.make(words[i : i + 4096]), strict=True))
+        return new
+
+
 class Encoder:
     """A worker's codec with its memo of pre-tokens."""
 
