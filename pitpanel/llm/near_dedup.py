@@ -225,9 +225,11 @@ def near_classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     signed = cut(sign(docs, width, bands, rows))
     nodes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node")).withColumnRenamed("key", "of")
     of_node = (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("node"))
-    spread = signed.join(nodes, of_node).select("node", F.explode("bands").alias("bucket"), *MEMBER)
-    shared = spread.select("bucket", "node").groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select(F.col("bucket").alias("b"), "lead")
-    members = cut(spread.join(shared, F.col("bucket") == F.col("b")).select("bucket", "node", "lead", *MEMBER).distinct())
+    sketch = signed.join(nodes, of_node).select("node", "bands", *MEMBER).dropDuplicates(["node"])
+    spread = sketch.select("node", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select(F.col("bucket").alias("b"), "lead")
+    members = spread.join(shared, F.col("bucket") == F.col("b")).select("bucket", "node", "lead")
+    members = cut(members.join(sketch.select(F.col("node").alias("n"), *MEMBER), F.col("node") == F.col("n")).drop("n"))
     # each node against the first of its buckets
     leads, others = side(members.filter("node = lead"), "b"), side(members.filter("node <> lead"), "a")
     stars = cut(others.join(leads, (F.col("a_bucket") == F.col("b_bucket")) & may_link(least)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
@@ -245,7 +247,11 @@ def near_classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
         left = unsettled(members, links)
     # then all pairs of different components in a bucket
     apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-    cross = side(left, "a", "label").join(side(left, "b", "label"), apart & may_link(least)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+    # a pair counts in the smallest bucket that both nodes are in
+    buckets = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).withColumnRenamed("node", "n")
+    left = left.join(buckets, F.col("node") == F.col("n")).drop("n")
+    here = F.array_min(F.array_intersect("a_buckets", "b_buckets")) == F.col("a_bucket")
+    cross = side(left, "a", "label", "buckets").join(side(left, "b", "label", "buckets"), apart & may_link(least) & here).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
     final = components(links.union(verified(cut(cross), docs, least, width))).withColumnRenamed("node", "n")
     classes = nodes.join(final, F.col("node") == F.col("n"), "left").select("of", F.coalesce("label", "node").alias("class_id"))
     found = signed.select("doc_id", "text_hash", "key").join(classes, F.col("key") == F.col("of"), "left")
