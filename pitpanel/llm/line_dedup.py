@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,29 +99,16 @@ class Frequencies:
         pieces = COUNTERS // CHUNK
 
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, once, twice = np.zeros(COUNTERS, np.int64), np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
+            counts, seen = np.zeros(COUNTERS, np.int64), Twice()
             for batch in portions(batches):
                 h = tokens(*bytes_of(batch.column("text")), WORDS).hash
                 counts += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                at = np.sort(slot(np.unique(h).view(np.int64), TWICE_BITS))
-                more = slot(repeated(h).view(np.int64), TWICE_BITS)
-                twice[at[once[at]]] = True
-                twice[at[1:][at[1:] == at[:-1]]] = True
-                twice[more] = True
-                once[at] = True
-            both = np.stack([np.packbits(x).view(np.int64).reshape(-1, CHUNK // 2) for x in (once, twice)], axis=1)
-            yield from packed(np.concatenate([counts, both.ravel()]))
+                seen.add(h.view(np.int64))
+            yield from packed(np.concatenate([counts, seen.words()]))
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = [np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"]]
-            total = parts[0].copy()
-            for part in parts[1:]:
-                if pdf["chunk"].iloc[0] < pieces:
-                    total += part
-                else:
-                    a, b = total[: CHUNK // 2], part[: CHUNK // 2]
-                    total[CHUNK // 2 :] |= part[CHUNK // 2 :] | (a & b)
-                    total[: CHUNK // 2] |= b
+            parts = (np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
+            total = reduce(np.add if pdf["chunk"].iloc[0] < pieces else either, parts)
             return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
         out = np.zeros(COUNTERS + 2 * half, np.int64)
@@ -128,19 +116,81 @@ class Frequencies:
             out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["data"]), np.int64)
         # rarity in 1/4 steps of a power of two fits in seven bits
         self.rarity = np.minimum(np.log2(np.maximum(out[:COUNTERS], 1)) * 2, 127).astype(np.uint64)
-        self.twice = np.ascontiguousarray(out[COUNTERS:].reshape(-1, 2, CHUNK // 2)[:, 1]).ravel().view(np.uint8)
+        self.twice = twice_of(out[COUNTERS:])
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Numbers that sort rare words first; the lowest bit tells that the word may occur twice."""
-        at = slot(h.view(np.int64), TWICE_BITS)
-        again = (self.twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        again = is_set(self.twice, h.view(np.int64))
         return self.rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57) | (h >> np.uint64(8)) << np.uint64(1) | again.astype(np.uint64)
 
 
-def repeated(h: np.ndarray) -> np.ndarray:
-    """The values that occur more than once."""
-    h = np.sort(h)
-    return h[1:][h[1:] == h[:-1]]
+class Twice:
+    """Two bitmaps of fixed size: where values have been seen once, and where twice."""
+
+    def __init__(self):
+        self.once, self.twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
+
+    def add(self, values: np.ndarray) -> None:
+        at = np.sort(slot(values, TWICE_BITS))
+        self.twice[at[self.once[at]]] = True
+        self.twice[at[1:][at[1:] == at[:-1]]] = True
+        self.once[at] = True
+
+    def words(self) -> np.ndarray:
+        both = np.stack([np.packbits(x).view(np.int64).reshape(-1, CHUNK // 2) for x in (self.once, self.twice)], axis=1)
+        return both.ravel()
+
+
+def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The union of two tasks' pieces of both bitmaps."""
+    half = CHUNK // 2
+    return np.concatenate([a[:half] | b[:half], a[half:] | b[half:] | (a[:half] & b[:half])])
+
+
+def twice_of(words: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(words.reshape(-1, 2, CHUNK // 2)[:, 1]).ravel().view(np.uint8)
+
+
+def is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = slot(values, TWICE_BITS)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+
+
+def shared_words(reps: DataFrame) -> np.ndarray:
+    """Bitmap of the words that more than one class posts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Twice()
+        for batch in batches:
+            seen.add(batch.column("words").flatten().to_numpy())
+        yield from packed(seen.words())
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = reduce(either, (np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"]))
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros(2 * (1 << TWICE_BITS) // 64, np.int64)
+    for row in reps.select("words").mapInArrow(run, PACKED).groupBy("chunk").applyInPandas(merge, PACKED).collect():
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["data"]), np.int64)
+    return twice_of(out)
+
+
+def posts_of(reps: DataFrame) -> DataFrame:
+    """One row per class and word that it may share with another class."""
+    found = reps.sparkSession.sparkContext.broadcast(shared_words(reps))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "words_bytes"):
+            words, places = (batch.column(c).flatten().to_numpy() for c in ("words", "places"))
+            of = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
+            keep = np.flatnonzero(is_set(found.value, words))
+            at = pa.array(of[keep])
+            yield record(word=words[keep], place=places[keep], **{c: batch.column(c).take(at) for c in ("at", "rid", "line_no", "k1", "k2", "n", "x", "y")})
+
+    names = "at long, rid long, line_no int, k1 long, k2 long, n int, x long, y long"
+    # null ids come last; the order only has to be one and the same
+    at = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at")
+    return reps.select("words", "places", F.lit("").alias("words_bytes"), at, "rid", "line_no", "k1", "k2", "n", "x", "y").mapInArrow(run, f"word long, place int, {names}")
 
 
 def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,7 +262,8 @@ def _line() -> Column:
     return F.struct(*LINE)
 
 
-POST = ("line", "k1", "k2", "n", "x", "y", "place")
+ORDER = ("at", "rid", "line_no")
+POST = (*ORDER, "k1", "k2", "n", "x", "y", "place")
 
 
 def as_side(posts: DataFrame, side: str) -> DataFrame:
@@ -224,7 +275,8 @@ def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
     need = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_place, b_n - b_place)")
     sizes = (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n"))
     differ = F.expr(f"{100 + percent} * (bit_count(a_x ^ b_x) + bit_count(a_y ^ b_y)) <= {100 - percent} * (a_n + b_n)")
-    join = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_line") < F.col("b_line")) & sizes & need & differ)
+    before = F.expr("a_at < b_at or (a_at = b_at and (a_rid < b_rid or (a_rid = b_rid and a_line_no < b_line_no)))")
+    join = a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need & differ)
     return join.select(F.col("a_k1").alias("a1"), F.col("a_k2").alias("a2"), F.col("b_k1").alias("b1"), F.col("b_k2").alias("b2")).distinct()
 
 
@@ -235,14 +287,13 @@ def both_sides(pairs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid and the sorted numbers of the lines to remove, for documents that lose any."""
     rows = documents(docs)
-    lines = table(posted(rows, percent), "lines")
+    lines = posted(rows, percent)  # computed twice: it is cheaper than to keep all prefixes
     first = lines.groupBy("k1", "k2").agg(F.min(_line()).alias("first")).withColumnsRenamed({"k1": "f1", "k2": "f2"})
     told = lines.join(first, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).withColumn("rep", _line() == F.col("first"))
-    told = told.select(*LINE, "k1", "k2", "n", "x", "y", "rep", F.when(F.col("rep"), F.arrays_zip("words", "places")).alias("post"))
-    told = table(told, "told")
-    posts = told.filter("rep").select(_line().alias("line"), "k1", "k2", "n", "x", "y", F.explode("post").alias("p")).select("line", "k1", "k2", "n", "x", "y", F.col("p.words").alias("word"), F.col("p.places").alias("place"))
+    told = table(told.select(*LINE, "k1", "k2", "n", "x", "y", "rep", *[F.when(F.col("rep"), F.col(c)).otherwise(F.array().cast(t)).alias(c) for c, t in (("words", "array<long>"), ("places", "array<int>"))]), "told")
+    posts = posts_of(told.filter("rep"))
     # first every line against the earliest line of each of its words
-    lead = posts.groupBy("word").agg(F.min(F.struct(*POST)).alias("l"), F.count("*").alias("m")).filter("m > 1")
+    lead = posts.groupBy("word").agg(F.min(F.struct(*POST)).alias("l"))
     lead = lead.select(F.col("word").alias("a_word"), *[F.col(f"l.{c}").alias(f"a_{c}") for c in POST])
     stars = compared(lead, as_side(posts, "b"), percent)
     # then those that it leaves against all earlier lines
