@@ -21,6 +21,7 @@ empty table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -118,15 +119,20 @@ class Patricia:
             node, path = self.root, [self.root]
             while node.children:
                 largest = max(node.children.values(), key=lambda n: n.size)
-                if not largest.size or (node is not self.root and largest.size < self.held // 4):
+                if not largest.size or (node.size < self.held and largest.size < self.held // 4):
                     break
                 node = largest
                 path.append(node)
-            if node is self.root or not node.size:
+            if node.size in (0, self.held):  # never all there is: a subtree's own trie must be smaller
                 return
             node.spilled = tempfile.TemporaryFile()  # noqa: SIM115 - closed, and so removed, by entries()
             for string, best, copies, tag in self._walk(node):
                 pickle.dump((string, best, copies, tag), node.spilled)
+            for below in self._spilled(node):
+                if below is not node:
+                    below.spilled.seek(0)
+                    shutil.copyfileobj(below.spilled, node.spilled)
+                    below.spilled.close()
             freed = node.size
             node.children, node.entry = {}, None
             for n in path:
@@ -146,20 +152,25 @@ class Patricia:
     def entries(self) -> Iterator[tuple]:
         """(string, best, copies, tag) of each distinct string; spilled subtrees follow, one after another."""
         yield from self._walk(self.root)
-        stack = [self.root]
+        for node in self._spilled(self.root):
+            below = Patricia(self.budget, self.better)
+            node.spilled.seek(0)
+            while True:
+                try:
+                    below.add(*pickle.load(node.spilled))
+                except EOFError:
+                    break
+            node.spilled.close()
+            yield from below.entries()
+
+    @staticmethod
+    def _spilled(top: Node) -> Iterator[Node]:
+        stack = [top]
         while stack:
             node = stack.pop()
             stack.extend(node.children.values())
             if node.spilled is not None:
-                below = Patricia(self.budget, self.better)
-                node.spilled.seek(0)
-                while True:
-                    try:
-                        below.add(*pickle.load(node.spilled))
-                    except EOFError:
-                        break
-                node.spilled.close()
-                yield from below.entries()
+                yield node
 
 
 def owners(rows: DataFrame, partial: bool, budget: int = TRIE_BYTES) -> DataFrame:
