@@ -157,19 +157,23 @@ class Encoder:
     """A worker's codec with its memo of pre-tokens."""
 
     def __init__(self, path: str, threads: int = THREADS):
-        self.codec, self.bad = PieceCodec(path, threads), set()
+        self.codec, self.bad, self.lossy = PieceCodec(path, threads), set(), set()
         self.memo = Memo(self._make, MEMO_ENTRIES)
 
     def _make(self, parts: list[str]) -> list[bytes]:
         ids, same = self.codec.encode(parts)
         self.bad.update(p for p, s in zip(parts, same, strict=True) if not s)
+        # a part begins with the prefix, which decoding takes off
+        self.lossy.update(p for p, back in zip(parts, self.codec.decode(ids), strict=True) if back != p[len(self.codec.prefix) :])
         return [np.array(x, "<u4").tobytes() for x in ids]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
+        """Ids of each text, in how many pre-tokens the libraries differ, and whether all pre-tokens come back from their ids."""
         parts = [self.codec.cut(t) for t in texts]
         known = self.memo.need(parts)
         ids = [b"".join(map(known.__getitem__, p)) for p in parts]
-        return ids, [sum(map(self.bad.__contains__, p)) if self.bad else 0 for p in parts]
+        differ = [sum(map(self.bad.__contains__, p)) if self.bad else 0 for p in parts]
+        return ids, differ, [self.lossy.isdisjoint(p) for p in parts] if self.lossy else [True] * len(parts)
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.codec.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
@@ -181,7 +185,7 @@ def encode(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, threads)
         for batch in portions(batches):
-            ids, differ = encoder.encode(batch.column("text").to_pylist())
+            ids, differ, _ = encoder.encode(batch.column("text").to_pylist())
             yield record(doc_id=batch.column("doc_id"), ids=ids, n_tokens=[len(x) // 4 for x in ids], n_differ=differ)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, ENCODED)
@@ -199,14 +203,15 @@ def decode(encoded: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
-    """One row per document: its tokens, the checksum of its ids, in how many pre-tokens the libraries differ, and whether decoding the ids returns the text."""
+    """One row per document: its tokens, the checksum of its ids, in how many pre-tokens the libraries differ, and whether decoding the ids returns the text.
+
+    Each pre-token is decoded when a worker first meets it; `decode` decodes whole documents.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, threads)
         for batch in portions(batches):
-            texts = batch.column("text").to_pylist()
-            ids, differ = encoder.encode(texts)
-            back = [a == b for a, b in zip(encoder.decode(ids), texts, strict=True)]
+            ids, differ, back = encoder.encode(batch.column("text").to_pylist())
             yield record(doc_id=batch.column("doc_id"), n_tokens=[len(x) // 4 for x in ids], ids_crc32=list(map(zlib.crc32, ids)), n_differ=differ, decoded_equal=back)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, ROUND)
