@@ -105,6 +105,14 @@ def put(uri: str, name: str, data: bytes) -> None:
     store.move(temporary, f"{base}/{name}")
 
 
+def get(uri: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{base}/{name}") as file:
+        return file.read()
+
+
 def with_roles(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Pages with payload, digest, record type and what a revisit refers to; the largest page_id of equal payloads is the response."""
     data = F.col("html").cast("binary")
@@ -170,19 +178,15 @@ def normalise(monolithic: DataFrame, folder: str) -> DataFrame:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of normalised archives, read member by member at the offsets of the index; payloads are checked."""
-    index = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz.idx").load(folder)
-    index = index.select(F.regexp_extract("path", r"([^/]+)\.idx$", 1).alias("name"), F.col("content").alias("lines"))
-    both = archives(spark, folder).withColumn("of", F.regexp_extract("path", r"([^/]+)$", 1)).join(index, F.col("of") == F.col("name")).select("content", "lines")
-
     def page(text: str) -> int | None:
         number = text.removeprefix("<urn:page:").removesuffix(">")
         return int(number) if number else None
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, lines in zip(batch.column("content"), batch.column("lines"), strict=True):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 data, rows = memoryview(content.as_buffer()), []
-                for entry in map(json.loads, lines.as_py().decode().splitlines()):
+                for entry in map(json.loads, get(folder, path.as_py().rpartition("/")[2] + ".idx").decode().splitlines()):
                     raw = zlib.decompress(data[entry["offset"] : entry["offset"] + entry["length"]], wbits=31)
                     end = raw.index(b"\r\n\r\n")
                     fields = header(raw[:end])
@@ -194,7 +198,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 c = list(zip(*rows, strict=True)) or [[]] * 5
                 yield record(page_id=pa.array(c[0], pa.int64()), payload_bytes=pa.array(c[1], pa.int64()), payload_digest=pa.array(c[2], pa.string()), record_type=pa.array(c[3], pa.string()), refers_to=pa.array(c[4], pa.int64()))
 
-    return both.mapInArrow(read, READ)
+    return archives(spark, folder).mapInArrow(read, READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
