@@ -20,7 +20,9 @@ library counts them by default.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from .words import WORDS, Tokens, bytes_of, span_hashes, tokens
 #: Parameters: documents in the sample behind tier one, entries of tier one (12 bytes each), entries of a worker's table.
 SAMPLE_DOCS = 2_000
 TABLE_ENTRIES = 1 << 16
-WORKER_ENTRIES = 1_200_000
+WORKER_ENTRIES = 800_000
 LIMIT = 2048
 
 RESULT = "doc_id long, n_bytes long, n_tokens long"
@@ -48,6 +50,7 @@ class PreTokens:
     """A worker's tokenizer, and how to cut texts where it does."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,7 +120,7 @@ class Table:
             length = np.fromiter(map(len, found), np.int64, len(found))
             place = np.cumsum(length) - length + len(self.ids)
             if self.keep_ids:
-                self.ids = np.concatenate([self.ids, np.fromiter((x for w in found for x in w), np.uint32, int(length.sum()))])
+                self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
             where = at[new]
             self.hash, self.length, self.at = (np.insert(x, where, y) for x, y in ((self.hash, distinct[new]), (self.length, length), (self.at, place)))
             at = np.searchsorted(self.hash, distinct)
@@ -162,7 +165,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, sample: int = S
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(path, first.value)
-        for batch in portions(batches):
+        for batch in portions(batches, size=1_500_000):
             data, offsets = bytes_of(batch.column("text"))
             words, at = table.look_up(data, offsets)
             n = np.bincount(words.owner, table.length[at], minlength=batch.num_rows).astype(np.int64)
