@@ -17,10 +17,13 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir of the session; only where it is unset (tests, one machine) make a folder."""
+    """Use spark.checkpoint.dir of the session; only on one machine (tests) make a folder where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitpanel-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitpanel-"))
 
 
 def version(spark: SparkSession, path: str) -> tuple[int, int]:
