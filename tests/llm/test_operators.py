@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import json
+import math
 import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from pitpanel.llm.packing import Schedule, pack
 from pitpanel.llm.piece_codec import decode, encode, round_trip
 from pitpanel.llm.pii import findings, rewrite
 from pitpanel.llm.quality_classifier import STATISTICS, classify, fit, training_sample, tree_rules, with_statistics
-from pitpanel.llm.quality_rules import kept_documents, quality_rules
+from pitpanel.llm.quality_rules import BUCKETS, THRESHOLD, kept_documents, ngram_buckets, quality_rules
 from pitpanel.llm.token_counts import token_counts
+from pitpanel.llm.words import bytes_of
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -166,15 +169,18 @@ def test_quality_rules(spark, docs, rows, none):
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
-    # scores by brute force: shares of n-grams in the target and in the corpus, counted without hashing
-    good = {r.doc_id for r in trusted.collect()}
-    token = re.compile(r"[A-Za-z0-9_\x80-￿]+|[!-/:-@\[-^`{-~\x00-\x08\x0e-\x1f]+")
-    grams = lambda x: (lambda t: [(a,) for a in t] + list(zip(t, t[1:], strict=False)))(token.findall(x or ""))
-    raw, target = collections.Counter(), collections.Counter()
-    for i, x, *_ in rows:
-        raw.update(grams(x))
+    # scores by plain counting, one text at a time
+    good, raw, target = {r.doc_id for r in trusted.collect()}, collections.Counter(), collections.Counter()
+    grams = [(i, x, ngram_buckets(*bytes_of(pa.array([x or ""])), BUCKETS)[0].tolist()) for i, x, *_ in rows]
+    for i, _, b in grams:
+        raw.update(b)
         if i in good:
-            target.update(grams(x))
+            target.update(b)
+    t, r = target.total() + BUCKETS, raw.total() + BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / t) - math.log((raw[g] + 1) / r)
+    scores = collections.Counter((i, round(sum(map(ratio, b)) / len(b), 9) if b else 0.0) for i, _, b in grams)
+    assert collections.Counter((r.doc_id, round(r.score, 9) + 0.0) for r in got) == scores
+    assert all(r.kept == (not r.base_failed and r.score >= THRESHOLD) for r in got)
     kept = {r.doc_id for r in kept_documents(docs, trusted).collect()}
     assert kept == {r.doc_id for r in got if r.kept}
     quality = {r.doc_id: r.quality for r in labels.collect()}
@@ -182,7 +188,6 @@ def test_quality_rules(spark, docs, rows, none):
     assert all(r.kept for r in passed if quality[r.doc_id] == 1)
     junk = [r for r in passed if quality[r.doc_id] == 0 and r.score < -0.5]
     assert not any(r.kept for r in junk)
-    assert raw and target
     assert quality_rules(none, trusted).count() == 0
     assert all(r.score == 0 for r in quality_rules(docs, trusted.limit(0)).collect())
 
@@ -328,8 +333,6 @@ def test_classifier(spark, docs, rows, none):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     # the compiled column agrees with the rules evaluated by hand
-    import math
-
     for r in with_statistics(train).limit(50).collect():
         total = model.intercept + sum(w for w, rule in model.rules if all((r[STATISTICS[i]] <= b) == upper for i, upper, b in rule))
         assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-total))) < 1e-9
