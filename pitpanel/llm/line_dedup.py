@@ -17,6 +17,10 @@ A word's classes are first compared with their earliest class. Only
 classes that it does not remove are compared with the others, so a passage
 with thousands of variants costs about one comparison for each.
 
+One aggregate makes the classes, which are written once; a class is named by its first
+line. What remains of a document are its classes that nothing removes, so lines
+themselves are never joined.
+
 Defined results: null and empty texts have no words and stay as they are; a null
 doc_id comes after all others, and documents are told apart by id and text, so rows that
 repeat both are one document; ties do not exist, for the order is total; an empty
@@ -33,11 +37,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import CHUNK, GOLDEN, PACKED, mix, packed, plain, portions, possible, record, slot, table
-from .words import LINES, WORDS, Tokens, bytes_of, tokens
+from .words import LINES, WORDS, Tokens, bytes_of, counted, tokens
 
 #: Parameters: least Jaccard similarity in percent, counters of rarity, bits of the bitmap of words that occur twice, bits of the bitmap of compared lines.
 PERCENT = 80
@@ -47,12 +52,15 @@ BITMAP_BITS = 23
 
 LINE = ("no_id", "doc_id", "rid", "line_no")
 POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words array<long>, places array<int>"
+#: A class by its first line; a null id counts as the largest, for the order only has to be one and the same.
+CLASS = ("at", "rid", "line_no")
+POST = (*CLASS, "n", "x", "y", "place")
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells apart different texts under one id."""
     rows = plain(docs, "doc_id", "text")
-    return rows.select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), F.xxhash64("text").alias("rid"), "text")
 
 
 def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tokens]:
@@ -156,7 +164,7 @@ def is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
 
-def shared_words(reps: DataFrame) -> np.ndarray:
+def shared_words(classes: DataFrame) -> np.ndarray:
     """Bitmap of the words that more than one class posts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,27 +178,23 @@ def shared_words(reps: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     out = np.zeros(2 * (1 << TWICE_BITS) // 64, np.int64)
-    for row in reps.select("words").mapInArrow(run, PACKED).groupBy("chunk").applyInPandas(merge, PACKED).collect():
+    for row in classes.select("words").mapInArrow(run, PACKED).groupBy("chunk").applyInPandas(merge, PACKED).collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["data"]), np.int64)
     return twice_of(out)
 
 
-def posts_of(reps: DataFrame) -> DataFrame:
-    """One row per class and word that it may share with another class."""
-    found = reps.sparkSession.sparkContext.broadcast(shared_words(reps))
+def posts_of(classes: DataFrame, found: Broadcast) -> DataFrame:
+    """One row per class and word that it may share with another class, by the bitmap `found`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "words_bytes"):
+        for batch in batches:
             words, places = (batch.column(c).flatten().to_numpy() for c in ("words", "places"))
             of = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
             keep = np.flatnonzero(is_set(found.value, words))
             at = pa.array(of[keep])
-            yield record(word=words[keep], place=places[keep], **{c: batch.column(c).take(at) for c in ("at", "rid", "line_no", "k1", "k2", "n", "x", "y")})
+            yield record(word=words[keep], place=places[keep], **{c: batch.column(c).take(at) for c in POST[:-1]})
 
-    names = "at long, rid long, line_no int, k1 long, k2 long, n int, x long, y long"
-    # null ids come last; the order only has to be one and the same
-    at = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at")
-    return reps.select("words", "places", F.lit("").alias("words_bytes"), at, "rid", "line_no", "k1", "k2", "n", "x", "y").mapInArrow(run, f"word long, place int, {names}")
+    return classes.select("words", "places", *POST[:-1]).mapInArrow(run, "word long, place int, at long, rid long, line_no int, n int, x long, y long")
 
 
 def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -221,26 +225,41 @@ def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.mapInArrow(run, POSTED)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, k2 and the word hashes of the lines whose k1 is among `wanted`, found by a bitmap of fixed size; few others may come along."""
-    marked = docs.sparkSession.sparkContext.broadcast(possible(wanted, "k1", BITMAP_BITS))
+def name_bits(at, rid, line_no):
+    """A number of a line for bitmaps; of columns and of numpy arrays alike."""
+    if isinstance(at, Column):
+        return at.bitwiseXOR(rid).bitwiseXOR(F.shiftleft(line_no.cast("long"), 32))
+    return at ^ rid ^ (line_no << 32)
+
+
+def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Name and word hashes of the lines in `pairs`, found by a bitmap of fixed size; few others may come along."""
+    names = pairs.select(F.explode(F.array(*[name_bits(*[F.col(f"{s}_{c}") for c in CLASS]) for s in "ab"])).alias("name"))
+    marked = rows.sparkSession.sparkContext.broadcast(possible(names, "name", BITMAP_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            owner, _, of, words = lines_of(batch)
+            owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
-            _, h, start = as_sets(of, words.hash)
-            k1, k2 = identity(h, start)
-            keep = np.flatnonzero(marked.value[slot(k1, BITMAP_BITS)])
-            end = np.append(start[1:], len(h))
-            yield record(k1=k1[keep], k2=k2[keep], hashes=pa.array([h[start[i] : end[i]].tobytes() for i in keep], pa.binary()))
+            at, rid = (batch.column(c).to_numpy()[owner] for c in ("at", "rid"))
+            keep = np.flatnonzero(marked.value[slot(name_bits(at, rid, number), BITMAP_BITS)])
+            wanted = np.zeros(len(owner), bool)
+            wanted[keep] = True
+            of, h, start = as_sets(*(v[wanted[of]] for v in (of, words.hash)))
+            start, end = start[keep] if len(of) else start, np.searchsorted(of, keep, "right")
+            yield record(at=at[keep], rid=rid[keep], line_no=number[keep].astype(np.int32), hashes=pa.array([h[i:j].tobytes() for i, j in zip(start, end, strict=True)], pa.binary()))
+
+    # repeated rows give the same line again
+    return rows.select("at", "rid", "text").mapInArrow(run, "at long, rid long, line_no int, hashes binary").dropDuplicates([*CLASS])
+
 
-    return docs.mapInArrow(run, "k1 long, k2 long, hashes binary").dropDuplicates(["k1", "k2"])
+def named(side: str) -> list[str]:
+    return [f"{side}_{c}" for c in CLASS]
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a1, a2) and (b1, b2) of sets, the b of those that are similar enough."""
+    """Of pairs of lines a and b, the names of the b that are similar enough to their a."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "a"):
@@ -252,76 +271,74 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
                 both = int((b[at] == a).sum())
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             kept = batch.filter(pa.array(good, pa.bool_()))
-            yield record(k1=kept.column("b1"), k2=kept.column("b2"))
-
-    side = lambda x: sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("hashes").alias(x))
-    return pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).mapInArrow(run, "k1 long, k2 long").distinct()
-
+            yield record(**{c: kept.column(f"b_{c}") for c in CLASS})
 
-def _line() -> Column:
-    return F.struct(*LINE)
-
-
-ORDER = ("at", "rid", "line_no")
-POST = (*ORDER, "k1", "k2", "n", "x", "y", "place")
+    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in CLASS], F.col("hashes").alias(x))
+    both = pairs.join(side("a"), named("a")).join(side("b"), named("b"))
+    return both.select(*named("b"), "a", "b").mapInArrow(run, "at long, rid long, line_no int").distinct()
 
 
 def as_side(posts: DataFrame, side: str) -> DataFrame:
-    return posts.select(F.col("word").alias(f"{side}_word"), *[F.col(c).alias(f"{side}_{c}") for c in POST])
+    return posts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("word", *POST)])
 
 
 def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets (a1, a2), (b1, b2), a's line before b's, that share a posted word and pass the length, positional and parity filters."""
+    """Pairs of classes, a's line before b's, that share a posted word and pass the length, positional and parity filters."""
     need = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_place, b_n - b_place)")
     sizes = (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n"))
     differ = F.expr(f"{100 + percent} * (bit_count(a_x ^ b_x) + bit_count(a_y ^ b_y)) <= {100 - percent} * (a_n + b_n)")
     before = F.expr("a_at < b_at or (a_at = b_at and (a_rid < b_rid or (a_rid = b_rid and a_line_no < b_line_no)))")
-    join = a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need & differ)
-    return join.select(F.col("a_k1").alias("a1"), F.col("a_k2").alias("a2"), F.col("b_k1").alias("b1"), F.col("b_k2").alias("b2")).distinct()
-
+    return a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need & differ).select(*named("a"), *named("b")).distinct()
 
-def both_sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a1").alias("k1")).union(pairs.select(F.col("b1").alias("k1"))).distinct()
 
-
-def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, rid and the sorted numbers of the lines to remove, for documents that lose any."""
+def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, rid and the numbers of the lines with words that stay, for documents that keep any."""
     rows = documents(docs)
-    lines = posted(rows, percent)  # computed twice: it is cheaper than to keep all prefixes
-    first = lines.groupBy("k1", "k2").agg(F.min(_line()).alias("first")).withColumnsRenamed({"k1": "f1", "k2": "f2"})
-    told = lines.join(first, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).withColumn("rep", _line() == F.col("first"))
-    told = table(told.select(*LINE, "k1", "k2", "n", "x", "y", "rep", *[F.when(F.col("rep"), F.col(c)).otherwise(F.array().cast(t)).alias(c) for c, t in (("words", "array<long>"), ("places", "array<int>"))]), "told")
-    posts = posts_of(told.filter("rep"))
+    classes = posted(rows, percent).groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("l"), *[F.first(c).alias(c) for c in ("n", "x", "y", "words", "places")])
+    at = F.coalesce("l.doc_id", F.lit((1 << 63) - 1)).alias("at")
+    classes = table(classes.select(at, *[f"l.{c}" for c in LINE], "n", "x", "y", "words", "places"), "classes")
+    shared = rows.sparkSession.sparkContext.broadcast(shared_words(classes))
+    posts = posts_of(classes, shared)
     # first every line against the earliest line of each of its words
-    lead = posts.groupBy("word").agg(F.min(F.struct(*POST)).alias("l"))
-    lead = lead.select(F.col("word").alias("a_word"), *[F.col(f"l.{c}").alias(f"a_{c}") for c in POST])
-    stars = compared(lead, as_side(posts, "b"), percent)
+    lead = posts.groupBy("word").agg(F.min(F.struct(*POST)).alias("l")).select("word", "l.*")
+    stars = table(compared(as_side(lead, "a"), as_side(posts, "b"), percent), "stars")
+    found = table(similar(stars, sets_of(rows, stars), percent), "found")
     # then those that it leaves against all earlier lines
-    stars = table(stars, "stars")
-    found = table(similar(stars, table(sets_of(rows, both_sides(stars)), "sets"), percent), "found")
-    open_lines = posts.join(found.withColumnsRenamed({"k1": "m1", "k2": "m2"}), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left_anti")
-    rest = compared(as_side(posts, "a"), as_side(open_lines, "b"), percent).join(stars, ["a1", "a2", "b1", "b2"], "left_anti")
-    rest = table(rest, "rest")
-    more = similar(rest, table(sets_of(rows, both_sides(rest)), "sets"), percent)
-    later = found.union(more).distinct().withColumnsRenamed({"k1": "m1", "k2": "m2"})
-    gone = told.filter("not rep").select("doc_id", "rid", "line_no")
-    gone = gone.union(told.filter("rep").join(later, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left_semi").select("doc_id", "rid", "line_no"))
-    return gone.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    left = posts_of(classes.join(found, [*CLASS], "left_anti"), shared)
+    rest = table(compared(as_side(posts, "a"), as_side(left, "b"), percent).join(stars, [*named("a"), *named("b")], "left_anti"), "rest")
+    more = similar(rest, sets_of(rows, rest), percent)
+    gone = found.union(more)
+    return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """One row per document: its number of lines, and the numbers of those with words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            owner, number, *_ = lines_of(batch)
+            data, offsets = bytes_of(batch.column("text"))
+            marks = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(number.astype(np.int32)))
+            yield record(doc_id=batch.column("doc_id"), rid=batch.column("rid"), n_lines=counted(data == 10, offsets) + 1, lines=lists)
+
+    return rows.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, n_lines long, lines array<int>")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: its lines, how many are removed, and their numbers (from 0)."""
-    gone = removals(docs, percent).withColumnsRenamed({"doc_id": "g_id", "rid": "g_rid"})
-    rows = documents(docs).select("doc_id", "rid", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    found = rows.join(gone, (F.col("rid") == F.col("g_rid")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
-    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
+    stays = staying(docs, percent).withColumnsRenamed({"doc_id": "s_id", "rid": "s_rid"})
+    rows = worded(documents(docs))
+    found = rows.join(stays, (F.col("rid") == F.col("s_rid")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
+    found = found.withColumn("removed", F.array_except("lines", F.coalesce("stays", F.array().cast("array<int>"))))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_lines"))
 
 
 def without_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, their repeated lines removed from `text`; a null text stays null."""
-    gone = removals(docs, percent).withColumnsRenamed({"doc_id": "_gone_id", "rid": "_gone_rid", "removed": "_gone_lines"})
+    stays = staying(docs, percent).withColumnsRenamed({"doc_id": "_stays_id", "rid": "_stays_rid", "stays": "_stays"})
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_gone_lines"), i))
-    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, (key == gone["_gone_rid"]) & docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left")
-    return joined.withColumn("text", text).select(*docs.columns)
+    # a line without words stays; the others do if they are listed
+    lines = F.filter(F.split("text", "\n"), lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains(F.coalesce("_stays", F.array().cast("array<int>")), i))
+    joined = docs.join(stays, (key == stays["_stays_rid"]) & docs["doc_id"].eqNullSafe(stays["_stays_id"]), "left")
+    return joined.withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)
