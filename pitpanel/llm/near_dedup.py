@@ -206,12 +206,13 @@ def side(members: DataFrame, name: str, *more: str) -> DataFrame:
     return members.select(F.col("bucket").alias(f"{name}_bucket"), F.col("node").alias(f"{name}_node"), *[F.col(c).alias(f"{name}_{c}") for c in (*MEMBER, *more)])
 
 
-def unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members, with the label of their component, of buckets that hold more than one component."""
-    label = components(links).withColumnRenamed("node", "n")
+def unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members, with the label of their component, of buckets that hold more than one component; and each node's link to its label, which stand for all links."""
+    found = components(links)
+    label = found.withColumnRenamed("node", "n")
     known = members.join(label, F.col("node") == F.col("n"), "left").select("bucket", "node", *MEMBER, F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(F.col("bucket").alias("b"))
-    return cut(known.join(mixed, F.col("bucket") == F.col("b"), "left_semi"))
+    return cut(known.join(mixed, F.col("bucket") == F.col("b"), "left_semi")), found.select(F.col("node").alias("u"), F.col("label").alias("v"))
 
 
 def open_pairs(left: DataFrame) -> int:
@@ -235,7 +236,7 @@ def near_classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
     stars = cut(others.join(leads, (F.col("a_bucket") == F.col("b_bucket")) & may_link(least)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
     links = cut(verified(stars, docs, least, width))
     # as long as the buckets hold many pairs of different components, each node against another, random one of its buckets
-    left = unsettled(members, links)
+    left, links = unsettled(members, links)
     for turn in range(TURNS):
         count, pairs = left.count(), open_pairs(left)
         if pairs <= 4 * count:
@@ -244,7 +245,7 @@ def near_classes(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
         leads = side(left.join(pick, (F.col("bucket") == F.col("b")) & (F.col("node") == F.col("pick"))), "b", "label")
         stars = side(left, "a", "label").join(leads, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") != F.col("b_label")) & may_link(least))
         links = cut(links.union(verified(cut(stars.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()), docs, least, width)))
-        left = unsettled(members, links)
+        left, links = unsettled(members, links)
     # then all pairs of different components in a bucket
     apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
     # a pair counts in the smallest bucket that both nodes are in

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # splitmix64: fixed values
@@ -130,17 +130,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) of every node of the undirected `edges` (u, v): the label is the smallest node of its component.
 
-    Large-star and small-star steps alternate until nothing changes. Each is an aggregate with map-side
-    combining and a join that Spark may split at a hot node; no neighbourhood is ever gathered in one task.
+    Large-star and small-star steps alternate until nothing changes. The large-star step is an aggregate with
+    map-side combining and a join that Spark may split at a hot node; after it a node's smaller neighbours are
+    the minima of its neighbourhood, which the small-star step takes by a window.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
+        large = both.join(low, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        # one shuffle by the larger node serves distinct and minimum; a node has few different ones left below it
+        small = large.repartition("u").distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = cut(small)
         # every edge points at its smallest neighbour; the state is unchanged when the stars are flat
