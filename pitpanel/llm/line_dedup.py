@@ -13,9 +13,10 @@ pairs that pass are compared exactly. Rarity comes from counters of a fixed size
 which may merge words: any order that is the same for all lines gives the same
 result. Words that occur once in the corpus are never posted.
 
-A word's classes are first compared with their earliest class. Only
-classes that it does not remove are compared with the others, so a passage
-with thousands of variants costs about one comparison for each.
+The posts are shuffled once by word and sorted within their partitions. A class is first
+verified with the earliest class that passes the filters. Only classes that have
+further partners and are not removed by it are compared with those, by the few words that
+they post, so a passage with thousands of variants costs about one comparison for each.
 
 One aggregate makes the classes, which are written once; a class is named by its first
 line. What remains of a document are its classes that nothing removes, so lines
@@ -51,10 +52,14 @@ TWICE_BITS = 25
 BITMAP_BITS = 23
 
 LINE = ("no_id", "doc_id", "rid", "line_no")
-POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words array<long>, places array<int>"
+POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words array<int>, places array<smallint>"
 #: A class by its first line; a null id counts as the largest, for the order only has to be one and the same.
 CLASS = ("at", "rid", "line_no")
 POST = (*CLASS, "n", "x", "y", "place")
+POSTS = "word int, place smallint, at long, rid long, line_no int, n int, x long, y long"
+#: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
+GATHERED = 1 << 17
+MAX_PLACE = (1 << 15) - 1
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def posts_of(classes: DataFrame, found: Broadcast) -> DataFrame:
             at = pa.array(of[keep])
             yield record(word=words[keep], place=places[keep], **{c: batch.column(c).take(at) for c in POST[:-1]})
 
-    return classes.select("words", "places", *POST[:-1]).mapInArrow(run, "word long, place int, at long, rid long, line_no int, n int, x long, y long")
+    return classes.select("words", "places", *POST[:-1]).mapInArrow(run, POSTS)
 
 
 def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +224,8 @@ def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             ids, rids = batch.column("doc_id").take(pa.array(owner)), batch.column("rid").take(pa.array(owner))
             yield record(
                 no_id=ids.is_null(), doc_id=ids, rid=rids, line_no=number.astype(np.int32), k1=k1, k2=k2, n=n.astype(np.int32), x=x, y=y,
-                words=pa.ListArray.from_arrays(pa.array(marks), pa.array(code[post].view(np.int64))), places=pa.ListArray.from_arrays(pa.array(marks), pa.array(place[post].astype(np.int32))),
+                words=pa.ListArray.from_arrays(pa.array(marks), pa.array((code[post] >> np.uint64(1)).astype(np.uint32).view(np.int32))),
+                places=pa.ListArray.from_arrays(pa.array(marks), pa.array(np.minimum(place[post], MAX_PLACE).astype(np.int16))),
             )
 
     return docs.mapInArrow(run, POSTED)
@@ -234,11 +240,12 @@ def name_bits(at, rid, line_no):
 
 def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Name and word hashes of the lines in `pairs`, found by a bitmap of fixed size; few others may come along."""
-    names = pairs.select(F.explode(F.array(*[name_bits(*[F.col(f"{s}_{c}") for c in CLASS]) for s in "ab"])).alias("name"))
+    names = pairs.select(F.explode(F.array(*[name_bits(*[F.col(f"{s}_{c}") for c in CLASS]) for s in "ab"], "a_rid", "b_rid")).alias("name"))
     marked = rows.sparkSession.sparkContext.broadcast(possible(names, "name", BITMAP_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
+            batch = batch.filter(pa.array(marked.value[slot(batch.column("rid").to_numpy(), BITMAP_BITS)]))
             owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
@@ -291,6 +298,59 @@ def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need & differ).select(*named("a"), *named("b")).distinct()
 
 
+def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted posts in runs that hold all posts of each of their words."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column("word").to_numpy()
+        cut = int(np.searchsorted(word, word[-1]))
+        if held and size + cut >= GATHERED and (cut or last != word[-1]):
+            yield from pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size, last = size + batch.num_rows, word[-1]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Of every class b, the earliest class a that passes the filters by some word, and whether others pass too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words_whole(batches):
+            word, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("word", "place", *POST[:-1]))
+            n, rest = n.astype(np.int64), n.astype(np.int64) - place
+            # bits are counted of unsigned numbers
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            start = np.searchsorted(word, word)
+            first, more = np.full(len(word), -1), np.zeros(len(word), bool)
+            # all classes against the first class of their word, then the second and so on; who has two partners is done
+            rank, b = 0, np.arange(len(word))
+            while True:
+                a = start[b] + rank
+                b, a = b[a < b], a[a < b]
+                if not len(b):
+                    break
+                good = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
+                hit, of = b[good], a[good]
+                differ = np.bitwise_count(x[of] ^ x[hit]).astype(np.int64) + np.bitwise_count(y[of] ^ y[hit])
+                near = (100 + percent) * differ <= (100 - percent) * (n[of] + n[hit])
+                near &= (at[of] != at[hit]) | (rid[of] != rid[hit]) | (line_no[of] != line_no[hit])
+                hit, of = hit[near], of[near]
+                new = first[hit] < 0
+                more[hit[~new]] = True
+                first[hit[new]] = of[new]
+                b, rank = b[~more[b]], rank + 1
+            b = np.flatnonzero(first >= 0)
+            yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", first[b]), ("b", b)) for c in CLASS}, more=more[b])
+
+    pairs = posts.repartition("word").sortWithinPartitions("word", *CLASS).mapInArrow(run, ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab") + ", more boolean")
+    a = F.struct(*named("a"))
+    return pairs.groupBy(*named("b")).agg(F.min(a).alias("a"), F.max(a).alias("z"), F.max("more").alias("more")).select("a.*", *named("b"), (F.col("more") | (F.col("a") != F.col("z"))).alias("more"))
+
+
 def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid and the numbers of the lines with words that stay, for documents that keep any."""
     rows = documents(docs)
@@ -299,13 +359,15 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = table(classes.select(at, *[f"l.{c}" for c in LINE], "n", "x", "y", "words", "places"), "classes")
     shared = rows.sparkSession.sparkContext.broadcast(shared_words(classes))
     posts = posts_of(classes, shared)
-    # first every line against the earliest line of each of its words
-    lead = posts.groupBy("word").agg(F.min(F.struct(*POST)).alias("l")).select("word", "l.*")
-    stars = table(compared(as_side(lead, "a"), as_side(posts, "b"), percent), "stars")
-    found = table(similar(stars, sets_of(rows, stars), percent), "found")
-    # then those that it leaves against all earlier lines
-    left = posts_of(classes.join(found, [*CLASS], "left_anti"), shared)
-    rest = table(compared(as_side(posts, "a"), as_side(left, "b"), percent).join(stars, [*named("a"), *named("b")], "left_anti"), "rest")
+    # first every class against its earliest possible partner
+    firsts = table(first_pairs(posts, percent), "firsts")
+    found = table(similar(firsts, sets_of(rows, firsts), percent), "found")
+    # then those that have others and are still there against all earlier classes
+    open_ = firsts.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS]).join(found, [*CLASS], "left_anti")
+    left = posts_of(table(classes.join(open_, [*CLASS], "left_semi").select("words", "places", *POST[:-1]), "open"), shared)
+    asked = rows.sparkSession.sparkContext.broadcast(np.packbits(possible(left, "word", TWICE_BITS)))
+    rest = compared(as_side(posts_of(classes, asked), "a"), as_side(left, "b"), percent)
+    rest = table(rest.join(firsts, [*named("a"), *named("b")], "left_anti"), "rest")
     more = similar(rest, sets_of(rows, rest), percent)
     gone = found.union(more)
     return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
