@@ -50,6 +50,8 @@ PERCENT = 80
 COUNTERS = 1 << 18
 TWICE_BITS = 25
 BITMAP_BITS = 23
+#: Bytes of text that are taken apart at a time.
+PORTION = 1_000_000
 
 LINE = ("no_id", "doc_id", "rid", "line_no")
 POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words array<int>, places array<smallint>"
@@ -113,7 +115,7 @@ class Frequencies:
 
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, seen = np.zeros(COUNTERS, np.int64), Twice()
-            for batch in portions(batches):
+            for batch in portions(batches, size=PORTION):
                 h = tokens(*bytes_of(batch.column("text")), WORDS).hash
                 counts += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 seen.add(h.view(np.int64))
@@ -208,7 +210,7 @@ def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = found.value
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):
             owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
@@ -244,7 +246,7 @@ def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     marked = rows.sparkSession.sparkContext.broadcast(possible(names, "name", BITMAP_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):
             batch = batch.filter(pa.array(marked.value[slot(batch.column("rid").to_numpy(), BITMAP_BITS)]))
             owner, number, of, words = lines_of(batch)
             if not len(owner):
@@ -377,7 +379,7 @@ def worded(rows: DataFrame) -> DataFrame:
     """One row per document: its number of lines, and the numbers of those with words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):
             owner, number, *_ = lines_of(batch)
             data, offsets = bytes_of(batch.column("text"))
             marks = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from .shared import GOLDEN, MIX1, mix
 
 SPACE = b" \t\n\v\f\r"
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def _classes(*groups: bytes, rest: int) -> np.ndarray:
