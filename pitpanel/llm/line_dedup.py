@@ -7,8 +7,8 @@ similarity of `PERCENT` or more with it. Lines without words stay.
 Lines with equal sets form a class, of which only the first line can stay. For
 the classes, the words of a line are ordered by rarity; two similar sets share a
 word among their first ones (prefix filter), are of similar size (length filter),
-and have enough words left behind the first shared one (positional filter). 128
-parities per set bound from below in how many words two sets differ. The
+and have enough words left behind the first shared one (positional filter). 32
+small counters per set bound from below in how many words two sets differ. The
 pairs that pass are compared exactly. Rarity comes from counters of a fixed size,
 which may merge words: any order that is the same for all lines gives the same
 result. Words that occur once in the corpus are never posted.
@@ -59,6 +59,7 @@ POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n
 CLASS = ("at", "rid", "line_no")
 POST = (*CLASS, "n", "x", "y", "place")
 POSTS = "word int, place smallint, at long, rid long, line_no int, n int, x long, y long"
+PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
 MAX_PLACE = (1 << 15) - 1
@@ -97,13 +98,25 @@ def identity(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
         return tuple(np.add.reduceat(mix(hashes * GOLDEN + np.uint64(salt)), start).view(np.int64) for salt in (1, 2)) if len(start) else (np.zeros(0, np.int64),) * 2
 
 
-def parities(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 parities of each set: every word flips one, so two sets differ in at least as many words as parities."""
+def counters(of: np.ndarray, hashes: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each set fall to each of 32 bins, modulo 16, as two numbers of sixteen 4-bit counters."""
     with np.errstate(over="ignore"):
-        bit = mix(hashes + GOLDEN) & np.uint64(127)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    halves = (np.where(bit < 64, one, np.uint64(0)), np.where(bit < 64, np.uint64(0), one))
-    return tuple(np.bitwise_xor.reduceat(v, start).view(np.int64) for v in halves)
+        bins = (mix(hashes + GOLDEN) & np.uint64(31)).astype(np.int64)
+    count = (np.bincount(of * 32 + bins, minlength=sets * 32).reshape(-1, 2, 16) & 15).astype(np.uint64)
+    both = np.bitwise_or.reduce(count << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+    return tuple(np.ascontiguousarray(both[:, i]).view(np.int64) for i in (0, 1))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over the sixteen counters of a and b of how far they are apart modulo 16: at least so many words differ."""
+    high, low, bytes_ = np.uint64(0x8888888888888888), np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    with np.errstate(over="ignore"):
+        # counters subtracted side by side, then those above 8 taken from 16
+        c = ((a | high) - (b & ~high)) ^ ((a ^ ~b) & high)
+        negative = (c & high) >> np.uint64(3)
+        c = (c ^ (negative * np.uint64(15))) + negative
+        return (((c & low) + ((c >> np.uint64(4)) & low)) * bytes_ >> np.uint64(56)).astype(np.int64)
 
 
 class Frequencies:
@@ -214,8 +227,8 @@ def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
-            _, h, start = as_sets(of, words.hash)
-            (k1, k2), (x, y) = identity(h, start), parities(h, start)
+            line, h, start = as_sets(of, words.hash)
+            (k1, k2), (x, y) = identity(h, start), counters(line, h, len(owner))
             of, code, start = as_sets(of, frequency.codes(words.hash))
             n = np.diff(np.append(start, len(of)))
             place = np.arange(len(of)) - start[of]
@@ -292,12 +305,19 @@ def as_side(posts: DataFrame, side: str) -> DataFrame:
 
 
 def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes, a's line before b's, that share a posted word and pass the length, positional and parity filters."""
+    """Pairs of classes, a's line before b's, that share a posted word and pass the length, positional and counter filters."""
     need = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_place, b_n - b_place)")
     sizes = (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n"))
-    differ = F.expr(f"{100 + percent} * (bit_count(a_x ^ b_x) + bit_count(a_y ^ b_y)) <= {100 - percent} * (a_n + b_n)")
     before = F.expr("a_at < b_at or (a_at = b_at and (a_rid < b_rid or (a_rid = b_rid and a_line_no < b_line_no)))")
-    return a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need & differ).select(*named("a"), *named("b")).distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ax, bx, ay, by, total = (batch.column(c).to_numpy() for c in ("a_x", "b_x", "a_y", "b_y", "total"))
+            near = batch.filter(pa.array((100 + percent) * (distance(ax, bx) + distance(ay, by)) <= (100 - percent) * total.astype(np.int64)))
+            yield record(**{c: near.column(c) for c in (*named("a"), *named("b"))})
+
+    pairs = a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need)
+    return pairs.select(*named("a"), *named("b"), "a_x", "b_x", "a_y", "b_y", (F.col("a_n") + F.col("b_n")).alias("total")).mapInArrow(run, PAIR).distinct()
 
 
 def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +344,6 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
         for batch in words_whole(batches):
             word, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("word", "place", *POST[:-1]))
             n, rest = n.astype(np.int64), n.astype(np.int64) - place
-            # bits are counted of unsigned numbers
-            x, y = x.view(np.uint64), y.view(np.uint64)
             start = np.searchsorted(word, word)
             first, more = np.full(len(word), -1), np.zeros(len(word), bool)
             # all classes against the first class of their word, then the second and so on; who has two partners is done
@@ -337,7 +355,7 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
                     break
                 good = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
                 hit, of = b[good], a[good]
-                differ = np.bitwise_count(x[of] ^ x[hit]).astype(np.int64) + np.bitwise_count(y[of] ^ y[hit])
+                differ = distance(x[of], x[hit]) + distance(y[of], y[hit])
                 near = (100 + percent) * differ <= (100 - percent) * (n[of] + n[hit])
                 near &= (at[of] != at[hit]) | (rid[of] != rid[hit]) | (line_no[of] != line_no[hit])
                 hit, of = hit[near], of[near]
@@ -348,7 +366,7 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
             b = np.flatnonzero(first >= 0)
             yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", first[b]), ("b", b)) for c in CLASS}, more=more[b])
 
-    pairs = posts.repartition("word").sortWithinPartitions("word", *CLASS).mapInArrow(run, ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab") + ", more boolean")
+    pairs = posts.repartition("word").sortWithinPartitions("word", *CLASS).mapInArrow(run, f"{PAIR}, more boolean")
     a = F.struct(*named("a"))
     return pairs.groupBy(*named("b")).agg(F.min(a).alias("a"), F.max(a).alias("z"), F.max("more").alias("more")).select("a.*", *named("b"), (F.col("more") | (F.col("a") != F.col("z"))).alias("more"))
 
