@@ -9,7 +9,11 @@ network with cycle walking, so equal values, however they are spaced, get
 equal pseudonyms in every document, different values different ones, and whoever
 holds the key can undo it.
 
-Whatever is not valid stays as it is. Defined results: null text stays null and
+Whatever is not valid stays as it is. Where digit groups stand side by side, cards of a
+usual shape are found first, then other cards and telephone numbers, from every group
+on; undoing is exact unless a neighbour and a pseudonym by chance read as another valid
+number. Letters of other scripts give letters of their script; an e-mail address without
+a letter or digit to permute is no find. Defined results: null text stays null and
 has no finds; an empty text is unchanged; repeated rows give equal results; an
 empty table gives no rows.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -36,6 +41,8 @@ KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 MONTHS = "January February March April May June July August September October November December".split()  # fixed values
 FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
+CARD_FORM = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+PHONE_FORM = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9])"
 PATTERN = re.compile(
     r"(?P<email>[\w.+%-]*\w[\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))"
     r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)[A-Za-z0-9_+/=-]{12,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b)"
@@ -43,9 +50,14 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\5[0-9]{4}|[0-9]{1,2}\ (?:" + "|".join(MONTHS) + r")\ [0-9]{4}|(?:" + "|".join(MONTHS) + r")\ [0-9]{1,2},\ [0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![0-9])(?<![0-9][ .-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9]))"
+    r"|(?P<card>" + CARD_FORM + r")"
+    r"|(?P<phone>" + PHONE_FORM + r")"
 )
+CARD, PHONE = re.compile(CARD_FORM), re.compile(PHONE_FORM)
+#: Cards as they are printed, which go before other readings of the same digits; what reads as a telephone number.
+USUAL = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
+SPOKEN = re.compile(r"[0-9]{2,4}(?:[ .-][0-9]{2,5}){2,4}")
+GROUP, GROUP_END = re.compile(r"(?<![0-9])[0-9]"), re.compile(r"(?<=[0-9])(?=[ .-])")
 #: A line without any of these cannot hold a find, and no find spans lines; a cheap first test.
 HINT = re.compile(r"[0-9@=:_]|AKIA|sk-")
 
@@ -80,11 +92,21 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 HEX, LATIN = "0123456789abcdef", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
 
 
+@lru_cache(1 << 16)
+def alphabet(char: str) -> str:
+    """What may stand for a character: its class, in other scripts the letters or digits of its kind in its part of the code table."""
+    known = next((a for a in (LOWER, UPPER, DIGITS, LATIN) if char in a), None)
+    if known or not char.isalnum():
+        return known or char
+    part, kind = ord(char) & ~0x7F, unicodedata.category(char)
+    return "".join(c for c in map(chr, range(part, part + 0x80)) if unicodedata.category(c) == kind and c.isalnum() and not any(c in a for a in (LOWER, UPPER, DIGITS, LATIN)))
+
+
 def alphabets(text: str, hexadecimal: bool) -> list[str]:
     """The characters that may stand at each place, by the class of the one that does."""
     if hexadecimal and all(c in HEX for c in text):
         return [HEX] * len(text)
-    return [next((a for a in (LOWER, UPPER, DIGITS, LATIN) if c in a), c) for c in text]
+    return [alphabet(c) for c in text]
 
 
 def respell(text: str, tweak: bytes, key: bytes, backwards: bool = False, hexadecimal: bool = False) -> str:
@@ -124,14 +146,19 @@ def card(text: str, key: bytes, back: bool) -> str | None:
     return refill(text, body + str(luhn(body)))
 
 
+def iban_size(plain: str) -> int:
+    """How many characters make the longest valid account number at the start, 0 if none do; words in capitals may follow."""
+    return next((n for n in range(len(plain), 14, -1) if iban_check(plain[:2], plain[4:n]) == plain[2:4]), 0)
+
+
 def iban(text: str, key: bytes, back: bool) -> str | None:
     plain = text.replace(" ", "")
-    for n in range(len(plain), 14, -1):  # words in capitals may follow
-        country, check, account = plain[:2], plain[2:4], plain[4:n]
-        if iban_check(country, account) == check:
-            new = respell(account, b"iban" + country.encode(), key, back)
-            return refill(text, country + iban_check(country, new) + new + plain[n:])
-    return None
+    n = iban_size(plain)
+    if not n:
+        return None
+    country = plain[:2]
+    new = respell(plain[4:n], b"iban" + country.encode(), key, back)
+    return refill(text, country + iban_check(country, new) + new + plain[n:])
 
 
 def ssn(text: str, key: bytes, back: bool) -> str | None:
@@ -203,6 +230,8 @@ def calendar(text: str, key: bytes, back: bool) -> str | None:
 def email(text: str, key: bytes, back: bool) -> str | None:
     local, _, domain = text.rpartition("@")
     host, dot, top = domain.rpartition(".")
+    if all(len(a) < 2 for a in alphabets(local, False)):
+        return None
     return respell(local, b"local", key, back) + "@" + host + dot + top
 
 
@@ -220,6 +249,69 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, backwards: bool = False) -
     return MAKE[kind](text, key, backwards)
 
 
+def ends(m: re.Match) -> list[int]:
+    """Where the match and its shorter forms of whole groups end, longest first."""
+    return [m.end(), *[m.start() + x.start() for x in GROUP_END.finditer(m[0])][::-1]]
+
+
+def card_at(line: str, at: int, limit: int, key: bytes, back: bool) -> tuple[int, int, bool] | None:
+    """Start and end of the valid card that begins at a group, and whether its shape is a usual one."""
+    m = CARD.match(line, at, limit)
+    found = [e for e in (ends(m) if m else []) if CARD.fullmatch(line, at, e) and pseudonym("card", line[at:e], key, back) is not None]
+    usual = next((e for e in found if USUAL.fullmatch(line, at, e)), None)
+    return (at, usual or found[0], usual is not None) if found else None
+
+
+def phones_at(line: str, at: int, limit: int, key: bytes, back: bool) -> list[int]:
+    """Ends of the telephone numbers that begin at `at`, longest first."""
+    m = PHONE.match(line, at, limit)
+    return [e for e in (ends(m) if m else []) if PHONE.fullmatch(line, at, e) and pseudonym("phone", line[at:e], key, back) is not None]
+
+
+def number(line: str, m: re.Match, limit: int, key: bytes, back: bool) -> tuple[str, int, int] | None:
+    """The value to take first from groups of digits: a usual card, another card at the start, a telephone number as long as the match, and what is inside."""
+    cards = [c for x in GROUP.finditer(m[0]) if (c := card_at(line, m.start() + x.start(), limit, key, back))]
+    if (usual := next((c for c in cards if c[2] and line[c[0] - 1 : c[0]] != "+"), None)) is not None:
+        return "card", *usual[:2]
+    if cards and cards[0][0] == m.start():
+        return "card", *cards[0][:2]
+    if (m.lastgroup == "phone" or SPOKEN.fullmatch(m[0])) and pseudonym("phone", m[0], key, back) is not None:
+        return "phone", *m.span()
+    phones = phones_at(line, m.start(), limit, key, back)
+    split = next((e for e in phones if card_at(line, e + 1, limit, key, back) or phones_at(line, e + 1, limit, key, back)), None)
+    if split is not None:  # a valid number follows
+        return "phone", m.start(), split
+    if cards:
+        return "card", *cards[0][:2]
+    return ("phone", m.start(), phones[0]) if phones else None
+
+
+def values(line: str, start: int, limit: int, key: bytes, back: bool) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of each valid value; behind one that is not valid the search goes on at its next group."""
+    wrong = 0  # end of a card with a wrong check digit, whose groups are no telephone number
+    while (m := PATTERN.search(line, start, limit)) is not None:
+        kind, at, start = m.lastgroup, m.start(), m.end()
+        if kind in ("card", "phone"):
+            found = number(line, m, limit, key, back)
+            if USUAL.fullmatch(m[0]):
+                wrong = max(wrong, m.end())
+            if found is None or (found[0] == "phone" and found[2] <= wrong):
+                start = next((at + x.start() for x in GROUP.finditer(m[0], 1)), start)
+                continue
+            if found[1] > at:
+                yield from values(line, at, found[1] - 1, key, back)
+            yield found
+            start = found[2]
+        elif kind == "iban":
+            n = iban_size(m[0].replace(" ", ""))
+            places = [i for i, c in enumerate(m[0], at + 1) if c != " "]
+            if n:
+                yield kind, at, places[n - 1]
+            start = places[n - 1] if n else at + len(m[0].split(" ")[0])
+        elif pseudonym(kind, m[0], key, back) is not None:
+            yield kind, at, start
+
+
 def rewrite(text: str, key: bytes = KEY, backwards: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value in the original."""
     finds, out, done, start = [], [], 0, 0
@@ -228,16 +320,11 @@ def rewrite(text: str, key: bytes = KEY, backwards: bool = False) -> tuple[str,
         end = text.find("\n", hint.start())
         end = len(text) if end < 0 else end
         start = end + 1
-        for m in PATTERN.finditer(text[first:end]):
-            kind = m.lastgroup
-            new = pseudonym(kind, m[0], key, backwards)
-            if new is None and kind == "card" and re.fullmatch(r"[0-9]{2,4}(?:[ .-][0-9]{2,5}){2,4}", m[0]):
-                # not a valid card number, but it reads as a telephone number
-                kind, new = "phone", pseudonym("phone", m[0], key, backwards)
-            if new is not None:
-                finds.append((kind, first + m.start(), first + m.end()))
-                out += [text[done : first + m.start()], new]
-                done = first + m.end()
+        line = text[first:end]
+        for kind, a, b in values(line, 0, len(line), key, backwards):
+            finds.append((kind, first + a, first + b))
+            out += [text[done : first + a], pseudonym(kind, line[a:b], key, backwards)]
+            done = first + b
     return "".join(out) + text[done:], finds
 
 

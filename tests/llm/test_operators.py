@@ -302,6 +302,33 @@ def test_pseudonyms_keep_format_and_can_be_undone(kind, value):
     assert re.sub(r"\b0", "", back) == re.sub(r"\b0", "", f"x {value} y")
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        ["7536784127813050", "4845168114407329"],
+        ["10.0.0.1", "4539148803436467"],
+        ["DE89 3704 0044 0532 0130 00", "030 1234 5678"],
+        ["030 1234 5678", "4539 1488 0343 6467"],
+        ["030 1234 5678", "040 2345 6789"],
+        ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467"],
+    ],
+)
+def test_pseudonyms_of_adjacent_values(values):
+    assert rewrite(" ".join(values))[0] == " ".join(rewrite(v)[0] for v in values)
+    assert all(rewrite(v)[0] != v for v in values)
+
+
+def test_pseudonyms_beside_other_groups_and_scripts():
+    card = rewrite("4539 1488 0343 6467")[0]
+    for before in ("12 ", "2023 ", "US12 "):
+        assert rewrite(before + "4539 1488 0343 6467")[0] == before + card
+    assert rewrite("12 4539148803436467")[0] == "12 " + card.replace(" ", "")
+    new, finds = rewrite("иван@example.com")
+    assert new != "иван@example.com" and [k for k, *_ in finds] == ["email"]
+    assert rewrite(new, backwards=True)[0] == "иван@example.com"
+    assert rewrite("_@example.com") == ("_@example.com", [])
+
+
 def test_pseudonyms_link_and_leave_the_rest():
     a, b = rewrite("4539 1488 0343 6467")[0], rewrite("4539-1488-0343-6467")[0]
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
