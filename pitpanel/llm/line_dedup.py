@@ -13,7 +13,11 @@ pairs that pass are compared exactly. Rarity comes from counters of a fixed size
 which may merge words: any order that is the same for all lines gives the same
 result. Words that occur once in the corpus are never posted.
 
-The posts are shuffled once by word and sorted within their partitions. A class is first
+The posts are shuffled once by word and sorted within their partitions. Posts of a word
+with more than `BLOCK` of them are dealt out by bands of set sizes and random blocks: each
+goes to the cells of its own band and block with every band that its length and positional
+filters allow and every block, so two classes that may be similar meet in one cell, which is of
+bounded size, and cells without an opposite side compare nothing. A class is first
 verified with the earliest class that passes the filters. Only classes that have
 further partners and are not removed by it are compared with those, by the few words that
 they post, so a passage with thousands of variants costs about one comparison for each.
@@ -47,7 +51,8 @@ from .words import LINES, WORDS, Tokens, bytes_of, counted, tokens
 
 #: Parameters: least Jaccard similarity in percent, counters of rarity, bits of the bitmap of words that occur twice, bits of the bitmap of compared lines.
 PERCENT = 80
-COUNTERS = 1 << 18
+COUNTER_BITS = 18
+COUNTERS = 1 << COUNTER_BITS
 TWICE_BITS = 25
 BITMAP_BITS = 23
 #: Bytes of text that are taken apart at a time.
@@ -58,10 +63,14 @@ POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n
 #: A class by its first line; a null id counts as the largest, for the order only has to be one and the same.
 CLASS = ("at", "rid", "line_no")
 POST = (*CLASS, "n", "x", "y", "place")
-POSTS = "word int, place smallint, at long, rid long, line_no int, n int, x long, y long"
+#: A key is the word (32 bits), its cell (30) and the side of the cell (2): 0 where all compare with all, otherwise 1 with 2.
+POSTS = "key long, place smallint, at long, rid long, line_no int, n int, x long, y long"
 PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
+#: Posts above which a word is dealt out to cells, and which a side of a cell has on average; sizes up to which a band is one size, then their ratio.
+BLOCK = 1 << 15
+EXACT_BANDS, BAND_RATIO = 16, 1.1
 MAX_PLACE = (1 << 15) - 1
 
 
@@ -184,35 +193,75 @@ def is_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
 
-def shared_words(classes: DataFrame) -> np.ndarray:
-    """Bitmap of the words that more than one class posts."""
+def shared_words(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap of the words that more than one class posts, and by counters of a fixed size into how many blocks a word's posts go."""
+    pieces = COUNTERS // CHUNK
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Twice()
+        counts, seen = np.zeros(COUNTERS, np.int64), Twice()
         for batch in batches:
-            seen.add(batch.column("words").flatten().to_numpy())
-        yield from packed(seen.words())
+            words = batch.column("words").flatten().to_numpy()
+            counts += np.bincount(slot(words, COUNTER_BITS), minlength=COUNTERS)
+            seen.add(words)
+        yield from packed(np.concatenate([counts, seen.words()]))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(either, (np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"]))
+        parts = (np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
+        total = reduce(np.add if pdf["chunk"].iloc[0] < pieces else either, parts)
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
-    out = np.zeros(2 * (1 << TWICE_BITS) // 64, np.int64)
+    out = np.zeros(COUNTERS + 2 * (1 << TWICE_BITS) // 64, np.int64)
     for row in classes.select("words").mapInArrow(run, PACKED).groupBy("chunk").applyInPandas(merge, PACKED).collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["data"]), np.int64)
-    return twice_of(out)
+    return twice_of(out[COUNTERS:]), -(-out[:COUNTERS] // BLOCK)
+
+
+def band(n: np.ndarray) -> np.ndarray:
+    """A number that grows with the size of a set, the same for sizes that are close."""
+    over = np.log(np.maximum(n, EXACT_BANDS) / EXACT_BANDS) / np.log(BAND_RATIO)
+    return np.minimum(n, EXACT_BANDS) + np.ceil(over).astype(np.int64)
+
+
+def cells(word: np.ndarray, n: np.ndarray, place: np.ndarray, name: np.ndarray, blocks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of posts, the index and the key of each of their copies: one for words of a block, otherwise one for every cell where a partner may be."""
+    word, n, place = (v.astype(np.int64) for v in (word, n, place))
+    k = blocks[slot(word, COUNTER_BITS)]
+    key, one = word << 32, k <= 1
+    if one.all():
+        return np.arange(len(word)), key
+    hot = np.flatnonzero(~one)
+    n, k = n[hot], k[hot]
+    least = -(-percent * n // 100)
+    most = np.minimum(100 * n // percent, (100 + percent) * (n - place[hot]) // percent - n)
+    low, copies = band(least), np.where(most < least, 0, (band(np.maximum(most, least)) - band(least) + 1) * k)
+    of = np.repeat(np.arange(len(hot)), copies)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(copies) - copies, copies)
+    own = band(n) << 32 | (mix(name[hot].view(np.uint64) + GOLDEN) % k.astype(np.uint64)).astype(np.int64)
+    own, other = own[of], (low[of] + step // k[of]) << 32 | step % k[of]
+    side = np.where(own == other, 0, np.where(own < other, 1, 2))
+    with np.errstate(over="ignore"):
+        both = mix(mix(np.minimum(own, other).view(np.uint64)) + np.maximum(own, other).view(np.uint64))
+    cell = (both >> np.uint64(34)).astype(np.int64)
+    return np.concatenate([np.flatnonzero(one), hot[of]]), np.concatenate([key[one], key[hot[of]] | cell << 2 | side])
 
 
-def posts_of(classes: DataFrame, found: Broadcast) -> DataFrame:
-    """One row per class and word that it may share with another class, by the bitmap `found`."""
+def posts_of(classes: DataFrame, found: Broadcast, percent: int) -> DataFrame:
+    """One row per class, word that it may share with another class by the bitmap in `found`, and cell of the word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, blocks = found.value
         for batch in batches:
             words, places = (batch.column(c).flatten().to_numpy() for c in ("words", "places"))
             of = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
-            keep = np.flatnonzero(is_set(found.value, words))
-            at = pa.array(of[keep])
-            yield record(word=words[keep], place=places[keep], **{c: batch.column(c).take(at) for c in POST[:-1]})
+            keep = np.flatnonzero(is_set(bitmap, words))
+            names = name_bits(*[batch.column(c).to_numpy() for c in ("at", "rid")], batch.column("line_no").to_numpy().astype(np.int64))
+            most = int(blocks[slot(words[keep], COUNTER_BITS)].max(initial=1))
+            size = max(1, len(keep) if most <= 1 else GATHERED // (8 * most))
+            for i in range(0, len(keep), size):
+                part = keep[i : i + size]
+                copy, key = cells(words[part], batch.column("n").to_numpy()[of[part]], places[part], names[of[part]], blocks, percent)
+                at = pa.array(of[part[copy]])
+                yield record(key=key, place=places[part[copy]], **{c: batch.column(c).take(at) for c in POST[:-1]})
 
     return classes.select("words", "places", *POST[:-1]).mapInArrow(run, POSTS)
 
@@ -301,7 +350,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def as_side(posts: DataFrame, side: str) -> DataFrame:
-    return posts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("word", *POST)])
+    return posts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", *POST)])
 
 
 def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
@@ -316,17 +365,17 @@ def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
             near = batch.filter(pa.array((100 + percent) * (distance(ax, bx) + distance(ay, by)) <= (100 - percent) * total.astype(np.int64)))
             yield record(**{c: near.column(c) for c in (*named("a"), *named("b"))})
 
-    pairs = a.join(b, (F.col("a_word") == F.col("b_word")) & before & sizes & need)
+    pairs = a.join(b, (F.shiftright("a_key", 2) == F.shiftright("b_key", 2)) & F.expr("(a_key & 3) + (b_key & 3) in (0, 3)") & before & sizes & need)
     return pairs.select(*named("a"), *named("b"), "a_x", "b_x", "a_y", "b_y", (F.col("a_n") + F.col("b_n")).alias("total")).mapInArrow(run, PAIR).distinct()
 
 
 def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted posts in runs that hold all posts of each of their words."""
+    """Sorted posts in runs that hold all posts of each of their words, or of each cell of a word."""
     held, size, last = [], 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        word = batch.column("word").to_numpy()
+        word = batch.column("key").to_numpy() >> 2
         cut = int(np.searchsorted(word, word[-1]))
         if held and size + cut >= GATHERED and (cut or last != word[-1]):
             yield from pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
@@ -337,20 +386,37 @@ def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def opposite(key: np.ndarray, at: np.ndarray, rid: np.ndarray, line_no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sorted post, where the posts begin and end that it is compared with: those before it on its cell's other side."""
+    side = key & 3
+    start, stop = np.searchsorted(key, key), np.arange(len(key))
+    if side.any():
+        order = np.empty(len(key), np.int64)
+        order[np.lexsort((line_no, rid, at))] = np.arange(len(key))
+        other = key + np.array([0, 1, -1])[side]
+        begin, end = np.searchsorted(key, other), np.searchsorted(key, other, "right")
+        # runs of a key by number, so that number and order together ascend
+        run = np.searchsorted(np.unique(key), key)
+        before = np.searchsorted(run * len(key) + order, run[np.minimum(begin, len(key) - 1)] * len(key) + order)
+        cross = side > 0
+        start[cross], stop[cross] = begin[cross], np.where(begin < end, np.clip(before, begin, end), begin)[cross]
+    return start, stop
+
+
 def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """Of every class b, the earliest class a that passes the filters by some word, and whether others pass too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words_whole(batches):
-            word, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("word", "place", *POST[:-1]))
+            key, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("key", "place", *POST[:-1]))
             n, rest = n.astype(np.int64), n.astype(np.int64) - place
-            start = np.searchsorted(word, word)
-            first, more = np.full(len(word), -1), np.zeros(len(word), bool)
+            start, stop = opposite(key, at, rid, line_no)
+            first, more = np.full(len(key), -1), np.zeros(len(key), bool)
             # all classes against the first class of their word, then the second and so on; who has two partners is done
-            rank, b = 0, np.arange(len(word))
+            rank, b = 0, np.arange(len(key))
             while True:
                 a = start[b] + rank
-                b, a = b[a < b], a[a < b]
+                b, a = b[a < stop[b]], a[a < stop[b]]
                 if not len(b):
                     break
                 good = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
@@ -366,7 +432,7 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
             b = np.flatnonzero(first >= 0)
             yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", first[b]), ("b", b)) for c in CLASS}, more=more[b])
 
-    pairs = posts.repartition("word").sortWithinPartitions("word", *CLASS).mapInArrow(run, f"{PAIR}, more boolean")
+    pairs = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", *CLASS).mapInArrow(run, f"{PAIR}, more boolean")
     a = F.struct(*named("a"))
     return pairs.groupBy(*named("b")).agg(F.min(a).alias("a"), F.max(a).alias("z"), F.max("more").alias("more")).select("a.*", *named("b"), (F.col("more") | (F.col("a") != F.col("z"))).alias("more"))
 
@@ -377,16 +443,18 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = posted(rows, percent).groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("l"), *[F.first(c).alias(c) for c in ("n", "x", "y", "words", "places")])
     at = F.coalesce("l.doc_id", F.lit((1 << 63) - 1)).alias("at")
     classes = table(classes.select(at, *[f"l.{c}" for c in LINE], "n", "x", "y", "words", "places"), "classes")
-    shared = rows.sparkSession.sparkContext.broadcast(shared_words(classes))
-    posts = posts_of(classes, shared)
+    bitmap, blocks = shared_words(classes)
+    shared = rows.sparkSession.sparkContext.broadcast((bitmap, blocks))
+    posts = posts_of(classes, shared, percent)
     # first every class against its earliest possible partner
     firsts = table(first_pairs(posts, percent), "firsts")
     found = table(similar(firsts, sets_of(rows, firsts), percent), "found")
     # then those that have others and are still there against all earlier classes
     open_ = firsts.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS]).join(found, [*CLASS], "left_anti")
-    left = posts_of(table(classes.join(open_, [*CLASS], "left_semi").select("words", "places", *POST[:-1]), "open"), shared)
-    asked = rows.sparkSession.sparkContext.broadcast(np.packbits(possible(left, "word", TWICE_BITS)))
-    rest = compared(as_side(posts_of(classes, asked), "a"), as_side(left, "b"), percent)
+    left = posts_of(table(classes.join(open_, [*CLASS], "left_semi").select("words", "places", *POST[:-1]), "open"), shared, percent)
+    words = left.select(F.shiftright("key", 32).cast("int").alias("word"))
+    asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)), blocks))
+    rest = compared(as_side(posts_of(classes, asked, percent), "a"), as_side(left, "b"), percent)
     rest = table(rest.join(firsts, [*named("a"), *named("b")], "left_anti"), "rest")
     more = similar(rest, sets_of(rows, rest), percent)
     gone = found.union(more)

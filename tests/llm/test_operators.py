@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.llm import pii, warc
+from pitpanel.llm import line_dedup, pii, warc
 from pitpanel.llm.exact_dedup import Patricia, exact_dedup
 from pitpanel.llm.line_dedup import removed_lines, without_lines
 from pitpanel.llm.near_dedup import near_classes
@@ -221,6 +221,23 @@ def test_line_dedup(docs, rows, none):
     assert removed_lines(none).count() == 0
 
 
+def test_line_dedup_in_cells(docs, rows, none, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    test_line_dedup(docs, rows, none)
+
+
+def test_line_dedup_of_a_hot_word(spark, monkeypatch):
+    """100,000 variants of one template share a posted word: nothing is removed but the one similar line, and no cell is large."""
+    text = "\n".join(f"Page v{i} of part three" for i in range(100_000))
+    frame = spark.createDataFrame([(1, text), (2, "Page of part three"), (3, "Page v7 of part three")], "doc_id long, text string")
+    posts, made = [], line_dedup.first_pairs
+    monkeypatch.setattr(line_dedup, "first_pairs", lambda p, percent: posts.append(p) or made(p, percent))
+    got = {r.doc_id: r.removed_lines for r in removed_lines(frame).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}
+    largest = posts[0].groupBy(F.shiftright("key", 2)).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * line_dedup.BLOCK
+
+
 def test_near_classes(docs, rows, none):
     bags, parent = {}, {}
     for i, x, *_ in rows:
