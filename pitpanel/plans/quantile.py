@@ -156,15 +156,20 @@ def ridge_quantiles(spark, sf):
 
 @query("leaf_quantiles")
 def leaf_quantiles(spark, sf, k: int = 3):
-    """Quantile regression by leaves: one tree over all entities, then exact quantiles of the training outcomes per (entity, leaf)."""
+    """Quantile regression by leaves: one tree over all entities, then exact quantiles of the training outcomes per (entity, leaf),
+    or of the leaf over all entities where the entity has no training row in it."""
     w = C.by_entity("entity")
     fw = P.feature_frame(spark, sf).withColumn("yk", Q.log_forward("px", k, w))
     x = VectorAssembler(inputCols=list(V.FEATURES), outputCol="v").transform(fw)
     train = x.filter((F.col("part") == "learn") & F.col("yk").isNotNull())
     tree = DecisionTreeRegressor(featuresCol="v", labelCol="yk", maxDepth=2, minInstancesPerNode=10, leafCol="leaf", seed=0).fit(train)
-    leaves = tree.transform(train).groupBy("entity", "leaf").agg(F.percentile("yk", list(Q.LEVELS)).alias("q"), F.count(F.lit(1)).alias("n"))
+    fitted = tree.transform(train)
+    found = lambda q, n: (F.percentile("yk", list(Q.LEVELS)).alias(q), F.count(F.lit(1)).alias(n))
+    leaves = fitted.groupBy("entity", "leaf").agg(*found("q", "n"))
+    pooled = fitted.groupBy("leaf").agg(*found("pooled_q", "pooled_n"))
     now = tree.transform(x.filter(F.col("part") == "test")).select("entity", "month", "leaf", "yk")
-    j = now.join(leaves, ["entity", "leaf"])
+    j = now.join(leaves, ["entity", "leaf"], "left").join(pooled, "leaf", "left")
+    j = j.withColumns({"n": F.coalesce("n", "pooled_n"), "q": F.coalesce("q", "pooled_q")})
     return C.rounded(j.select("entity", "month", "leaf", "n", "yk", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
 
 

@@ -292,3 +292,15 @@ def test_store_notices_rewritten_tables(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(f"{path}/t.parquet")
     os.utime(f"{path}/t.parquet", (2e9, 2e9))
     assert (get(), len(calls)) == (5, 2)
+
+
+def test_leaf_quantiles_keep_every_test_row(spark):
+    """A leaf in which an entity was never trained takes the quantiles of all entities."""
+    import __spark_entry__ as entry
+    from pitpanel.plans import common as P
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.entity, r.month) for r in P.feature_frame(spark, sf).filter("part = 'test'").collect()}
+    got = entry.queries()["leaf_quantiles"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.entity, r.month) for r in got} == want
+    assert all(r.n and r.q2 is not None for r in got)
