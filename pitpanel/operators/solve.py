@@ -149,8 +149,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 0.3, iters: int = 50):
     return w[0], w[1:], mean, sd
 
 
-def walk_forward_logit(df: DataFrame, features, h: int, step: int, cut: str = "c1", keys=("entity",), min_rows: int = 36) -> DataFrame:
-    """Probability that y > 0 for every row from `cut` on, refit every `step` rows on rows known before refit - h.
+def walk_forward_logit(df: DataFrame, features, h: int, step: int | None, cut: str = "c1", keys=("entity",), min_rows: int = 36) -> DataFrame:
+    """Probability that y > 0 for every row from `cut` on, refit every `step` rows (None: fit once, at `cut`) on rows known before refit - h.
 
     One group is one key's calendar (rows were aggregated per period upstream).
     """
@@ -164,11 +164,12 @@ def walk_forward_logit(df: DataFrame, features, h: int, step: int, cut: str = "c
         x, y = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float)
         known, lab = ~np.isnan(y), (y > 0).astype(float)
         out = []
-        for s0 in range(int(pdf[cut].iloc[0]), len(pdf), step):
+        every = step or max(len(pdf), 1)
+        for s0 in range(int(pdf[cut].iloc[0]), len(pdf), every):
             tr = np.flatnonzero(known[: max(s0 - h, 0)])
             if len(tr) < min_rows:
                 continue
-            te = np.arange(s0, min(s0 + step, len(pdf)))
+            te = np.arange(s0, min(s0 + every, len(pdf)))
             base = lab[tr].mean()
             if base in (0.0, 1.0):
                 p = np.full(len(te), base)

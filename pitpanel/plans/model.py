@@ -124,12 +124,17 @@ for _kind in ("logistic", "forest", "boosting"):
     query(f"pooled_{_kind}")(pooled(_kind))
 
 
-SCAN = (1, 3, 6)
+#: Look-aheads of the scan, and the rows to learn from and to validate on that a choice needs.
+SCAN = (1, 2, 3, 6, 9, 12)
+SCAN_LEARN, SCAN_VALID = 36, 10
 
 
 @query("horizon_scan")
 def horizon_scan(spark, sf):
-    """Rule and classifier rank correlation per look-ahead inside the learn period, and the stable choice."""
+    """Rule and classifier rank correlation per look-ahead inside the learn period, and the stable choice.
+
+    Every entity has a row per look-ahead; its scores are null where there are fewer than SCAN_LEARN or SCAN_VALID rows.
+    """
     w = C.by_entity("entity")
     fw = P.feature_frame(spark, sf)
     each = [F.struct(F.lit(h).alias("horizon"), C.forward_return("px", h, w).alias("yh")) for h in SCAN]
@@ -139,9 +144,11 @@ def horizon_scan(spark, sf):
     n = F.count("y").over(Window.partitionBy("entity", "horizon"))
     size = F.greatest(F.floor(F.col("_n") * F.lit(0.85)) - h, F.lit(0))
     fw = fw.withColumn("_n", n).withColumn("_k", F.floor(size * F.lit(0.7)))
-    fw = fw.filter(F.col("y").isNotNull() & (F.col("pos") < size)).withColumn("learn", F.col("pos") < F.col("_k") - h)
-    fw = fw.withColumn("valid", F.col("pos") >= F.col("_k"))
     keys = ["entity", "horizon"]
+    fw = fw.withColumn("_in", F.col("y").isNotNull() & (F.col("pos") < size)).withColumn("learn", F.col("pos") < F.col("_k") - h)
+    fw = fw.withColumn("valid", F.col("pos") >= F.col("_k"))
+    sizes = fw.groupBy(*keys).agg(*[F.count(F.when(F.col("_in") & F.col(c), 1)).alias(a) for c, a in (("learn", "_a"), ("valid", "n_val"))])
+    fw = fw.filter("_in").drop("_in").join(sizes.filter((F.col("_a") >= SCAN_LEARN) & (F.col("n_val") >= SCAN_VALID)).select(*keys), keys, "left_semi")
     fl = T.long_form(fw, V.FEATURES, ("entity", "horizon", "pos", "y", "learn", "valid"))
     scores = []
     for hz in SCAN:  # the HAC lag count is a literal per horizon, the rest is one plan each
@@ -153,14 +160,14 @@ def horizon_scan(spark, sf):
     v = rules.filter("valid")
     half = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) > F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2)
     v = v.withColumn("half", half.cast("int"))
-    full = ST.rank_ic(v, keys, "score", "y", "rules_ic").withColumnRenamed("n", "n_val")
+    full = ST.rank_ic(v, keys, "score", "y", "rules_ic").drop("n")
     by_half = ST.rank_ic(v, [*keys, "half"], "score", "y", "hic").groupBy(*keys).agg(
         F.when(F.count("hic") == 2, F.min("hic")).alias("rules_stab")
     )
     fitted = SV.walk_forward_logit(fw.withColumn("c1", F.col("_k").cast("int")).withColumn("y", F.when(F.col("learn") | F.col("valid"), F.col("y"))),
-                                   V.FEATURES, 0, 10_000, keys=keys, min_rows=20)
+                                   V.FEATURES, 0, None, keys=keys, min_rows=SCAN_LEARN)
     ml = ST.rank_ic(fitted.join(v.select(*keys, "pos", "y"), [*keys, "pos"]), keys, "p", "y", "ml_ic").drop("n")
-    out = full.join(by_half, keys, "left").join(ml, keys, "left")
+    out = sizes.drop("_a").join(full, keys, "left").join(by_half, keys, "left").join(ml, keys, "left").select(*keys, "rules_ic", "n_val", "rules_stab", "ml_ic")
     out = out.withColumns({"combined": C.row_mean("rules_ic", "ml_ic"), "stable": F.col("rules_stab")})
     pick = F.coalesce(
         F.max_by("horizon", "stable").over(Window.partitionBy("entity")),

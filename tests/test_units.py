@@ -304,3 +304,15 @@ def test_leaf_quantiles_keep_every_test_row(spark):
     got = entry.queries()["leaf_quantiles"](spark, sf).collect()
     assert len(got) == len(want) and {(r.entity, r.month) for r in got} == want
     assert all(r.n and r.q2 is not None for r in got)
+
+
+def test_horizon_scan_tries_all_horizons(spark):
+    """Every entity has a row for each of the six look-aheads, with scores only where there are enough rows."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["horizon_scan"](spark, "/root/testdata/sf0.001").collect()
+    by_entity = {}
+    for r in got:
+        by_entity.setdefault(r.entity, []).append(r.horizon)
+        assert r.n_val >= 10 or (r.rules_ic is None and r.ml_ic is None)
+    assert by_entity and all(sorted(v) == [1, 2, 3, 6, 9, 12] for v in by_entity.values())
