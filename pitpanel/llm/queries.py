@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_counts
 from .exact_dedup import exact_dedup
 from .line_dedup import removed_lines
 from .near_dedup import near_classes
@@ -16,6 +17,7 @@ from .quality_classifier import classify, fit, training_sample
 from .quality_rules import quality_rules, trusted_ids
 from .token_counts import token_counts
 from .warc import archive_pages
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -69,8 +71,16 @@ def op10_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ensemble, op2_feistel_pseudonyms, op3_token_counts, op4_exact_dedup, op5_piece_round_trip, op6_line_join, op7_bag_minhash, op8_warc_normaliser, op9_mixture_packing, op10_target_ratio)
+    f.__name__: f for f in (op1_rule_ensemble, op2_feistel_pseudonyms, op3_token_counts, op4_exact_dedup, op5_piece_round_trip, op6_line_join, op7_bag_minhash, op8_warc_normaliser, op9_mixture_packing, op10_target_ratio, op11_block_whitening, op13_merge_path)
 }
 
 ORACLES: dict[str, str] = {
