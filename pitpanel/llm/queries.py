@@ -15,6 +15,7 @@ from .piece_codec import round_trip
 from .pii import findings
 from .quality_classifier import classify, fit, training_sample
 from .quality_rules import quality_rules, trusted_ids
+from .shingle_join import shingle_components
 from .token_counts import token_counts
 from .warc import archive_pages
 from .whitening import whiten
@@ -75,12 +76,16 @@ def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ensemble, op2_feistel_pseudonyms, op3_token_counts, op4_exact_dedup, op5_piece_round_trip, op6_line_join, op7_bag_minhash, op8_warc_normaliser, op9_mixture_packing, op10_target_ratio, op11_block_whitening, op13_merge_path)
+    f.__name__: f for f in (op1_rule_ensemble, op2_feistel_pseudonyms, op3_token_counts, op4_exact_dedup, op5_piece_round_trip, op6_line_join, op7_bag_minhash, op8_warc_normaliser, op9_mixture_packing, op10_target_ratio, op11_block_whitening, op12_vector_rtree, op13_merge_path)
 }
 
 ORACLES: dict[str, str] = {
