@@ -54,6 +54,8 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
 def repeated_words(words: Tokens, texts: int, width: int = WINDOW) -> np.ndarray:
     """How many words of each text lie in a window of `width` words that the text holds more than once."""
     value, at = windows(words, width)
+    if not len(value):
+        return np.zeros(texts, np.int64)
     value = keyed(value, words.owner[at])
     order = np.argsort(value)
     same = value[order][1:] == value[order][:-1]
