@@ -1,7 +1,8 @@
 """Words and lines of a whole Arrow batch at once, as numpy arrays of 64-bit hashes.
 
-A token's hash is a polynomial over a random table of its bytes, taken from one
-running sum over the batch, so no Python object is made for a word.
+The hash of a token of up to `SHORT` bytes is a polynomial over a random table of its bytes, taken from one
+running sum over the batch, so no Python object is made for a word. Longer tokens, where such
+polynomials modulo a power of two collide on regular strings, are hashed one by one with xxh3.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .shared import GOLDEN, MIX1, mix
 
 SPACE = b" \t\n\v\f\r"
 PIECE = 1 << 19
+#: Bytes of the longest token that is hashed by the running sum.
+SHORT = 32
 
 
 def _classes(*groups: bytes, rest: int) -> np.ndarray:
@@ -99,6 +103,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             a, b = start[done:upto] - first, end[done:upto] - first
             out[done:upto] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * GOLDEN)
             done = upto
+    for i in np.flatnonzero(end - start > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
     return out
 
 
