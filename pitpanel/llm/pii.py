@@ -36,6 +36,9 @@ from .shared import portions
 #: Parameters: the secret key (a deployment passes its own) and the rounds of the network.
 KEY = b"pseudonym-key-of-the-examples"
 ROUNDS = 8
+#: Characters that are permuted as one number, and of values whose pseudonym a worker remembers.
+RESPELL = 1024
+REMEMBERED = 256
 
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
 MONTHS = "January February March April May June July August September October November December".split()  # fixed values
@@ -44,15 +47,17 @@ FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 CARD_FORM = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE_FORM = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9])"
 PATTERN = re.compile(
-    r"(?P<email>[\w.+%-]*\w[\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))"
-    r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)[A-Za-z0-9_+/=-]{12,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b)"
+    r"(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)[A-Za-z0-9_+/=-]{12,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b)"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\5[0-9]{4}|[0-9]{1,2}\ (?:" + "|".join(MONTHS) + r")\ [0-9]{4}|(?:" + "|".join(MONTHS) + r")\ [0-9]{1,2},\ [0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\4[0-9]{4}|[0-9]{1,2}\ (?:" + "|".join(MONTHS) + r")\ [0-9]{4}|(?:" + "|".join(MONTHS) + r")\ [0-9]{1,2},\ [0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>" + CARD_FORM + r")"
     r"|(?P<phone>" + PHONE_FORM + r")"
 )
+#: What follows the local part of an e-mail address, and the characters of one.
+DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
+LOCAL, NOT_LOCAL = re.compile(r"\w"), re.compile(r"[^\w.+%-]")
 CARD, PHONE = re.compile(CARD_FORM), re.compile(PHONE_FORM)
 #: Cards as they are printed, which go before other readings of the same digits; what reads as a telephone number.
 USUAL = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
@@ -110,7 +115,10 @@ def alphabets(text: str, hexadecimal: bool) -> list[str]:
 
 
 def respell(text: str, tweak: bytes, key: bytes, backwards: bool = False, hexadecimal: bool = False) -> str:
-    """Another string with the same class of character at each place."""
+    """Another string with the same class of character at each place; very long ones are permuted a piece at a time."""
+    if len(text) > RESPELL:
+        hexadecimal = hexadecimal and all(c in HEX for c in text)
+        return "".join(respell(text[i : i + RESPELL], tweak + b"/%d" % i, key, backwards, hexadecimal) for i in range(0, len(text), RESPELL))
     spans, rank, size = alphabets(text, hexadecimal), 0, 1
     for a, c in zip(spans, text, strict=True):
         rank, size = rank * len(a) + a.index(c), size * len(a)
@@ -243,9 +251,13 @@ def secret(text: str, key: bytes, back: bool) -> str | None:
 MAKE = {"email": email, "secret": secret, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": calendar}
 
 
-@lru_cache(1 << 16)
 def pseudonym(kind: str, text: str, key: bytes = KEY, backwards: bool = False) -> str | None:
     """The pseudonym of one found value; None where it is not valid."""
+    return _remembered(kind, text, key, backwards) if len(text) <= REMEMBERED else MAKE[kind](text, key, backwards)
+
+
+@lru_cache(1 << 16)
+def _remembered(kind: str, text: str, key: bytes, backwards: bool) -> str | None:
     return MAKE[kind](text, key, backwards)
 
 
@@ -286,10 +298,35 @@ def number(line: str, m: re.Match, limit: int, key: bytes, back: bool) -> tuple[
     return ("phone", m.start(), phones[0]) if phones else None
 
 
+def email_at(line: str, start: int, limit: int) -> tuple[int, int, int] | None:
+    """Start, place of the @ and end of the first e-mail address behind `start`. Each run of characters before an @ is read once, backwards."""
+    while (at := line.find("@", start, limit)) >= 0:
+        first = at
+        while first > start and not NOT_LOCAL.match(line, first - 1):
+            first -= 1
+        found = DOMAIN.match(line, at, limit) if LOCAL.search(line, first, at) else None
+        if found:
+            return first, at, found.end()
+        start = at + 1
+    return None
+
+
 def values(line: str, start: int, limit: int, key: bytes, back: bool) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of each valid value; behind one that is not valid the search goes on at its next group."""
     wrong = 0  # end of a card with a wrong check digit, whose groups are no telephone number
-    while (m := PATTERN.search(line, start, limit)) is not None:
+    mail, m = email_at(line, start, limit), PATTERN.search(line, start, limit)
+    while True:
+        if m and m.start() < start:
+            m = PATTERN.search(line, start, limit)
+        while mail and (mail[1] < start or not LOCAL.search(line, max(mail[0], start), mail[1])):
+            mail = email_at(line, max(mail[1] + 1, start), limit)
+        if mail and (m is None or max(mail[0], start) <= m.start()):
+            at, start = max(mail[0], start), mail[2]
+            if pseudonym("email", line[at:start], key, back) is not None:
+                yield "email", at, start
+            continue
+        if m is None:
+            return
         kind, at, start = m.lastgroup, m.start(), m.end()
         if kind in ("card", "phone"):
             found = number(line, m, limit, key, back)
