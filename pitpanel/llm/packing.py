@@ -1,14 +1,14 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each source is a queue of tokens. A window is a run of sequences; each window
-gives every queue its share of tokens. Shares are whole numbers whose rounding
-rest is a deficit that the queue carries into the next window, so after any
-number of windows each queue has had its target share to within one token.
-Targets are the queues' shares of all tokens unless given; when a queue is
-exhausted, the others go on in their own proportions.
-
-Because a queue's service is a closed form of the window's number, a document's
-place follows from its token offset in its queue. Offsets are sums
+adds every queue's quantum, its target share of a window, to the queue's deficit, and serves the whole tokens
+of it. The rest is carried into the next window, so after any number of windows each queue has had its target share
+to within one token. Targets are the queues' shares of all tokens unless given. When a queue is
+exhausted, windows are shorter and the others go on in their own proportions; queues without a target follow
+when those with one are through.
+
+Because a queue's service is a closed form of the window's number, whatever the number of queues and however they end,
+a document's place follows from its token offset in its queue. Offsets are sums
 inside the task that tokenises, plus the sums of earlier tasks: the
 deficits cross windows and partitions without any task seeing another's tokens.
 
@@ -16,14 +16,14 @@ The tokenised table is written once to the shared folder, so a lost executor
 never changes an order that is already in use.
 
 Defined results: null text is empty and holds only the end token; a null source
-is a queue of its own; null ids stay null; repeated rows are separate documents;
+is a queue of its own; sources beyond the `OWN_QUEUES` with most documents (those with a target are always queues of their own)
+share queues by hash, without changing a document's pieces; null ids stay null; repeated rows are separate documents;
 an empty table gives no rows; other columns are ignored. Only the very last
 sequence is padded.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,91 +32,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import portions, record, shared_dir
+from .shared import portions, record, table
 from .token_counts import Table
 from .words import bytes_of
 
 SEQUENCE = 2048
-#: Parameters: sequences of a window; the end token's id; queues at most (sources beyond share queues by hash).
+#: Parameters: sequences of a window; the end token's id; sources with queues of their own, and queues of all others.
 WINDOW_SEQUENCES = 64
 END_ID = 1
-MAX_QUEUES = 4096
+OWN_QUEUES = 2048
+HASHED_QUEUES = 1024
+#: Quanta are whole multiples of a token's 65536th part.
+FRACTION = 16
 
 TOKENS = "doc_id long, queue string, part int, local long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
 class Schedule:
-    """Service of each queue after any number of tokens, in whole numbers.
+    """Service of each queue after any number of windows, in whole numbers.
 
-    A phase is a run of tokens during which the same queues are active; it ends when one is exhausted.
-    Within a phase of total weight w the queues up to s have had floor(x * w_1..s / w) of the first x tokens.
+    Queues with a target, and then those without, are served from windows of their own; after k of them a queue of
+    quantum q (in parts of a token) has had floor(k * q), or all it holds.
     """
 
     def __init__(self, sizes: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES * SEQUENCE):
-        self.queues = sorted(q for q in sizes if sizes[q])
-        self.sizes, self.window, self.total = sizes, window, sum(sizes.values())
-        self.place = {q: i for i, q in enumerate(self.queues)}
-        weights = [round(1e6 * targets.get(q, 0)) if targets else sizes[q] for q in self.queues]
-        left, served, at = [sizes[q] for q in self.queues], [0] * len(self.queues), 0
-        self.phases: list[tuple[int, int, list[int], list[int], int]] = []  # first token, tokens, cumulative weights, served before, weight
-        while any(left):
-            w = [weights[i] if left[i] else 0 for i in range(len(left))]
-            if not any(w):  # queues without a target come last, by size
-                w = left[:]
-            total = sum(w)
-            # the largest run in which no queue is asked for more than it has
-            run = min(left[i] * total // w[i] for i in range(len(w)) if w[i])
-            run = min(max(run, 1), sum(left))
-            cum = np.cumsum(np.array(w, dtype=object)).tolist()
-            while run and any(b > a for a, b in zip(left, self._shares(cum, total, run), strict=True)):
-                run -= 1
-            if not run:  # rounding leaves less than one token each: take one from the first queue that has any
-                first = next(i for i in range(len(left)) if left[i])
-                cum, total, run = [int(i >= first) for i in range(len(left))], 1, 1
-            took = self._shares(cum, total, run)
-            self.phases.append((at, run, cum, served[:], total))
-            left = [a - b for a, b in zip(left, took, strict=True)]
-            served = [a + b for a, b in zip(served, took, strict=True)]
-            at += run
-
-    @staticmethod
-    def _shares(cum: list[int], total: int, x: int) -> list[int]:
-        marks = [x * c // total for c in cum]
-        return [b - a for a, b in zip([0, *marks], marks, strict=False)]
-
-    def _upto(self, phase: int, i: int, x: int) -> int:
-        """What queue i has had after x tokens of the phase, with earlier phases."""
-        _, _, cum, served, total = self.phases[phase]
-        return served[i] + x * cum[i] // total - (x * cum[i - 1] // total if i else 0)
+        names = sorted(q for q in sizes if sizes[q])
+        first = [q for q in names if (targets or {}).get(q, 0) > 0]
+        self.rounds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # first token; quantum, size and windows of each queue
+        self.place: dict[str, tuple[int, int]] = {}
+        at = 0
+        for queues in (first, [q for q in names if q not in set(first)]):
+            size = np.array([sizes[q] for q in queues], np.int64)
+            weight = np.array([targets[q] for q in queues] if queues is first else size, float)
+            quantum = np.maximum(1, np.rint(weight / weight.sum() * (window << FRACTION))).astype(np.int64) if len(queues) else size
+            last = np.array([-(-(int(n) << FRACTION) // int(q)) for n, q in zip(size, quantum, strict=True)], np.int64)
+            self.place.update({q: (len(self.rounds), i) for i, q in enumerate(queues)})
+            self.rounds.append((at, quantum, size, last))
+            at += int(size.sum())
+        self.total, self._windows = at, {}
+
+    def _served(self, number: int, k: int) -> np.ndarray:
+        """What each queue has had after k windows."""
+        _, quantum, size, last = self.rounds[number]
+        return np.minimum(np.minimum(k, last) * quantum >> FRACTION, size)
+
+    def _window(self, number: int, k: int) -> tuple[list[int], list[int], list[int]]:
+        """What each queue has had before window k and after it, and where its tokens begin there."""
+        if (number, k) not in self._windows:
+            if len(self._windows) > 256:
+                self._windows.clear()
+            had, will = self._served(number, k), self._served(number, k + 1)
+            begin = self.rounds[number][0] + int(had.sum()) + np.cumsum(will - had) - (will - had)
+            self._windows[number, k] = had.tolist(), will.tolist(), begin.tolist()
+        return self._windows[number, k]
 
     def place_of(self, queue: str, offset: int) -> tuple[int, int]:
         """Global position of a queue's token, and how many tokens of the queue follow in place there."""
-        i = self.place[queue]
-        phase = next(p for p in range(len(self.phases) - 1, -1, -1) if self.phases[p][3][i] <= offset)
-        first, run, cum, _, total = self.phases[phase]
-        steps = -(-run // self.window)
-        low, high = 0, steps - 1  # the window in which the queue reaches offset
-        while low < high:
-            mid = (low + high) // 2
-            if self._upto(phase, i, min((mid + 1) * self.window, run)) > offset:
-                high = mid
-            else:
-                low = mid + 1
-        a, b = low * self.window, min((low + 1) * self.window, run)
-        had, will = self._upto(phase, i, a), self._upto(phase, i, b)
-        before = (b * cum[i - 1] // total - a * cum[i - 1] // total) if i else 0
-        return first + a + before + offset - had, will - offset
+        number, i = self.place[queue]
+        # the last window before which the queue has had no more than offset
+        k = (((offset + 1) << FRACTION) - 1) // int(self.rounds[number][1][i])
+        had, will, begin = self._window(number, k)
+        return begin[i] + offset - had[i], will[i] - offset
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Token ids of every document (little-endian, 32 bits), with the offset in its task's part of its queue."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at = Table(path, ids=True), {}
+        known, at = Table(path, ids=True), {}
         last = np.array([end_id], "<u4").tobytes()
         for batch in portions(batches, size=1_500_000):
-            flat, marks = table.ids_of(*bytes_of(batch.column("text")))
+            flat, marks = known.ids_of(*bytes_of(batch.column("text")))
             ids = [flat[a:b].tobytes() + last for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             local = []
             for q, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
@@ -124,29 +111,34 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 at[q] = local[-1] + len(x) // 4
             yield record(doc_id=batch.column("doc_id"), queue=batch.column("queue"), part=batch.column("part"), local=local, n=[len(x) // 4 for x in ids], ids=ids)
 
-    queue = F.when(docs["source"].isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), docs["source"].cast("string")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), queue.alias("queue"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "queue")
     return rows.withColumn("part", F.spark_partition_id()).mapInArrow(encode, TOKENS)
 
 
+def queued(docs: DataFrame, targets: Iterable[str] = ()) -> DataFrame:
+    """doc_id, text and queue: the source of the targets and of the sources with most documents, a hash of all others."""
+    if "source" not in docs.columns:
+        docs = docs.withColumn("source", F.lit(None).cast("string"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("name"))
+    named = docs.sparkSession.createDataFrame([(f"={t}",) for t in targets], "own string")
+    most = rows.groupBy("name").count().orderBy(F.desc("count"), "name").limit(OWN_QUEUES).select(F.col("name").alias("own"))
+    # OWN_QUEUES names and those of the targets at most
+    marked = rows.join(F.broadcast(most.union(named).distinct()), F.col("name") == F.col("own"), "left")
+    return marked.select("doc_id", "text", F.coalesce("own", F.concat(F.lit("#"), F.pmod(F.xxhash64("name"), F.lit(HASHED_QUEUES)))).alias("queue"))
+
+
 def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: where it starts, its length and checksum, and its place in a sequence.
 
     `targets` maps sources to token proportions; without it each window mirrors the corpus.
     """
     spark = docs.sparkSession
-    if "source" not in docs.columns:
-        docs = docs.withColumn("source", F.lit(None).cast("string"))
-    many = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    if many:
-        docs = docs.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
-    at = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    tokenise(docs, path, end_id).write.option("compression", "zstd").parquet(at)
-    tokens = spark.read.parquet(at)
+    tokens = table(tokenise(queued(docs, targets or ()), path, end_id), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     sizes = {r["queue"]: r["m"] for r in parts.groupBy("queue").agg(F.sum("m").alias("m")).collect()}
     before = F.sum("m").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = parts.select("queue", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    # a table, whose size Spark knows: while it is small, the ids need no shuffle to meet it
+    base = table(parts.select("queue", "part", F.coalesce(before, F.lit(0)).alias("base")), "bases")
     schedule = Schedule(sizes, {f"={k}": v for k, v in targets.items()} if targets else None, window * sequence)
     given = spark.sparkContext.broadcast(schedule)
 
