@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import columns as C
+from . import order as O
 from . import solve as SV
+from . import targets as T
 
 LEVELS = (0.10, 0.25, 0.50, 0.75, 0.90)
-GRID = (1, 3, 6)
+GRID = (1, 2, 3, 4, 6, 9, 12, 18, 24)
+#: Rows a fit needs, rows between refits, strength of the ridge.
+MIN_ROWS, STEP, ALPHA = 48, 12, 150.0
 
 
 def price_features(px: str, w) -> dict[str, Column]:
@@ -27,32 +31,68 @@ def log_forward(px: str, k: int, w) -> Column:
     return F.when((F.col(px) > 0) & (ahead > 0), F.ln(ahead / F.col(px)))
 
 
-def history_quantiles(df: DataFrame, px: str, keys=("entity",), cut: str = "c1", step: int = 12, min_rows: int = 30, grid=GRID, levels=LEVELS) -> DataFrame:
-    """Per horizon: realised log return and the quantiles of outcomes known at the last refit.
+def horizon_rows(df: DataFrame, px: str, keys=("entity",), grid=GRID) -> DataFrame:
+    """One copy of a row per horizon, with its log return `yk` (null while it is not known)."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    each = F.array(*[F.struct(F.lit(k).alias("horizon"), log_forward(px, k, w).alias("yk")) for k in grid])
+    return df.withColumn("_o", each).select("*", F.explode("_o").alias("o")).select(*df.columns, "o.*")
+
+
+def refit_rows(rows: DataFrame, cut: str = "c1", n: str = "n_all", step: int = STEP) -> DataFrame:
+    """One copy of a horizon's row per refit that learns from it (the outcome was known then) or is graded on it."""
+    pos, known = F.col("pos"), F.col("yk").isNotNull()
+    folds = F.filter(T.fold_starts(F.col(cut), F.col(n), step), lambda s: (known & (pos <= s - F.col("horizon"))) | ((pos >= s) & (pos < s + step)))
+    return rows.withColumn("fold", F.explode(folds)).withColumns({"learn": pos < F.col("fold"), "graded": pos >= F.col("fold")})
+
 
-    The expanding sample is a window frame ending k rows back, evaluated at refit
-    rows only and carried to the next refit.
+def today_rows(rows: DataFrame, n: str = "n_all") -> DataFrame:
+    """One fit per horizon on every known row, read on the latest one."""
+    last = F.col("pos") == F.col(n) - 1
+    return rows.withColumns({"fold": F.col(n), "learn": F.col("yk").isNotNull(), "graded": last}).filter("learn or graded")
+
+
+def history_quantiles(df: DataFrame, px: str, keys=("entity",), cut: str = "c1", step: int = STEP, min_rows: int = MIN_ROWS, grid=GRID, levels=LEVELS) -> DataFrame:
+    """Per horizon: realised log return and the quantiles of the outcomes known at the last refit.
+
+    No row holds a history: the exact order statistics of every refit come from running counts over value ranks.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    is_fit = SV.refit_flags(F.col("pos"), F.col(cut), step)
-    d = df
-    for k in grid:
-        d = d.withColumn(f"_y{k}", log_forward(px, k, w))
-    for k in grid:
-        past = F.collect_list(f"_y{k}").over(w.rowsBetween(Window.unboundedPreceding, -k))
-        d = d.withColumn(f"_h{k}", past)
-    for k in grid:
-        live = is_fit & (F.size(f"_h{k}") >= min_rows)
-        d = d.withColumn(f"_h{k}", F.when(live, F.array_sort(f"_h{k}")))
-    for k in grid:
-        qs = F.array(*[A.quantile_sorted(F.col(f"_h{k}"), q) for q in levels])
-        d = d.withColumn(f"_h{k}", F.when(F.col(f"_h{k}").isNotNull(), qs))
-    for k in grid:
-        d = d.withColumn(f"_h{k}", F.last(f"_h{k}", ignorenulls=True).over(w.rowsBetween(-(step - 1), 0)))
-    items = F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"_y{k}").alias("yk"), F.col(f"_h{k}").alias("qb")) for k in grid])
-    keep = [c for c in df.columns]
-    d = d.withColumn("_o", items).select(*keep, F.explode("_o").alias("_o")).select(*keep, "_o.*")
-    return d.filter(F.col("qb").isNotNull() & (F.col("pos") >= F.col(cut)))
+    key = [*keys, "horizon"]
+    rows = horizon_rows(df, px, keys, grid)
+    w = Window.partitionBy(*key).orderBy("pos")
+    pos, horizon = F.col("pos"), F.col("horizon")
+    rows = rows.withColumn("_known", F.count("yk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.coalesce(*[F.when(horizon == k, F.lag("_known", k).over(w)) for k in grid])
+    rows = rows.withColumn("_n", n).drop("_known")
+    rows = rows.withColumn("fold", (F.col(cut) + step * F.floor((pos - F.col(cut)) / step)).cast("int"))
+    asks = rows.filter((pos == F.col("fold")) & (pos >= F.col(cut)) & (F.col("_n") >= min_rows)).select(*key, (pos - horizon).alias("upto"), F.col("_n").alias("n"), F.explode(O.quantile_asks(F.col("_n"), levels)).alias("a"))
+    found = O.order_statistics(rows.filter("yk is not null").select(*key, "pos", F.col("yk").alias("v")), asks.select(*key, "upto", "n", "a.*"), key, O.bits_of(df))
+    quantiles = found.groupBy(*key, "upto", "n").agg(O.quantiles_from(F.col("n"), levels).alias("qb")).select(*key, (F.col("upto") + horizon).alias("fold"), "qb")
+    return rows.filter(pos >= F.col(cut)).drop("_n").join(quantiles, [*key, "fold"])
+
+
+def ridge_fits(rows: DataFrame, features, keys, alpha: float = ALPHA, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(keys, n_train, coef): a standardised ridge of yk on the learn rows of every key, from sums."""
+    sums = F.array(*[F.sum(c) for c in SV.moment_columns(features, "yk")])
+    found = rows.filter("learn").groupBy(*keys).agg(sums.alias("_m")).withColumn("n_train", F.get("_m", F.lit(0)).cast("long"))
+    return found.filter(F.col("n_train") >= min_rows).withColumn("coef", SV.ridge_udf(len(features), alpha)("_m")).drop("_m")
+
+
+def ridge_quantiles(rows: DataFrame, features, keys=("entity", "horizon", "fold"), levels=LEVELS, alpha: float = ALPHA, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The graded rows with `pred`, the model quantiles `qm` (prediction plus residual quantiles) and those of history alone, `qb`."""
+    fits = ridge_fits(rows, features, keys, alpha, min_rows)
+    scored = rows.join(fits, list(keys)).withColumn("pred", SV.linear(F.col("coef"), features)).drop("coef")
+    spread = scored.filter("learn").groupBy(*keys).agg(F.percentile(F.col("yk") - F.col("pred"), list(levels)).alias("_rq"), F.percentile("yk", list(levels)).alias("qb"))
+    out = scored.filter("graded").join(spread, list(keys))
+    return out.withColumn("qm", F.array_sort(F.transform("_rq", lambda q: F.col("pred") + q))).drop("_rq", "learn", "graded")
+
+
+def ridge_drivers(rows: DataFrame, features, keys=("entity",), alpha: float = ALPHA, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(keys, feature, coef, contribution): what each input adds to the prediction of the graded row, in percent."""
+    p = len(features)
+    at = lambda i: F.get("coef", F.lit(i))
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), at(1 + i).alias("b"), (at(1 + i) * (F.col(f) - at(1 + p + i)) * 100.0).alias("contribution")) for i, f in enumerate(features)])
+    d = rows.filter("graded").join(ridge_fits(rows, features, keys, alpha, min_rows), list(keys))
+    return d.select(*keys, F.explode(each).alias("o")).select(*keys, "o.feature", F.col("o.b").alias("coef"), "o.contribution")
 
 
 def shrink(qb: Column, qm: Column, lam: Column) -> Column:

@@ -131,81 +131,80 @@ def latest_ridge(df: DataFrame, features, y: str, alpha: float, min_rows: int, k
 
 
 # --------------------------------------------------------------------------- logistic
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 0.3, iters: int = 50):
-    """L2-penalised logistic on standardised inputs by Newton steps; returns (intercept, coef, mean, sd)."""
-    mean, sd = x.mean(0), x.std(0)
-    sd[sd == 0] = 1.0
-    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    pen = np.r_[0.0, np.ones(x.shape[1])] / c
-    w = np.zeros(z.shape[1])
-    for _ in range(iters):
-        prob = 1.0 / (1.0 + np.exp(-z @ w))
-        grad = z.T @ (prob - y) + pen * w
-        hess = (z * (prob * (1 - prob))[:, None]).T @ z + np.diag(pen)
-        step = np.linalg.solve(hess + 1e-12 * np.eye(len(w)), grad)
-        w = w - step
-        if np.abs(step).max() < 1e-10:
+def newton(z: np.ndarray, label: np.ndarray, live: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
+    """Weights of L2-penalised logistic fits, all of them together: z is (fits, rows, inputs), `live` marks a fit's own rows."""
+    penalty = np.r_[0.0, np.full(z.shape[2] - 1, 1.0 / c)]
+    w = np.zeros((len(z), z.shape[2]))
+    for _ in range(steps):
+        p = 1.0 / (1.0 + np.exp(-np.einsum("gnk,gk->gn", z, w)))
+        slope = np.einsum("gnk,gn->gk", z, (p - label) * live) + penalty * w
+        bend = np.einsum("gnk,gn,gnl->gkl", z, p * (1 - p) * live, z) + np.diag(penalty)
+        move = np.linalg.solve(bend + 1e-12 * np.eye(z.shape[2]), slope[:, :, None])[:, :, 0]
+        w -= move
+        if np.abs(move).max() < 1e-11:
             break
-    return w[0], w[1:], mean, sd
+    return w
 
 
-def walk_forward_logit(df: DataFrame, features, h: int, step: int | None, cut: str = "c1", keys=("entity",), min_rows: int = 36) -> DataFrame:
-    """Probability that y > 0 for every row from `cut` on, refit every `step` rows (None: fit once, at `cut`) on rows known before refit - h.
+def logit_udf(p: int, c: float):
+    """[intercept, coefficients, means, deviations] of every row's fit; a row holds one fold's inputs and label, end to end."""
 
-    One group is one key's calendar (rows were aggregated per period upstream).
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(folds: pd.Series) -> pd.Series:
+        data = [np.asarray(f, float).reshape(-1, p + 1) for f in folds]
+        longest = max(map(len, data))
+        x, label, live = np.zeros((len(data), longest, p)), np.zeros((len(data), longest)), np.zeros((len(data), longest))
+        for i, d in enumerate(data):
+            x[i, : len(d)], label[i, : len(d)], live[i, : len(d)] = d[:, :p], d[:, p], 1.0
+        n = live.sum(1)[:, None]
+        mean = x.sum(1) / n
+        x = (x - mean[:, None, :]) * live[:, :, None]
+        sd = np.sqrt((x * x).sum(1) / n)
+        sd[sd <= 1e-12] = 1.0
+        w = newton(np.concatenate([live[:, :, None], x / sd[:, None, :]], axis=2), label, live, c)
+        return pd.Series(list(np.hstack([w, mean, sd])))
+
+    return solve
+
+
+def logit_fits(rows: DataFrame, features, keys, c: float = 0.3, min_rows: int = 2) -> DataFrame:
+    """(keys, n_train, base, fit): one penalised logistic fit per key on its learn rows; no fit where only one class is known.
+
+    A key's rows are one fold of one entity, as long as its calendar; the folds of a batch are solved together.
+    """
+    one = F.array(*[F.col(f).cast("double") for f in features], (F.col("y") > 0).cast("double"))
+    folds = rows.filter("learn").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.avg((F.col("y") > 0).cast("double")).alias("base"), F.flatten(F.collect_list(one)).alias("fold_rows"))
+    folds = folds.filter(F.col("n_train") >= min_rows)
+    both = (F.col("base") > 0) & (F.col("base") < 1)
+    solved = folds.filter(both).withColumn("fit", logit_udf(len(features), c)("fold_rows"))
+    alone = folds.filter(~both).withColumn("fit", F.lit(None).cast("array<double>"))
+    return solved.unionByName(alone).drop("fold_rows")
+
+
+def logit_terms(features) -> list[Column]:
+    """What each input adds to the log-odds."""
+    p = len(features)
+    at = lambda i: F.get("fit", F.lit(i))
+    return [at(1 + i) * (F.col(f) - at(1 + p + i)) / at(1 + 2 * p + i) for i, f in enumerate(features)]
+
+
+def fold_logit(rows: DataFrame, features, keys, c: float = 0.3, min_rows: int = 36) -> DataFrame:
+    """Probability that y > 0 and base rate for the graded rows of every key, from its learn rows alone."""
+    fits = logit_fits(rows, features, keys, c, min_rows)
+    score = F.get("fit", F.lit(0)) + sum(logit_terms(features)[1:], logit_terms(features)[0])
+    p = F.when(F.col("fit").isNull(), F.col("base")).otherwise(1.0 / (1.0 + F.exp(-score)))
+    return rows.filter("graded").join(fits, list(keys)).select(*keys, "pos", p.alias("p"), "base")
+
+
+def latest_logit(rows: DataFrame, features, keys=("entity",), c: float = 0.3) -> DataFrame:
+    """Fit on all known rows, read the latest one: probability, base rate and exact log-odds contributions.
+
+    One class, or fewer than two rows, has coefficients of 0 and the base rate as probability (1/2 without any row).
     """
-    keys = list(keys)
-    types = dict(df.dtypes)
-    cols = [*keys, "pos", "y", cut, *features]
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pos int, fold int, p double, base double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, y = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float)
-        known, lab = ~np.isnan(y), (y > 0).astype(float)
-        out = []
-        every = step or max(len(pdf), 1)
-        for s0 in range(int(pdf[cut].iloc[0]), len(pdf), every):
-            tr = np.flatnonzero(known[: max(s0 - h, 0)])
-            if len(tr) < min_rows:
-                continue
-            te = np.arange(s0, min(s0 + every, len(pdf)))
-            base = lab[tr].mean()
-            if base in (0.0, 1.0):
-                p = np.full(len(te), base)
-            else:
-                b0, b, mean, sd = fit_logistic(x[tr], lab[tr])
-                p = 1.0 / (1.0 + np.exp(-(b0 + ((x[te] - mean) / sd) @ b)))
-            out.append(pd.DataFrame({"pos": pdf["pos"].to_numpy()[te], "fold": s0, "p": p, "base": base}))
-        res = pd.concat(out) if out else pd.DataFrame({"pos": [], "fold": [], "p": [], "base": []})
-        for k in reversed(keys):
-            res.insert(0, k, pdf[k].iloc[0])
-        return res
-
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
-
-
-def latest_logit(df: DataFrame, features, keys=("entity",)) -> DataFrame:
-    """Fit on all known rows, read the latest one: probability, base rate and exact log-odds contributions."""
-    keys = list(keys)
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", feature string, coef double, contribution double, p double, base double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, y = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float)
-        k = ~np.isnan(y)
-        lab = (y[k] > 0).astype(float)
-        base = float(lab.mean()) if len(lab) else 0.5
-        if len(lab) < 2 or base in (0.0, 1.0):
-            coef, con, p = np.zeros(len(features)), np.full(len(features), np.nan), base
-        else:
-            b0, coef, mean, sd = fit_logistic(x[k], lab)
-            con = coef * (x[-1] - mean) / sd
-            p = float(1.0 / (1.0 + np.exp(-(b0 + con.sum()))))
-        res = pd.DataFrame({"feature": list(features), "coef": coef, "contribution": con, "p": p, "base": base})
-        for name in reversed(keys):
-            res.insert(0, name, pdf[name].iloc[0])
-        return res
-
-    return df.select(*keys, "pos", "y", *features).groupBy(*keys).applyInPandas(run, schema)
+    now = rows.groupBy(*keys).agg(F.max_by(F.struct(*features), "pos").alias("x")).select(*keys, "x.*")
+    d = now.join(logit_fits(rows, features, keys, c), list(keys), "left")
+    terms = logit_terms(features)
+    base = F.coalesce("base", F.lit(0.5))
+    p = F.when(F.col("fit").isNull(), base).otherwise(1.0 / (1.0 + F.exp(-(F.get("fit", F.lit(0)) + sum(terms[1:], terms[0])))))
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.get("fit", F.lit(1 + i)), F.lit(0.0)).alias("coef"), terms[i].alias("contribution")) for i, f in enumerate(features)])
+    return d.select(*keys, F.explode(each).alias("o"), p.alias("p"), base.alias("base")).select(*keys, "o.*", "p", "base")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -34,19 +34,12 @@ def tercile_states(df: DataFrame, keys, learn: Column, x: str = "x", state: str
     return out.withColumn(state, three_way(*[C.stable(c) for c in (x, "lo", "hi")])).drop("_cuts")
 
 
-def expanding_pctl(x: str, w: WindowSpec, minp: int = 36) -> Column:
-    """Share of strictly smaller values among all earlier values; NULL until minp values exist (this one included)."""
-    past = F.collect_list(x).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    smaller = F.size(F.filter(past, lambda v: v < F.col(x)))
-    return F.when(F.col(x).isNotNull() & (F.size(past) >= minp - 1), F.try_divide(smaller.cast("double"), F.size(past)))
-
-
 def percentile_state(p: str | Column) -> Column:
     return three_way(C.col(p), F.lit(1 / 3), F.lit(2 / 3))
 
 
-def bucket_stats(learn: DataFrame, keys, h: int, min_n: int = 8) -> DataFrame:
-    """Per feature and state: n, mean, median, share positive, edge, HAC t, consistency, p and BH q.
+def bucket_stats(learn: DataFrame, keys, h: int | str, min_n: int = 8, most: int | None = None) -> DataFrame:
+    """Per feature and state: n, mean, median, share positive, edge, HAC t (over h lags, or a key column of up to `most`), consistency, p and BH q.
 
     `learn` holds one row per (keys, feature, pos) with its state and outcome y.
     """
@@ -77,6 +70,7 @@ def bucket_stats(learn: DataFrame, keys, h: int, min_n: int = 8) -> DataFrame:
             half_edge(~F.col("second")).alias("_e1"),
             half_edge(F.col("second")).alias("_e2"),
         ),
+        most=most,
     ).filter(F.col("n") >= min_n)
     sign = lambda c: F.signum(F.round(c, 12))
     same = (sign(F.col("_e1")) == sign(F.col("_e2"))) & (sign(F.col("_e2")) == sign(F.col("edge")))
@@ -113,13 +107,13 @@ def verdicts(scores: DataFrame, keys, learn: Column) -> DataFrame:
     return out.withColumn("verdict", verdict_of(F.col("score"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_q")
 
 
-def run_rules(long: DataFrame, keys, h: int, cfg: RuleConfig, carry=("month", "y", "learn")):
+def run_rules(long: DataFrame, keys, h: int | str, cfg: RuleConfig, carry=("month", "y", "learn"), most: int | None = None):
     """States, statistics, rules, scores and verdicts in one declarative chain.
 
     With `fold` among the keys, every refit is estimated in the same job.
     """
     st = tercile_states(long, [*keys, "feature"], F.col("learn"))
-    bs = bucket_stats(st.filter("learn"), keys, h)
+    bs = bucket_stats(st.filter("learn"), keys, h, most=most)
     rules = select_rules(bs, cfg)
     sc = verdicts(rule_scores(st, rules, keys, carry), keys, F.col("learn"))
     return st, bs, rules, sc

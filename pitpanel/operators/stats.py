@@ -13,9 +13,11 @@ from ..functions import arrays as A
 from ..functions import columns as C
 
 
-def hac_t(df: DataFrame, keys, y: str, d: str, lags: int, order: str = "pos", extra=()) -> DataFrame:
+def hac_t(df: DataFrame, keys, y: str, d: str, lags: int | str, order: str = "pos", extra=(), most: int | None = None) -> DataFrame:
     """Newey-West t of b in y = a + b d, Bartlett weights, one row per key.
 
+    `lags` is a number, or a key column of numbers up to `most`.
+
     Closed form of the 2x2 sandwich: the influence of row t on b is
     u = e (n d - sum d) / D, so the variance is a weighted sum of lagged products
     of u. A constant regressor (D = 0) follows the minimum-norm solution.
@@ -38,10 +40,11 @@ def hac_t(df: DataFrame, keys, y: str, d: str, lags: int, order: str = "pos", ex
     b = F.col("_b")
     e = F.col(y) - (sy - b * sd) / n - b * F.col(d)
     m = m.withColumn("_u", e * F.when(big > 0, (n * F.col(d) - sd) / F.nullif(big, F.lit(0.0))).otherwise(c / (n * (1 + c * c))))
-    m = m.withColumns({f"_u{k}": F.col("_u") * F.lag("_u", k).over(wo) for k in range(1, lags + 1)})
+    m = m.withColumns({f"_u{k}": F.col("_u") * F.lag("_u", k).over(wo) for k in range(1, (most or lags) + 1)})
     var = F.sum(F.col("_u") * F.col("_u"))
-    for k in range(1, lags + 1):
-        var = var + 2.0 * (1.0 - k / (lags + 1.0)) * F.coalesce(F.sum(f"_u{k}"), F.lit(0.0))
+    for k in range(1, (most or lags) + 1):
+        weight = F.greatest(1.0 - k / (F.col(lags) + 1.0), F.lit(0.0)) if isinstance(lags, str) else F.lit(1.0 - k / (lags + 1.0))
+        var = var + 2.0 * weight * F.coalesce(F.sum(f"_u{k}"), F.lit(0.0))
     return (
         m.groupBy(*keys)
         .agg(F.first("_b").alias("_b"), var.alias("_var"), *extra)

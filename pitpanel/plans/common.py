@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import solve as SV
 from ..operators import states as S
 from ..operators import targets as T
 from ..sources import views as V
@@ -42,6 +43,18 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(spark, sf_dir, "features", V.PANEL_TABLES, build)
 
 
+def fold_frame(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+    """The feature frame once per refit: `learn` rows were known then, `graded` ones are the next `step`."""
+    rows = T.fold_rows(feature_frame(spark, sf_dir), V.H, step)
+    return rows.withColumn("graded", F.col("pos") >= F.col("fold")).filter("learn or graded")
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward probability and base rate of the logistic classifier, for every row from the validation start on."""
+    build = lambda: SV.fold_logit(fold_frame(spark, sf_dir), V.FEATURES, ["entity", "fold"]).withColumn("p", C.stable("p", 9))
+    return materialise(spark, sf_dir, "wf_logit", V.PANEL_TABLES, build)
+
+
 def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     fw = feature_frame(spark, sf_dir)
     return T.long_form(fw, V.FEATURES, ("entity", "month", "pos", "y", "part", "c1", "n_all"))

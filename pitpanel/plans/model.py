@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import boosting as BO
+from ..operators import forest as FO
 from ..operators import model as M
 from ..operators import solve as SV
 from ..operators import states as S
@@ -13,22 +15,24 @@ from ..operators import stats as ST
 from ..operators import targets as T
 from ..sources import views as V
 from . import common as P
+from .linear_sql import logit_ctes, logit_p, logit_terms
 from .registry import R, cte, query, sql
 from .stats import CORR, ranks_sql, start_sql
 
-cte("prob", "SELECT entity, pos, month, part, y, 1e0/(1e0+exp(-(0.3e0*score))) AS p, avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) FILTER (learn) OVER (PARTITION BY entity) AS base FROM a_vd", "a_vd")
+FEATS = ", ".join(V.FEATURES)
+cte("lf", f"""SELECT entity, month, pos, part, y, {FEATS}, fold, pos<fold-{V.H} AND y IS NOT NULL AS learn, pos>=fold AS graded
+ FROM (SELECT *, CAST(unnest(generate_series(c1, n_all-1, {P.STEP})) AS INTEGER) AS fold FROM fw) WHERE (pos<fold-{V.H} AND y IS NOT NULL) OR (pos>=fold AND pos<fold+{P.STEP})""", "fw", held=True)
+logit_ctes("lg", "lf", "entity, fold", V.FEATURES)
+cte("prob9", f"SELECT entity, month, pos, part, y, fold, round({logit_p(V.FEATURES)},9) AS p, base FROM lf JOIN lg_fit USING (entity, fold) WHERE graded", "lf", "lg_fit", held=True)
 
 
 def probabilities(spark, sf):
-    """Probability of a positive outcome read off the rule score; ties are frequent by construction."""
+    """Rule score and verdict with the walk-forward probability of the classifier, for the rows from the validation start on."""
     sc = P.learned(spark, sf)[3]
-    p = 1.0 / (1.0 + F.exp(-(0.3 * F.col("score"))))
-    hit = F.when(F.col("learn"), (F.col("y") > 0).cast("double"))
-    return sc.withColumn("p", F.round(p, 9)).withColumn("base", F.avg(hit).over(Window.partitionBy("entity")))
+    return sc.join(P.classified(spark, sf).select("entity", "pos", "p", "base"), ["entity", "pos"])
 
 
-cte("prob9", "SELECT * REPLACE (round(p,9) AS p) FROM prob", "prob")
-cte("pm_r", ranks_sql("prob9", "entity, part", "p", "y", "part IN ('learn','val','test')"), "prob9")
+cte("pm_r", ranks_sql("prob9", "entity, part", "p", "y", "part IN ('val','test')"), "prob9")
 cte("pm", f"""SELECT entity, part, count(*) AS n, (sum(rx) FILTER (l=1)-sum(l)*(sum(l)+1)/2)/nullif(sum(l)*(count(*)-sum(l)),0) AS auc, avg((pc-l)*(pc-l)) AS brier, avg((bc-l)*(bc-l)) AS bb,
  avg(-(l*ln(pc)+(1-l)*ln(1-pc))) AS log_loss, avg(CASE WHEN (p>0.5)=(l=1) THEN 1e0 ELSE 0e0 END) AS accuracy, greatest(avg(l),1-avg(l)) AS naive, CASE WHEN count(*)>=8 THEN {CORR} END AS ic
  FROM (SELECT *, CASE WHEN y>0 THEN 1e0 ELSE 0e0 END AS l, least(greatest(p,0.01e0),0.99e0) AS pc, least(greatest(base,0.01e0),0.99e0) AS bc FROM pm_r) GROUP BY 1,2""", "pm_r")
@@ -36,7 +40,7 @@ cte("pm", f"""SELECT entity, part, count(*) AS n, (sum(rx) FILTER (l=1)-sum(l)*(
 
 @query("prob_metrics", sql("SELECT entity, part, n, " + R("auc", "brier", "1e0-brier/bb AS skill", "log_loss", "accuracy", "naive", "ic") + " FROM pm", "pm"))
 def prob_metrics(spark, sf):
-    d = probabilities(spark, sf).filter(F.col("part").isin("learn", "val", "test"))
+    d = probabilities(spark, sf).filter(F.col("part").isin("val", "test"))
     return C.rounded(M.prob_metrics(d, ["entity", "part"]))
 
 
@@ -81,27 +85,60 @@ def auc_ci(spark, sf, reps: int = 300, block: int = 3):
     return C.rounded(ST.auc_ci(d, ["entity"], "p", "l", "i", block, reps))
 
 
-@query("wf_logit")
+WF_COLS = ("entity", "pos", "fold", "p", "base")
+
+
+@query("wf_logit", sql("SELECT entity, pos, fold, " + R("p", "base") + " FROM prob9", "prob9"))
 def wf_logit(spark, sf):
-    fw = P.feature_frame(spark, sf)
-    return C.rounded(SV.walk_forward_logit(fw, V.FEATURES, V.H, P.STEP))
+    return C.rounded(P.classified(spark, sf).select(*WF_COLS))
+
+
+@query("wf_forest")
+def wf_forest(spark, sf, trees: int = 300):
+    """The same refits with forests: 300 trees of depth 3 with at least 10 rows in a leaf."""
+    return C.rounded(FO.fold_forest(P.fold_frame(spark, sf), V.FEATURES, trees=trees).select(*WF_COLS))
+
+
+@query("wf_boosting")
+def wf_boosting(spark, sf, rounds: int = 100):
+    """The same refits with boosting of the log loss: 100 trees of depth 2, rate 0.05, on 80 % of the rows each."""
+    return C.rounded(BO.fold_classifier(P.fold_frame(spark, sf), V.FEATURES, ("entity",), rounds=rounds).select(*WF_COLS))
 
 
-@query("fit_latest")
+cte("now", f"SELECT entity, pos, y, {FEATS}, y IS NOT NULL AS learn, pos=max(pos) OVER (PARTITION BY entity) AS graded FROM fw", "fw", held=True)
+logit_ctes("nl", "now", "entity", V.FEATURES, min_rows=2)
+_TERMS = logit_terms(V.FEATURES)
+
+
+@query("fit_latest", sql(" UNION ALL ".join(f"SELECT entity, '{f}' AS feature, round(coalesce(w[{i + 2}],0),6)+0e0 AS coef, round({_TERMS[i]},6)+0e0 AS contribution, round(coalesce({logit_p(V.FEATURES)},0.5e0),6)+0e0 AS p, round(coalesce(base,0.5e0),6)+0e0 AS base FROM now LEFT JOIN nl_fit USING (entity) WHERE graded" for i, f in enumerate(V.FEATURES)), "now", "nl_fit"))
 def fit_latest(spark, sf):
-    return C.rounded(SV.latest_logit(P.feature_frame(spark, sf), V.FEATURES))
+    fw = P.feature_frame(spark, sf).withColumn("learn", F.col("y").isNotNull())
+    return C.rounded(SV.latest_logit(fw, V.FEATURES))
+
+
+@query("forest_importances")
+def forest_importances(spark, sf, trees: int = 300):
+    """Which indicators the forest fitted on all known rows splits by; shares that sum to one."""
+    rows = P.feature_frame(spark, sf).filter("y is not null").withColumns({"learn": F.lit(True), "fold": F.lit(0)})
+    return C.rounded(FO.importances(rows, V.FEATURES, min_rows=2, trees=trees).drop("fold"))
 
 
-@query("ablation")
+cte("abl", f"""SELECT entity, dropped, pos, part, y, fold, learn, graded, {", ".join(f"CASE WHEN dropped='{f}' THEN 0e0 ELSE {f} END AS {f}" for f in V.FEATURES)}
+ FROM lf CROSS JOIN (VALUES {", ".join(f"('{v}')" for v in ("none", *V.FEATURES))}) v(dropped)""", "lf", held=True)
+logit_ctes("al", "abl", "entity, dropped, fold", V.FEATURES)
+cte("ablp", f"SELECT entity, dropped, part, y, round({logit_p(V.FEATURES)},9) AS p FROM abl JOIN al_fit USING (entity, dropped, fold) WHERE graded", "abl", "al_fit", held=True)
+cte("ablr", ranks_sql("ablp", "entity, dropped", "p", "y", "part IN ('val','test')"), "ablp")
+cte("ablm", f"SELECT entity, dropped, (sum(rx) FILTER (l=1)-sum(l)*(sum(l)+1)/2)/nullif(sum(l)*(count(*)-sum(l)),0) AS auc, CASE WHEN count(*)>=8 THEN {CORR} END AS ic FROM (SELECT *, CASE WHEN y>0 THEN 1e0 ELSE 0e0 END AS l FROM ablr) GROUP BY 1,2", "ablr", held=True)
+
+
+@query("ablation", sql("SELECT a.entity, a.dropped, " + R("b.auc-a.auc AS d_auc", "b.ic-a.ic AS d_ic") + " FROM ablm a JOIN ablm b ON b.entity=a.entity AND b.dropped='none' WHERE a.dropped<>'none'", "ablm"))
 def ablation(spark, sf):
     """AUC and rank correlation lost when one indicator is dropped; the dropped name is a key."""
-    fw = P.feature_frame(spark, sf)
     variants = ["none", *V.FEATURES]
-    one = fw.withColumn("dropped", F.explode(F.array(*[F.lit(v) for v in variants])))
-    masked = [F.when(F.col("dropped") == f, 0.0).otherwise(F.col(f)).alias(f) for f in V.FEATURES]  # a constant input has no effect
-    one = one.select("entity", "dropped", "pos", "y", "c1", *masked)
-    wf = SV.walk_forward_logit(one, V.FEATURES, V.H, P.STEP, keys=("entity", "dropped"))
-    graded = wf.join(fw.filter(F.col("part").isin("val", "test")).select("entity", "pos", "y"), ["entity", "pos"])
+    one = P.fold_frame(spark, sf).withColumn("dropped", F.explode(F.array(*[F.lit(v) for v in variants])))
+    one = one.withColumns({f: F.when(F.col("dropped") == f, 0.0).otherwise(F.col(f)) for f in V.FEATURES})  # a constant input has no effect
+    wf = SV.fold_logit(one, V.FEATURES, ["entity", "dropped", "fold"]).withColumn("p", F.round("p", 9))
+    graded = wf.join(P.feature_frame(spark, sf).filter(F.col("part").isin("val", "test")).select("entity", "pos", "y"), ["entity", "pos"])
     m = M.prob_metrics(graded, ["entity", "dropped"])
     full = lambda c: F.max(F.when(F.col("dropped") == "none", F.col(c))).over(Window.partitionBy("entity"))
     m = m.withColumns({"d_auc": full("auc") - F.col("auc"), "d_ic": full("ic") - F.col("ic")})
@@ -150,28 +187,19 @@ def horizon_scan(spark, sf):
     sizes = fw.groupBy(*keys).agg(*[F.count(F.when(F.col("_in") & F.col(c), 1)).alias(a) for c, a in (("learn", "_a"), ("valid", "n_val"))])
     fw = fw.filter("_in").drop("_in").join(sizes.filter((F.col("_a") >= SCAN_LEARN) & (F.col("n_val") >= SCAN_VALID)).select(*keys), keys, "left_semi")
     fl = T.long_form(fw, V.FEATURES, ("entity", "horizon", "pos", "y", "learn", "valid"))
-    scores = []
-    for hz in SCAN:  # the HAC lag count is a literal per horizon, the rest is one plan each
-        part = fl.filter(h == hz)
-        scores.append(S.run_rules(part, keys, hz, P.CFG, ("y", "learn", "valid"))[3])
-    rules = scores[0]
-    for s in scores[1:]:
-        rules = rules.unionByName(s)
-    v = rules.filter("valid")
+    rules = S.run_rules(fl, keys, "horizon", P.CFG, ("y", "learn", "valid"), most=max(SCAN))[3]
     half = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) > F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2)
-    v = v.withColumn("half", half.cast("int"))
-    full = ST.rank_ic(v, keys, "score", "y", "rules_ic").drop("n")
-    by_half = ST.rank_ic(v, [*keys, "half"], "score", "y", "hic").groupBy(*keys).agg(
-        F.when(F.count("hic") == 2, F.min("hic")).alias("rules_stab")
-    )
-    fitted = SV.walk_forward_logit(fw.withColumn("c1", F.col("_k").cast("int")).withColumn("y", F.when(F.col("learn") | F.col("valid"), F.col("y"))),
-                                   V.FEATURES, 0, None, keys=keys, min_rows=SCAN_LEARN)
-    ml = ST.rank_ic(fitted.join(v.select(*keys, "pos", "y"), [*keys, "pos"]), keys, "p", "y", "ml_ic").drop("n")
-    out = sizes.drop("_a").join(full, keys, "left").join(by_half, keys, "left").join(ml, keys, "left").select(*keys, "rules_ic", "n_val", "rules_stab", "ml_ic")
-    out = out.withColumns({"combined": C.row_mean("rules_ic", "ml_ic"), "stable": F.col("rules_stab")})
-    pick = F.coalesce(
-        F.max_by("horizon", "stable").over(Window.partitionBy("entity")),
-        F.max_by("horizon", "combined").over(Window.partitionBy("entity")),
-        F.lit(6),
-    )
+    v = rules.filter("valid").withColumn("half", half.cast("int"))
+    fitted = SV.fold_logit(fw.withColumn("graded", F.col("valid")), V.FEATURES, keys, min_rows=SCAN_LEARN)
+    both_classes = (F.col("base") > 0) & (F.col("base") < 1)
+    v = v.join(fitted.select(*keys, "pos", F.when(both_classes, F.round("p", 9)).alias("p")), [*keys, "pos"], "left")
+    out = sizes.drop("_a")
+    for x, name in (("score", "rules"), ("p", "ml")):
+        whole = ST.rank_ic(v, keys, x, "y", f"{name}_ic").drop("n")
+        halves = ST.rank_ic(v, [*keys, "half"], x, "y", "hic").groupBy(*keys).agg(F.when(F.count("hic") == 2, F.min("hic")).alias(f"{name}_stab"))
+        out = out.join(whole, keys, "left").join(halves, keys, "left")
+    out = out.withColumns({"combined": F.round(C.row_mean("rules_ic", "ml_ic"), 9), "stable": F.round(C.row_mean("rules_stab", "ml_stab"), 9)})
+    # the best look-ahead by the stable score, where there is none by the combined one; of equal ones the first
+    best = lambda c: F.max_by("horizon", F.when(F.col(c).isNotNull(), F.struct(F.col(c), -F.col("horizon")))).over(Window.partitionBy("entity"))
+    pick = F.coalesce(best("stable"), best("combined"), F.lit(6))
     return C.rounded(out.withColumn("chosen", pick))

@@ -8,11 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import boosting as BO
 from ..operators import quantile as Q
-from ..operators import solve as SV
 from ..operators import targets as T
 from ..sources import views as V
+from ..sources.store import materialise
 from . import common as P
+from .linear_sql import ridge_ctes, ridge_pred
 from .registry import R, cte, query, sql
 from .stats import CORR
 
@@ -39,44 +41,103 @@ def log_fwd(spark, sf):
     return C.rounded(P.feature_frame(spark, sf).select("entity", "month", *[Q.log_forward("px", k, w).alias(f"y{k}") for k in (1, 3, 6, 12)]))
 
 
-cte("hqy", " UNION ALL ".join(f"SELECT *, {k} AS horizon, ln(lead(px,{k}) OVER (PARTITION BY entity ORDER BY pos)/px) AS yk FROM fw" for k in Q.GRID), "fw")
-cte("hqf", "SELECT DISTINCT entity, horizon, s0 FROM (SELECT entity, horizon, unnest(generate_series(c1,n_all-1,12)) AS s0 FROM hqy)", "hqy")
-cte("hqq", "SELECT f.entity, f.horizon, f.s0, count(*) AS n, " + ", ".join(f"quantile_cont(yk,{q}) AS b{i}" for i, q in enumerate(Q.LEVELS))
-    + " FROM hqf f JOIN hqy y ON y.entity=f.entity AND y.horizon=f.horizon AND y.pos<=f.s0-f.horizon AND yk IS NOT NULL GROUP BY 1,2,3 HAVING count(*)>=30", "hqf", "hqy")
-cte("hq", "SELECT y.entity, y.month, y.pos, y.part, y.horizon, y.yk, y.px_t10, y.px, q.* EXCLUDE (entity, horizon, s0, n) FROM hqy y JOIN hqq q ON q.entity=y.entity AND q.horizon=y.horizon AND q.s0=y.c1+12*((y.pos-y.c1)//12) WHERE y.pos>=y.c1", "hqy", "hqq")
+INPUTS = (*V.FEATURES, *PF)
+_G = ",".join(map(str, Q.GRID))
+_L = "[" + ",".join(map(str, Q.LEVELS)) + "]"
 
 
-@query("history_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R("yk", "b0", "b1", "b2", "b3", "b4") + " FROM hq", "hq"))
+def projection_frame(spark, sf):
+    """Rows with all indicators and price features, split like the feature frame; computed once per session and input version."""
+
+    def build():
+        return T.split3(T.complete_case(with_price_features(P.features_all(spark, sf)), INPUTS), "y", V.H, V.TRAIN, V.VAL)
+
+    return materialise(spark, sf, "projection", V.PANEL_TABLES, build)
+
+
+def outcomes(spark, sf):
+    return Q.horizon_rows(projection_frame(spark, sf), "px")
+
+
+cte("pj0", "SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY entity ORDER BY pos)-1 AS INTEGER) AS pos) FROM fw0 JOIN pfx USING (entity, month) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in PF), "fw0", "pfx")
+cte("pj", """SELECT f.*, CASE WHEN y IS NULL THEN 'unknown' WHEN pos < c1 - 3 THEN 'learn' WHEN pos >= c1 AND pos < c2 - 3 THEN 'val' WHEN pos >= c2 THEN 'test' ELSE 'purged' END AS part
+ FROM (SELECT *, CAST(floor(n_ev*0.6e0) AS INTEGER) AS c1, CAST(floor(n_ev*(0.6e0+0.2e0)) AS INTEGER) AS c2 FROM
+ (SELECT *, count(y) OVER (PARTITION BY entity) AS n_ev, CAST(count(*) OVER (PARTITION BY entity) AS INTEGER) AS n_all FROM pj0)) f""", "pj0", held=True)
+cte("pjy", " UNION ALL ".join(f"SELECT *, {k} AS horizon, ln(lead(px,{k}) OVER (PARTITION BY entity ORDER BY pos)/px) AS yk FROM pj" for k in Q.GRID), "pj", held=True)
+cte("pjf", f"""SELECT *, pos<fold AS learn, pos>=fold AS graded FROM (SELECT *, CAST(unnest(generate_series(c1, n_all-1, {Q.STEP})) AS INTEGER) AS fold FROM pjy)
+ WHERE (pos<=fold-horizon AND yk IS NOT NULL) OR (pos>=fold AND pos<fold+{Q.STEP})""", "pjy", held=True)
+cte("hqq", f"SELECT entity, horizon, fold, quantile_cont(yk, {_L}) AS qb FROM pjf WHERE learn GROUP BY 1,2,3 HAVING count(*)>={Q.MIN_ROWS}", "pjf", held=True)
+cte("hq", "SELECT f.*, qb FROM pjf f JOIN hqq USING (entity, horizon, fold) WHERE graded", "pjf", "hqq", held=True)
+
+
+def five(col, name):
+    return [f"{col}[{i + 1}] AS {name}{i}" for i in range(5)]
+
+
+def fives(col, name):
+    return [F.get(col, F.lit(i)).alias(f"{name}{i}") for i in range(5)]
+
+
+@query("history_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R("yk", *five("qb", "b")) + " FROM hq", "hq"))
 def history_quantiles(spark, sf):
-    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
-    return C.rounded(h.select("entity", "month", "horizon", "yk", *[F.get("qb", F.lit(i)).alias(f"b{i}") for i in range(5)]))
+    h = Q.history_quantiles(projection_frame(spark, sf), "px")
+    return C.rounded(h.select("entity", "month", "horizon", "yk", *fives("qb", "b")))
+
+
+def ridge_model(p: str, src: str, features, extra: str = "") -> str:
+    """CTE `<p>`: graded rows of `src` with model (qm) and history (qb) quantiles."""
+    ridge_ctes(p, src, "entity, horizon, fold", features, "yk", Q.ALPHA, Q.MIN_ROWS)
+    cte(f"{p}_x", f"SELECT x.*, {ridge_pred(features)} AS pred FROM {src} x JOIN {p}_fit USING (entity, horizon, fold)", src, f"{p}_fit", held=True)
+    cte(f"{p}_q", f"SELECT entity, horizon, fold, quantile_cont(yk-pred, {_L}) AS rq, quantile_cont(yk, {_L}) AS qb FROM {p}_x WHERE learn GROUP BY 1,2,3", f"{p}_x", held=True)
+    return cte(p, f"SELECT entity, month, pos, part, px, horizon, fold, yk, list_sort([{', '.join(f'pred+rq[{i + 1}]' for i in range(5))}]) AS qm, qb FROM {p}_x JOIN {p}_q USING (entity, horizon, fold) WHERE graded", f"{p}_x", f"{p}_q", held=True)
+
+
+ridge_model("rq", "pjf", INPUTS)
+
+
+def ridge_rows(spark, sf, features=INPUTS):
+    """Walk-forward ridge: model and history quantiles of nine horizons, refitted every 12 rows on at least 48."""
+    build = lambda: Q.ridge_quantiles(Q.refit_rows(outcomes(spark, sf)), features).select("entity", "month", "pos", "part", "px", "horizon", "fold", "yk", "qm", "qb")
+    return materialise(spark, sf, f"ridge_{len(features)}", V.PANEL_TABLES, build)
+
+
+@query("ridge_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R("yk", *five("qm", "m"), *five("qb", "b")) + " FROM rq", "rq"))
+def ridge_quantiles(spark, sf):
+    return C.rounded(ridge_rows(spark, sf).select("entity", "month", "horizon", "yk", *fives("qm", "m"), *fives("qb", "b")))
+
+
+def boosted_rows(spark, sf):
+    """Walk-forward boosting of the pinball loss: 40 trees of depth 2 for each of five quantiles, nine horizons, all refits."""
+    rows = Q.refit_rows(outcomes(spark, sf))
+    return BO.fold_quantiles(rows, INPUTS, Q.LEVELS, ("entity", "horizon"), min_rows=Q.MIN_ROWS)
+
+
+@query("boost_quantiles")
+def boost_quantiles(spark, sf):
+    return C.rounded(boosted_rows(spark, sf).select("entity", "horizon", "fold", "pos", *fives("q", "m")))
+
+
+@query("average_quantiles")
+def average_quantiles(spark, sf):
+    """Mean of the two models, ridge with residual quantiles and boosting, where both have a fit."""
+    b = boosted_rows(spark, sf).select("entity", "horizon", "fold", "pos", "q")
+    j = ridge_rows(spark, sf).join(b, ["entity", "horizon", "fold", "pos"]).withColumn("qm", Q.average_members(F.col("qm"), F.col("q")))
+    return C.rounded(j.select("entity", "month", "horizon", "yk", *fives("qm", "m")))
 
 
 LAMS = (0.0, 0.25, 0.5, 0.75, 1.0)
-# a momentum model in closed form: history quantiles shifted against the trend
-cte("hl5", "SELECT h.*, lam, list_sort([" + ",".join(f"b{i}+lam*((b{i}-0.1e0*px_t10)-b{i})" for i in range(5)) + "]) AS q FROM hq h CROSS JOIN (VALUES (0e0),(0.25e0),(0.5e0),(0.75e0),(1e0)) v(lam)", "hq")
+cte("hl5", "SELECT h.*, lam, list_sort([" + ",".join(f"qb[{i}]+lam*(qm[{i}]-qb[{i}])" for i in range(1, 6)) + "]) AS q FROM rq h CROSS JOIN (VALUES (0e0),(0.25e0),(0.5e0),(0.75e0),(1e0)) v(lam)", "rq", held=True)
 
 
 def shrunk(spark, sf, lams=LAMS):
-    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
-    qm = F.transform("qb", lambda b: b - 0.1 * F.col("px_t10"))
-    h = h.withColumn("qm", qm).withColumn("lam", F.explode(F.array(*[F.lit(x) for x in lams])))
+    """The ridge's quantiles moved toward history, for a grid of trust in the model."""
+    h = ridge_rows(spark, sf).withColumn("lam", F.explode(F.array(*[F.lit(x) for x in lams])))
     return h.withColumn("q", Q.shrink(F.col("qb"), F.col("qm"), F.col("lam")))
 
 
-@query("shrink_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, lam, " + R(*[f"q[{i + 1}] AS q{i}" for i in range(5)]) + " FROM hl5", "hl5"))
+@query("shrink_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, lam, " + R(*five("q", "q")) + " FROM hl5", "hl5"))
 def shrink_quantiles(spark, sf):
-    s = shrunk(spark, sf)
-    return C.rounded(s.select("entity", "month", "horizon", "lam", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
-
-
-@query("average_quantiles", sql("SELECT entity, month, CAST(horizon AS INTEGER) AS horizon, " + R(*[f"((b{i}-0.1e0*px_t10)+(b{i}+0.04e0*px_t10))/2e0 AS q{i}" for i in range(5)]) + " FROM hq", "hq"))
-def average_quantiles(spark, sf):
-    """Mean of two member models: history shifted against and along the trend."""
-    h = Q.history_quantiles(P.feature_frame(spark, sf), "px")
-    shifted = lambda k: F.transform("qb", lambda b: b + k * F.col("px_t10"))
-    h = h.withColumn("q", Q.average_members(shifted(-0.1), shifted(0.04)))
-    return C.rounded(h.select("entity", "month", "horizon", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
+    return C.rounded(shrunk(spark, sf).select("entity", "month", "horizon", "lam", *fives("q", "q")))
 
 
 PB = "(" + "+".join(f"greatest({t}e0*(yk-{{0}}[{i + 1}]),({t}e0-1e0)*(yk-{{0}}[{i + 1}]))" for i, t in enumerate(Q.LEVELS)) + ")/5e0"
@@ -90,7 +151,7 @@ def pinball(spark, sf):
 
 
 cte("qs_r", """SELECT *, rank() OVER (PARTITION BY entity,horizon,lam ORDER BY mid)+(count(*) OVER (PARTITION BY entity,horizon,lam,mid)-1)/2e0 AS rx,
- rank() OVER (PARTITION BY entity,horizon,lam ORDER BY yk)+(count(*) OVER (PARTITION BY entity,horizon,lam,yk)-1)/2e0 AS ry, sign(round(q[3]-b2,12)) AS call, sign(yk-b2) AS real, [b0,b1,b2,b3,b4] AS qb
+ rank() OVER (PARTITION BY entity,horizon,lam ORDER BY yk)+(count(*) OVER (PARTITION BY entity,horizon,lam,yk)-1)/2e0 AS ry, sign(round(q[3]-qb[3],12)) AS call, sign(yk-qb[3]) AS real
  FROM (SELECT *, round(q[3],12) AS mid FROM hl5 WHERE yk IS NOT NULL AND part IN ('val','test'))""", "hl5")
 
 
@@ -102,24 +163,26 @@ def quantile_score(spark, sf):
     return C.rounded(Q.score(s, ["entity", "horizon", "lam"]))
 
 
-cte("lastq", "SELECT * FROM hl5 WHERE lam=0.5 QUALIFY pos=max(pos) OVER (PARTITION BY entity)", "hl5")
-_KN = "list_concat([0],hs)"
-cte("knots", "SELECT entity, list(horizon ORDER BY horizon) AS hs, " + ", ".join(f"list(q[{i + 1}] ORDER BY horizon) AS v{i}" for i in range(5)) + " FROM lastq GROUP BY 1", "lastq")
-cte("curve", "SELECT entity, m, " + ", ".join(
-    f"(SELECT coalesce(max(CASE WHEN lo.h=m THEN lo.v END), any_value(lo.v+(hi.v-lo.v)*(m-lo.h)/(hi.h-lo.h))) FROM (SELECT unnest([0,1,3,6]) AS h, unnest(list_concat([0e0],v{i})) AS v) lo, (SELECT unnest([0,1,3,6]) AS h, unnest(list_concat([0e0],v{i})) AS v) hi WHERE lo.h<=m AND hi.h>m AND hi.h=(SELECT min(z) FROM unnest([0,1,3,6,7]) t(z) WHERE z>m) AND lo.h=(SELECT max(z) FROM unnest([0,1,3,6]) t(z) WHERE z<=m)) AS c{i}" for i in range(5)) + " FROM knots, range(6) r(m)", "knots")
-CURVE = "SELECT entity, CAST(m AS INTEGER) AS month_ahead, " + R(*[f"c{i}" for i in range(5)]) + " FROM curve UNION ALL SELECT entity, 6, " + R(*[f"v{i}[3] AS c{i}" for i in range(5)]) + " FROM knots"
+# fit on every known row, read on the latest one; half way between history and model
+cte("pjt", "SELECT *, n_all AS fold, yk IS NOT NULL AS learn, pos=n_all-1 AS graded FROM pjy WHERE yk IS NOT NULL OR pos=n_all-1", "pjy", held=True)
+ridge_model("tq", "pjt", INPUTS)
+cte("lastq", "SELECT *, list_sort([" + ",".join(f"qb[{i}]+0.5e0*(qm[{i}]-qb[{i}])" for i in range(1, 6)) + "]) AS q FROM tq", "tq", held=True)
+MONTHS = max(Q.GRID)
+cte("knots", "SELECT entity, horizon AS h, q FROM lastq UNION ALL SELECT DISTINCT entity, 0, [0e0,0e0,0e0,0e0,0e0] FROM lastq", "lastq")
+cte("curve", f"SELECT entity, m, arg_max(q,h) FILTER (h<=m) AS lq, max(h) FILTER (h<=m) AS lo, arg_min(q,h) FILTER (h>=m) AS uq, min(h) FILTER (h>=m) AS up FROM knots, range({MONTHS + 1}) r(m) GROUP BY 1,2", "knots")
+CURVE = "SELECT entity, CAST(m AS INTEGER) AS month_ahead, " + R(*[f"CASE WHEN up IS NULL OR up=lo THEN lq[{i}] ELSE lq[{i}]+(uq[{i}]-lq[{i}])*(m-lo)/(up-lo) END AS c{i - 1}" for i in range(1, 6)]) + " FROM curve"
 
 
 def latest_quantiles(spark, sf):
-    s = shrunk(spark, sf, (0.5,))
-    top = F.max("pos").over(Window.partitionBy("entity"))
-    return s.withColumn("_t", top).filter(F.col("pos") == F.col("_t")).drop("_t")
+    """Quantiles of the latest row from fits on every known row, half way between history and ridge."""
+    t = Q.ridge_quantiles(Q.today_rows(outcomes(spark, sf)), INPUTS)
+    return t.withColumn("q", Q.shrink(F.col("qb"), F.col("qm"), F.lit(0.5)))
 
 
-@query("quantile_curve", sql(CURVE, "curve", "knots"))
+@query("quantile_curve", sql(CURVE, "curve"))
 def quantile_curve(spark, sf):
-    c = Q.curve(latest_quantiles(spark, sf), ["entity"], 6)
-    return C.rounded(c.select("entity", "month_ahead", *[F.get("q", F.lit(i)).alias(f"c{i}") for i in range(5)]))
+    c = Q.curve(latest_quantiles(spark, sf), ["entity"], MONTHS)
+    return C.rounded(c.select("entity", "month_ahead", *fives("q", "c")))
 
 
 _T = ("0.1e0", "0.25e0", "0.5e0", "0.75e0", "0.9e0")
@@ -138,22 +201,6 @@ def projection_table(spark, sf):
     )
 
 
-def ridge_fan(spark, sf, features, k: int, frame=None):
-    """Walk-forward ridge with residual and history quantiles of the k-row log return."""
-    fw = frame if frame is not None else P.feature_frame(spark, sf)
-    w = C.by_entity("entity")
-    fw = fw.withColumn("yk", Q.log_forward("px", k, w))
-    out = SV.walk_forward_ridge(fw, features, "yk", k, 12, F.col("c1"), 30, 150.0, quantiles=Q.LEVELS)
-    return out.filter(F.col("qm").isNotNull() & (F.col("pos") >= F.col("c1"))).withColumn("horizon", F.lit(k))
-
-
-@query("ridge_quantiles")
-def ridge_quantiles(spark, sf):
-    r = ridge_fan(spark, sf, V.FEATURES, 3)
-    cols = [F.get(c, F.lit(i)).alias(f"{a}{i}") for c, a in (("qm", "m"), ("qb", "b")) for i in range(5)]
-    return C.rounded(r.select("entity", "month", "horizon", "yk", *cols))
-
-
 @query("leaf_quantiles")
 def leaf_quantiles(spark, sf, k: int = 3):
     """Quantile regression by leaves: one tree over all entities, then exact quantiles of the training outcomes per (entity, leaf),
@@ -173,26 +220,30 @@ def leaf_quantiles(spark, sf, k: int = 3):
     return C.rounded(j.select("entity", "month", "leaf", "n", "yk", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)]))
 
 
-@query("arm_compare")
+ridge_model("rq6", "pjf", V.FEATURES)
+cte("arms", "SELECT *, 'indicators + price' AS arm FROM rq UNION ALL SELECT *, 'indicators' FROM rq6", "rq", "rq6")
+cte("arm_r", """SELECT *, rank() OVER (PARTITION BY entity,horizon,arm ORDER BY mid)+(count(*) OVER (PARTITION BY entity,horizon,arm,mid)-1)/2e0 AS rx,
+ rank() OVER (PARTITION BY entity,horizon,arm ORDER BY yk)+(count(*) OVER (PARTITION BY entity,horizon,arm,yk)-1)/2e0 AS ry, sign(round(q[3]-qb[3],12)) AS call, sign(yk-qb[3]) AS real
+ FROM (SELECT *, qm AS q, round(qm[3],12) AS mid FROM arms WHERE yk IS NOT NULL AND part IN ('val','test'))""", "arms")
+
+
+@query("arm_compare", sql("SELECT entity, CAST(horizon AS INTEGER) AS horizon, arm, n, " + R("ic", "hit", "1e0-pm/pb AS skill", "c80", "c50") + f""" FROM (SELECT entity, horizon, arm, count(*) AS n, CASE WHEN count(*)>=8 THEN {CORR} END AS ic,
+ avg(CASE WHEN call<>0 THEN CASE WHEN call=real THEN 1e0 ELSE 0e0 END END) AS hit, avg({PB.format('q')}) AS pm, avg({PB.format('qb')}) AS pb,
+ avg(CASE WHEN yk BETWEEN q[1] AND q[5] THEN 1e0 ELSE 0e0 END) AS c80, avg(CASE WHEN yk BETWEEN q[2] AND q[4] THEN 1e0 ELSE 0e0 END) AS c50 FROM arm_r GROUP BY 1,2,3 HAVING count(*)>=8)""", "arm_r"))
 def arm_compare(spark, sf):
-    """Pinball skill with and without the price features, on the same months."""
-    f = T.complete_case(with_price_features(P.features_all(spark, sf)), (*V.FEATURES, *PF))
-    fw = T.split3(f, "y", V.H, V.TRAIN, V.VAL)
-    arms = {"indicators": V.FEATURES, "indicators + price": (*V.FEATURES, "px_mom1", "px_mom12", "px_vol12", "px_dd12")}
-    rows = None
-    for name, cols in arms.items():
-        r = ridge_fan(spark, sf, cols, 3, fw).filter(F.col("part").isin("val", "test"))
-        r = r.select("entity", "pos", "yk", "qb", F.col("qm").alias("q"), F.lit(name).alias("arm"))
-        rows = r if rows is None else rows.unionByName(r)
-    both = F.count(F.lit(1)).over(Window.partitionBy("entity", "pos"))
-    rows = rows.withColumn("_k", both).filter(F.col("_k") == len(arms)).drop("_k")
-    return C.rounded(Q.score(rows, ["entity", "arm"]))
-
-
-@query("ridge_drivers")
+    """Scores with and without the price features, on the same rows."""
+    a, b = (ridge_rows(spark, sf, f).withColumn("arm", F.lit(n)) for f, n in ((INPUTS, "indicators + price"), (V.FEATURES, "indicators")))
+    rows = a.unionByName(b).withColumn("q", F.col("qm")).filter(F.col("part").isin("val", "test"))
+    return C.rounded(Q.score(rows, ["entity", "horizon", "arm"]))
+
+
+_DRIVE = " UNION ALL ".join(f"SELECT entity, '{f}' AS feature, w[{i + 1}]/s_{f} AS coef, w[{i + 1}]/s_{f}*({f}-m_{f})*100e0 AS contribution FROM pjt JOIN tq_fit USING (entity, horizon, fold) WHERE graded AND horizon=6" for i, f in enumerate(INPUTS))
+cte("drive", f"SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(abs(contribution),9) DESC, feature) AS place FROM ({_DRIVE})", "pjt", "tq_fit")
+
+
+@query("ridge_drivers", sql("SELECT entity, feature, " + R("coef", "contribution") + ", CAST(place AS INTEGER) AS place FROM drive WHERE place<=12", "drive"))
 def ridge_drivers(spark, sf):
-    """Contribution of every indicator to the latest six-month prediction, largest first."""
-    fw = P.feature_frame(spark, sf).withColumn("yk", Q.log_forward("px", 6, C.by_entity("entity")))
-    d = SV.latest_ridge(fw, V.FEATURES, "yk", 150.0, 30)
-    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc(F.abs("contribution")), "feature"))
-    return C.rounded(d.withColumn("place", place).filter(F.col("place") <= 12))
+    """Contribution of every input to the latest six-month prediction, the twelve largest."""
+    rows = Q.today_rows(outcomes(spark, sf).filter("horizon = 6"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc(F.round(F.abs("contribution"), 9)), "feature"))
+    return C.rounded(Q.ridge_drivers(rows, INPUTS).withColumn("place", place).filter(F.col("place") <= 12))

@@ -24,8 +24,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def cte(name: str, body: str, *deps: str) -> str:
+HELD: set[str] = set()
+
+
+def cte(name: str, body: str, *deps: str, held: bool = False) -> str:
+    """Register a common table expression; `held` ones are computed once by the SQL engine, however often they are read."""
     CTES[name] = (deps, body.strip())
+    if held:
+        HELD.add(name)
     return name
 
 
@@ -44,7 +50,7 @@ def sql(final: str, *deps: str) -> str:
         visit(d)
     if not seen:
         return final
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in seen) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in HELD else ''}(\n{CTES[n][1]}\n)" for n in seen) + "\n" + final
 
 
 def R(*names: str, digits: int = 6) -> str:
@@ -103,7 +109,7 @@ cte("fw", """
  SELECT f.*, CASE WHEN y IS NULL THEN 'unknown' WHEN pos < c1 - 3 THEN 'learn' WHEN pos >= c1 AND pos < c2 - 3 THEN 'val'
               WHEN pos >= c2 THEN 'test' ELSE 'purged' END AS part
  FROM (SELECT *, CAST(floor(n_ev*0.6e0) AS INTEGER) AS c1, CAST(floor(n_ev*(0.6e0+0.2e0)) AS INTEGER) AS c2 FROM
-        (SELECT *, count(y) OVER (PARTITION BY entity) AS n_ev, CAST(count(*) OVER (PARTITION BY entity) AS INTEGER) AS n_all FROM fw0)) f""", "fw0")
+        (SELECT *, count(y) OVER (PARTITION BY entity) AS n_ev, CAST(count(*) OVER (PARTITION BY entity) AS INTEGER) AS n_all FROM fw0)) f""", "fw0", held=True)
 cte("fl", "\n UNION ALL ".join(
     f"SELECT entity, month, pos, '{c}' AS feature, {c} AS x, y, part, c1, n_all FROM fw"
     for c in ("disc", "tax", "ret_d3", "qty_c3", "px_m6", "px_t10")), "fw")

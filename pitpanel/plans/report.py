@@ -15,7 +15,7 @@ from . import common as P
 from .backtest import _E
 from .model import probabilities
 from .registry import R, cte, query, sql
-from .rules import latest
+from .rules import latest, percentiles
 from .stats import ci_ctes
 
 LABEL = "CASE WHEN e>=0.99 THEN 'Favorable' WHEN e>=0.7 THEN 'Leaning favorable' WHEN e>0.3 THEN 'Neutral' WHEN e>0.01 THEN 'Leaning unfavorable' ELSE 'Unfavorable' END"
@@ -115,8 +115,8 @@ cte("stand", "SELECT *, lag(x,3) OVER (PARTITION BY entity, feature ORDER BY pos
 @query("standings", sql("SELECT entity, feature, state, " + R("x", "x-x3 AS change", digits=8) + ", pit IS NOT NULL AND pit>=CAST(2 AS DOUBLE)/3 AS high FROM stand JOIN (SELECT entity, feature, pos, pit FROM pctl) USING (entity, feature, pos) QUALIFY pos=max(pos) OVER (PARTITION BY entity, feature)", "stand", "pctl"))
 def standings(spark, sf):
     """Latest value, three-row change, state and whether it is in the top third of its history."""
-    w = C.by_entity("entity", "feature")
-    fl = P.feature_long(spark, sf).withColumns({"pit": S.expanding_pctl("x", w), "change": F.col("x") - F.lag("x", 3).over(w)})
+    change = F.col("x") - F.lag("x", 3).over(C.by_entity("entity", "feature"))
+    fl = percentiles(spark, sf).withColumn("change", change)
     st = S.tercile_states(fl, ["entity", "feature"], F.col("part") == "learn")
     now = latest(st, ["entity", "feature"], ["state", "x", "change", "pit"])
     return C.rounded(now.withColumn("high", F.coalesce(F.col("pit") >= 2 / 3, F.lit(False))).drop("pit"), 8)

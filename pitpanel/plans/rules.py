@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import order as O
 from ..operators import states as S
 from ..operators import targets as T
 from ..sources import views as V
@@ -232,7 +233,7 @@ cte("pctl", """
 
 def percentiles(spark, sf):
     fl = P.feature_long(spark, sf)
-    return fl.withColumn("pit", S.expanding_pctl("x", C.by_entity("entity", "feature")))
+    return O.expanding_percentile(fl, "x", ["entity", "feature"], "pit", bits=O.bits_of(P.feature_frame(spark, sf)))
 
 
 @query("expanding_pctl", sql("SELECT entity, month, feature, " + R("pit") + " FROM pctl", "pctl"))
@@ -248,7 +249,7 @@ cte("rpx", "SELECT entity, month, pos, px/px2 AS x FROM panel", "panel")
 def real_price_pctl(spark, sf):
     """Expanding percentile of a price deflated by an index."""
     p = V.monthly_panel(spark, sf).withColumn("x", C.ratio("px", "px2"))
-    return C.rounded(p.select("entity", "month", S.expanding_pctl("x", C.by_entity("entity")).alias("pit")))
+    return C.rounded(O.expanding_percentile(p, "x", ["entity"], "pit").select("entity", "month", "pit"))
 
 
 @query("pit_state", sql("""SELECT entity, feature, CASE WHEN pit IS NULL THEN NULL WHEN pit<=CAST(1 AS DOUBLE)/3 THEN 'Low' WHEN pit<=CAST(2 AS DOUBLE)/3 THEN 'Mid' ELSE 'High' END AS state,
