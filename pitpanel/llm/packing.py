@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import portions, record, table
-from .token_counts import Table
+from .token_counts import PreTokens, worker_table
 from .words import bytes_of
 
 SEQUENCE = 2048
@@ -96,20 +96,26 @@ class Schedule:
         return begin[i] + offset - had[i], will[i] - offset
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Token ids of every document (little-endian, 32 bits), with the offset in its task's part of its queue."""
+def id_type(path: str, end_id: int) -> str:
+    """The narrowest of 16 and 32 bits that holds every id; the tables keep ids so."""
+    return "<u2" if max(PreTokens(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, kind: str = "<u4") -> DataFrame:
+    """Token ids of every document (little-endian, of `kind`), with the offset in its task's part of its queue."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = Table(path, ids=True), {}
-        last = np.array([end_id], "<u4").tobytes()
+        known, at = worker_table(path, ids=True), {}
+        last, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         for batch in portions(batches, size=1_500_000):
             flat, marks = known.ids_of(*bytes_of(batch.column("text")))
+            flat = flat.astype(kind)
             ids = [flat[a:b].tobytes() + last for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             local = []
             for q, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
                 local.append(at.get(q, 0))
-                at[q] = local[-1] + len(x) // 4
-            yield record(doc_id=batch.column("doc_id"), queue=batch.column("queue"), part=batch.column("part"), local=local, n=[len(x) // 4 for x in ids], ids=ids)
+                at[q] = local[-1] + len(x) // width
+            yield record(doc_id=batch.column("doc_id"), queue=batch.column("queue"), part=batch.column("part"), local=local, n=[len(x) // width for x in ids], ids=ids)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "queue")
     return rows.withColumn("part", F.spark_partition_id()).mapInArrow(encode, TOKENS)
@@ -133,7 +139,8 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
     `targets` maps sources to token proportions; without it each window mirrors the corpus.
     """
     spark = docs.sparkSession
-    tokens = table(tokenise(queued(docs, targets or ()), path, end_id), "tokens")
+    kind = id_type(path, end_id)
+    tokens = table(tokenise(queued(docs, targets or ()), path, end_id, kind), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     sizes = {r["queue"]: r["m"] for r in parts.groupBy("queue").agg(F.sum("m").alias("m")).collect()}
     before = F.sum("m").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -147,14 +154,14 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
         for batch in portions(batches, "ids"):
             of, rows = [], []
             for i, (q, first, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "first", "n", "ids")), strict=True)):
-                done = 0
+                done, wide = 0, np.frombuffer(ids, kind).astype("<u4")
                 while done < n:
                     spot, room = plan.place_of(q, first + done)
                     room = min(room, n - done)
                     while room:
                         size = min(room, sequence - spot % sequence)
                         of.append(i)
-                        rows.append((done, size, zlib.crc32(ids[4 * done : 4 * (done + size)]), n, spot // sequence, spot % sequence))
+                        rows.append((done, size, zlib.crc32(wide[done : done + size]), n, spot // sequence, spot % sequence))
                         done, spot, room = done + size, spot + size, room - size
             c = np.array(rows, np.int64).T
             yield record(doc_id=batch.column("doc_id").take(pa.array(of)), start=c[0], length=c[1], ids_crc32=c[2], doc_tokens=c[3], sequence_id=c[4], offset=c[5], queue=batch.column("queue").take(pa.array(of)))

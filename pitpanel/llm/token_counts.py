@@ -10,7 +10,7 @@ pre-tokens that are most frequent in a bounded sample of documents; it only save
 work and decides no count. Tier two is a worker's own table of the same form, which
 starts as tier one and takes up what the tokenizers library gives for misses. Its size is bounded;
 when it is full, it starts again from tier one. Hashing, lookup and sums
-are done for a batch of texts at once.
+are done for a batch of texts at once. A worker keeps its table from task to task.
 
 Defined results: null text counts as empty, with 0 tokens; a null doc_id stays
 null; repeated rows give repeated results; an empty table gives no rows; other
@@ -137,6 +137,16 @@ class Table:
         return flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text)])
 
 
+_tables: dict[tuple[str, bool], Table] = {}
+
+
+def worker_table(path: str, first: tuple[np.ndarray, np.ndarray] | None = None, ids: bool = False) -> Table:
+    """The worker's table, kept from one task to the next."""
+    if (path, ids) not in _tables:
+        _tables[path, ids] = Table(path, first, ids)
+    return _tables[path, ids]
+
+
 def frequent(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Tier one: hashes in order, and lengths. Each task counts its part of the sample; only `entries` counts of each are sent."""
     ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -164,7 +174,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, sample: int = S
     first = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, sample, entries))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(path, first.value)
+        table = worker_table(path, first.value)
         for batch in portions(batches, size=1_500_000):
             data, offsets = bytes_of(batch.column("text"))
             words, at = table.look_up(data, offsets)
