@@ -50,8 +50,29 @@ def available(df: DataFrame, keys, obs: str, avail: Column, value: str) -> DataF
 def outer_ffill(obs: DataFrame, series, keys=(), day: str = "d", name: str = "series_id", value: str = "value") -> DataFrame:
     """All series on one date axis, each carried forward: union + pivot, never a chain of outer joins."""
     wide = obs.groupBy(*keys, day).pivot(name, list(series)).agg(F.first(value))
-    w = Window.partitionBy(*keys).orderBy(day)
-    return wide.select(*keys, day, *[C.ffill(F.col(f"`{s}`"), w).alias(s) for s in series])
+    return fill_forward(wide, series, keys, day)
+
+
+#: Days of a block of the forward fill.
+BLOCK_DAYS = 64
+
+
+def fill_forward(wide: DataFrame, cols, keys=(), day: str = "d") -> DataFrame:
+    """Every column carried forward in order of `day`, as a prefix scan over blocks of days.
+
+    A block is filled by itself; the last values of the blocks, one row each, are carried from block to block and
+    reach the rows in which their own block has none yet. So a single long axis is filled by many tasks.
+    """
+    keys, cols = list(keys), list(cols)
+    q = {c: F.col(f"`{c}`") for c in cols}
+    rows = wide.withColumn("_block", F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / BLOCK_DAYS))
+    last = rows.groupBy(*keys, "_block").agg(*[F.max_by(q[c], F.when(q[c].isNotNull(), F.col(day))).alias(f"_l{i}") for i, c in enumerate(cols)])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_block", *[F.last(f"_l{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(cols))])
+    upto = Window.partitionBy(*keys, "_block").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.select(*keys, day, "_block", *[F.last(q[c], ignorenulls=True).over(upto).alias(f"_f{i}") for i, c in enumerate(cols)])
+    joined = filled.join(carried, [*keys, "_block"])
+    return joined.select(*keys, day, *[F.coalesce(f"_f{i}", f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def month_end_last(df: DataFrame, keys, day: str, cols) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import quantile as Q
+from . import solve as SV
 
 # yield-curve recession probit: intercept and slope, fixed values
 PROBIT_A, PROBIT_B = -0.5333, -0.6330
@@ -63,3 +65,46 @@ def tally_class(sign: Column, pit: Column) -> Column:
         .when((high & (sign < 0)) | (low & (sign > 0)), "against")
         .otherwise("middle")
     )
+
+
+#: Horizon in rows, rows between refits, rows a fit needs, strength of the ridge; inputs may start so many months late, and so many must remain.
+H, STEP, MIN_ROWS, ALPHA = 12, 3, 60, 50.0
+LATE_MONTHS, LEAST_INPUTS = 72, 3
+
+
+def input_table(df: DataFrame, inputs, keys=("entity",), month: str = "month") -> DataFrame:
+    """(keys, input, first, used): an input is used unless it is empty or starts later than the rest of the history can bear."""
+    long = df.select(*keys, month, F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).cast("double").alias("x")) for c in inputs])).alias("o")).select(*keys, month, "o.*")
+    g = long.groupBy(*keys, "input").agg(F.min(month).alias("_start"), F.min(F.when(F.col("x").isNotNull(), F.col(month))).alias("first"))
+    return g.withColumn("used", F.coalesce(F.col("first") <= F.add_months("_start", LATE_MONTHS), F.lit(False))).drop("_start")
+
+
+def chosen_inputs(df: DataFrame, inputs, keys=("entity",), month: str = "month") -> DataFrame:
+    """`df` with the inputs that a key does not use set to 0 (a constant has no part in a standardised fit); keys with too few are left out.
+
+    So keys with different inputs are solved by one system of equal size each.
+    """
+    own = input_table(df, inputs, keys, month).filter("used").groupBy(*keys).agg(F.collect_set("input").alias("_used"))
+    own = own.filter(F.size("_used") >= LEAST_INPUTS)
+    masked = {c: F.when(F.array_contains("_used", c), F.col(c)).otherwise(0.0) for c in inputs}
+    return df.join(own, list(keys)).withColumns(masked).drop("_used")
+
+
+def expanding_forecast(rows: DataFrame, inputs, y: str, keys, h: int = H, step: int = STEP, min_rows: int = MIN_ROWS, alpha: float = ALPHA) -> DataFrame:
+    """Forecast of y, known h rows later, by a ridge that is refitted every `step` rows on rows whose outcome was known by then.
+
+    The first refit comes min_rows + h rows behind the first complete row; (keys, pos, fold, n_train, pred).
+    """
+    keys = list(keys)
+    whole = F.lit(True)
+    for c in inputs:
+        whole = whole & F.col(c).isNotNull()
+    every = Window.partitionBy(*keys)
+    pos, first = F.col("pos"), F.min(F.when(whole, F.col("pos"))).over(every) + min_rows + h
+    d = rows.withColumns({"_whole": whole, "_first": first, "_n": F.max("pos").over(every) + 1}).filter("_whole and _first < _n")
+    known = F.col(y).isNotNull()
+    folds = F.filter(F.sequence(F.col("_first"), F.col("_n") - 1, F.lit(step)), lambda s: (known & (pos <= s - h)) | ((pos >= s) & (pos < s + step)))
+    d = d.withColumn("fold", F.explode(folds)).withColumns({"learn": pos < F.col("fold"), "graded": pos >= F.col("fold"), "yk": F.col(y)})
+    fits = Q.ridge_fits(d, inputs, [*keys, "fold"], alpha, min_rows)
+    scored = d.filter("graded").join(fits, [*keys, "fold"])
+    return scored.withColumn("pred", SV.linear(F.col("coef"), inputs)).drop("_whole", "_first", "_n", "coef", "learn", "graded", "yk")

@@ -72,6 +72,26 @@ def indicator_ranking(long: DataFrame, h: int, keys=("entity", "feature"), learn
     ).drop("agree", "n_u", "n_ok", "n_l")
 
 
+def links(long: DataFrame, h: int, signs: dict[str, int], keys=("entity", "feature")) -> DataFrame:
+    """(keys, n_learn, ic_l, ic_u, t, status, textbook): how each indicator lined up with the outcome in the learn and in the unseen rows.
+
+    Every indicator is ranked over the rows in which it and the outcome are known.
+    """
+    keys = list(keys)
+    rows = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("part").isin("learn", "val", "test"))
+    rows = rows.withColumn("learn", F.col("part") == "learn")
+    rows = rows.withColumns({"rx": C.avg_rank("x", *keys, "learn"), "ry": C.avg_rank("y", *keys, "learn")})
+    side = lambda on: C.pearson(F.when(on, F.col("rx")), F.when(on, F.col("ry")))
+    g = rows.groupBy(*keys).agg(F.count(F.when(F.col("learn"), 1)).alias("n_learn"), side(F.col("learn")).alias("ic_l"), side(~F.col("learn")).alias("ic_u"))
+    g = g.join(ST.hac_t(rows.filter("learn"), keys, "ry", "rx", h), keys).withColumn("t", F.when(F.col("n_learn") > 8, F.col("t")))
+    status = (
+        F.when(F.col("ic_l").isNull() | F.col("ic_u").isNull(), "-").when(F.signum("ic_l") != F.signum("ic_u"), "flips on unseen data")
+        .when(F.abs("t") >= 2, "consistent and significant").otherwise("consistent but weak")
+    )
+    sign = F.create_map(*[F.lit(x) for kv in signs.items() for x in kv])[F.col("feature")]
+    return g.withColumn("status", status).withColumn("textbook", F.when((sign != 0) & F.col("ic_l").isNotNull(), F.signum("ic_l") == sign))
+
+
 def placed(df: DataFrame, keys, order, out: str = "place") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w))

@@ -58,22 +58,22 @@ cte("ffilled", "SELECT d, " + ", ".join(f"last_value({n} IGNORE NULLS) OVER (ORD
 
 
 def wide_daily(spark, sf):
-    """Availability-dated series on one axis. The key is constant: one market, so at most one row per calendar day after the pivot."""
+    """Availability-dated series on one axis, filled by blocks of days."""
     one = AL.available(V.daily_obs(spark, sf), ["series_id"], "obs_date", rule_date(), "value")
-    one = one.withColumn("market", F.lit("all"))
-    out = AL.outer_ffill(one.withColumnRenamed("avail_date", "d"), SERIES, keys=("market",))
-    return out.select("market", "d", *[F.col(f"`{s}`").alias(n) for s, n in zip(SERIES, NAMES)])
+    out = AL.outer_ffill(one.withColumnRenamed("avail_date", "d"), SERIES)
+    return out.select("d", *[F.col(f"`{s}`").alias(n) for s, n in zip(SERIES, NAMES)])
 
 
 @query("outer_ffill", sql("SELECT d, " + R(*NAMES) + " FROM ffilled", "ffilled"))
 def outer_ffill(spark, sf):
-    return C.rounded(wide_daily(spark, sf).drop("market"))
+    return C.rounded(wide_daily(spark, sf))
 
 
 @query("month_end_last", sql("""SELECT last_day(m) AS month, """ + R(*NAMES) + """ FROM (SELECT CAST(unnest(generate_series(date_trunc('month', min(d)), date_trunc('month', max(d)), INTERVAL 1 MONTH)) AS DATE) AS m FROM ffilled)
  LEFT JOIN LATERAL (SELECT """ + ", ".join(f"{n}" for n in NAMES) + " FROM ffilled f WHERE f.d<=last_day(m) ORDER BY f.d DESC LIMIT 1) ON true", "ffilled"))
 def month_end_last(spark, sf):
-    m = AL.month_end_last(wide_daily(spark, sf), ["market"], "d", NAMES)
+    """One row per month after the daily reduction; only those rows share the axis of the one market."""
+    m = AL.month_end_last(wide_daily(spark, sf), [], "d", NAMES).withColumn("market", F.lit("all"))
     return C.rounded(V.dense_months(m, "market").select("month", *NAMES))
 
 

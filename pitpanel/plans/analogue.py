@@ -52,12 +52,7 @@ cte("emb_d", """SELECT e.vec_id, e.label, e.y, round(sqrt(list_sum(list_transfor
 
 @query("greedy_gap_topk", sql(f"SELECT p.pos AS pos, round(p.d,6)+0e0 AS d, p.y AS y FROM (SELECT unnest({greedy_sql('list([{d: d, pos: vec_id, y: y}] ORDER BY d, vec_id)', 10, 5)}) AS p FROM emb_d)", "emb_d"))
 def greedy_gap_topk(spark, sf, k: int = 10, gap: int = 5):
-    """Nearest vectors to the latest one, at least `gap` positions apart.
-
-    A pick can rule out at most 2*gap - 1 positions (one row each), so the k
-    picks are always among the k*(2*gap - 1) nearest rows: a distributed top-n
-    is exact and the greedy pass never sees more than that.
-    """
+    """Nearest vectors to the latest one, at least `gap` positions apart."""
     e = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("pos"), (F.col("label") - 4.5).cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("v")
     )
@@ -65,8 +60,7 @@ def greedy_gap_topk(spark, sf, k: int = 10, gap: int = 5):
     ones = F.transform("v", lambda _: F.lit(1.0))
     d = e.withColumn("q", now).filter(F.col("pos") != F.col("q.pos"))
     d = d.select(F.round(N.distance(F.col("v"), F.col("q.v"), ones), 9).alias("d"), "pos", "y")
-    near = d.orderBy("d", "pos").limit(k * (2 * gap - 1))
-    picked = near.agg(F.array_sort(F.collect_list(F.struct("d", "pos", "y"))).alias("c"))
+    picked = N.nearest(d, [], k, gap).agg(F.array_sort(F.collect_list(F.struct("d", "pos", "y"))).alias("c"))
     picked = picked.select(F.explode(A.greedy_gap(F.col("c"), k, gap, "struct<d:double,pos:bigint,y:double>")).alias("p"))
     return C.rounded(picked.select("p.pos", "p.d", "p.y"))
 

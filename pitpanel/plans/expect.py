@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import expect as X
-from ..operators import solve as SV
+from ..operators import rank as K
+from ..operators import targets as T
 from ..sources import views as V
 from . import common as P
+from .linear_sql import ridge_ctes, ridge_pred
 from .rank import SIGN
 from .registry import R, cte, erfc_sql, query, sql
 from .rules import latest, percentiles
+from .stats import hac_ctes, ic_cte, ranks_sql
 
 cte("rates", "SELECT entity, month, pos, disc*100e0 AS y1, tax*100e0 AS y2, ret*10e0 AS y10, nopen*10e0 AS y3m, coalesce(CASE WHEN tax>0.04e0 THEN qty/100e0 END, nopen*10e0) AS ff, disc*40e0 AS infl, px FROM panel", "panel")
 cte("ex", """SELECT *, ex_ff12-ff AS ex_ff_chg, ex_ff12-infl AS ex_real FROM (SELECT *, CASE WHEN ff+(1.25e0*y2-0.25e0*y1-y3m) IS NOT NULL THEN greatest(ff+(1.25e0*y2-0.25e0*y1-y3m),0e0) END AS ex_ff12,
@@ -122,9 +126,64 @@ def expectation_targets(spark, sf):
     return C.rounded(t.select("entity", "month", "target", "own", F.col("ty").alias("y")), 8)
 
 
-@query("wf_ridge")
+# inputs that some entities lack: one is empty, one starts too late for all, one for some
+LATE = "2001-06-30"
+INPUTS = (*V.FEATURES, "late", "gone", "part_late")
+cte("xin", f"""SELECT f.entity, f.month, f.pos, {", ".join("f." + c for c in V.FEATURES)}, CASE WHEN f.month>=DATE '{LATE}' THEN f.qty END AS late, CAST(NULL AS DOUBLE) AS gone,
+ CASE WHEN f.month>=DATE '{LATE}' OR substr(f.entity,7,1) IN ('3','4','5') THEN f.nopen END AS part_late FROM feat_all f""", "feat_all")
+_XL = " UNION ALL ".join(f"SELECT entity, month, '{c}' AS input, {c} AS x FROM xin" for c in INPUTS)
+cte("xch", f"SELECT entity, input, first, coalesce(first<=last_day(CAST(start + INTERVAL {X.LATE_MONTHS} MONTH AS DATE)),false) AS used FROM (SELECT entity, input, min(month) AS start, min(month) FILTER (x IS NOT NULL) AS first FROM ({_XL}) GROUP BY 1,2)", "xin", held=True)
+
+
+def input_rows(spark, sf):
+    late = F.col("month") >= F.lit(LATE).cast("date")
+    partly = late | F.substring("entity", 7, 1).isin("3", "4", "5")
+    return P.features_all(spark, sf).withColumns({"late": F.when(late, F.col("qty")), "gone": F.lit(None).cast("double"), "part_late": F.when(partly, F.col("nopen"))})
+
+
+@query("input_choice", sql(f"SELECT entity, input, first, used, count(*) FILTER (used) OVER (PARTITION BY entity)>={X.LEAST_INPUTS} AS enough FROM xch", "xch"))
+def input_choice(spark, sf):
+    """Which inputs an entity's forecasts use: empty and late ones are dropped, three must remain."""
+    used = X.input_table(input_rows(spark, sf), INPUTS)
+    n = F.count(F.when(F.col("used"), 1)).over(Window.partitionBy("entity"))
+    return used.withColumn("enough", n >= X.LEAST_INPUTS)
+
+
+_XU = ", ".join(f"CASE WHEN list_contains(u,'{c}') THEN {c} ELSE 0e0 END AS {c}" for c in INPUTS)
+_XW = " AND ".join(f"{c} IS NOT NULL" for c in (*INPUTS, "own"))
+cte("xt12", " UNION ALL ".join(f"SELECT entity, month, '{k}' AS target, {o.replace(',6)', ',12)')} AS own, {y.replace(',6)', ',12)')} AS y FROM xt1 WINDOW w AS (PARTITION BY entity ORDER BY pos)" for k, (o, y) in _XT.items()), "xt1")
+cte("xrow", f"SELECT entity, target, month, pos, {_XU}, own, y FROM xin JOIN (SELECT entity, list(input) AS u FROM xch WHERE used GROUP BY 1 HAVING count(*)>={X.LEAST_INPUTS}) USING (entity) JOIN xt12 USING (entity, month)", "xin", "xch", "xt12", held=True)
+cte("xfold", f"""SELECT *, pos<fold AS learn, pos>=fold AS graded FROM (SELECT *, CAST(unnest(generate_series(f0, n0-1, {X.STEP})) AS INTEGER) AS fold FROM (
+ SELECT *, min(pos) FILTER ({_XW}) OVER (PARTITION BY entity, target)+{X.MIN_ROWS + X.H} AS f0, max(pos) OVER (PARTITION BY entity, target)+1 AS n0 FROM xrow) WHERE {_XW} AND f0<n0)
+ WHERE (pos<=fold-{X.H} AND y IS NOT NULL) OR (pos>=fold AND pos<fold+{X.STEP})""", "xrow", held=True)
+ridge_ctes("xr", "xfold", "entity, target, fold", (*INPUTS, "own"), "y", X.ALPHA, X.MIN_ROWS)
+
+
+@query("wf_ridge", sql("SELECT entity, target, month, n_train, " + R(f"{ridge_pred((*INPUTS, 'own'))} AS pred", "y") + " FROM xfold JOIN xr_fit USING (entity, target, fold) WHERE graded", "xfold", "xr_fit"))
 def wf_ridge(spark, sf):
-    """Expanding-window ridge forecast of every target h months ahead, refit every three rows."""
-    t = target_rows(P.feature_frame(spark, sf), V.H)
-    out = SV.walk_forward_ridge(t, (*V.FEATURES, "own"), "ty", V.H, 3, 36 + V.H, 30, 50.0, keys=("entity", "target"))
-    return C.rounded(out.filter(F.col("pred").isNotNull()).select("entity", "target", "month", "n_train", "pred", F.col("ty").alias("y")))
+    """Forecast of every target 12 months ahead, refitted every three rows on at least 60, each entity on its own inputs."""
+    t = target_rows(X.chosen_inputs(input_rows(spark, sf), INPUTS), X.H)
+    out = X.expanding_forecast(t, (*INPUTS, "own"), "ty", ["entity", "target"])
+    return C.rounded(out.select("entity", "target", "month", "n_train", "pred", F.col("ty").alias("y")))
+
+
+# --------------------------------------------------------------------------- links of expectations and outcomes
+LINKS = {"ex_ff12": 1, "ex_ff_chg": -1, "infl": 0, "ex_real": -1, "ex_y10": 1, "px_m12": 1, "qty_c24": 0}
+cte("lk", "SELECT f.entity, f.pos, f.part, f.y, " + ", ".join(f"round(x.{c},9) AS {c}" for c in EX) + ", round(p12,9) AS px_m12, round(q24,9) AS qty_c24 FROM fw f JOIN ex x USING (entity, month) JOIN (SELECT entity, month, px/lag(px,12) OVER w-1e0 AS p12, qty/lag(qty,24) OVER w-1e0 AS q24 FROM panel WINDOW w AS (PARTITION BY entity ORDER BY pos)) USING (entity, month)", "fw", "ex", "panel", held=True)
+cte("lkl", " UNION ALL ".join(f"SELECT entity, pos, part, y, '{c}' AS feature, {s} AS sgn, {c} AS x FROM lk WHERE {c} IS NOT NULL AND y IS NOT NULL" for c, s in LINKS.items()), "lk", held=True)
+ic_cte("lkil", "lkl", "entity, feature", where="part='learn'")
+ic_cte("lkiu", "lkl", "entity, feature", where="part IN ('val','test')")
+cte("lkr", ranks_sql("lkl", "entity, feature", "x", "y", "part='learn'"), "lkl")
+hac_ctes("lkh", "lkr", "entity, feature", "ry", "rx", 3)
+
+
+@query("link_table", sql("""SELECT entity, feature, n AS n_learn, """ + R("ic_l", "ic_u", "t") + """, CASE WHEN ic_l IS NULL OR ic_u IS NULL THEN '-' WHEN sign(ic_l)<>sign(ic_u) THEN 'flips on unseen data' WHEN abs(t)>=2 THEN 'consistent and significant' ELSE 'consistent but weak' END AS status,
+ CASE WHEN sgn<>0 AND ic_l IS NOT NULL THEN sign(ic_l)=sgn END AS textbook FROM (SELECT entity, feature, l.n, l.ic AS ic_l, u.ic AS ic_u, CASE WHEN l.n>8 THEN t END AS t FROM lkil l LEFT JOIN lkiu u USING (entity, feature) JOIN lkh_t USING (entity, feature))
+ JOIN (SELECT DISTINCT feature, sgn FROM lkl) USING (feature)""", "lkil", "lkiu", "lkh_t", "lkl"))
+def link_table(spark, sf):
+    """Expectation indicators against the outcome, each on the rows that it has: a short one shortens no other."""
+    w = C.by_entity("entity")
+    e = expectations(spark, sf).select("entity", "month", *[F.round(c, 9).alias(c) for c in EX])
+    late = V.monthly_panel(spark, sf).select("entity", "month", C.stable(C.pct_change("px", 12, w), 9).alias("px_m12"), C.stable(C.pct_change("qty", 24, w), 9).alias("qty_c24"))
+    f = P.feature_frame(spark, sf).select("entity", "month", "pos", "part", "y").join(e, ["entity", "month"]).join(late, ["entity", "month"])
+    return C.rounded(K.links(T.long_form(f, LINKS, ("entity", "pos", "part", "y")), V.H, LINKS))
