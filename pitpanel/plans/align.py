@@ -117,11 +117,11 @@ def splice_price(spark, sf):
 
 
 @query("start_slice", sql("""SELECT entity, min(month) AS first, max(month) AS last, count(*) AS n FROM feat_all f
- WHERE month >= (SELECT min(month) FROM feat_all g WHERE g.entity=f.entity AND g.px_t10 IS NOT NULL) AND month >= DATE '1996-03-31' GROUP BY entity""", "feat_all"))
+ WHERE month >= (SELECT min(month) FROM feat_all g WHERE g.entity=f.entity AND g.px_t10 IS NOT NULL) AND month >= DATE '1990-01-01' GROUP BY entity""", "feat_all"))
 def start_slice(spark, sf):
     first = F.min(F.when(F.col("px_t10").isNotNull(), F.col("month"))).over(Window.partitionBy("entity"))
     f = P.features_all(spark, sf).withColumn("_first", first)
-    f = f.filter((F.col("month") >= F.col("_first")) & (F.col("month") >= F.lit("1996-03-31").cast("date")))
+    f = f.filter((F.col("month") >= F.col("_first")) & (F.col("month") >= F.lit("1990-01-01").cast("date")))
     return f.groupBy("entity").agg(F.min("month").alias("first"), F.max("month").alias("last"), F.count(F.lit(1)).alias("n"))
 
 

@@ -36,7 +36,7 @@ def exposure_label(spark, sf):
 
 
 cte("un", "SELECT entity, verdict, pos, y FROM a_vd WHERE part IN ('val','test')", "a_vd")
-ci_ctes("unc", "un", "entity, verdict", 3, 200)
+ci_ctes("unc", "un", "entity, verdict", 3, 1000)
 cte("evid", """SELECT n.entity, coalesce(nr,0) AS n_rules, n_fav, n_unf, spread, f.lo AS lo_fav, u.hi AS hi_unf FROM (SELECT entity, count(*) FILTER (verdict='Favorable') AS n_fav, count(*) FILTER (verdict='Unfavorable') AS n_unf,
  (avg(y) FILTER (verdict='Favorable')-avg(y) FILTER (verdict='Unfavorable'))*100 AS spread FROM un GROUP BY 1) n LEFT JOIN (SELECT entity, count(*) AS nr FROM a_rl GROUP BY 1) r ON r.entity=n.entity
  LEFT JOIN unc_ci f ON f.entity=n.entity AND f.verdict='Favorable' LEFT JOIN unc_ci u ON u.entity=n.entity AND u.verdict='Unfavorable'""", "un", "a_rl", "unc_ci")
@@ -47,7 +47,7 @@ def evidence(rules, scored):
     """Evidence level per entity on the unseen rows."""
     unseen = scored.filter(F.col("part").isin("val", "test"))
     sp = S.favorable_spread(unseen, ["entity"])
-    ci = ST.block_ci(unseen, ["entity", "verdict"], "y", V.H, 200)
+    ci = ST.block_ci(unseen, ["entity", "verdict"], "y", V.H, 1000)
     edge = ci.groupBy("entity").agg(
         F.max(F.when(F.col("verdict") == S.FAV, F.col("lo"))).alias("lo_fav"), F.max(F.when(F.col("verdict") == S.UNF, F.col("hi"))).alias("hi_unf")
     )

@@ -314,14 +314,16 @@ def wf_rules(spark, sf):
 
 
 # sensitivity: learn share x threshold, graded on the same (test) rows
-SHARES, THRS = (0.6, 0.7, 0.8), (0.5, 1.0, 1.5)
-cte("s3", " UNION ALL ".join(
+SHARES, THRS = (0.4, 0.5, 0.6, 0.7), (0.5, 1.0, 1.5, 2.0, 2.5)
+_T = ",".join(f"({t}e0)" for t in THRS)
+cte("s3a", " UNION ALL ".join(
     f"""SELECT f.entity, f.month, f.pos, f.feature, f.x, f.y, f.part, {s}e0 AS share, f.y IS NOT NULL AND f.pos < CAST(floor(n_ev*{s}e0) AS INTEGER)-3 AS learn
  FROM fl f JOIN (SELECT DISTINCT entity, n_ev FROM fw) USING (entity)""" for s in SHARES), "fl", "fw")
+cte("s3", "SELECT * FROM (SELECT *, count(*) FILTER (learn) OVER (PARTITION BY entity, share, feature) AS nl FROM s3a) WHERE nl>=36", "s3a", held=True)
 state_ctes("g", "s3", "entity, share")
 stat_ctes("g", "g_st", "entity, share")
-cte("h_st", "SELECT s.*, thr FROM g_st s CROSS JOIN (VALUES (0.5e0),(1e0),(1.5e0)) v(thr)", "g_st")
-cte("h_rl", "SELECT b.*, thr, sign(round(edge,12))*1e0 AS weight FROM g_bq b CROSS JOIN (VALUES (0.5e0),(1e0),(1.5e0)) v(thr) WHERE abs(t)>=thr AND round(edge,12)<>0", "g_bq")
+cte("h_st", f"SELECT s.*, thr FROM g_st s CROSS JOIN (VALUES {_T}) v(thr)", "g_st")
+cte("h_rl", f"SELECT b.*, thr, sign(round(edge,12))*1e0 AS weight FROM g_bq b CROSS JOIN (VALUES {_T}) v(thr) WHERE abs(t)>=thr AND round(edge,12)<>0", "g_bq")
 verdict_ctes("h", "entity, share, thr")
 
 
@@ -333,7 +335,7 @@ def sensitivity_grid(spark, sf):
     fl = T.long_form(fw, V.FEATURES, ("entity", "month", "pos", "y", "part", "n_ev"))
     fl = fl.withColumn("share", F.explode(F.array(*[F.lit(s) for s in SHARES])))
     cut = F.floor(F.col("n_ev") * F.col("share")).cast("int")
-    fl = fl.withColumn("learn", F.col("y").isNotNull() & (F.col("pos") < cut - V.H))
+    fl = P.enough(fl.withColumn("learn", F.col("y").isNotNull() & (F.col("pos") < cut - V.H)), ["entity", "share", "feature"])
     st = S.tercile_states(fl, ["entity", "share", "feature"], F.col("learn"))
     bs = S.bucket_stats(st.filter("learn"), ["entity", "share"], V.H)
     thr = F.explode(F.array(*[F.lit(t) for t in THRS]))

@@ -51,39 +51,35 @@ def ingest_chain(spark, sf):
     return C.rounded(L.parse_metric_json(p, ["series_id"], "payload", "seq"))
 
 
-cte("sparse_days", """SELECT series_id, obs_date, value FROM daily_obs
- WHERE CAST(date_diff('day', DATE '1990-01-01', obs_date) AS INTEGER) % 40 IN (0,1,5,13,14)""", "daily_obs")
 cte("interp", """SELECT series_id, CAST(g AS DATE) AS obs_date, CASE WHEN k=0 THEN value WHEN k<=10 THEN value+(nv-value)*(CAST(k AS DOUBLE)/span) END AS value FROM (
   SELECT *, date_diff('day', obs_date, CAST(g AS DATE)) AS k FROM (
    SELECT *, date_diff('day', obs_date, nd) AS span, unnest(CASE WHEN nd IS NULL THEN [CAST(obs_date AS TIMESTAMP)] ELSE generate_series(CAST(obs_date AS TIMESTAMP), CAST(nd AS TIMESTAMP) - INTERVAL 1 DAY, INTERVAL 1 DAY) END) AS g FROM (
-    SELECT *, lead(obs_date) OVER w AS nd, lead(value) OVER w AS nv FROM sparse_days WINDOW w AS (PARTITION BY series_id ORDER BY obs_date))))""", "sparse_days")
+    SELECT *, lead(obs_date) OVER w AS nd, lead(value) OVER w AS nv FROM daily_obs WINDOW w AS (PARTITION BY series_id ORDER BY obs_date))))""", "daily_obs")
 INTERP = sql("SELECT series_id, obs_date, value FROM interp", "interp")
 
 
-def sparse_days(spark, sf):
-    """A fifth of the days or so: a sampled chart with gaps shorter and longer than the limit."""
-    d = V.daily_obs(spark, sf)
-    return d.filter((F.datediff("obs_date", F.to_date(F.lit("1990-01-01"))) % 40).isin(0, 1, 5, 13, 14))
-
-
 @query("ingest_chart", INTERP)
 def ingest_chart(spark, sf):
     item = F.struct(F.unix_seconds(F.col("obs_date").cast("timestamp")).alias("x"), F.col("value").alias("y"))
-    p = sparse_days(spark, sf).groupBy("series_id", F.trunc("obs_date", "MM").alias("m"))
+    p = V.daily_obs(spark, sf).groupBy("series_id", F.trunc("obs_date", "MM").alias("m"))
     p = p.agg(F.to_json(F.struct(F.collect_list(item).alias("values"))).alias("payload")).withColumn("seq", F.lit(1))
     return L.parse_chart_json(p, ["series_id"], "payload", "seq")
 
 
 @query("interpolate_gap", INTERP)
 def interpolate_gap(spark, sf):
-    return AL.interpolate_days(sparse_days(spark, sf), ["series_id"], "obs_date", "value")
+    return AL.interpolate_days(V.daily_obs(spark, sf), ["series_id"], "obs_date", "value")
+
+
+cte("sheets", "SELECT series_id, obs_date, value FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM daily_obs) WHERE n>=100", "daily_obs")
 
 
-@query("ingest_index_csv", sql("""SELECT obs_date, round(value,6)+0e0 AS value FROM daily_obs WHERE series_id='1-URGENT' AND obs_date>=DATE '1996-01-01'""", "daily_obs"))
+@query("ingest_index_csv", sql("SELECT series_id, obs_date, round(value,6)+0e0 AS value FROM sheets", "sheets"))
 def ingest_index_csv(spark, sf):
-    d = V.daily_obs(spark, sf).filter(F.col("series_id") == "1-URGENT")
-    sheet = d.select(F.col("obs_date").cast("string").alias(" Month "), F.col("value").cast("string").alias("GPR"))
-    return C.rounded(L.index_columns(sheet, "gpr").filter(F.col("obs_date") >= "1996-01-01"))
+    """A sheet per series, of which those with fewer than 100 rows count as failed."""
+    d = V.daily_obs(spark, sf)
+    sheet = d.select("series_id", F.col("obs_date").cast("string").alias(" Month "), F.col("value").cast("string").alias("GPR"))
+    return C.rounded(L.with_min_rows(L.index_columns(sheet, "gpr", ("series_id",)), ["series_id"], 100))
 
 
 @query("ingest_user_csv", sql("SELECT series_id, obs_date, " + R("value") + " FROM land WHERE series_id IN (SELECT series_id FROM land GROUP BY 1 HAVING count(*)>=20)", "land"))
@@ -105,18 +101,23 @@ TICKERS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT
 
 
 @query("prices_wide", sql("SELECT obs_date AS d, " + ", ".join(
-    f"round(max(value) FILTER (series_id='{k}'),6)+0e0 AS {v}" for k, v in TICKERS.items()) + " FROM daily_obs GROUP BY 1", "daily_obs"))
+    f"round(max(value) FILTER (series_id='{k}' AND n>=100),6)+0e0 AS {v}" for k, v in TICKERS.items()) + " FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM daily_obs) GROUP BY 1", "daily_obs"))
 def prices_wide(spark, sf):
     return C.rounded(L.prices_wide(V.daily_obs(spark, sf), "obs_date", "series_id", "value", TICKERS))
 
 
+CONTRACT_ROWS = 500
+
+
 @query("pivot_contracts", sql("SELECT last_day(obs_date) AS period, " + ", ".join(
-    f"round(avg(value) FILTER (series_id='{k}'),7)+0e0 AS {v}" for k, v in list(TICKERS.items())[:4]) + " FROM daily_obs GROUP BY 1", "daily_obs"))
+    f"round(avg(value) FILTER (series_id='{k}'),7)+0e0 AS {v}" for k, v in TICKERS.items()) + f""" FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS obs_date, o_totalprice AS value FROM orders)) WHERE n>={CONTRACT_ROWS} GROUP BY 1"""))
 def pivot_contracts(spark, sf):
-    names = list(TICKERS.items())[:4]
-    mapping = F.create_map(*[F.lit(x) for kv in names for x in kv])
-    d = V.daily_obs(spark, sf).select(F.last_day("obs_date").alias("period"), mapping[F.col("series_id")].alias("c"), "value")
-    return C.rounded(d.groupBy("period").pivot("c", [v for _, v in names]).agg(F.avg("value")), 7)
+    """Contracts side by side; one with too few rows counts as failed and is an empty column."""
+    mapping = F.create_map(*[F.lit(x) for kv in TICKERS.items() for x in kv])
+    o = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"), F.last_day("o_orderdate").alias("period"), F.col("o_totalprice").alias("value"))
+    enough = o.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONTRACT_ROWS).select("series_id")
+    d = o.join(enough, "series_id").select("period", mapping[F.col("series_id")].alias("c"), "value")
+    return C.rounded(d.groupBy("period").pivot("c", list(TICKERS.values())).agg(F.avg("value")), 7)
 
 
 @query("drop_forecast_rows", sql("SELECT series_id, last_day(obs_date) AS period, count(*) AS n, " + R("avg(value) AS value")
@@ -182,13 +183,20 @@ def derived_fallback(spark, sf):
     return C.rounded(g.filter(F.col("fee").isNotNull()).select("entity", "d", F.greatest(F.col("rev") - F.col("fee"), F.lit(0.0)).alias("issuance")))
 
 
-@query("price_backfill", sql("""SELECT coalesce(a.obs_date,b.obs_date) AS d, round(coalesce(a.value,b.value),6)+0e0 AS price FROM
- (SELECT * FROM daily_obs WHERE series_id='1-URGENT' AND day(obs_date)%3=0) a FULL JOIN (SELECT * FROM daily_obs WHERE series_id='5-LOW' AND day(obs_date)%2=0) b ON a.obs_date=b.obs_date""", "daily_obs"))
+#: The series that stands in for each one on days without a price.
+BACKFILL = dict(zip(list(TICKERS)[:5], (*list(TICKERS)[1:5], list(TICKERS)[0]), strict=True))
+cte("bf", "SELECT a.series_id, x.d FROM (SELECT DISTINCT series_id FROM daily_obs) a CROSS JOIN (SELECT DISTINCT obs_date AS d FROM daily_obs) x", "daily_obs")
+
+
+@query("price_backfill", sql("SELECT f.series_id, f.d, round(coalesce(a.value,b.value),6)+0e0 AS price FROM bf f JOIN (VALUES " + ",".join(f"('{k}','{v}')" for k, v in BACKFILL.items()) + """) m(series_id, other) USING (series_id)
+ LEFT JOIN daily_obs a ON a.series_id=f.series_id AND a.obs_date=f.d LEFT JOIN daily_obs b ON b.series_id=m.other AND b.obs_date=f.d WHERE coalesce(a.value,b.value) IS NOT NULL""", "bf", "daily_obs"))
 def price_backfill(spark, sf):
+    """Every series, filled with its stand-in's price on the days on which it has none itself: one aggregate, no join."""
     d = V.daily_obs(spark, sf)
-    a = d.filter((F.col("series_id") == "1-URGENT") & (F.dayofmonth("obs_date") % 3 == 0)).select("obs_date", F.col("value").alias("a"))
-    b = d.filter((F.col("series_id") == "5-LOW") & (F.dayofmonth("obs_date") % 2 == 0)).select("obs_date", F.col("value").alias("b"))
-    return C.rounded(a.join(b, "obs_date", "full").select(F.col("obs_date").alias("d"), F.coalesce("a", "b").alias("price")))
+    served = F.create_map(*[F.lit(x) for k, v in BACKFILL.items() for x in (v, k)])
+    roles = F.array(F.struct(F.col("series_id"), F.lit(0).alias("rank")), F.struct(served[F.col("series_id")].alias("series_id"), F.lit(1).alias("rank")))
+    rows = d.select(F.explode(roles).alias("r"), F.col("obs_date").alias("d"), "value").select("r.*", "d", "value").filter("series_id is not null")
+    return C.rounded(rows.groupBy("series_id", "d").agg(F.min_by("value", "rank").alias("price")))
 
 
 @query("standin_switch", sql("""SELECT entity, CASE WHEN n>=80 THEN 'macro' ELSE 'standin' END AS source, month, round(CASE WHEN n>=80 THEN disc ELSE ln(px2) END,8)+0e0 AS x

@@ -122,13 +122,16 @@ def start_sql(m: str, rep: str, blk: str, seed: int = 0) -> str:
 cte("evy", "SELECT DISTINCT entity, pos, month, y, part FROM fl WHERE y IS NOT NULL", "fl")
 cte("evn", "SELECT entity, count(*) AS n FROM evy GROUP BY 1", "evy")
 cte("boot", f"""SELECT entity, rep, i*3+o AS draw, {start_sql('n-3+1', 'rep', 'i')}+o AS pos FROM (
- SELECT entity, CAST(n AS BIGINT) AS n, CAST(rep AS BIGINT) AS rep, CAST(i AS BIGINT) AS i, o FROM evn, range(50) r(rep), range(100) b(i), range(3) q(o) WHERE i < ceil(n/3e0)) WHERE i*3+o<n""", "evn")
+ SELECT entity, CAST(n AS BIGINT) AS n, CAST(rep AS BIGINT) AS rep, CAST(i AS BIGINT) AS i, o FROM evn, range(1000) r(rep), range(100) b(i), range(3) q(o) WHERE i < ceil(n/3e0)) WHERE i*3+o<n""", "evn")
 
 
-@query("block_bootstrap", sql("SELECT entity, CAST(rep AS INTEGER) AS rep, CAST(draw AS INTEGER) AS draw, CAST(pos AS INTEGER) AS pos FROM boot", "boot"))
-def block_bootstrap(spark, sf, reps: int = 50, block: int = 3):
+@query("block_bootstrap", sql("SELECT entity, CAST(rep AS INTEGER) AS rep, count(*) AS draws, CAST(sum(pos) AS BIGINT) AS total, CAST(sum(pos*(draw+1)) AS BIGINT) AS weighted, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM boot GROUP BY 1,2", "boot"))
+def block_bootstrap(spark, sf, reps: int = 1000, block: int = 3):
+    """What 1000 moving-block resamples of every entity draw: number, sums (plain and by place) and range of positions."""
     g = P.feature_frame(spark, sf).filter(F.col("y").isNotNull()).groupBy("entity").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return ST.block_positions(g, "n", block, reps, ["entity"])
+    d = ST.block_positions(g, "n", block, reps, ["entity"])
+    pos = F.col("pos").cast("bigint")
+    return d.groupBy("entity", "rep").agg(F.count(F.lit(1)).alias("draws"), F.sum(pos).alias("total"), F.sum(pos * (F.col("draw") + 1)).alias("weighted"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def ci_ctes(p: str, src: str, keys: str, block: int, reps: int) -> str:
@@ -153,7 +156,7 @@ def block_ci(spark, sf):
 
 
 cte("vd_all", "SELECT entity, verdict AS g, pos, y FROM a_vd WHERE y IS NOT NULL UNION ALL SELECT entity, 'All months', pos, y FROM a_vd WHERE y IS NOT NULL", "a_vd")
-ci_ctes("sm", "vd_all", "entity, g", 3, 200)
+ci_ctes("sm", "vd_all", "entity, g", 3, 1000)
 cte("sm_s", """SELECT entity, g, count(*) AS months, avg(y) AS avg, quantile_cont(y,0.5) AS median, avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) AS win, min(y) AS worst, max(y) AS best,
  quantile_cont(dd,0.5) AS dd FROM vd_all JOIN dd6 USING (entity,pos) GROUP BY ALL""", "vd_all", "dd6")
 cte("sm_g", "SELECT entity, v.g FROM (SELECT DISTINCT entity FROM a_vd), (VALUES ('Favorable'),('Neutral'),('Unfavorable'),('All months')) v(g)", "a_vd")
@@ -170,7 +173,7 @@ def summarize(spark, sf):
     summary = ST.outcome_summary(rows, ["entity"], "verdict", "y", "dd")
     groups = F.array(*[F.lit(g) for g in (S.FAV, S.NEU, S.UNF, "All months")])
     copies = rows.withColumn("verdict", F.explode(F.array(F.col("verdict"), F.lit("All months"))))
-    ci = ST.block_ci(copies, ["entity", "verdict"], "y", V.H, 200).drop("n")
+    ci = ST.block_ci(copies, ["entity", "verdict"], "y", V.H, 1000).drop("n")
     every = sc.groupBy("entity").agg(F.lit(1).alias("_")).select("entity", F.explode(groups).alias("verdict"))
     on = ["entity", "verdict"]
     return C.rounded(every.join(summary, on, "left").join(ci, on, "left").fillna(0, ["months"]))

@@ -88,13 +88,13 @@ def read_two_column_csv(spark: SparkSession, path: str, series_id: str, min_rows
     return out
 
 
-def index_columns(df: DataFrame, value: str) -> DataFrame:
+def index_columns(df: DataFrame, value: str, keys=()) -> DataFrame:
     """Case-insensitive lookup of the date (`month` or `date`) and value columns."""
     names = {c.strip().lower(): c for c in df.columns}
     day = names.get("month") or names.get("date")
     if day is None or value not in names:
         raise ValueError("date or value column not found")
-    return df.select(F.to_date(F.col(f"`{day}`")).alias("obs_date"), C.finite(F.col(f"`{names[value]}`").try_cast("double")).alias("value"))
+    return df.select(*keys, F.to_date(F.col(f"`{day}`")).alias("obs_date"), C.finite(F.col(f"`{names[value]}`").try_cast("double")).alias("value"))
 
 
 def first_release(df: DataFrame) -> DataFrame:
@@ -104,9 +104,11 @@ def first_release(df: DataFrame) -> DataFrame:
 
 
 def prices_wide(df: DataFrame, day: str, ticker: str, close: str, names: dict[str, str], min_rows: int = 100) -> DataFrame:
-    """Tickers renamed to short keys and pivoted in fixed order; absent tickers are NULL columns."""
+    """Tickers renamed to short keys and pivoted in fixed order; absent ones and those with too few rows are NULL columns."""
     mapping = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    keyed = df.filter(F.col(day).isNotNull()).select(F.col(day).alias("d"), mapping[F.col(ticker)].alias("key"), F.col(close).alias("close"))
+    keyed = df.filter(F.col(day).isNotNull()).select(F.col(day).alias("d"), F.col(ticker).alias("t"), F.col(close).alias("close"))
+    n = keyed.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    keyed = keyed.join(n, "t").select("d", F.when(F.col("n") >= min_rows, mapping[F.col("t")]).alias("key"), "close")
     wide = keyed.groupBy("d").pivot("key", list(names.values())).agg(F.max("close"))
     return wide.select("d", *names.values())
 

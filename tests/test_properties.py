@@ -3,11 +3,15 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions import columns as C
 from pitpanel.operators import align as AL
 from pitpanel.operators import analogue as N
+from pitpanel.operators import boosting as BO
+from pitpanel.operators import forest as FO
+from pitpanel.operators import order as O
 from pitpanel.operators import quantile as Q
 from pitpanel.operators import solve as SV
 from pitpanel.operators import states as S
@@ -44,25 +48,48 @@ def wf_rules(df):
 
 def expanding(df):
     fl = T.long_form(df, FEATS, ("entity", "pos"))
-    return fl.select("entity", "pos", "feature", S.expanding_pctl("x", C.by_entity("entity", "feature"), 12).alias("p"))
+    return O.expanding_percentile(fl, "x", ["entity", "feature"], "p", 12).select("entity", "pos", "feature", "p")
 
 
 def ridge(df):
     return SV.walk_forward_ridge(df, FEATS, "y", 3, 3, 40, 30, 50.0).select("entity", "pos", F.round("pred", 9).alias("pred"))
 
 
+def horizons(df):
+    n = F.max("pos").over(Window.partitionBy("entity")) + 1
+    return Q.refit_rows(Q.horizon_rows(df.withColumns({"c1": F.lit(50), "n_all": n}), "px", grid=(1, 3)))
+
+
 def ridge_fan(df):
-    out = SV.walk_forward_ridge(df, FEATS, "y", 3, 12, 50, 30, 150.0, quantiles=Q.LEVELS)
-    return out.select("entity", "pos", *[F.round(F.get("qm", F.lit(i)), 9).alias(f"q{i}") for i in range(5)])
+    out = Q.ridge_quantiles(horizons(df), FEATS)
+    return out.select("entity", "pos", "horizon", *[F.round(F.get("qm", F.lit(i)), 9).alias(f"q{i}") for i in range(5)])
+
+
+def boost_fan(df):
+    out = BO.fold_quantiles(horizons(df), FEATS, Q.LEVELS, ("entity", "horizon"), rounds=5)
+    return out.select("entity", "pos", "horizon", *[F.round(F.get("q", F.lit(i)), 9).alias(f"q{i}") for i in range(5)])
+
+
+def refits(df):
+    n = F.max("pos").over(Window.partitionBy("entity")) + 1
+    rows = T.fold_rows(df.withColumns({"c1": F.lit(50), "n_all": n.cast("int")}), 3, 6)
+    return rows.withColumn("graded", F.col("pos") >= F.col("fold")).filter("learn or graded")
 
 
 def logit(df):
-    df = df.withColumn("c1", F.lit(50))
-    return SV.walk_forward_logit(df, FEATS, 3, 6).select("entity", "pos", F.round("p", 7).alias("p"))
+    return SV.fold_logit(refits(df), FEATS, ["entity", "fold"]).select("entity", "pos", F.round("p", 7).alias("p"))
+
+
+def forest(df):
+    return FO.fold_forest(refits(df), FEATS, trees=20).select("entity", "pos", F.round("p", 9).alias("p"))
+
+
+def boosting(df):
+    return BO.fold_classifier(refits(df), FEATS, rounds=10).select("entity", "pos", F.round("p", 9).alias("p"))
 
 
 def analogues(df):
-    return N.walk_forward(df.withColumn("c1", F.lit(50)), FEATS, 3, k=5).select("entity", "pos", "med", "pos_share")
+    return N.walk_forward(df.withColumn("c1", F.lit(50)), FEATS, 3, k=5, carry=()).select("entity", "pos", "med", "pos_share")
 
 
 def history(df):
@@ -76,7 +103,7 @@ def price_features(df):
     return d.select("entity", "pos", *[c.alias(k) for k, c in Q.price_features("px", w).items()])
 
 
-POINT_IN_TIME = [wf_rules, expanding, ridge, ridge_fan, logit, analogues, history, price_features]
+POINT_IN_TIME = [wf_rules, expanding, ridge, ridge_fan, boost_fan, logit, forest, boosting, analogues, history, price_features]
 
 
 def rows(df):
@@ -97,7 +124,7 @@ def test_no_look_ahead(spark, op):
     assert got and got == before(changed)
 
 
-@pytest.mark.parametrize("op", [wf_rules, ridge, analogues, history])
+@pytest.mark.parametrize("op", [wf_rules, ridge, forest, boost_fan, analogues, history])
 def test_entities_are_independent(spark, op):
     both = panel()
     alone = both[both.entity == "e1"]

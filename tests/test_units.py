@@ -16,6 +16,7 @@ from pitpanel.operators import calendar as K
 from pitpanel.operators import expect as X
 from pitpanel.operators import factors as FA
 from pitpanel.operators import model as M
+from pitpanel.operators import order as O
 from pitpanel.operators import quantile as Q
 from pitpanel.operators import report as RP
 from pitpanel.operators import solve as SV
@@ -125,7 +126,7 @@ def test_states_at_cut_points(spark):
 
 def test_expanding_percentile_start(spark):
     df = spark.createDataFrame([(1, i, float(i % 4)) for i in range(10)], "k int, pos int, x double")
-    got = [r.p for r in df.select("pos", S.expanding_pctl("x", C.by_entity("k"), 4).alias("p")).orderBy("pos").collect()]
+    got = [r.p for r in O.expanding_percentile(df, "x", ["k"], "p", 4).orderBy("pos").collect()]
     assert got[:3] == [None] * 3 and got[3] == 1.0 and got[4] == 0.0 and got[5] == pytest.approx(2 / 5)
 
 
@@ -198,10 +199,13 @@ def test_logistic_gradient_vanishes():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(80, 2))
     y = (x[:, 0] + rng.normal(size=80) > 0) * 1.0
-    b0, b, mean, sd = SV.fit_logistic(x, y)
-    z = (x - mean) / sd
-    p = 1 / (1 + np.exp(-(b0 + z @ b)))
-    assert abs((p - y).sum()) < 1e-8 and np.abs(z.T @ (p - y) + b / 0.3).max() < 1e-8 and b[0] > 0.5
+    z = np.column_stack([np.ones(80), (x - x.mean(0)) / x.std(0)])
+    live = np.ones((2, 80))
+    live[1, 50:] = 0  # a second, shorter fit in the same batch
+    both = SV.newton(np.stack([z, z * live[1][:, None]]), np.stack([y, y]), live, 0.3)
+    for w, n in zip(both, (80, 50), strict=True):
+        p = 1 / (1 + np.exp(-z[:n] @ w))
+        assert abs((p - y[:n]).sum()) < 1e-8 and np.abs(z[:n, 1:].T @ (p - y[:n]) + w[1:] / 0.3).max() < 1e-8 and w[1] > 0.5
 
 
 def test_merge_groups_equals_member_pair_means():
