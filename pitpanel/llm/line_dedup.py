@@ -19,8 +19,9 @@ goes to the cells of its own band and block with every band that its length and
 filters allow and every block, so two classes that may be similar meet in one cell, which is of
 bounded size, and cells without an opposite side compare nothing. A class is first
 verified with the earliest class that passes the filters. Only classes that have
-further partners and are not removed by it are compared with those, by the few words that
-they post, so a passage with thousands of variants costs about one comparison for each.
+further partners and are not removed by it are verified with the next few, by the few words that
+they post, turn by turn until none is left, so a passage with thousands of variants costs about one comparison for each
+and no pair of a group is made before it is needed.
 
 One aggregate makes the classes, which are written once; a class is named by its first
 line. What remains of a document are its classes that nothing removes, so lines
@@ -68,6 +69,8 @@ POSTS = "key long, place smallint, at long, rid long, line_no int, n int, x long
 PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
+#: Partners that a class is verified with in one turn, after the first.
+TURN = 8
 #: Posts above which a word is dealt out to cells, and which a side of a cell has on average; sizes up to which a band is one size, then their ratio.
 BLOCK = 1 << 15
 EXACT_BANDS, BAND_RATIO = 16, 1.1
@@ -349,26 +352,6 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.select(*named("b"), "a", "b").mapInArrow(run, "at long, rid long, line_no int").distinct()
 
 
-def as_side(posts: DataFrame, side: str) -> DataFrame:
-    return posts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", *POST)])
-
-
-def compared(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes, a's line before b's, that share a posted word and pass the length, positional and counter filters."""
-    need = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_place, b_n - b_place)")
-    sizes = (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n"))
-    before = F.expr("a_at < b_at or (a_at = b_at and (a_rid < b_rid or (a_rid = b_rid and a_line_no < b_line_no)))")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ax, bx, ay, by, total = (batch.column(c).to_numpy() for c in ("a_x", "b_x", "a_y", "b_y", "total"))
-            near = batch.filter(pa.array((100 + percent) * (distance(ax, bx) + distance(ay, by)) <= (100 - percent) * total.astype(np.int64)))
-            yield record(**{c: near.column(c) for c in (*named("a"), *named("b"))})
-
-    pairs = a.join(b, (F.shiftright("a_key", 2) == F.shiftright("b_key", 2)) & F.expr("(a_key & 3) + (b_key & 3) in (0, 3)") & before & sizes & need)
-    return pairs.select(*named("a"), *named("b"), "a_x", "b_x", "a_y", "b_y", (F.col("a_n") + F.col("b_n")).alias("total")).mapInArrow(run, PAIR).distinct()
-
-
 def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted posts in runs that hold all posts of each of their words, or of each cell of a word."""
     held, size, last = [], 0, None
@@ -437,6 +420,40 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy(*named("b")).agg(F.min(a).alias("a"), F.max(a).alias("z"), F.max("more").alias("more")).select("a.*", *named("b"), (F.col("more") | (F.col("a") != F.col("z"))).alias("more"))
 
 
+def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
+    """Of every open class b the next `most` classes a, in order behind the one that it was tried with last, that pass the filters, and whether there are more.
+
+    `posts` holds those of all classes, and those of the open ones once more with `t_*`, the last class tried.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words_whole(batches):
+            key, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("key", "place", *POST[:-1]))
+            t_at, t_rid, t_line = (batch.column(f"t_{c}").fill_null(0).to_numpy() for c in CLASS)
+            open_ = batch.column("t_rid").is_valid().to_numpy(zero_copy_only=False)
+            n, rest = n.astype(np.int64), n.astype(np.int64) - place
+            start, stop = opposite(key, at, rid, line_no)
+            b, rank, got, pairs = np.flatnonzero(open_), 0, np.zeros(len(key), np.int64), []
+            while len(b):
+                a = start[b] + rank
+                b, a = b[a < stop[b]], a[a < stop[b]]
+                later = (at[a] > t_at[b]) | ((at[a] == t_at[b]) & ((rid[a] > t_rid[b]) | ((rid[a] == t_rid[b]) & (line_no[a] > t_line[b]))))
+                good = ~open_[a] & later & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
+                hit, of = b[good], a[good]
+                near = (100 + percent) * (distance(x[of], x[hit]) + distance(y[of], y[hit])) <= (100 - percent) * (n[of] + n[hit])
+                near &= (at[of] != at[hit]) | (rid[of] != rid[hit]) | (line_no[of] != line_no[hit])
+                got[hit[near]] += 1
+                pairs.append((of[near], hit[near]))
+                b, rank = b[got[b] <= most], rank + 1
+            a, b = (np.concatenate(z) if pairs else np.zeros(0, np.int64) for z in (zip(*pairs, strict=True) if pairs else ((), ())))
+            yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", a), ("b", b)) for c in CLASS})
+
+    found = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", *CLASS).mapInArrow(run, PAIR)
+    # a class posts few words, each with most + 1 at the most
+    found = found.groupBy(*named("b")).agg(F.sort_array(F.collect_set(F.struct(*named("a")))).alias("c"))
+    return found.select(*named("b"), F.slice("c", 1, most).alias("c"), (F.size("c") > most).alias("more"))
+
+
 def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid and the numbers of the lines with words that stay, for documents that keep any."""
     rows = documents(docs)
@@ -448,16 +465,23 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posts = posts_of(classes, shared, percent)
     # first every class against its earliest possible partner
     firsts = table(first_pairs(posts, percent), "firsts")
-    found = table(similar(firsts, sets_of(rows, firsts), percent), "found")
-    # then those that have others and are still there against all earlier classes
-    open_ = firsts.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS]).join(found, [*CLASS], "left_anti")
-    left = posts_of(table(classes.join(open_, [*CLASS], "left_semi").select("words", "places", *POST[:-1]), "open"), shared, percent)
-    words = left.select(F.shiftright("key", 32).cast("int").alias("word"))
-    asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)), blocks))
-    rest = compared(as_side(posts_of(classes, asked, percent), "a"), as_side(left, "b"), percent)
-    rest = table(rest.join(firsts, [*named("a"), *named("b")], "left_anti"), "rest")
-    more = similar(rest, sets_of(rows, rest), percent)
-    gone = found.union(more)
+    gone = table(similar(firsts, sets_of(rows, firsts), percent), "found")
+    tried = [F.col(f"a_{c}").alias(f"t_{c}") for c in CLASS]
+    open_ = table(firsts.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS], *tried).join(gone, [*CLASS], "left_anti"), "open")
+    # then those that have others and are still there against the next few, until none has any left
+    while not open_.isEmpty():
+        own = table(classes.join(open_, [*CLASS]).select("words", "places", *POST[:-1], *[f"t_{c}" for c in CLASS]), "again")
+        left = posts_of(own, shared, percent)
+        words = left.select(F.shiftright("key", 32).cast("int").alias("word"))
+        asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)), blocks))
+        left = left.join(open_, [*CLASS])
+        every = posts_of(classes, asked, percent).select("*", *[F.lit(None).cast(t).alias(f"t_{c}") for c, t in zip(CLASS, ("long", "long", "int"), strict=True)])
+        pairs = table(next_pairs(every.unionByName(left), percent), "next")
+        each = pairs.select(*named("b"), F.explode("c").alias("a")).select("a.*", *named("b"))
+        found = table(similar(each, sets_of(rows, each), percent), "found")
+        gone = gone.union(found)
+        last = F.element_at("c", -1)
+        open_ = table(pairs.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS], *[last[f"a_{c}"].alias(f"t_{c}") for c in CLASS]).join(found, [*CLASS], "left_anti"), "open")
     return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
 
 
