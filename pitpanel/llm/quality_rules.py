@@ -31,6 +31,8 @@ from .words import LETTERS_AND_MARKS, LINES, WORDS, Tokens, bytes_of, counted, k
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.5
+#: Bytes of text that are counted at a time.
+PORTION = 1_500_000
 
 # The base rules: fixed values
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +90,7 @@ def multinomials(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS) -> np
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * size, np.int64)
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):
             bucket, owner = ngram_buckets(*bytes_of(batch.column("text")), size)
             good = batch.column("good").to_numpy(zero_copy_only=False)
             total[:size] += np.bincount(bucket, minlength=size)
@@ -126,7 +128,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(multinomials(docs, trusted, size)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):
             yield record(doc_id=batch.column("doc_id"), **verdicts(batch.column("text"), shared.value, threshold))
 
     return plain(docs, "doc_id", "text").mapInArrow(run, RESULT)
@@ -138,7 +140,7 @@ def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions([batch], batch.schema.names[at]):
+            for part in portions([batch], batch.schema.names[at], PORTION):
                 yield part.filter(pa.array(verdicts(pc.fill_null(part.column(at), ""), shared.value, threshold)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ from .words import WORDS, Tokens, bytes_of, span_hashes, tokens
 #: Parameters: documents in the sample behind tier one, entries of tier one (12 bytes each), entries of a worker's table.
 SAMPLE_DOCS = 2_000
 TABLE_ENTRIES = 1 << 16
-WORKER_ENTRIES = 800_000
+WORKER_ENTRIES = 500_000
 LIMIT = 2048
 
 RESULT = "doc_id long, n_bytes long, n_tokens long"
