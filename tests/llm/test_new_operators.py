@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("pitpanel.llm")
 
-from pitpanel.llm import alignment, packing, pii, shingle_join, whitening  # noqa: E402
+from pitpanel.llm import alignment, line_dedup, packing, pii, shingle_join, whitening  # noqa: E402
 from pitpanel.llm.quality_rules import kept_documents, quality_rules  # noqa: E402
 from pitpanel.llm.queries import vocabulary  # noqa: E402
 from pitpanel.llm.token_counts import Table  # noqa: E402
@@ -250,3 +250,26 @@ def test_schedule_of_very_many_tokens_is_small():
     spot, _ = plan.place_of("q1", 30_000_000)
     had = {q: plan._served(0, spot // window)[i] for i, q in enumerate(sizes)}
     assert len(plan.rounds) == 2 and all(abs(had[q] / spot - w) < 1e-2 for q, w in targets.items())
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_lines_with_many_possible_partners(spark, monkeypatch, most):
+    """Variants of a few passages, many close but not close enough: turn by turn, the same lines go as by comparing all."""
+    rnd = random.Random(most)
+    lines = []
+    for _ in range(4):
+        base = [f"w{rnd.randrange(400)}" for _ in range(12)]
+        for _ in range(60):
+            line = list(base)
+            for _ in range(rnd.choice([1, 2, 3, 4])):
+                line[rnd.randrange(12)] = f"v{rnd.randrange(40)}"
+            lines.append(" ".join(line))
+    made = line_dedup.next_pairs
+    monkeypatch.setattr(line_dedup, "next_pairs", lambda posts, percent: made(posts, percent, most))
+    docs = spark.createDataFrame([(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(80)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.removed_lines(docs).collect()}
+    sets, want = [frozenset(x.split()) for x in lines], defaultdict(list)
+    for i, s in enumerate(sets):
+        if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i]):
+            want[i // 3].append(i % 3)
+    assert got == {i: want[i] for i in range(80)}
