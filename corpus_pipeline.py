@@ -42,10 +42,16 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id. Rows are told apart by doc_id and text."""
+    """One document of each near-duplicate class, the one with the smallest doc_id. Rows are told apart by doc_id and text.
+
+    Documents without words, such as copies of which line dedup left nothing, are equal texts: one of them stays too.
+    """
     kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_text")).distinct()
     same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_kept_text"])
-    return docs.join(kept, same, "left_semi")
+    blank = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = docs.filter(blank).agg(F.min("doc_id").alias("_first_blank"))  # one row
+    single = docs.join(kept, same, "left_semi").join(F.broadcast(first))
+    return single.filter(~blank | docs["doc_id"].eqNullSafe(F.col("_first_blank"))).drop("_first_blank")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
