@@ -9,13 +9,14 @@ from ..functions import columns as C
 
 
 def _picked(df: DataFrame, pick, keys, order, cols) -> DataFrame:
-    if len(order) == 1:  # fixed-width buffers: stays a hash aggregate
-        return df.groupBy(*keys).agg(*[pick(F.col(c), C.col(order[0])).alias(f"_{c}") for c in cols]).select(
-            *keys, *[F.col(f"_{c}").alias(c) for c in cols]
-        )
-    by = F.struct(*[C.col(o) for o in order])
-    whole = pick(F.struct(*[F.col(c) for c in cols]), by)
-    return df.groupBy(*keys).agg(whole.alias("_z")).select(*keys, "_z.*")
+    """By several columns of order: first by the last one inside equal values of the others, and so on. Every step picks
+    fixed-width values by a fixed-width one and stays a hash aggregate, where a struct as order would be sorted first."""
+    rows = df.select(*keys, *[C.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    for last in reversed(range(len(order))):
+        held = [f"_o{i}" for i in range(last)]
+        rows = rows.groupBy(*keys, *held).agg(*[pick(F.col(f"_c{i}"), F.col(f"_o{last}")).alias(f"_p{i}") for i in range(len(cols))])
+        rows = rows.withColumnsRenamed({f"_p{i}": f"_c{i}" for i in range(len(cols))})
+    return rows.select(*keys, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def keep_last(df: DataFrame, keys, order, cols) -> DataFrame:
@@ -101,6 +102,16 @@ def interpolate_days(df: DataFrame, keys, day: str, value: str, limit: int = 10)
     )
 
 
+def with_target(df: DataFrame, target: str) -> DataFrame:
+    """The rows whose target is known and positive."""
+    return df.filter(F.col(target).isNotNull() & (F.col(target) > 0))
+
+
+def series_or(first: Column, other: Column, w) -> Column:
+    """`first` where the key has any value of it, otherwise the whole of `other`: two sources are never mixed in one series."""
+    return F.when(F.count(first).over(w) > 0, first).otherwise(other)
+
+
 def splice(df: DataFrame, keys, day: str, spot: str, fut: str, out: str) -> DataFrame:
     """Spot carried forward while it exists; afterwards futures scaled to the last spot level."""
     w = Window.partitionBy(*keys)

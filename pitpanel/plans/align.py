@@ -116,6 +116,12 @@ def splice_price(spark, sf):
     return C.rounded(AL.splice(t, ["entity"], "d", "spot", "fut", "price").select("entity", "d", "price"), 5)
 
 
+@query("drop_without_target", sql("SELECT entity, d, " + R("c1", "c2 AS target") + " FROM two WHERE c2 IS NOT NULL AND c2>0", "two"))
+def drop_without_target(spark, sf):
+    """Rows whose target is missing or not positive are of no use to any fit."""
+    return C.rounded(AL.with_target(two_contracts(spark, sf).withColumnRenamed("c2", "target"), "target").select("entity", "d", "c1", "target"))
+
+
 @query("start_slice", sql("""SELECT entity, min(month) AS first, max(month) AS last, count(*) AS n FROM feat_all f
  WHERE month >= (SELECT min(month) FROM feat_all g WHERE g.entity=f.entity AND g.px_t10 IS NOT NULL) AND month >= DATE '1990-01-01' GROUP BY entity""", "feat_all"))
 def start_slice(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import align as AL
 from ..operators import expect as X
 from ..operators import rank as K
 from ..operators import targets as T
@@ -17,7 +18,7 @@ from .registry import R, cte, erfc_sql, query, sql
 from .rules import latest, percentiles
 from .stats import hac_ctes, ic_cte, ranks_sql
 
-cte("rates", "SELECT entity, month, pos, disc*100e0 AS y1, tax*100e0 AS y2, ret*10e0 AS y10, nopen*10e0 AS y3m, coalesce(CASE WHEN tax>0.04e0 THEN qty/100e0 END, nopen*10e0) AS ff, disc*40e0 AS infl, px FROM panel", "panel")
+cte("rates", "SELECT entity, month, pos, disc*100e0 AS y1, tax*100e0 AS y2, ret*10e0 AS y10, nopen*10e0 AS y3m, coalesce(CASE WHEN tax>0.04e0 THEN qty/100e0 END, nopen*10e0) AS ff, CASE WHEN count(CASE WHEN substr(entity,7,1)<>'1' THEN disc END) OVER (PARTITION BY entity)>0 THEN CASE WHEN substr(entity,7,1)<>'1' THEN disc*40e0 END ELSE tax*35e0 END AS infl, px FROM panel", "panel")
 cte("ex", """SELECT *, ex_ff12-ff AS ex_ff_chg, ex_ff12-infl AS ex_real FROM (SELECT *, CASE WHEN ff+(1.25e0*y2-0.25e0*y1-y3m) IS NOT NULL THEN greatest(ff+(1.25e0*y2-0.25e0*y1-y3m),0e0) END AS ex_ff12,
  y10+(y10-y1)/10e0 AS ex_y10 FROM rates)""", "rates")
 
@@ -25,6 +26,7 @@ cte("ex", """SELECT *, ex_ff12-ff AS ex_ff_chg, ex_ff12-infl AS ex_real FROM (SE
 def expectations(spark, sf):
     """Curve-implied expectations from panel columns standing in for yields."""
     p = V.monthly_panel(spark, sf)
+    survey = F.when(F.substring("entity", 7, 1) != "1", F.col("disc") * 40.0)  # entities without a survey use the break-even rate throughout
     p = p.select(
         "entity",
         "month",
@@ -35,7 +37,7 @@ def expectations(spark, sf):
         (F.col("ret") * 10.0).alias("y10"),
         (F.col("nopen") * 10.0).alias("y3m"),
         F.coalesce(F.when(F.col("tax") > 0.04, F.col("qty") / 100.0), F.col("nopen") * 10.0).alias("ff"),
-        (F.col("disc") * 40.0).alias("infl"),
+        AL.series_or(survey, F.col("tax") * 35.0, Window.partitionBy("entity")).alias("infl"),
     )
     y1, y2, y10, y3m, ff = (F.col(c) for c in ("y1", "y2", "y10", "y3m", "ff"))
     p = p.withColumn("ex_ff12", X.expected_policy_rate(ff, y1, y2, y3m)).withColumn("ex_y10", X.forward_ten_year(y10, y1))

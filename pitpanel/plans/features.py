@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import align as AL
 from ..operators import features as FE
 from ..sources import views as V
 from .registry import R, cte, query, sql
@@ -35,11 +36,13 @@ panel_query("clip", lambda w: {"x": C.clip(C.pct_change("qty", 3, w), -0.25, 0.4
 panel_query("ratio_mom", lambda w: {"x": C.ratio(C.ratio("px", "px2"), F.lag(C.ratio("px", "px2"), 3).over(w)) - 1.0}, {"x": "(px/px2)/lag(px/px2,3) OVER w-1e0"})
 
 
-def _brent():
-    return F.coalesce(F.when(F.col("ret") > 0.25, F.col("px")), F.col("px2") / 25.0) - F.col("px")
+def _brent(w):
+    own = F.when(F.substring("entity", 7, 1) != "2", F.col("px"))  # some entities lack the first source
+    return AL.series_or(own, F.col("px2") / 25.0, w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.col("px")
 
 
-panel_query("spread", lambda w: {"real": F.col("disc") - F.col("tax"), "brent": _brent()}, {"real": "disc-tax", "brent": "coalesce(CASE WHEN ret>0.25e0 THEN px END, px2/25e0)-px"})
+panel_query("spread", lambda w: {"real": F.col("disc") - F.col("tax"), "brent": _brent(w)},
+    {"real": "disc-tax", "brent": "CASE WHEN count(CASE WHEN substr(entity,7,1)<>'2' THEN px END) OVER (PARTITION BY entity)>0 THEN CASE WHEN substr(entity,7,1)<>'2' THEN px END ELSE px2/25e0 END-px"})
 panel_query("linear_combo", lambda w: {"crack": (2.0 * F.col("px") * 42.0 + F.col("px2") * 42.0) / 3.0 - F.col("qty")}, {"crack": "(2e0*px*42e0+px2*42e0)/3e0-qty"}, digits=4)
 panel_query("basket_mean", lambda w: {"x": C.row_mean(C.pct_change("px", 3, w), C.pct_change("px2", 3, w), F.when(F.col("ret") > 0.3, C.pct_change("qty", 3, w)))},
     {"x": "list_avg(list_filter([px/lag(px,3) OVER w-1e0, px2/lag(px2,3) OVER w-1e0, CASE WHEN ret>0.3e0 THEN qty/lag(qty,3) OVER w-1e0 END], lambda v: v IS NOT NULL))"})

@@ -8,14 +8,18 @@ from ..functions import columns as C
 from ..operators import analogue as N
 from ..operators import model as M
 from ..operators import report as RP
+from ..operators import solve as SV
 from ..operators import states as S
 from ..operators import stats as ST
+from ..operators import targets as T
 from ..sources import views as V
+from ..sources.store import materialise
 from . import common as P
 from .backtest import _E
+from .linear_sql import logit_ctes, logit_p
 from .model import probabilities
 from .registry import R, cte, query, sql
-from .rules import latest, percentiles
+from .rules import chain_ctes, latest, market, percentiles
 from .stats import ci_ctes
 
 LABEL = "CASE WHEN e>=0.99 THEN 'Favorable' WHEN e>=0.7 THEN 'Leaning favorable' WHEN e>0.3 THEN 'Neutral' WHEN e>0.01 THEN 'Leaning unfavorable' ELSE 'Unfavorable' END"
@@ -43,16 +47,17 @@ cte("evid", """SELECT n.entity, coalesce(nr,0) AS n_rules, n_fav, n_unf, spread,
 cte("evl", "SELECT *, CASE WHEN n_rules=0 THEN 'None' WHEN n_fav<3 OR n_unf<3 THEN 'Unknown' WHEN spread>2 AND coalesce(lo_fav>hi_unf,false) THEN 'Strong' WHEN spread>0 THEN 'Weak' ELSE 'None' END AS level FROM evid", "evid")
 
 
-def evidence(rules, scored):
-    """Evidence level per entity on the unseen rows."""
+def evidence(rules, scored, keys=("entity",)):
+    """Evidence level per key on the unseen rows."""
+    keys = list(keys)
     unseen = scored.filter(F.col("part").isin("val", "test"))
-    sp = S.favorable_spread(unseen, ["entity"])
-    ci = ST.block_ci(unseen, ["entity", "verdict"], "y", V.H, 1000)
-    edge = ci.groupBy("entity").agg(
+    sp = S.favorable_spread(unseen, keys)
+    ci = ST.block_ci(unseen, [*keys, "verdict"], "y", V.H, 1000)
+    edge = ci.groupBy(*keys).agg(
         F.max(F.when(F.col("verdict") == S.FAV, F.col("lo"))).alias("lo_fav"), F.max(F.when(F.col("verdict") == S.UNF, F.col("hi"))).alias("hi_unf")
     )
-    n = rules.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rules"))
-    d = sp.join(edge, "entity", "left").join(n, "entity", "left").fillna(0, ["n_rules"])
+    n = rules.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rules"))
+    d = sp.join(edge, keys, "left").join(n, keys, "left").fillna(0, ["n_rules"])
     return d.withColumn("level", RP.evidence_level(*[F.col(c) for c in ("n_rules", "n_fav", "n_unf", "spread", "lo_fav", "hi_unf")]))
 
 
@@ -109,6 +114,68 @@ def current_read(spark, sf):
     return C.rounded(d.select("entity", "verdict", "ml", "label", "level", "confidence", "helping", "hurting", "e", "med", "share"))
 
 
+# --------------------------------------------------------------------------- the read of all targets
+FLOOR, VOL_TARGET = 0.30, 0.5
+cte("tgw", f"SELECT entity, month, y AS a_return, y*coalesce(CASE WHEN vol IS NOT NULL AND vol<>0 THEN least(greatest({VOL_TARGET}e0/vol,0.25e0),2e0) END,1e0) AS a_vol, y-y2 AS a_rel, y-coalesce(pow(1e0+irx/100e0,0.25e0)-1e0,0e0) AS a_cash FROM r2", "r2")
+_TY = {"return": "a_return", "vol-scaled": "a_vol", "drawdown": f"dd+{FLOOR}e0", "relative": "a_rel", "cash": "a_cash"}
+_FE = ", ".join("f." + c for c in V.FEATURES)
+cte("tg", " UNION ALL ".join(f"SELECT f.entity, f.month, f.pos, f.part, f.px_t10>0 AS up, {_FE}, '{k}' AS target, {v} AS y FROM fw f JOIN tgw USING (entity, month) JOIN dd6 USING (entity, pos)" for k, v in _TY.items()), "fw", "tgw", "dd6", held=True)
+cte("tgl", " UNION ALL ".join(f"SELECT entity, target, month, pos, '{c}' AS feature, {c} AS x, y, part, part='learn' AS learn FROM tg" for c in V.FEATURES), "tg", held=True)
+chain_ctes("t", "tgl", "entity, target")
+cte("tun", "SELECT entity, target, verdict, pos, y FROM t_vd WHERE part IN ('val','test')", "t_vd", held=True)
+ci_ctes("tuc", "tun", "entity, target, verdict", 3, 1000)
+cte("tev", """SELECT n.entity, n.target, coalesce(nr,0) AS n_rules, n_fav, n_unf, spread, f.lo AS lo_fav, u.hi AS hi_unf FROM (SELECT entity, target, count(*) FILTER (verdict='Favorable' AND y IS NOT NULL) AS n_fav, count(*) FILTER (verdict='Unfavorable' AND y IS NOT NULL) AS n_unf,
+ (avg(y) FILTER (verdict='Favorable')-avg(y) FILTER (verdict='Unfavorable'))*100 AS spread FROM tun GROUP BY 1,2) n LEFT JOIN (SELECT entity, target, count(*) AS nr FROM t_rl GROUP BY 1,2) r USING (entity, target)
+ LEFT JOIN (SELECT * FROM tuc_ci WHERE verdict='Favorable') f USING (entity, target) LEFT JOIN (SELECT * FROM tuc_ci WHERE verdict='Unfavorable') u USING (entity, target)""", "tun", "t_rl", "tuc_ci")
+cte("tlv", "SELECT entity, target, CASE WHEN n_rules=0 THEN 'None' WHEN n_fav<3 OR n_unf<3 THEN 'Unknown' WHEN spread>2 AND coalesce(lo_fav>hi_unf,false) THEN 'Strong' WHEN spread>0 THEN 'Weak' ELSE 'None' END AS level FROM tev", "tev")
+cte("tnow", "SELECT *, y IS NOT NULL AS learn, pos=max(pos) OVER (PARTITION BY entity, target) AS last FROM tg", "tg", held=True)
+logit_ctes("tl", "tnow", "entity, target", V.FEATURES, min_rows=2)
+cte("tml", f"SELECT entity, target, pos, up, coalesce({logit_p(V.FEATURES)},0.5e0) AS p, coalesce(base,0.5e0) AS base FROM tnow LEFT JOIN tl_fit USING (entity, target) WHERE last", "tnow", "tl_fit")
+cte("tan", "SELECT a.entity, target, median(y) AS med, avg(CASE WHEN y>0 THEN 1e0 ELSE 0e0 END) AS share FROM ana a JOIN tg USING (entity, pos) GROUP BY 1,2", "ana", "tg")
+cte("tr0", f"""SELECT v.entity, v.target, v.verdict, CASE WHEN round(p,9)-base<=-0.05e0 THEN 'Unfavorable' WHEN round(p,9)-base>=0.05e0 THEN 'Favorable' ELSE 'Neutral' END AS mlv, med, share, CASE WHEN up THEN 1 ELSE -1 END AS trend, level
+ FROM t_vd v JOIN tml USING (entity, target, pos) JOIN tan USING (entity, target) JOIN tlv USING (entity, target)""", "t_vd", "tml", "tan", "tlv", held=True)
+cte("tr1", f"""SELECT *, CASE WHEN tot>=2 THEN 1 WHEN tot<=-2 THEN -1 ELSE 0 END AS macro FROM (SELECT *, ({_E.format('verdict')}+{_E.format('mlv')})/2e0 AS e, {_VT.format('verdict')}+{_VT.format('mlv')}+CASE WHEN med>0 AND share>=0.55 THEN 1 WHEN med<0 AND share<=0.45 THEN -1 ELSE 0 END AS tot FROM tr0)""", "tr0")
+cte("twhy", """SELECT entity, target, list(feature||':'||state ORDER BY feature) FILTER (weight>0) AS good, list(feature||':'||state ORDER BY feature) FILTER (weight<0) AS bad
+ FROM (SELECT * FROM t_st QUALIFY pos=max(pos) OVER (PARTITION BY entity, target, feature)) JOIN (SELECT entity, target, feature, state, weight FROM t_rl) USING (entity, target, feature, state) GROUP BY 1,2""", "t_st", "t_rl")
+
+
+def target_frame(spark, sf):
+    """Feature rows once per target: return, scaled to constant volatility, drawdown above a floor, relative to the second asset, to cash."""
+    w = C.by_entity("entity")
+    m = market(spark, sf).select("entity", "month", "vol", "y2", F.col("y").alias("ym"), T.cash_rate("irx", 3).alias("rf"))
+    f = P.feature_frame(spark, sf).withColumn("dd", T.forward_drawdown("px", V.H, w)).join(m, ["entity", "month"])
+    y = F.col("ym")
+    each = {"return": y, "vol-scaled": T.vol_scaled(y, F.col("vol"), VOL_TARGET), "drawdown": F.col("dd") + FLOOR, "relative": y - F.col("y2"), "cash": y - F.col("rf")}
+    f = f.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(k).alias("target"), v.alias("ty")) for k, v in each.items()])))
+    return f.select("entity", "month", "pos", "part", *V.FEATURES, "_t.target", F.col("_t.ty").alias("y"))
+
+
+@query("current_read_targets", sql(f"""SELECT r.entity, r.target, verdict, mlv AS ml, {LABEL} AS label, level, {CONF} AS confidence, coalesce(array_to_string(good,','),'') AS helping, coalesce(array_to_string(bad,','),'') AS hurting, """
+    + R("e", "med", "share") + " FROM tr1 r LEFT JOIN twhy USING (entity, target)", "tr1", "twhy"))
+def current_read_targets(spark, sf):
+    """The latest read of every entity and target: rules, classifier fitted on all known rows, analogues, evidence and confidence."""
+    keys = ["entity", "target"]
+    rows = materialise(spark, sf, "targets", V.PANEL_TABLES, lambda: target_frame(spark, sf))
+    long = T.long_form(rows, V.FEATURES, (*keys, "month", "pos", "y", "part")).withColumn("learn", F.col("part") == "learn")
+    st, _, rules, sc = S.run_rules(long, keys, V.H, P.CFG, ("month", "y", "learn", "part"))
+    now = latest(sc, keys, ["verdict"])
+    ml = SV.latest_logit(rows.withColumn("learn", F.col("y").isNotNull()), V.FEATURES, keys).select(*keys, M.ml_verdict(F.round("p", 9), F.col("base"), 0.05).alias("ml")).distinct()
+    picks = N.analogues(P.feature_frame(spark, sf), V.FEATURES, V.H).select("entity", "pos")
+    ana = rows.join(picks, ["entity", "pos"]).groupBy(*keys).agg(F.percentile("y", 0.5).alias("med"), F.avg((F.col("y") > 0).cast("double")).alias("share"))
+    trend = rows.groupBy(*keys).agg(F.max_by(F.when(F.col("px_t10") > 0, 1).otherwise(-1), "pos").alias("trend"))
+    d = now.join(ml, keys).join(ana, keys).join(trend, keys).join(evidence(rules, sc, keys).select(*keys, "level"), keys)
+    total = RP.vote(F.col("verdict")) + RP.vote(F.col("ml")) + RP.analogue_vote(F.col("med"), F.col("share"))
+    d = d.withColumn("macro", RP.macro_vote(total)).withColumn("confidence", RP.confidence(F.col("macro"), F.col("trend"), F.col("level")))
+    on = [*keys, "feature", "state"]
+    active = latest(st, [*keys, "feature"], ["state"]).join(rules.select(*on, "weight"), on)
+    tag = F.concat_ws(":", "feature", "state")
+    names = lambda sign: F.array_join(F.array_sort(F.collect_list(F.when(F.col("weight") * sign > 0, tag))), ",")
+    why = active.groupBy(*keys).agg(names(1).alias("helping"), names(-1).alias("hurting"))
+    e = (RP.exposure(F.col("verdict")) + RP.exposure(F.col("ml"))) / 2.0
+    d = d.join(why, keys, "left").fillna("", ["helping", "hurting"]).withColumn("e", e).withColumn("label", RP.exposure_label(e))
+    return C.rounded(d.select(*keys, "verdict", "ml", "label", "level", "confidence", "helping", "hurting", "e", "med", "share"))
+
+
 cte("stand", "SELECT *, lag(x,3) OVER (PARTITION BY entity, feature ORDER BY pos) AS x3 FROM a_st", "a_st")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import align as AL
 from ..sources import landed as L
+from ..sources import paged as PG
 from ..sources import views as V
 from .registry import R, cte, query, sql
 
@@ -120,6 +121,26 @@ def pivot_contracts(spark, sf):
     return C.rounded(d.groupBy("period").pivot("c", list(TICKERS.values())).agg(F.avg("value")), 7)
 
 
+PAGE = 200
+
+
+@query("paged_results", sql("SELECT series_id, obs_date, round(value,6)+0e0 AS value FROM daily_obs", "daily_obs"))
+def paged_results(spark, sf):
+    """Every series as pages of a landed result, read back page by page."""
+    at = PG.land(V.daily_obs(spark, sf), "series_id", "obs_date", PAGE)
+    rows = PG.page_rows(PG.read_pages(spark, at), "obs_date date, value double")
+    return C.rounded(rows.withColumnRenamed("result", "series_id"))
+
+
+@query("missing_pages", sql(f"""SELECT series_id, CAST(page*{PAGE} AS BIGINT) AS "offset", CAST(least((page+1)*{PAGE}, n) AS BIGINT) AS until FROM (
+ SELECT series_id, count(*) AS n, unnest(range(CAST(ceil(count(*)/{PAGE}e0) AS BIGINT))) AS page FROM daily_obs GROUP BY 1) WHERE (page+length(series_id))%3=1 AND n>{PAGE}""", "daily_obs"))
+def missing_pages(spark, sf):
+    """Which rows of a result are not covered by the pages that have arrived; every third page is lost here."""
+    obs = V.daily_obs(spark, sf)
+    lost = ((F.col("page") + F.length("result")) % 3 == 1) & (F.col("total") > PAGE)
+    return PG.missing_pages(PG.read_pages(spark, PG.land(obs, "series_id", "obs_date", PAGE, lost))).withColumnRenamed("result", "series_id")
+
+
 @query("drop_forecast_rows", sql("SELECT series_id, last_day(obs_date) AS period, count(*) AS n, " + R("avg(value) AS value")
     + " FROM daily_obs WHERE obs_date < DATE '2000-06-01' GROUP BY ALL", "daily_obs"))
 def drop_forecast_rows(spark, sf, as_of: str = "2000-06-15"):
