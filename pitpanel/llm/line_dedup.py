@@ -20,7 +20,7 @@ filters allow and every block, so two classes that may be similar meet in one ce
 bounded size, and cells without an opposite side compare nothing. A class is first
 verified with the earliest class that passes the filters. Only classes that have
 further partners and are not removed by it are verified with the next few, by the few words that
-they post, turn by turn until none is left, so a passage with thousands of variants costs about one comparison for each
+they post, turn by turn (each takes more than the one before) until none is left, so a passage with thousands of variants costs about one comparison for each
 and no pair of a group is made before it is needed.
 
 One aggregate makes the classes, which are written once; a class is named by its first
@@ -69,7 +69,7 @@ POSTS = "key long, place smallint, at long, rid long, line_no int, n int, x long
 PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
-#: Partners that a class is verified with in one turn, after the first.
+#: Partners that a class is verified with in its second turn, after the first; each turn takes so many times more.
 TURN = 8
 #: Posts above which a word is dealt out to cells, and which a side of a cell has on average; sizes up to which a band is one size, then their ratio.
 BLOCK = 1 << 15
@@ -469,6 +469,7 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tried = [F.col(f"a_{c}").alias(f"t_{c}") for c in CLASS]
     open_ = table(firsts.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS], *tried).join(gone, [*CLASS], "left_anti"), "open")
     # then those that have others and are still there against the next few, until none has any left
+    most = TURN
     while not open_.isEmpty():
         own = table(classes.join(open_, [*CLASS]).select("words", "places", *POST[:-1], *[f"t_{c}" for c in CLASS]), "again")
         left = posts_of(own, shared, percent)
@@ -476,10 +477,10 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)), blocks))
         left = left.join(open_, [*CLASS])
         every = posts_of(classes, asked, percent).select("*", *[F.lit(None).cast(t).alias(f"t_{c}") for c, t in zip(CLASS, ("long", "long", "int"), strict=True)])
-        pairs = table(next_pairs(every.unionByName(left), percent), "next")
+        pairs = table(next_pairs(every.unionByName(left), percent, most), "next")
         each = pairs.select(*named("b"), F.explode("c").alias("a")).select("a.*", *named("b"))
         found = table(similar(each, sets_of(rows, each), percent), "found")
-        gone = gone.union(found)
+        gone, most = gone.union(found), most * TURN
         last = F.element_at("c", -1)
         open_ = table(pairs.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS], *[last[f"a_{c}"].alias(f"t_{c}") for c in CLASS]).join(found, [*CLASS], "left_anti"), "open")
     return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
