@@ -265,7 +265,7 @@ def test_lines_with_many_possible_partners(spark, monkeypatch, most):
                 line[rnd.randrange(12)] = f"v{rnd.randrange(40)}"
             lines.append(" ".join(line))
     made = line_dedup.next_pairs
-    monkeypatch.setattr(line_dedup, "next_pairs", lambda posts, percent: made(posts, percent, most))
+    monkeypatch.setattr(line_dedup, "next_pairs", lambda posts, percent, _: made(posts, percent, most))
     docs = spark.createDataFrame([(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(80)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.removed_lines(docs).collect()}
     sets, want = [frozenset(x.split()) for x in lines], defaultdict(list)
