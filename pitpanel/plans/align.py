@@ -23,7 +23,8 @@ cte("lagged", "SELECT d.*, CAST(obs_date + to_months(mo) AS DATE) + dd AS rule_d
 def rule_date(obs: str = "obs_date"):
     mo = F.create_map(*[F.lit(x) for k, (m, _) in LAGS.items() for x in (k, m)])
     dd = F.create_map(*[F.lit(x) for k, (_, d) in LAGS.items() for x in (k, d)])
-    return AL.lagged(F.col(obs), mo[F.col("series_id")], dd[F.col("series_id")])
+    # a series without an entry is taken as published on its own date
+    return AL.lagged(F.col(obs), *[F.coalesce(m[F.col("series_id")], F.lit(0)) for m in (mo, dd)])
 
 
 @query("publication_lag", sql("SELECT series_id, obs_date, rule_date FROM lagged", "lagged"))

@@ -26,11 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitpanel-"))
 
 
-def version(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Modification time and length of a table's root: a rewritten table is read again."""
+def version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Modification time of a table's root, and files and bytes below it: a table that is rewritten, also in a partition alone, is read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    st = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
-    return st.getModificationTime(), st.getLen()
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = files.getContentSummary(p)
+    return files.getFileStatus(p).getModificationTime(), below.getFileCount(), below.getLength()
 
 
 def materialise(spark: SparkSession, sf_dir: str, name: str, tables, build: Callable[[], DataFrame]) -> DataFrame:
