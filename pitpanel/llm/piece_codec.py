@@ -69,6 +69,7 @@ class PieceCodec:
         # what a cut before spaces needs: nothing joins across it and nothing removes or adds spaces
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces) and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and self.model.trainer_spec.model_type == BPE
         self.prefix = " " if spec.add_dummy_prefix else ""
+        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else p.piece.replace(MARK, " ").encode() for p in self.model.pieces]
 
     def _rebuilt(self):
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -119,6 +120,11 @@ class PieceCodec:
         same = [a == b for a, b in zip(ours, known, strict=True)]
         return [a if s else b for a, b, s in zip(ours, known, same, strict=True)], same
 
+    def gives_back(self, ids: bytes, text: str) -> bool:
+        """Whether the pieces of all ids of a document spell its text, behind the prefix."""
+        spelt = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return spelt == (self.prefix + text).encode() if text else not spelt
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
 
@@ -128,17 +134,26 @@ DECODED = "doc_id long, text string"
 
 
 class Memo:
-    """Bounded map from pre-token to a value; a batch's misses are made together."""
+    """Bounded map from pre-token to a value, in two generations; a batch's misses are made together. `marked` holds keys of note, as bounded."""
 
     def __init__(self, make, size: int):
         self.make, self.size = make, size
         self.new: dict = {}
         self.old: dict = {}
+        self.marked: set = set()
+        self.marked_old: set = set()
+
+    def marks(self, words: list[str]) -> int:
+        """How many of the words are marked."""
+        if self.marked_old:
+            self.marked.update(w for w in words if w in self.marked_old)
+        return sum(map(self.marked.__contains__, words)) if self.marked else 0
 
     def need(self, texts: list[list[str]]) -> dict:
         """A dictionary that holds all pre-tokens of the batch."""
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
+            self.marked_old, self.marked = self.marked, set()
         new, old, missing = self.new, self.old, {}
         for words in texts:
             for w in [w for w in words if w not in new]:
@@ -157,23 +172,20 @@ class Encoder:
     """A worker's codec with its memo of pre-tokens."""
 
     def __init__(self, path: str, threads: int = THREADS):
-        self.codec, self.bad, self.lossy = PieceCodec(path, threads), set(), set()
+        self.codec = PieceCodec(path, threads)
         self.memo = Memo(self._make, MEMO_ENTRIES)
 
     def _make(self, parts: list[str]) -> list[bytes]:
         ids, same = self.codec.encode(parts)
-        self.bad.update(p for p, s in zip(parts, same, strict=True) if not s)
-        # a part begins with the prefix, which decoding takes off
-        self.lossy.update(p for p, back in zip(parts, self.codec.decode(ids), strict=True) if back != p[len(self.codec.prefix) :])
+        self.memo.marked.update(p for p, s in zip(parts, same, strict=True) if not s)
         return [np.array(x, "<u4").tobytes() for x in ids]
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
-        """Ids of each text, in how many pre-tokens the libraries differ, and whether all pre-tokens come back from their ids."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of each text, and in how many pre-tokens the libraries differ."""
         parts = [self.codec.cut(t) for t in texts]
         known = self.memo.need(parts)
         ids = [b"".join(map(known.__getitem__, p)) for p in parts]
-        differ = [sum(map(self.bad.__contains__, p)) if self.bad else 0 for p in parts]
-        return ids, differ, [self.lossy.isdisjoint(p) for p in parts] if self.lossy else [True] * len(parts)
+        return ids, [self.memo.marks(p) for p in parts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.codec.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
@@ -185,7 +197,7 @@ def encode(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, threads)
         for batch in portions(batches):
-            ids, differ, _ = encoder.encode(batch.column("text").to_pylist())
+            ids, differ = encoder.encode(batch.column("text").to_pylist())
             yield record(doc_id=batch.column("doc_id"), ids=ids, n_tokens=[len(x) // 4 for x in ids], n_differ=differ)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, ENCODED)
@@ -203,15 +215,17 @@ def decode(encoded: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
-    """One row per document: its tokens, the checksum of its ids, in how many pre-tokens the libraries differ, and whether decoding the ids returns the text.
+    """One row per document: its tokens, the checksum of its ids, in how many pre-tokens the libraries differ, and whether decoding all its ids returns the text.
 
-    Each pre-token is decoded when a worker first meets it; `decode` decodes whole documents.
+    The ids of every document are spelt out by the bytes of their pieces; `decode` does it by the tokenizers library.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, threads)
         for batch in portions(batches):
-            ids, differ, back = encoder.encode(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            ids, differ = encoder.encode(texts)
+            back = list(map(encoder.codec.gives_back, ids, texts))
             yield record(doc_id=batch.column("doc_id"), n_tokens=[len(x) // 4 for x in ids], ids_crc32=list(map(zlib.crc32, ids)), n_differ=differ, decoded_equal=back)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, ROUND)
