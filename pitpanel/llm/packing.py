@@ -3,7 +3,8 @@
 Each source is a queue of tokens. A window is a run of sequences; each window
 adds every queue's quantum, its target share of a window, to the queue's deficit, and serves the whole tokens
 of it. The rest is carried into the next window, so after any number of windows each queue has had its target share
-to within one token. Targets are the queues' shares of all tokens unless given. When a queue is
+to within one token. Targets are given, or follow from the queues' sizes to the power `temper`: 1 mirrors the corpus,
+less gives small sources a larger part while they last. When a queue is
 exhausted, windows are shorter and the others go on in their own proportions; queues without a target follow
 when those with one are through.
 
@@ -56,7 +57,7 @@ class Schedule:
     quantum q (in parts of a token) has had floor(k * q), or all it holds.
     """
 
-    def __init__(self, sizes: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES * SEQUENCE):
+    def __init__(self, sizes: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES * SEQUENCE, temper: float = 1.0):
         names = sorted(q for q in sizes if sizes[q])
         first = [q for q in names if (targets or {}).get(q, 0) > 0]
         self.rounds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # first token; quantum, size and windows of each queue
@@ -64,7 +65,7 @@ class Schedule:
         at = 0
         for queues in (first, [q for q in names if q not in set(first)]):
             size = np.array([sizes[q] for q in queues], np.int64)
-            weight = np.array([targets[q] for q in queues] if queues is first else size, float)
+            weight = np.array([targets[q] for q in queues], float) if queues is first else size.astype(float) ** temper
             quantum = np.maximum(1, np.rint(weight / weight.sum() * (window << FRACTION))).astype(np.int64) if len(queues) else size
             last = np.array([-(-(int(n) << FRACTION) // int(q)) for n, q in zip(size, quantum, strict=True)], np.int64)
             self.place.update({q: (len(self.rounds), i) for i, q in enumerate(queues)})
@@ -133,10 +134,10 @@ def queued(docs: DataFrame, targets: Iterable[str] = ()) -> DataFrame:
     return marked.select("doc_id", "text", F.coalesce("own", F.concat(F.lit("#"), F.pmod(F.xxhash64("name"), F.lit(HASHED_QUEUES)))).alias("queue"))
 
 
-def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end_id: int = END_ID, temper: float = 1.0) -> DataFrame:
     """One row per piece of a document: where it starts, its length and checksum, and its place in a sequence.
 
-    `targets` maps sources to token proportions; without it each window mirrors the corpus.
+    `targets` maps sources to token proportions; without it each window follows the sizes of the sources, tempered.
     """
     spark = docs.sparkSession
     kind = id_type(path, end_id)
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
     before = F.sum("m").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # a table, whose size Spark knows: while it is small, the ids need no shuffle to meet it
     base = table(parts.select("queue", "part", F.coalesce(before, F.lit(0)).alias("base")), "bases")
-    schedule = Schedule(sizes, {f"={k}": v for k, v in targets.items()} if targets else None, window * sequence)
+    schedule = Schedule(sizes, {f"={k}": v for k, v in targets.items()} if targets else None, window * sequence, temper)
     given = spark.sparkContext.broadcast(schedule)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The mixture that is packed: token proportions follow the sources' sizes to this power.
+MIXTURE = 0.7
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,7 +69,7 @@ def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), temper=MIXTURE)
 
 
 def op10_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
