@@ -226,10 +226,10 @@ def test_addresses_behind_other_values_and_in_long_runs():
     assert back.startswith("call +49 30 1234567 joe.x@example.com; " + "q" * 3000)
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.7, "z": 0.3}, {"t": 1e-6, "b": 1.0}])
-def test_schedule_is_gapless_and_keeps_its_targets(targets):
+@pytest.mark.parametrize("targets, temper", [(None, 1.0), (None, 0.5), ({"a": 0.5, "b": 0.3, "c": 0.2}, 1.0), ({"a": 0.7, "z": 0.3}, 0.7), ({"t": 1e-6, "b": 1.0}, 1.0)])
+def test_schedule_is_gapless_and_keeps_its_targets(targets, temper):
     sizes = {"a": 5_000, "b": 70_001, "c": 1, "d": 333, "t": 2}
-    plan = packing.Schedule(sizes, targets, 512)
+    plan = packing.Schedule(sizes, targets, 512, temper)
     seen = np.zeros(sum(sizes.values()), int)
     for q, n in sizes.items():
         at = 0
@@ -273,3 +273,24 @@ def test_lines_with_many_possible_partners(spark, monkeypatch, most):
         if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i]):
             want[i // 3].append(i % 3)
     assert got == {i: want[i] for i in range(80)}
+
+
+def test_whole_documents_are_decoded(spark):
+    from pitpanel.llm.piece_codec import round_trip
+
+    texts = [None, "", "a b", " a  b ", "x▁y", "é\n日本 ok", "<s> <0x41> </s>", "word " * 30_000, "\x00 a"]
+    rows = {r["doc_id"]: r for r in round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), B).collect()}
+    assert [rows[i]["decoded_equal"] for i in range(len(texts))] == [t != "x▁y" for t in texts]
+    assert all(r["n_differ"] == 0 for r in rows.values())
+
+
+def test_memo_keeps_marks_of_two_generations():
+    from pitpanel.llm.piece_codec import Memo
+
+    memo = Memo(lambda words: [len(w) for w in words], 2)
+    memo.marked.add("bad")
+    for texts in ([["bad", "a", "b"]], [["c", "bad"]], [["d", "e", "f"]], [["g", "bad"]]):
+        memo.need(texts)
+        if "bad" in texts[0]:
+            assert memo.marks(texts[0]) == 1
+    assert len(memo.new) + len(memo.old) < 10
