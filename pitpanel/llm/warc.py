@@ -125,7 +125,11 @@ def with_roles(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write each partition's records into monolithic gzip archives; returns the archives' names and sizes."""
+    """Write each partition's records into monolithic gzip archives; returns the archives' names and sizes.
+
+    A partition's records come in one order however they arrive, so another attempt at a task cuts the same archives with the same
+    bytes under the same names: what a lost attempt has left is replaced by its equal, and no page is lost or repeated.
+    """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, stream, out = None, 0, 0, None, bytearray()
@@ -149,7 +153,8 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
         if stream is not None:
             yield close()
 
-    return records.withColumn("part", F.spark_partition_id()).mapInArrow(write, "name string, bytes long")
+    ordered = records.withColumn("part", F.spark_partition_id()).sortWithinPartitions("page_id", "url", "size", F.xxhash64("payload"), "refers_to")
+    return ordered.mapInArrow(write, "name string, bytes long")
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
