@@ -294,3 +294,16 @@ def test_memo_keeps_marks_of_two_generations():
         if "bad" in texts[0]:
             assert memo.marks(texts[0]) == 1
     assert len(memo.new) + len(memo.old) < 10
+
+
+def test_two_attempts_write_the_same_archives(spark, tmp_path):
+    from pitpanel.llm import warc
+
+    pages = [(i % 40 if i % 7 else None, f"http://h/{i % 3}", f"<p>{i % 25}</p>" * 30) for i in range(120)]
+    files = []
+    for number, rows in enumerate((pages, pages[::-1])):
+        records = warc.with_roles(spark.createDataFrame(rows, "page_id long, url string, html string")).coalesce(1)
+        at = tmp_path / str(number)
+        warc.write_archives(records, f"file://{at}", limit=5_000).collect()
+        files.append({f.name: f.read_bytes() for f in at.iterdir()})
+    assert files[0] == files[1] and len(files[0]) > 3
