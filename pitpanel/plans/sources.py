@@ -149,10 +149,20 @@ def drop_forecast_rows(spark, sf, as_of: str = "2000-06-15"):
     return C.rounded(d.groupBy("series_id", F.last_day("obs_date").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")))
 
 
-@query("json_struct_or_scalar", """SELECT d, round(sum(v),6)+0e0 AS total, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS d,
+#: Rows below which a whole source counts as failed.
+SOURCE_ROWS = 200
+cte("pegged", """SELECT * FROM (SELECT CAST(ts AS DATE) AS d,
  coalesce(TRY_CAST(json_extract_string(j,'$.v.pegged') AS DOUBLE), TRY_CAST(json_extract_string(j,'$.v') AS DOUBLE)) AS v FROM (
  SELECT ts, CASE WHEN event_id%3=0 THEN '{"v":{"pegged":'||json_extract_string(props,'$.k')||'}}' WHEN event_id%3=1 THEN '{"v":'||json_extract_string(props,'$.k')||'}'
- ELSE '{"v":null}' END AS j FROM events)) WHERE v>0 GROUP BY d""")
+ ELSE '{"v":null}' END AS j FROM events)) WHERE v>0""", held=True)
+
+
+def enough_rows(df, need: int = SOURCE_ROWS):
+    """All rows of a source, or none when it has too few: the number is a scalar subquery."""
+    return df.filter(df.agg(F.count(F.lit(1))).scalar() >= need)
+
+
+@query("json_struct_or_scalar", sql(f"SELECT d, round(sum(v),6)+0e0 AS total, count(*) AS n FROM pegged WHERE (SELECT count(*) FROM pegged)>={SOURCE_ROWS} GROUP BY d", "pegged"))
 def json_struct_or_scalar(spark, sf):
     e = V.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
@@ -162,12 +172,12 @@ def json_struct_or_scalar(spark, sf):
         .otherwise('{"v":null}')
     )
     v = e.select(F.to_date("ts").alias("d"), payload.alias("j")).select("d", L.number_or_struct("j", "v", "pegged").alias("v"))
-    return C.rounded(v.filter(C.finite("v") > 0).groupBy("d").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n")))
+    return C.rounded(enough_rows(v.filter(C.finite("v") > 0)).groupBy("d").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n")))
 
 
-@query("range_filter", "SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n, round(max(value),6)+0e0 AS hi FROM events WHERE value BETWEEN 0 AND 20 GROUP BY ALL")
+@query("range_filter", f"SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n, round(max(value),6)+0e0 AS hi FROM events WHERE value BETWEEN 0 AND 20 AND (SELECT count(*) FROM events WHERE value BETWEEN 0 AND 20)>={SOURCE_ROWS} GROUP BY ALL")
 def range_filter(spark, sf):
-    e = V.table(spark, sf, "events").filter(F.col("value").between(0, 20))
+    e = enough_rows(V.table(spark, sf, "events").filter(F.col("value").between(0, 20)))
     return C.rounded(e.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("hi")))
 
 
