@@ -92,14 +92,16 @@ def fold_quantiles(rows: DataFrame, features, levels, keys=("entity",), rounds:
     """(keys, fold, pos, n_train, q) of the graded rows of every fold: the predicted quantiles, in order. `rows` holds the outcome as `yk`."""
     keys = list(keys)
     labelled = rows.withColumn("label", F.when(F.col("learn"), F.col("yk")))
-    ready = TR.lots(TR.binned(labelled, features, [*keys, "fold"], BINS).filter(F.col("n_train") >= min_rows), keys)
+    # a task takes the folds of all of the first key's other keys (horizons) as folds of one call
+    fold_of = [*keys[1:], "fold"]
+    ready = TR.lots(TR.binned(labelled, features, [*keys, "fold"], BINS).filter(F.col("n_train") >= min_rows), keys[:1], fold_of)
     schema = ", ".join(f"{k} {t}" for k, t in ready.dtypes if k in keys) + ", fold int, pos int, n_train long, q array<double>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, learn = pdf["fold"].rank(method="dense").to_numpy(int) - 1, pdf["learn"].to_numpy(bool)
+        fold, learn = pdf.groupby(fold_of).ngroup().to_numpy(), pdf["learn"].to_numpy(bool)
         least = np.maximum(2, np.minimum(10, np.bincount(fold, learn) // 10))
         raw = boost(np.stack(pdf["bins"]), fold, pdf["pos"].to_numpy(), pdf["label"].to_numpy(float), learn, levels, rounds, rate, depth, share, least)
         out = pdf.assign(q=list(np.sort(raw, axis=0).T))
         return out.loc[~learn, [*keys, "fold", "pos", "n_train", "q"]]
 
-    return ready.groupBy(*keys, "lot").applyInPandas(run, schema)
+    return ready.groupBy(*keys[:1], "lot").applyInPandas(run, schema)

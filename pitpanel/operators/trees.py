@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Folds of a key that one task takes at a time.
-LOT = 16
+LOT = 32
 # splitmix64: fixed values
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -28,9 +28,9 @@ def binned(rows: DataFrame, features, keys, bins: int) -> DataFrame:
     return joined.select(*keys, "pos", "learn", "label", "n_train", "base", "bins")
 
 
-def lots(rows: DataFrame, keys) -> DataFrame:
-    """The folds of every key in lots, so that a task holds a bounded number of copies of a key's rows."""
-    return rows.withColumn("lot", F.floor(F.dense_rank().over(Window.partitionBy(*keys).orderBy("fold")) / LOT).cast("int"))
+def lots(rows: DataFrame, keys, fold=("fold",)) -> DataFrame:
+    """The folds of every key in lots, so that a task holds a bounded number of copies of a key's rows; `fold` names what numbers them."""
+    return rows.withColumn("lot", F.floor(F.dense_rank().over(Window.partitionBy(*keys).orderBy(*fold)) / LOT).cast("int"))
 
 
 def draws(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
