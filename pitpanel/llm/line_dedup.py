@@ -69,7 +69,7 @@ POSTS = "key long, place smallint, at long, rid long, line_no int, n int, x long
 PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
-#: Partners that a class is verified with in its second turn, after the first; each turn takes so many times more.
+#: Partners that a class is verified with in its second turn, after the first; each turn takes its square times more.
 TURN = 8
 #: Posts above which a word is dealt out to cells, and which a side of a cell has on average; sizes up to which a band is one size, then their ratio.
 BLOCK = 1 << 15
@@ -480,7 +480,7 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = table(next_pairs(every.unionByName(left), percent, most), "next")
         each = pairs.select(*named("b"), F.explode("c").alias("a")).select("a.*", *named("b"))
         found = table(similar(each, sets_of(rows, each), percent), "found")
-        gone, most = gone.union(found), most * TURN
+        gone, most = gone.union(found), most * TURN * TURN
         last = F.element_at("c", -1)
         open_ = table(pairs.filter("more").select(*[F.col(f"b_{c}").alias(c) for c in CLASS], *[last[f"a_{c}"].alias(f"t_{c}") for c in CLASS]).join(found, [*CLASS], "left_anti"), "open")
     return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
