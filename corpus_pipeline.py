@@ -49,9 +49,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_text")).distinct()
     same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_kept_text"])
     blank = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = docs.filter(blank).agg(F.min("doc_id").alias("_first_blank"))  # one row
-    single = docs.join(kept, same, "left_semi").join(F.broadcast(first))
-    return single.filter(~blank | docs["doc_id"].eqNullSafe(F.col("_first_blank"))).drop("_first_blank")
+    first = docs.filter(blank).agg(F.min("doc_id")).scalar()  # one value
+    return docs.join(kept, same, "left_semi").filter(~blank | F.col("doc_id").eqNullSafe(first))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
