@@ -433,7 +433,7 @@ def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
             open_ = batch.column("t_rid").is_valid().to_numpy(zero_copy_only=False)
             n, rest = n.astype(np.int64), n.astype(np.int64) - place
             start, stop = opposite(key, at, rid, line_no)
-            b, rank, got, pairs = np.flatnonzero(open_), 0, np.zeros(len(key), np.int64), []
+            b, rank, got, pairs, held = np.flatnonzero(open_), 0, np.zeros(len(key), np.int64), [], 0
             while len(b):
                 a = start[b] + rank
                 b, a = b[a < stop[b]], a[a < stop[b]]
@@ -444,9 +444,11 @@ def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
                 near &= (at[of] != at[hit]) | (rid[of] != rid[hit]) | (line_no[of] != line_no[hit])
                 got[hit[near]] += 1
                 pairs.append((of[near], hit[near]))
-                b, rank = b[got[b] <= most], rank + 1
-            a, b = (np.concatenate(z) if pairs else np.zeros(0, np.int64) for z in (zip(*pairs, strict=True) if pairs else ((), ())))
-            yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", a), ("b", b)) for c in CLASS})
+                b, rank, held = b[got[b] <= most], rank + 1, held + int(near.sum())
+                if held and (held >= GATHERED or not len(b)):
+                    both = zip("ab", map(np.concatenate, zip(*pairs, strict=True)), strict=True)
+                    yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in both for c in CLASS})
+                    pairs, held = [], 0
 
     found = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", *CLASS).mapInArrow(run, PAIR)
     # a class posts few words, each with most + 1 at the most
@@ -472,10 +474,10 @@ def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     most = TURN
     while not open_.isEmpty():
         own = table(classes.join(open_, [*CLASS]).select("words", "places", *POST[:-1], *[f"t_{c}" for c in CLASS]), "again")
-        left = posts_of(own, shared, percent)
-        words = left.select(F.shiftright("key", 32).cast("int").alias("word"))
-        asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)), blocks))
-        left = left.join(open_, [*CLASS])
+        # both bitmaps have the same places, so what they share is the words that `own` posts; taken from the lists, so that a task needs one Python worker
+        words = own.select(F.explode("words").alias("word"))
+        asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)) & bitmap, blocks))
+        left = posts_of(own, shared, percent).join(open_, [*CLASS])
         every = posts_of(classes, asked, percent).select("*", *[F.lit(None).cast(t).alias(f"t_{c}") for c, t in zip(CLASS, ("long", "long", "int"), strict=True)])
         pairs = table(next_pairs(every.unionByName(left), percent, most), "next")
         each = pairs.select(*named("b"), F.explode("c").alias("a")).select("a.*", *named("b"))

@@ -275,6 +275,15 @@ def test_lines_with_many_possible_partners(spark, monkeypatch, most):
     assert got == {i: want[i] for i in range(80)}
 
 
+def test_no_task_of_the_line_join_needs_two_python_workers(spark, monkeypatch):
+    """What is asked for the next turn is read from the kept table, not from posts that another Python function makes in the same task."""
+    asked, made = [], line_dedup.possible
+    monkeypatch.setattr(line_dedup, "possible", lambda df, column, bits: asked.append((column, df._jdf.queryExecution().toString())) or made(df, column, bits))
+    monkeypatch.setattr(line_dedup, "GATHERED", 64)  # pairs leave the loop over partners many times
+    test_lines_with_many_possible_partners(spark, monkeypatch, 8)
+    assert "word" in [c for c, _ in asked] and not any("MapInArrow" in plan for _, plan in asked)
+
+
 def test_whole_documents_are_decoded(spark):
     from pitpanel.llm.piece_codec import round_trip
 
