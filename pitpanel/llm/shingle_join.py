@@ -4,6 +4,8 @@ A document is the set of its distinct shingles of `WIDTH` words. Its shingles ar
 into `GROUPS` groups, and the numbers in the groups are a point. Two sets share at most the sum of
 the smaller coordinates of their points, and what lies in two rectangles at most the sum of the smaller
 upper corners, so pairs of subtrees and of points that cannot reach the similarity are never looked at.
+Differences of long sets cancel out within a group, so pairs of points that pass are also held to parities (every shingle
+flips one of 1024): two sets differ in at least as many shingles as parities.
 
 The points are spread over the cluster by cells. Sets whose sizes could be similar differ in at most d shingles
 (d follows from the sizes), so when the hash also deals the shingles into d + 1 bundles, one bundle is
@@ -31,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import PARITIES, parities
 from .shared import GOLDEN, components, cut, mix, plain, portions, possible, record, slot
 from .words import WORDS, bytes_of, tokens, windows
 
@@ -44,7 +47,7 @@ CELL = 4096
 BITMAP_BITS = 23
 
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-SIGNED = "doc_id long, key binary, n long, point binary, sigs array<long>"
+SIGNED = "doc_id long, key binary, n long, point binary, parity binary, sigs array<long>"
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +74,16 @@ def points(value: np.ndarray, owner: np.ndarray, texts: int, groups: int = GROUP
     return np.bincount(owner * groups + group, minlength=texts * groups).reshape(texts, groups).astype(np.uint32)
 
 
+def parity_rows(value: np.ndarray, owner: np.ndarray, texts: int) -> list[bytes]:
+    """The parities of each text's set as bytes."""
+    return [p.tobytes() for p in parities(mix(value ^ GOLDEN), np.ones(len(value), np.int64), owner, texts)]
+
+
+def unpacked(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    """Rows of a column of equally long binaries as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
+
+
 def ranges(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """First size of each range and its number of bundles. Partners are in one range or in neighbouring ones.
 
@@ -110,7 +123,7 @@ def signatures(value: np.ndarray, owner: np.ndarray, texts: int, percent: int =
 
 
 def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: int = GROUPS) -> DataFrame:
-    """doc_id, identity and size of the set, its point and the hashes of its bundles."""
+    """doc_id, identity and size of the set, its point, its parities and the hashes of its bundles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, size=1_500_000):
@@ -118,7 +131,7 @@ def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: in
             marks = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             keys = [xxhash.xxh3_128_digest(value[a:b].tobytes()) if b > a else None for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
             point = points(value, owner, batch.num_rows, groups)
-            yield record(doc_id=batch.column("doc_id"), key=pa.array(keys, pa.binary()), n=np.diff(marks), point=pa.array([p.tobytes() for p in point], pa.binary()), sigs=pa.array(signatures(value, owner, batch.num_rows, percent), pa.list_(pa.int64())))
+            yield record(doc_id=batch.column("doc_id"), key=pa.array(keys, pa.binary()), n=np.diff(marks), point=pa.array([p.tobytes() for p in point], pa.binary()), parity=pa.array(parity_rows(value, owner, batch.num_rows), pa.binary()), sigs=pa.array(signatures(value, owner, batch.num_rows, percent), pa.list_(pa.int64())))
 
     return plain(docs, "doc_id", "text").mapInArrow(run, SIGNED)
 
@@ -154,6 +167,11 @@ def enough(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return (100 + percent) * shared >= percent * sizes
 
 
+def tighter(bound: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bound of what two sets of these summed sizes share, lowered to what their parities allow."""
+    return np.minimum(bound, (sizes - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2)
+
+
 class RTree:
     """Points in leaves of at most `leaf`, split at the median of the widest coordinate; nodes know their upper corner and smallest size."""
 
@@ -233,16 +251,22 @@ def tree_pairs(left: DataFrame, sketch: DataFrame, nearest: bool, percent: int =
     blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks")).withColumnRenamed("sig", "s")
     rows = left.join(blocks, F.col("sig") == F.col("s")).drop("s").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    rows = rows.join(sketch.select(F.col("node").alias("n"), "point"), F.col("node") == F.col("n")).select("sig", "one", "two", "node", "label", "block", "point")
+    rows = rows.join(sketch.select(F.col("node").alias("n"), "point", "parity"), F.col("node") == F.col("n")).select("sig", "one", "two", "node", "label", "block", "point", "parity")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, n = [], [], 0
         for part in cells_of(batches, "sig", "one", "two"):
             node, label, block = (part.column(c).to_numpy() for c in ("node", "label", "block"))
             crossing = part.column("one")[0] != part.column("two")[0]
-            tree = RTree(np.frombuffer(b"".join(part.column("point").to_pylist()), np.uint32).reshape(len(node), -1).astype(np.int64))
+            tree = RTree(unpacked(part.column("point"), np.uint32, -1).astype(np.int64))
             apart = lambda i, j: (label[i] != label[j]) & ((block[i] != block[j]) if crossing else True)  # noqa: B023, E731
-            found = list(tree.close_pairs(percent, apart))
+            parity, found = unpacked(part.column("parity"), np.uint64, PARITIES), []
+            for i, j, bound in tree.close_pairs(percent, apart):
+                sizes = tree.size[i] + tree.size[j]
+                bound = tighter(bound, sizes, parity[i], parity[j])
+                good = enough(bound, sizes, percent)
+                if good.any():
+                    found.append((i[good], j[good], bound[good]))
             if not found:
                 continue
             i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -265,16 +289,20 @@ def tree_pairs(left: DataFrame, sketch: DataFrame, nearest: bool, percent: int =
 
 
 def near(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose points allow a link."""
+    """The pairs (u, v) whose points and parities allow a link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.int64) if batch.num_rows else np.zeros((0, 1), np.int64) for c in ("a", "b"))
-            good = pa.array(enough(np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1), percent))
+            if not batch.num_rows:
+                continue
+            a, b = (unpacked(batch.column(c), np.uint32, -1).astype(np.int64) for c in ("a", "b"))
+            p, q = (unpacked(batch.column(c), np.uint64, PARITIES) for c in ("p", "q"))
+            sizes = a.sum(axis=1) + b.sum(axis=1)
+            good = pa.array(enough(tighter(np.minimum(a, b).sum(axis=1), sizes, p, q), sizes, percent))
             yield record(u=batch.column("u").filter(good), v=batch.column("v").filter(good))
 
-    both = pairs.join(sketch.select(F.col("node").alias("x"), F.col("point").alias("a")), F.col("u") == F.col("x")).join(sketch.select(F.col("node").alias("y"), F.col("point").alias("b")), F.col("v") == F.col("y"))
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    both = pairs.join(sketch.select(F.col("node").alias("x"), F.col("point").alias("a"), F.col("parity").alias("p")), F.col("u") == F.col("x")).join(sketch.select(F.col("node").alias("y"), F.col("point").alias("b"), F.col("parity").alias("q")), F.col("v") == F.col("y"))
+    return both.select("u", "v", "a", "b", "p", "q").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -326,7 +354,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     nodes = signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node")).withColumnRenamed("key", "of")
     # a set without bundles is too small to be like another one
     rows = signed.filter(F.size("sigs") > 0).join(nodes, (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("node")))
-    sketch = cut(rows.select("node", "point", "sigs").dropDuplicates(["node"]))
+    sketch = cut(rows.select("node", "point", "parity", "sigs").dropDuplicates(["node"]))
     members = cut(shared_cells(sketch.select("node", F.explode("sigs").alias("sig"))))
     stars = members.filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     links = cut(verified(cut(near(stars, sketch, percent)), docs, width, percent))

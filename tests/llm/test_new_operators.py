@@ -104,6 +104,22 @@ def test_shingle_components_equal_brute_force(spark, monkeypatch, cell, leaf):
     assert got == brute_components(ids, texts)
 
 
+def test_long_variants_that_are_not_links_are_not_verified(spark, monkeypatch):
+    """Long texts of one template, all less similar than a link: the numbers in groups let all pairs pass, parities none."""
+    rnd = random.Random(5)
+    base, texts = [f"w{i}" for i in range(2000)], []
+    for v in range(12):
+        copy = list(base)
+        for k in rnd.sample(range(2000), 34):
+            copy[k] = f"v{v}_{k}"
+        texts.append(" ".join(copy))
+    asked, made = [], shingle_join.verified
+    monkeypatch.setattr(shingle_join, "verified", lambda pairs, *a: asked.append(pairs.count()) or made(pairs, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["component_id"] for r in shingle_join.shingle_components(docs).collect()) == list(range(12))
+    assert asked and sum(asked) == 0
+
+
 def test_trees_find_every_pair_that_bounds_allow():
     rng = np.random.default_rng(2)
     point = rng.poisson(3, size=(150, 8))
