@@ -10,13 +10,14 @@ flips one of 1024): two sets differ in at least as many shingles as parities.
 The points are spread over the cluster by cells. Sets whose sizes could be similar differ in at most d shingles
 (d follows from the sizes), so when the hash also deals the shingles into d + 1 bundles, one bundle is
 the same in both. A cell holds the sets of one range of sizes that agree in one whole bundle. Every pair
-that can be a link shares a cell, and texts that only share a common passage hardly ever do.
+that can be a link shares a cell, and texts that only share a common passage hardly ever do. Near copies share most of
+their bundles, so a cell is named by its sets: those that hold the same ones are one cell.
 
 In a cell each set is first held against the smallest, which settles groups of copies at one comparison for
 each member. The components of the links that are verified this way name what is still apart; then R-trees
 of the cells that hold more than one component are searched for pairs of different components, in cells of
 many such pairs first for each set's likeliest partner. Cells of more than `CELL` sets are split into
-blocks, and every pair of blocks is a cell. Pairs that pass are verified on whole sets, equal sets counting once.
+blocks, and every pair of blocks is a cell. Pairs that pass are verified on the sets of their whole texts, equal sets counting once.
 
 Defined results: texts without words (null, empty, blank) have no shingles and are linked with nothing; fewer words than a
 shingle are one shingle; null ids join the component of their text, and have a null one if nothing else
@@ -30,15 +31,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import PARITIES, parities
-from .shared import GOLDEN, components, cut, mix, plain, portions, possible, record, slot
+from .shared import GOLDEN, components, cut, mix, plain, portions, possible, record, slot, table
 from .words import WORDS, bytes_of, tokens, windows
 
 #: Parameters: words of a shingle, least Jaccard similarity in percent, groups (the dimension of the points), points of a
-#: leaf, sets of a cell, bits of the bitmap of documents whose sets are verified.
+#: leaf, sets of a cell, bits of the bitmaps of documents (those with copies, in cells, or whose sets are verified).
 WIDTH = 3
 PERCENT = 90
 GROUPS = 64
@@ -79,6 +81,17 @@ def parity_rows(value: np.ndarray, owner: np.ndarray, texts: int) -> list[bytes]
     return [p.tobytes() for p in parities(mix(value ^ GOLDEN), np.ones(len(value), np.int64), owner, texts)]
 
 
+def packed_points(point: np.ndarray) -> list[bytes]:
+    """Each point behind the size of its numbers: one byte where all of them fit, else four."""
+    small = point.max(axis=1, initial=0) < 256
+    return [b"\1" + p.astype(np.uint8).tobytes() if fits else b"\4" + p.tobytes() for p, fits in zip(point, small.tolist(), strict=True)]
+
+
+def unpacked_points(column: pa.Array) -> np.ndarray:
+    """The points of a column that is not empty."""
+    return np.stack([np.frombuffer(p, np.uint8 if p[0] == 1 else np.uint32, offset=1) for p in column.to_pylist()]).astype(np.int64)
+
+
 def unpacked(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     """Rows of a column of equally long binaries as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
@@ -130,14 +143,18 @@ def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: in
             value, owner = shingle_sets(batch.column("text"), width)
             marks = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             keys = [xxhash.xxh3_128_digest(value[a:b].tobytes()) if b > a else None for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
-            point = points(value, owner, batch.num_rows, groups)
-            yield record(doc_id=batch.column("doc_id"), key=pa.array(keys, pa.binary()), n=np.diff(marks), point=pa.array([p.tobytes() for p in point], pa.binary()), parity=pa.array(parity_rows(value, owner, batch.num_rows), pa.binary()), sigs=pa.array(signatures(value, owner, batch.num_rows, percent), pa.list_(pa.int64())))
+            point = packed_points(points(value, owner, batch.num_rows, groups))
+            yield record(doc_id=batch.column("doc_id"), key=pa.array(keys, pa.binary()), n=np.diff(marks), point=pa.array(point, pa.binary()), parity=pa.array(parity_rows(value, owner, batch.num_rows), pa.binary()), sigs=pa.array(signatures(value, owner, batch.num_rows, percent), pa.list_(pa.int64())))
 
     return plain(docs, "doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def shared_cells(posts: DataFrame) -> DataFrame:
-    """(sig, node, lead) of the cells that hold more than one set; the lead is the smallest node."""
+    """(sig, node, lead) of the cells that hold more than one set; the lead is the smallest node.
+
+    `sig` becomes a hash of the cell's nodes, so that cells of the same sets are one; only a cell that goes on in
+    another batch keeps its own. Where two cells got one number, they would be searched as one.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, lead, waits = None, None, False  # the last cell so far; it waits while it has one set
@@ -156,10 +173,51 @@ def shared_cells(posts: DataFrame) -> DataFrame:
             out = size > 1
             out[0] |= known
             mask = np.repeat(out, size)
+            with np.errstate(over="ignore"):
+                name = mix(np.add.reduceat(mix(node.view(np.uint64) + GOLDEN), start) ^ size.astype(np.uint64)).view(np.int64)
+            name[-1] = s[-1]
+            if known:
+                name[0] = s[0]
             sig, lead, waits = s[-1], first[-1], not out[-1]
-            yield record(sig=s[mask], node=node[mask], lead=np.repeat(first, size)[mask])
+            yield record(sig=np.repeat(name, size)[mask], node=node[mask], lead=np.repeat(first, size)[mask])
+
+    return posts.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, lead long").distinct()
+
+
+class Sketches:
+    """One signed row of every set, that of its smallest doc_id, named `node`.
+
+    Only rows that may have a copy, by a bitmap of fixed size, are shuffled to find it; nearly all others are certainly alone.
+    """
+
+    def __init__(self, signed: DataFrame, nodes: DataFrame):
+        self.rows = signed.filter("doc_id is not null")
+        again = nodes.filter("node is not null").groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("node").alias("mark"))
+        marks = nodes.filter("copies > 1").select(F.xxhash64("of").alias("mark")).union(again)
+        self.copied = signed.sparkSession.sparkContext.broadcast(possible(marks, "mark", BITMAP_BITS))
+        columns = ["doc_id", "key", "point", "parity", "sigs"]
+        several = self._picked(columns, True, None).join(nodes, (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("node")))
+        self.several = cut(several.select("node", *columns[2:]).dropDuplicates(["node"]))
+
+    def _picked(self, columns: list[str], copied: bool, marked: Broadcast | None) -> DataFrame:
+        bitmap = self.copied
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy()
+                keep = (bitmap.value[slot(ids, BITMAP_BITS)] | bitmap.value[slot(batch.column("mark").to_numpy(), BITMAP_BITS)]) == copied
+                if marked is not None:
+                    keep &= marked.value[slot(ids, BITMAP_BITS)]
+                yield batch.select(columns).filter(pa.array(keep))
+
+        rows = self.rows.select(*columns, F.xxhash64("key").alias("mark"))
+        return rows.mapInArrow(run, self.rows.select(*columns).schema)
 
-    return posts.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, lead long")
+    def take(self, *columns: str, of: DataFrame | None = None) -> DataFrame:
+        """node and the named columns; with `of`, of the nodes in it, found by a bitmap, and few others."""
+        marked = None if of is None else self.rows.sparkSession.sparkContext.broadcast(possible(of, "node", BITMAP_BITS))
+        single = self._picked(["doc_id", *columns], False, marked)
+        return single.withColumnRenamed("doc_id", "node").union(self.several.select("node", *columns))
 
 
 def enough(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -258,7 +316,7 @@ def tree_pairs(left: DataFrame, sketch: DataFrame, nearest: bool, percent: int =
         for part in cells_of(batches, "sig", "one", "two"):
             node, label, block = (part.column(c).to_numpy() for c in ("node", "label", "block"))
             crossing = part.column("one")[0] != part.column("two")[0]
-            tree = RTree(unpacked(part.column("point"), np.uint32, -1).astype(np.int64))
+            tree = RTree(unpacked_points(part.column("point")))
             apart = lambda i, j: (label[i] != label[j]) & ((block[i] != block[j]) if crossing else True)  # noqa: B023, E731
             parity, found = unpacked(part.column("parity"), np.uint64, PARITIES), []
             for i, j, bound in tree.close_pairs(percent, apart):
@@ -295,7 +353,7 @@ def near(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (unpacked(batch.column(c), np.uint32, -1).astype(np.int64) for c in ("a", "b"))
+            a, b = (unpacked_points(batch.column(c)) for c in ("a", "b"))
             p, q = (unpacked(batch.column(c), np.uint64, PARITIES) for c in ("p", "q"))
             sizes = a.sum(axis=1) + b.sum(axis=1)
             good = pa.array(enough(tighter(np.minimum(a, b).sum(axis=1), sizes, p, q), sizes, percent))
@@ -309,19 +367,19 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
     """The pairs (u, v) of documents whose whole sets are similar."""
     marked = docs.sparkSession.sparkContext.broadcast(possible(pairs.select(F.explode(F.array("u", "v")).alias("node")), "node", BITMAP_BITS))
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for part in portions([batch.filter(pa.array(marked.value[slot(ids, BITMAP_BITS)]))]):
-                value, owner = shingle_sets(part.column("text"), width)
-                at = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
-                yield record(id=part.column("doc_id"), s=pa.array([value[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+            yield batch.filter(pa.array(marked.value[slot(ids, BITMAP_BITS)]))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "a"):
-            good = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for batch in (part for half in portions(batches, "a", 1_500_000) for part in portions([half], "b", 1_500_000)):
+            good, sides = [], []
+            for side in "ab":
+                value, owner = shingle_sets(batch.column(side), width)
+                marks = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+                sides.append([value[i:j] for i, j in zip(marks, marks[1:], strict=False)])
+            for a, b in zip(*sides, strict=True):
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
                 shared = int((b[at] == a).sum())
@@ -329,8 +387,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
             kept = pa.array(good, pa.bool_())
             yield record(u=batch.column("u").filter(kept), v=batch.column("v").filter(kept))
 
-    found = cut(plain(docs, "doc_id", "text").filter("doc_id is not null").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
-    both = pairs.join(found.select(F.col("id").alias("x"), F.col("s").alias("a")), F.col("u") == F.col("x")).join(found.select(F.col("id").alias("y"), F.col("s").alias("b")), F.col("v") == F.col("y"))
+    # texts are less to move than the hashes of their shingles; one shuffle serves both sides
+    found = plain(docs, "doc_id", "text").filter("doc_id is not null").mapInArrow(texts, "id long, text string").dropDuplicates(["id"])
+    both = pairs.join(found.select(F.col("id").alias("x"), F.col("text").alias("a")), F.col("u") == F.col("x")).join(found.select(F.col("id").alias("y"), F.col("text").alias("b")), F.col("v") == F.col("y"))
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
@@ -350,12 +409,12 @@ def open_pairs(left: DataFrame) -> int:
 
 def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, groups: int = GROUPS, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every document."""
-    signed = cut(sign(docs, width, percent, groups))
-    nodes = signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node")).withColumnRenamed("key", "of")
+    signed = table(sign(docs, width, percent, groups), "signed")
+    nodes = table(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).withColumnRenamed("key", "of"), "nodes")
+    sketches = Sketches(signed, nodes)
     # a set without bundles is too small to be like another one
-    rows = signed.filter(F.size("sigs") > 0).join(nodes, (F.col("key") == F.col("of")) & (F.col("doc_id") == F.col("node")))
-    sketch = cut(rows.select("node", "point", "parity", "sigs").dropDuplicates(["node"]))
-    members = cut(shared_cells(sketch.select("node", F.explode("sigs").alias("sig"))))
+    members = cut(shared_cells(sketches.take("sigs").select("node", F.explode("sigs").alias("sig"))))
+    sketch = cut(sketches.take("point", "parity", of=members))
     stars = members.filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     links = cut(verified(cut(near(stars, sketch, percent)), docs, width, percent))
     left, links = unsettled(members, links)

@@ -129,6 +129,42 @@ def test_trees_find_every_pair_that_bounds_allow():
     assert found == want and len(want) > 100
 
 
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_cells_of_the_same_sets_are_one(spark, rows):
+    """Near copies share most bundles: their cells are one, also where batches cut some of them."""
+    posts = [(sig, node) for sig in range(40) for node in (5, 6, 9)] + [(100, 5), (100, 6), (200, 7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = shingle_join.shared_cells(spark.createDataFrame(posts, "sig long, node long").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = defaultdict(set)
+    for r in got:
+        cells[r["sig"]].add(r["node"])
+        assert r["lead"] == 5
+    assert {frozenset(c) for c in cells.values()} == {frozenset({5, 6, 9}), frozenset({5, 6})}
+    # the last cell of each task's batch keeps its own name
+    assert rows < 10_000 or len(cells) <= 2 + 8
+
+
+def test_only_sets_that_may_have_copies_are_shuffled(spark):
+    texts = [" ".join(f"w{i}_{k}" for k in range(40)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[0], None])), "doc_id long, text string")
+    signed = shingle_join.cut(shingle_join.sign(docs))
+    nodes = shingle_join.cut(signed.filter("n > 0").groupBy("key").agg(shingle_join.F.min("doc_id").alias("node"), shingle_join.F.count("*").alias("copies")).withColumnRenamed("key", "of"))
+    sketches = shingle_join.Sketches(signed, nodes)
+    assert sketches.several.count() < 10  # the copied one, and few others by chance
+    assert sorted(r["node"] for r in sketches.take("sigs").collect() if r["sigs"]) == list(range(200))
+    assert "Exchange" not in sketches.take("sigs")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_any_size_are_packed():
+    point = np.array([[0, 255, 3], [1, 256, 70_000], [0, 0, 0]], np.uint32)
+    packed = shingle_join.packed_points(point)
+    assert [len(p) for p in packed] == [4, 13, 4]
+    assert shingle_join.unpacked_points(pa.array(packed, pa.binary())).tolist() == point.tolist()
+
+
 def test_empty_table_of_the_shingle_join(spark):
     assert shingle_join.shingle_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
