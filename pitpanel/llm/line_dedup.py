@@ -47,8 +47,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK, GOLDEN, PACKED, mix, packed, plain, portions, possible, record, slot, table
-from .words import LINES, WORDS, Tokens, bytes_of, counted, tokens
+from .shared import CHUNK, GOLDEN, PACKED, mix, packed, portions, possible, record, slot, table
+from .words import LINES, WORDS, Tokens, bytes_of, counted, spans, tokens
 
 #: Parameters: least Jaccard similarity in percent, counters of rarity, bits of the bitmap of words that occur twice, bits of the bitmap of compared lines.
 PERCENT = 80
@@ -77,21 +77,33 @@ EXACT_BANDS, BAND_RATIO = 16, 1.1
 MAX_PLACE = (1 << 15) - 1
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells apart different texts under one id."""
-    rows = plain(docs, "doc_id", "text")
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), F.xxhash64("text").alias("rid"), "text")
+def telling(docs: DataFrame) -> Column:
+    """What tells apart different texts under one id: a hash of the text; 0 where every id has one row, which leaves nothing to move."""
+    again = docs.groupBy(F.coalesce("doc_id", F.lit((1 << 63) - 1))).agg(F.count("*").alias("c")).filter("c > 1")
+    return F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def documents(docs: DataFrame, rid: Column) -> DataFrame:
+    """doc_id, text and what tells apart different texts under one id."""
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), rid.alias("rid"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+
+def lines_at(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines that have words, which begin at `starts`: text, line number; then line (by position) of each word."""
+    begin, _, owner = spans(data, offsets, LINES)
+    of = np.searchsorted(begin, starts, "right") - 1
+    new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+    used, of = of[new], np.cumsum(new) - 1
+    feeds = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 10, dtype=np.int64)])
+    owner = owner[used]
+    return owner, feeds[begin[used]] - feeds[offsets[owner]], of
 
 
 def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tokens]:
-    """Of a batch's lines that have words: text, line number; then line (by position) of each word, and the words."""
+    """`lines_at` of a batch, and the words."""
     data, offsets = bytes_of(batch.column("text"))
-    words, lines = tokens(data, offsets, WORDS), tokens(data, offsets, LINES)
-    of = np.searchsorted(lines.start, words.start, "right") - 1
-    used, of = np.unique(of, return_inverse=True)
-    feeds = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 10, dtype=np.int64)])
-    owner = lines.owner[used]
-    return owner, feeds[lines.start[used]] - feeds[offsets[owner]], of, words
+    words = tokens(data, offsets, WORDS)
+    return *lines_at(data, offsets, words.start), words
 
 
 def as_sets(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,12 +319,12 @@ def name_bits(at, rid, line_no):
 
 def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Name and word hashes of the lines in `pairs`, found by a bitmap of fixed size; few others may come along."""
-    names = pairs.select(F.explode(F.array(*[name_bits(*[F.col(f"{s}_{c}") for c in CLASS]) for s in "ab"], "a_rid", "b_rid")).alias("name"))
+    names = pairs.select(F.explode(F.array(*[name_bits(*[F.col(f"{s}_{c}") for c in CLASS]) for s in "ab"], *[F.col(f"{s}_at").bitwiseXOR(F.col(f"{s}_rid")) for s in "ab"])).alias("name"))
     marked = rows.sparkSession.sparkContext.broadcast(possible(names, "name", BITMAP_BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, size=PORTION):
-            batch = batch.filter(pa.array(marked.value[slot(batch.column("rid").to_numpy(), BITMAP_BITS)]))
+            batch = batch.filter(pa.array(marked.value[slot(batch.column("at").to_numpy() ^ batch.column("rid").to_numpy(), BITMAP_BITS)]))
             owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
@@ -456,9 +468,9 @@ def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
     return found.select(*named("b"), F.slice("c", 1, most).alias("c"), (F.size("c") > most).alias("more"))
 
 
-def staying(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def staying(docs: DataFrame, rid: Column, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid and the numbers of the lines with words that stay, for documents that keep any."""
-    rows = documents(docs)
+    rows = documents(docs, rid)
     classes = posted(rows, percent).groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("l"), *[F.first(c).alias(c) for c in ("n", "x", "y", "words", "places")])
     at = F.coalesce("l.doc_id", F.lit((1 << 63) - 1)).alias("at")
     classes = table(classes.select(at, *[f"l.{c}" for c in LINE], "n", "x", "y", "words", "places"), "classes")
@@ -493,8 +505,8 @@ def worded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, size=PORTION):
-            owner, number, *_ = lines_of(batch)
             data, offsets = bytes_of(batch.column("text"))
+            owner, number, _ = lines_at(data, offsets, spans(data, offsets, WORDS)[0])
             marks = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(number.astype(np.int32)))
             yield record(doc_id=batch.column("doc_id"), rid=batch.column("rid"), n_lines=counted(data == 10, offsets) + 1, lines=lists)
@@ -504,8 +516,9 @@ def worded(rows: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: its lines, how many are removed, and their numbers (from 0)."""
-    stays = staying(docs, percent).withColumnsRenamed({"doc_id": "s_id", "rid": "s_rid"})
-    rows = worded(documents(docs))
+    rid = telling(docs)
+    stays = staying(docs, rid, percent).withColumnsRenamed({"doc_id": "s_id", "rid": "s_rid"})
+    rows = worded(documents(docs, rid))
     found = rows.join(stays, (F.col("rid") == F.col("s_rid")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
     found = found.withColumn("removed", F.array_except("lines", F.coalesce("stays", F.array().cast("array<int>"))))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_lines"))
@@ -513,8 +526,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, their repeated lines removed from `text`; a null text stays null."""
-    stays = staying(docs, percent).withColumnsRenamed({"doc_id": "_stays_id", "rid": "_stays_rid", "stays": "_stays"})
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    key = telling(docs)
+    stays = staying(docs, key, percent).withColumnsRenamed({"doc_id": "_stays_id", "rid": "_stays_rid", "stays": "_stays"})
     # a line without words stays; the others do if they are listed
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains(F.coalesce("_stays", F.array().cast("array<int>")), i))
     joined = docs.join(stays, (key == stays["_stays_rid"]) & docs["doc_id"].eqNullSafe(stays["_stays_id"]), "left")

@@ -73,11 +73,10 @@ class Tokens:
         return np.bincount(self.owner, minlength=owners)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Tokens:
-    """Runs of bytes of one class above 0; no run crosses one of the `offsets`."""
+def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and owner of the runs of bytes of one class above 0; no run crosses one of the `offsets`."""
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return Tokens(np.zeros(0, np.uint64), none, none, none)
+        return (np.zeros(0, np.int64),) * 3
     kind = table[data]
     change = np.empty(len(data), bool)
     change[0] = True
@@ -87,7 +86,13 @@ def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Tokens:
     end = np.append(start[1:], len(data))
     real = kind[start] > 0
     start, end = start[real], end[real]
-    return Tokens(span_hashes(data, start, end), start, end, np.searchsorted(offsets, start, "right") - 1)
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Tokens:
+    """The spans with their hashes."""
+    start, end, owner = spans(data, offsets, table)
+    return Tokens(span_hashes(data, start, end), start, end, owner)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -368,3 +368,28 @@ def test_two_attempts_write_the_same_archives(spark, tmp_path):
         warc.write_archives(records, f"file://{at}", limit=5_000).collect()
         files.append({f.name: f.read_bytes() for f in at.iterdir()})
     assert files[0] == files[1] and len(files[0]) > 3
+
+
+@pytest.mark.parametrize("ids", [[4, 3, 2, 1], [4, 3, 3, 1], [None, 3, None, 1], [None, (1 << 63) - 1, 2, 1]])
+def test_texts_under_one_id_are_told_apart_only_where_there_are_some(spark, ids):
+    texts = ["one two three four five\nz1 z2", "one two three four five\n\nz3 z4", "z5 z6\none two three four five", " \nz7\n"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    rid = line_dedup.telling(docs)
+    keys = {r[0] for r in docs.select(rid).collect()}
+    assert (keys == {0}) == (ids == [4, 3, 2, 1])
+    got = line_dedup.without_lines(docs).collect()
+    assert len(got) == 4 and sum("one two three four five" in r["text"].split("\n") for r in got) == 1
+    assert sum(r["n_removed"] for r in line_dedup.removed_lines(docs).collect()) == 2
+    if ids == [4, 3, 2, 1]:
+        assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.removed_lines(docs).collect()} == {4: [0], 3: [0], 2: [], 1: []}
+
+
+def test_lines_are_found_without_hashes(monkeypatch):
+    from pitpanel.llm import words
+
+    texts = ["", "\n\n", "a b\n\n \t\nc" + "d" * 50, "x", " \ny z\n"]
+    data, offsets = bytes_of(pa.array(texts))
+    monkeypatch.setattr(words, "span_hashes", None)  # neither lines nor, where they are only found, words are hashed
+    owner, number, of = line_dedup.lines_at(data, offsets, words.spans(data, offsets, WORDS)[0])
+    assert list(zip(owner.tolist(), number.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.split()]
+    assert of.tolist() == [0, 0, 1, 2, 3, 3]
