@@ -23,7 +23,7 @@ further partners and are not removed by it are verified with the next few, by th
 they post, turn by turn (each takes more than the one before) until none is left, so a passage with thousands of variants costs about one comparison for each
 and no pair of a group is made before it is needed.
 
-One aggregate makes the classes, which are written once; a class is named by its first
+One sort by identity makes the classes, which are written once; a class is named by its first
 line. What remains of a document are its classes that nothing removes, so lines
 themselves are never joined.
 
@@ -43,12 +43,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK, GOLDEN, PACKED, mix, packed, portions, possible, record, slot, table
-from .words import LINES, WORDS, Tokens, bytes_of, counted, spans, tokens
+from .shared import CHUNK, GOLDEN, PACKED, flat, mix, packed, portions, possible, record, runs, slot, table
+from .words import WORDS, Tokens, bytes_of, spans, tokens
 
 #: Parameters: least Jaccard similarity in percent, counters of rarity, bits of the bitmap of words that occur twice, bits of the bitmap of compared lines.
 PERCENT = 80
@@ -60,13 +61,21 @@ BITMAP_BITS = 23
 PORTION = 1_000_000
 
 LINE = ("no_id", "doc_id", "rid", "line_no")
-POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words array<int>, places array<smallint>"
+#: The words that a line posts and their places are runs of numbers, each one value of a row.
+POSTED = "no_id boolean, doc_id long, rid long, line_no int, k1 long, k2 long, n int, x long, y long, words binary, places binary"
 #: A class by its first line; a null id counts as the largest, for the order only has to be one and the same.
 CLASS = ("at", "rid", "line_no")
-POST = (*CLASS, "n", "x", "y", "place")
+SIZED = (*CLASS, "n", "x", "y")
+POST = np.dtype([("at", "<i8"), ("rid", "<i8"), ("line_no", "<i4"), ("n", "<i4"), ("x", "<i8"), ("y", "<i8"), ("place", "<i2")])
+TRIED = np.dtype([("at", "<i8"), ("rid", "<i8"), ("line_no", "<i4")])
 #: A key is the word (32 bits), its cell (30) and the side of the cell (2): 0 where all compare with all, otherwise 1 with 2.
-POSTS = "key long, place smallint, at long, rid long, line_no int, n int, x long, y long"
+#: What goes with it is one value, for there are many posts: a `POST`, and of an open class a `TRIED`, the last class that it was tried with.
+POSTS = "key long, post binary, tried binary"
 PAIR = ", ".join(f"{s}_at long, {s}_rid long, {s}_line_no int" for s in "ab")
+#: Lines whose words are sorted at a time: their number, a rarity and a part of the hash are one number of 64 bits.
+LINE_BITS, RARITY_BITS = 12, 7
+#: How tables of hashes are written, which no dictionary makes smaller.
+HASHES = {"parquet.enable.dictionary": "false", "compression": "lz4"}
 #: Posts that are compared at a time, but for a word with more of them; a place beyond the largest counts as it, which only weakens its filter.
 GATHERED = 1 << 17
 #: Partners that a class is verified with in its second turn, after the first; each turn takes its square times more.
@@ -88,15 +97,23 @@ def documents(docs: DataFrame, rid: Column) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), rid.alias("rid"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def all_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines: text, line number, first byte."""
+    feeds = np.flatnonzero(data == 10)
+    n_lines = np.diff(np.searchsorted(feeds, offsets)) + 1
+    owner = np.repeat(np.arange(len(n_lines)), n_lines)
+    number = np.arange(len(owner)) - (np.cumsum(n_lines) - n_lines)[owner]
+    begin = np.empty(len(owner), np.int64)
+    begin[number == 0], begin[number > 0] = offsets[:-1], feeds + 1
+    return owner, number, begin
+
+
 def lines_at(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines that have words, which begin at `starts`: text, line number; then line (by position) of each word."""
-    begin, _, owner = spans(data, offsets, LINES)
-    of = np.searchsorted(begin, starts, "right") - 1
-    new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    used, of = of[new], np.cumsum(new) - 1
-    feeds = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 10, dtype=np.int64)])
-    owner = owner[used]
-    return owner, feeds[begin[used]] - feeds[offsets[owner]], of
+    owner, number, begin = all_lines(data, offsets)
+    held = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+    used = np.flatnonzero(held)
+    return owner[used], number[used], np.repeat(np.arange(len(used)), held[used])
 
 
 def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tokens]:
@@ -170,10 +187,20 @@ class Frequencies:
         self.rarity = np.minimum(np.log2(np.maximum(out[:COUNTERS], 1)) * 2, 127).astype(np.uint64)
         self.twice = twice_of(out[COUNTERS:])
 
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        """Numbers that sort rare words first; the lowest bit tells that the word may occur twice."""
-        again = is_set(self.twice, h.view(np.int64))
-        return self.rarity[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57) | (h >> np.uint64(8)) << np.uint64(1) | again.astype(np.uint64)
+    def sets(self, of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's distinct words, in an order that has rare words first and is the same for all lines: lines, hashes."""
+        lines, hashes = [], []
+        last = int(of[-1]) if len(of) else -1
+        edges = np.searchsorted(of, np.arange(0, last + 1 + (1 << LINE_BITS), 1 << LINE_BITS))
+        for a, b in zip(edges, edges[1:], strict=False):
+            part, line = h[a:b], of[a:b]
+            rank = self.rarity[(part & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(64 - LINE_BITS - RARITY_BITS) | part >> np.uint64(LINE_BITS + RARITY_BITS)
+            order = np.argsort((line & ((1 << LINE_BITS) - 1)).astype(np.uint64) << np.uint64(64 - LINE_BITS) | rank)
+            part, line = part[order], line[order]
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (line[1:] != line[:-1])])
+            lines.append(line[new])
+            hashes.append(part[new])
+        return np.concatenate([np.zeros(0, np.int64), *lines]), np.concatenate([np.zeros(0, np.uint64), *hashes])
 
 
 class Twice:
@@ -215,7 +242,7 @@ def shared_words(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int64), Twice()
         for batch in batches:
-            words = batch.column("words").flatten().to_numpy()
+            words = flat(batch.column("words"), np.int32)
             counts += np.bincount(slot(words, COUNTER_BITS), minlength=COUNTERS)
             seen.add(words)
         yield from packed(np.concatenate([counts, seen.words()]))
@@ -260,25 +287,34 @@ def cells(word: np.ndarray, n: np.ndarray, place: np.ndarray, name: np.ndarray,
     return np.concatenate([np.flatnonzero(one), hot[of]]), np.concatenate([key[one], key[hot[of]] | cell << 2 | side])
 
 
-def posts_of(classes: DataFrame, found: Broadcast, percent: int) -> DataFrame:
+def posts_of(classes: DataFrame, found: Broadcast, percent: int, tried: bool = False) -> DataFrame:
     """One row per class, word that it may share with another class by the bitmap in `found`, and cell of the word."""
+    last = [f"t_{c}" for c in CLASS] if tried else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, blocks = found.value
         for batch in batches:
-            words, places = (batch.column(c).flatten().to_numpy() for c in ("words", "places"))
-            of = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
+            words, places = flat(batch.column("words"), np.int32), flat(batch.column("places"), np.int16)
+            of = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column("words")).to_numpy() // 4)
             keep = np.flatnonzero(is_set(bitmap, words))
-            names = name_bits(*[batch.column(c).to_numpy() for c in ("at", "rid")], batch.column("line_no").to_numpy().astype(np.int64))
+            post, t = np.zeros(batch.num_rows, POST), np.zeros(batch.num_rows, TRIED)
+            for c in SIZED:
+                post[c] = batch.column(c).to_numpy()
+            for c in last:
+                t[c[2:]] = batch.column(c).to_numpy()
+            names = name_bits(post["at"], post["rid"], post["line_no"].astype(np.int64))
             most = int(blocks[slot(words[keep], COUNTER_BITS)].max(initial=1))
-            size = max(1, len(keep) if most <= 1 else GATHERED // (8 * most))
+            size = GATHERED if most <= 1 else max(1, GATHERED // (8 * most))
             for i in range(0, len(keep), size):
                 part = keep[i : i + size]
-                copy, key = cells(words[part], batch.column("n").to_numpy()[of[part]], places[part], names[of[part]], blocks, percent)
-                at = pa.array(of[part[copy]])
-                yield record(key=key, place=places[part[copy]], **{c: batch.column(c).take(at) for c in POST[:-1]})
+                copy, key = cells(words[part], post["n"][of[part]], places[part], names[of[part]], blocks, percent)
+                part = part[copy]
+                out = post[of[part]]
+                out["place"] = places[part]
+                each = np.arange(1, len(part) + 1)
+                yield record(key=key, post=runs(out, each), tried=runs(t[of[part]], each) if tried else pa.nulls(len(part), pa.binary()))
 
-    return classes.select("words", "places", *POST[:-1]).mapInArrow(run, POSTS)
+    return classes.select("words", "places", *SIZED, *last).mapInArrow(run, POSTS)
 
 
 def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,25 +327,54 @@ def posted(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             owner, number, of, words = lines_of(batch)
             if not len(owner):
                 continue
-            line, h, start = as_sets(of, words.hash)
-            (k1, k2), (x, y) = identity(h, start), counters(line, h, len(owner))
-            of, code, start = as_sets(of, frequency.codes(words.hash))
+            of, h = frequency.sets(of, words.hash)
+            start = np.searchsorted(of, np.arange(len(owner)))
+            (k1, k2), (x, y) = identity(h, start), counters(of, h, len(owner))
             n = np.diff(np.append(start, len(of)))
             place = np.arange(len(of)) - start[of]
             prefix = n - (percent * n + 99) // 100 + 1
             # a set smaller than 100 / (100 - percent) - 1 has no other set close enough
-            post = (place < prefix[of]) & (code & np.uint64(1) > 0) & ((n[of] + 1) * (100 - percent) >= 100)
-            marks = np.searchsorted(of[post], np.arange(len(owner) + 1)).astype(np.int32)
+            post = np.flatnonzero(place < np.where((n + 1) * (100 - percent) >= 100, prefix, 0)[of])
+            post = post[is_set(frequency.twice, h[post].view(np.int64)) > 0]
+            marks = np.searchsorted(of[post], np.arange(len(owner)), "right")
             ids, rids = batch.column("doc_id").take(pa.array(owner)), batch.column("rid").take(pa.array(owner))
-            yield record(
+            lines = record(
                 no_id=ids.is_null(), doc_id=ids, rid=rids, line_no=number.astype(np.int32), k1=k1, k2=k2, n=n.astype(np.int32), x=x, y=y,
-                words=pa.ListArray.from_arrays(pa.array(marks), pa.array((code[post] >> np.uint64(1)).astype(np.uint32).view(np.int32))),
-                places=pa.ListArray.from_arrays(pa.array(marks), pa.array(np.minimum(place[post], MAX_PLACE).astype(np.int16))),
+                words=runs((h[post] >> np.uint64(8)).astype(np.uint32), marks),
+                places=runs(np.minimum(place[post], MAX_PLACE).astype(np.int16), marks),
             )
+            yield from first_lines([lines.take(pa.array(np.argsort(k1)))])
 
     return docs.mapInArrow(run, POSTED)
 
 
+def first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of `POSTED` sorted by k1, the first line of each class; only that of the last class is held back."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        k1, k2, rid, line_no = (batch.column(c).to_numpy() for c in ("k1", "k2", "rid", "line_no"))
+        no_id, at = batch.column("no_id").to_numpy(zero_copy_only=False), batch.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
+        firsts = np.arange(len(k1))
+        if (k1[1:] == k1[:-1]).any():
+            order = np.lexsort((line_no, rid, at, no_id, k2, k1))
+            new = np.concatenate([[True], (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])])
+            firsts = order[new]
+        upto = int(np.searchsorted(k1[firsts], k1[-1]))
+        yield batch.take(pa.array(firsts[:upto]))
+        held = batch.take(pa.array(firsts[upto:]))
+    if held is not None:
+        yield held
+
+
+def classes_of(lines: DataFrame) -> DataFrame:
+    """One row per class: its first line. A line that is everywhere was counted once for each portion of text."""
+    return lines.repartition("k1").sortWithinPartitions("k1").mapInArrow(first_lines, POSTED)
+
+
 def name_bits(at, rid, line_no):
     """A number of a line for bitmaps; of columns and of numpy arrays alike."""
     if isinstance(at, Column):
@@ -381,10 +446,32 @@ def words_whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def in_order(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The posts of a run, sorted by key, in the order of key and class: what they hold, and where each was in the run."""
+    key, post = batch.column("key").to_numpy(), flat(batch.column("post"), POST)
+    at, rid, line_no = (post[c] for c in CLASS)
+    run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    low, bits = int(at.min()), int(line_no.max()).bit_length()
+    across = (int(at.max()) - low).bit_length() + bits
+    if (rid == rid[0]).all() and across + int(run[-1]).bit_length() < 64:
+        order = np.argsort(run << across | (at - low) << bits | line_no)
+    else:
+        order = np.lexsort((line_no, rid, at, run))
+    post = post[order]
+    return key, *(np.ascontiguousarray(post[c]) for c in ("place", *SIZED)), order
+
+
+def sizes_of_partners(n: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest size of a set that may be similar to one of size n with which it first shares the word at the place."""
+    n, rest = n.astype(np.int64), n.astype(np.int64) - place
+    return -(-percent * n // 100), np.minimum(100 * n // percent, (100 + percent) * rest // percent - n)
+
+
 def opposite(key: np.ndarray, at: np.ndarray, rid: np.ndarray, line_no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each sorted post, where the posts begin and end that it is compared with: those before it on its cell's other side."""
     side = key & 3
-    start, stop = np.searchsorted(key, key), np.arange(len(key))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    start, stop = np.repeat(new, np.diff(np.append(new, len(key)))), np.arange(len(key))
     if side.any():
         order = np.empty(len(key), np.int64)
         order[np.lexsort((line_no, rid, at))] = np.arange(len(key))
@@ -403,8 +490,8 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words_whole(batches):
-            key, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("key", "place", *POST[:-1]))
-            n, rest = n.astype(np.int64), n.astype(np.int64) - place
+            key, place, at, rid, line_no, n, x, y, _ = in_order(batch)
+            least, most = sizes_of_partners(n, place, percent)
             start, stop = opposite(key, at, rid, line_no)
             first, more = np.full(len(key), -1), np.zeros(len(key), bool)
             # all classes against the first class of their word, then the second and so on; who has two partners is done
@@ -414,7 +501,8 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
                 b, a = b[a < stop[b]], a[a < stop[b]]
                 if not len(b):
                     break
-                good = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
+                n_a = n[a]
+                good = np.flatnonzero((least[b] <= n_a) & (n_a <= most[b]) & (n[b] <= most[a]))
                 hit, of = b[good], a[good]
                 differ = distance(x[of], x[hit]) + distance(y[of], y[hit])
                 near = (100 + percent) * differ <= (100 - percent) * (n[of] + n[hit])
@@ -425,9 +513,9 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
                 first[hit[new]] = of[new]
                 b, rank = b[~more[b]], rank + 1
             b = np.flatnonzero(first >= 0)
-            yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in (("a", first[b]), ("b", b)) for c in CLASS}, more=more[b])
+            yield record(**{f"{s}_{c}": v[i] for s, i in (("a", first[b]), ("b", b)) for c, v in zip(CLASS, (at, rid, line_no), strict=True)}, more=more[b])
 
-    pairs = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", *CLASS).mapInArrow(run, f"{PAIR}, more boolean")
+    pairs = posts.select("key", "post").repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(run, f"{PAIR}, more boolean")
     a = F.struct(*named("a"))
     return pairs.groupBy(*named("b")).agg(F.min(a).alias("a"), F.max(a).alias("z"), F.max("more").alias("more")).select("a.*", *named("b"), (F.col("more") | (F.col("a") != F.col("z"))).alias("more"))
 
@@ -435,22 +523,23 @@ def first_pairs(posts: DataFrame, percent: int) -> DataFrame:
 def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
     """Of every open class b the next `most` classes a, in order behind the one that it was tried with last, that pass the filters, and whether there are more.
 
-    `posts` holds those of all classes, and those of the open ones once more with `t_*`, the last class tried.
+    `posts` holds those of all classes, and those of the open ones once more with the last class tried.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words_whole(batches):
-            key, place, at, rid, line_no, n, x, y = (batch.column(c).to_numpy() for c in ("key", "place", *POST[:-1]))
-            t_at, t_rid, t_line = (batch.column(f"t_{c}").fill_null(0).to_numpy() for c in CLASS)
-            open_ = batch.column("t_rid").is_valid().to_numpy(zero_copy_only=False)
-            n, rest = n.astype(np.int64), n.astype(np.int64) - place
+            key, place, at, rid, line_no, n, x, y, order = in_order(batch)
+            open_, tried = batch.column("tried").is_valid().to_numpy(zero_copy_only=False), np.zeros(len(key), TRIED)
+            tried[open_] = flat(batch.column("tried").drop_null(), TRIED)
+            open_, (t_at, t_rid, t_line) = open_[order], (tried[c][order] for c in CLASS)
+            least, most_words = sizes_of_partners(n, place, percent)
             start, stop = opposite(key, at, rid, line_no)
             b, rank, got, pairs, held = np.flatnonzero(open_), 0, np.zeros(len(key), np.int64), [], 0
             while len(b):
                 a = start[b] + rank
                 b, a = b[a < stop[b]], a[a < stop[b]]
                 later = (at[a] > t_at[b]) | ((at[a] == t_at[b]) & ((rid[a] > t_rid[b]) | ((rid[a] == t_rid[b]) & (line_no[a] > t_line[b]))))
-                good = ~open_[a] & later & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & (percent * (n[a] + n[b]) <= (100 + percent) * np.minimum(rest[a], rest[b]))
+                good = ~open_[a] & later & (least[b] <= n[a]) & (n[a] <= most_words[b]) & (n[b] <= most_words[a])
                 hit, of = b[good], a[good]
                 near = (100 + percent) * (distance(x[of], x[hit]) + distance(y[of], y[hit])) <= (100 - percent) * (n[of] + n[hit])
                 near &= (at[of] != at[hit]) | (rid[of] != rid[hit]) | (line_no[of] != line_no[hit])
@@ -459,10 +548,10 @@ def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
                 b, rank, held = b[got[b] <= most], rank + 1, held + int(near.sum())
                 if held and (held >= GATHERED or not len(b)):
                     both = zip("ab", map(np.concatenate, zip(*pairs, strict=True)), strict=True)
-                    yield record(**{f"{s}_{c}": batch.column(c).take(pa.array(i)) for s, i in both for c in CLASS})
+                    yield record(**{f"{s}_{c}": v[i] for s, i in both for c, v in zip(CLASS, (at, rid, line_no), strict=True)})
                     pairs, held = [], 0
 
-    found = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", *CLASS).mapInArrow(run, PAIR)
+    found = posts.repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(run, PAIR)
     # a class posts few words, each with most + 1 at the most
     found = found.groupBy(*named("b")).agg(F.sort_array(F.collect_set(F.struct(*named("a")))).alias("c"))
     return found.select(*named("b"), F.slice("c", 1, most).alias("c"), (F.size("c") > most).alias("more"))
@@ -471,9 +560,9 @@ def next_pairs(posts: DataFrame, percent: int, most: int = TURN) -> DataFrame:
 def staying(docs: DataFrame, rid: Column, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid and the numbers of the lines with words that stay, for documents that keep any."""
     rows = documents(docs, rid)
-    classes = posted(rows, percent).groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("l"), *[F.first(c).alias(c) for c in ("n", "x", "y", "words", "places")])
-    at = F.coalesce("l.doc_id", F.lit((1 << 63) - 1)).alias("at")
-    classes = table(classes.select(at, *[f"l.{c}" for c in LINE], "n", "x", "y", "words", "places"), "classes")
+    classes = classes_of(posted(rows, percent))
+    at = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at")
+    classes = table(classes.select(at, *LINE, "n", "x", "y", "words", "places"), "classes", **HASHES)
     bitmap, blocks = shared_words(classes)
     shared = rows.sparkSession.sparkContext.broadcast((bitmap, blocks))
     posts = posts_of(classes, shared, percent)
@@ -485,13 +574,12 @@ def staying(docs: DataFrame, rid: Column, percent: int = PERCENT) -> DataFrame:
     # then those that have others and are still there against the next few, until none has any left
     most = TURN
     while not open_.isEmpty():
-        own = table(classes.join(open_, [*CLASS]).select("words", "places", *POST[:-1], *[f"t_{c}" for c in CLASS]), "again")
+        own = table(classes.join(open_, [*CLASS]).select("words", "places", *SIZED, *[f"t_{c}" for c in CLASS]), "again", **HASHES)
         # both bitmaps have the same places, so what they share is the words that `own` posts; taken from the lists, so that a task needs one Python worker
-        words = own.select(F.explode("words").alias("word"))
+        words = own.select(F.col("words").alias("word"))
         asked = rows.sparkSession.sparkContext.broadcast((np.packbits(possible(words, "word", TWICE_BITS)) & bitmap, blocks))
-        left = posts_of(own, shared, percent).join(open_, [*CLASS])
-        every = posts_of(classes, asked, percent).select("*", *[F.lit(None).cast(t).alias(f"t_{c}") for c, t in zip(CLASS, ("long", "long", "int"), strict=True)])
-        pairs = table(next_pairs(every.unionByName(left), percent, most), "next")
+        posts = posts_of(classes, asked, percent).unionByName(posts_of(own, shared, percent, tried=True))
+        pairs = table(next_pairs(posts, percent, most), "next")
         each = pairs.select(*named("b"), F.explode("c").alias("a")).select("a.*", *named("b"))
         found = table(similar(each, sets_of(rows, each), percent), "found")
         gone, most = gone.union(found), most * TURN * TURN
@@ -500,16 +588,25 @@ def staying(docs: DataFrame, rid: Column, percent: int = PERCENT) -> DataFrame:
     return classes.select(*CLASS, "doc_id").join(gone, [*CLASS], "left_anti").groupBy("doc_id", "rid").agg(F.collect_list("line_no").alias("stays"))
 
 
+def worded_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many lines each text has; then text and number of the lines with words, without looking for the words."""
+    owner, number, begin = all_lines(data, offsets)
+    filled = np.flatnonzero(np.diff(np.append(begin, len(data))))
+    if len(filled):
+        filled = filled[np.maximum.reduceat(WORDS[data], begin[filled]) > 0]
+    return np.bincount(owner, minlength=len(offsets) - 1), owner[filled], number[filled]
+
+
 def worded(rows: DataFrame) -> DataFrame:
     """One row per document: its number of lines, and the numbers of those with words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, size=PORTION):
             data, offsets = bytes_of(batch.column("text"))
-            owner, number, _ = lines_at(data, offsets, spans(data, offsets, WORDS)[0])
+            n_lines, owner, number = worded_lines(data, offsets)
             marks = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(number.astype(np.int32)))
-            yield record(doc_id=batch.column("doc_id"), rid=batch.column("rid"), n_lines=counted(data == 10, offsets) + 1, lines=lists)
+            yield record(doc_id=batch.column("doc_id"), rid=batch.column("rid"), n_lines=n_lines, lines=lists)
 
     return rows.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, n_lines long, lines array<int>")
 

@@ -75,13 +75,28 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     return out[:size]
 
 
+def flat(column: pa.Array, dtype) -> np.ndarray:
+    """What the bytes of a binary column without nulls hold, end to end."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data is not None and len(column) else np.zeros(0, dtype)
+
+
+def runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column: row i holds the values up to `ends[i]` that no row before it holds."""
+    offsets = np.concatenate([np.zeros(1, np.int32), (ends * values.itemsize).astype(np.int32)])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
 def possible(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of fixed size over hashes of a long column: where a bit is unset, the value is certainly absent."""
+    """Bitmap of fixed size over hashes of a long column, or one of runs of ints: where a bit is unset, the value is certainly absent."""
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            seen[slot(batch.column(column).to_numpy(zero_copy_only=False), bits)] = True
+            values = batch.column(column)
+            seen[slot(flat(values, np.int32) if pa.types.is_binary(values.type) else values.to_numpy(zero_copy_only=False), bits)] = True
         words = np.packbits(seen).view(np.int64) if seen.any() else np.zeros(0, np.int64)
         yield from packed(words)
 
@@ -120,10 +135,10 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written once as a table in the shared folder and read back: columns can be pruned, and a lost executor recomputes nothing before it."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.options(**{"compression": "zstd", **options}).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

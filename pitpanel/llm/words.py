@@ -16,7 +16,7 @@ import xxhash
 from .shared import GOLDEN, MIX1, mix
 
 SPACE = b" \t\n\v\f\r"
-PIECE = 1 << 19
+PIECE = 1 << 16
 #: Bytes of the longest token that is hashed by the running sum.
 SHORT = 32
 
@@ -86,7 +86,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     end = np.append(start[1:], len(data))
     real = kind[start] > 0
     start, end = start[real], end[real]
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Tokens:
@@ -104,7 +104,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             upto = max(done + 1, int(np.searchsorted(start, first + PIECE)))
             part = data[first : end[upto - 1]]
             power, inverse = powers(len(part))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[part] * power)])
+            total = np.zeros(len(part) + 1, np.uint64)
+            value = BYTE[part]
+            value *= power
+            np.cumsum(value, out=total[1:])
             a, b = start[done:upto] - first, end[done:upto] - first
             out[done:upto] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * GOLDEN)
             done = upto

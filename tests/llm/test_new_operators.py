@@ -393,3 +393,74 @@ def test_lines_are_found_without_hashes(monkeypatch):
     owner, number, of = line_dedup.lines_at(data, offsets, words.spans(data, offsets, WORDS)[0])
     assert list(zip(owner.tolist(), number.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.split()]
     assert of.tolist() == [0, 0, 1, 2, 3, 3]
+
+
+def test_posts_of_the_line_join_are_sorted_by_one_number(spark, monkeypatch):
+    """A post is a key and one value, Spark sorts it by the key alone, and classes need no aggregate over lists."""
+    seen, made = [], line_dedup.first_pairs
+    monkeypatch.setattr(line_dedup, "first_pairs", lambda posts, percent: seen.append((posts, made(posts, percent))) or seen[-1][1])
+    kept, tables = line_dedup.table, {}
+    monkeypatch.setattr(line_dedup, "table", lambda df, name, **o: tables.setdefault(name, df) is None or kept(df, name, **o))
+    test_lines_with_many_possible_partners(spark, monkeypatch, 8)
+    posts, pairs = seen[0]
+    assert [t for _, t in posts.dtypes] == ["bigint", "binary", "binary"]
+    assert "Sort [key#" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and not any("key#" in x and ", at#" in x for x in plan.split("\n") if "Sort [" in x)
+    assert "Aggregate" not in tables["classes"]._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("ids", [[5, 6, 7], [0, 1 << 40, (1 << 63) - 1], [-(1 << 62), 3, 1 << 62]])
+@pytest.mark.parametrize("rids", [[0], [-3, 0, 9]])
+def test_posts_come_in_the_order_of_key_and_class(ids, rids):
+    rnd = np.random.default_rng(1)
+    post = np.zeros(400, line_dedup.POST)
+    post["at"], post["rid"], post["line_no"] = rnd.choice(ids, 400), rnd.choice(rids, 400), rnd.integers(0, 9, 400)
+    post["n"], post["x"], post["place"] = np.arange(400), -np.arange(400), np.arange(400) % 7
+    key = np.sort(rnd.integers(-4, 4, 400))
+    batch = pa.record_batch({"key": key, "post": line_dedup.runs(post, np.arange(1, 401))})
+    got_key, place, at, rid, line_no, n, x, _, order = line_dedup.in_order(batch.slice(3))
+    want = sorted(zip(key[3:].tolist(), post["at"][3:].tolist(), post["rid"][3:].tolist(), post["line_no"][3:].tolist(), strict=True))
+    assert list(zip(got_key.tolist(), at.tolist(), rid.tolist(), line_no.tolist(), strict=True)) == want
+    assert (x == -n).all() and (place == n % 7).all() and (order == n - 3).all()
+
+
+def test_words_of_more_lines_than_are_sorted_at_once(monkeypatch):
+    """Distinct words by line, rare ones first and in one order for all lines; lines are sorted a few at a time."""
+    rnd = np.random.default_rng(2)
+    frequency = line_dedup.Frequencies.__new__(line_dedup.Frequencies)
+    frequency.rarity = rnd.integers(0, 128, line_dedup.COUNTERS).astype(np.uint64)
+    vocabulary = rnd.integers(0, 1 << 64, 50, dtype=np.uint64)
+    of = np.repeat(np.arange(10_000), rnd.integers(1, 6, 10_000))
+    h = vocabulary[rnd.integers(0, 50, len(of))]
+    lines, hashes = frequency.sets(of, h)
+    rank = {int(v): (int(frequency.rarity[int(v) & (line_dedup.COUNTERS - 1)]), int(v) >> 19) for v in vocabulary}
+    want = defaultdict(set)
+    for i, v in zip(of.tolist(), h.tolist(), strict=True):
+        want[i].add(v)
+    assert list(zip(lines.tolist(), hashes.tolist(), strict=True)) == [(i, v) for i in range(10_000) for v in sorted(want[i], key=rank.get)]
+    assert [len(v) for v in frequency.sets(of[:0], h[:0])] == [0, 0]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_first_lines_of_classes_across_batches(size):
+    rnd = random.Random(size)
+    rows = [(i is None, i, rnd.choice([0, 5]), rnd.randrange(3), k1, rnd.randrange(2)) for k1 in range(9) for i in (rnd.choice([None, 1, 2, (1 << 63) - 1]) for _ in range(rnd.randrange(1, 9)))]
+    data = {c: [r[k] for r in rows] for k, c in enumerate(("no_id", "doc_id", "rid", "line_no", "k1", "k2"))}
+    batch = pa.record_batch({c: pa.array(v, pa.bool_() if c == "no_id" else pa.int32() if c == "line_no" else pa.int64()) for c, v in data.items()})
+    got = [tuple(r[c] for c in data) for b in line_dedup.first_lines(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+    best = {}
+    for r in rows:
+        order = (r[0], r[1] or 0, r[2], r[3])
+        if (r[4], r[5]) not in best or order < best[r[4], r[5]][0]:
+            best[r[4], r[5]] = (order, r)
+    assert sorted(got, key=lambda r: r[4:]) == [best[k][1] for k in sorted(best)]
+    assert not list(line_dedup.first_lines(iter([])))
+
+
+def test_lines_with_words_are_found_without_the_words():
+    texts = ["", "\n\n", "a b\n\n \t\nc", "x", " \ny z\n", "\n", " ", "é\n\x0b\n#"]
+    data, offsets = bytes_of(pa.array(texts))
+    n_lines, owner, number = line_dedup.worded_lines(data, offsets)
+    assert n_lines.tolist() == [t.count("\n") + 1 for t in texts]
+    assert list(zip(owner.tolist(), number.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\x0b\x0c\r")]
+    data, offsets = bytes_of(pa.array(["", ""]))
+    assert [v.tolist() for v in line_dedup.worded_lines(data, offsets)] == [[1, 1], [], []]
